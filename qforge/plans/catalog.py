@@ -528,3 +528,213 @@ def q_safe_region_none(spark, sf):
     """A threshold no point can meet: the explicit no-region status row."""
     b = R.feature_bounds(td.sensor(spark, sf), FEATURES, "quantile")
     return r6(R.estimate_safe_region(spark, _closed_form_scorer, b, R.DEFAULT_SIZES, 0.0), _region_cols())
+
+
+# ============================================================ ingest
+from pyspark.sql import Window  # noqa: E402
+
+from qforge.plans import pipeline as P  # noqa: E402
+from qforge.sources import csv_ingest as CI  # noqa: E402
+from qforge.sources import fixture_files as FF  # noqa: E402
+from qforge.sources import manifest as MF  # noqa: E402
+
+_CSV_CACHE: dict[tuple, str] = {}
+
+
+def sensor_csv_folder(spark: SparkSession, sf: str) -> str:
+    """CSV files derived from the sf tables, written once per session and sf."""
+    key = (id(spark.sparkContext), sf)
+    if key not in _CSV_CACHE:
+        _CSV_CACHE[key] = FF.write_sensor_csvs(spark, sf)
+    return _CSV_CACHE[key]
+
+
+def _sensor_paths(spark, sf):
+    data = sensor_csv_folder(spark, sf)
+    return [r["path"] for r in MF.sensor_files(MF.file_manifest(spark, data)).select("path").collect()]
+
+
+VARIANT_SQL = "CASE event_id % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' WHEN 3 THEN 'd' ELSE 'e' END"
+NOTE_SQL = "'" + FF.NOTE_TEXT + "'"
+
+SQL_CSV_READ = with_(SENSOR, SENSOR_RAW) + (
+    "SELECT event_id, temp, humid, press, CAST(error AS BIGINT) AS error, "
+    f"CASE WHEN event_id % 5 = 2 THEN {NOTE_SQL} END AS \"비고\" FROM sensor_raw")
+
+
+@register("csv_encoding_read", SQL_CSV_READ)
+def q_csv_encoding_read(spark, sf):
+    """UTF-8, UTF-8+BOM, CP949 and NA-token files (one extra column in one file) -> one table."""
+    return CI.read_csv_files(spark, _sensor_paths(spark, sf))
+
+
+SQL_FILE_SUMMARY = with_(SENSOR, SENSOR_RAW) + f"""
+SELECT {VARIANT_SQL} AS variant, count(*) AS rows,
+       CAST(max(CASE WHEN event_id % 5 = 2 THEN 6 ELSE 5 END) AS BIGINT) AS cols
+FROM sensor_raw GROUP BY 1
+UNION ALL SELECT 'f', CAST(0 AS BIGINT), CAST(5 AS BIGINT)"""
+
+
+@register("file_summary", SQL_FILE_SUMMARY)
+def q_file_summary(spark, sf):
+    """Per-file rows / columns of every sensor file, rolled up per file group."""
+    infos = CI.inspect_files(spark, _sensor_paths(spark, sf))
+    fs = CI.file_summary(spark, infos)
+    return (fs.groupBy(FF.variant_of(F.col("file_name")).alias("variant"))
+              .agg(F.sum("rows").alias("rows"), F.max("cols").alias("cols")))
+
+
+SQL_LATEST = "SELECT * FROM (VALUES ('f-000.csv', 1), ('e-000.csv', 2)) t(file_name, recency_rank)"
+
+
+@register("latest_files", SQL_LATEST)
+def q_latest_files(spark, sf):
+    """The 2 most recently modified sensor files (error-log files excluded)."""
+    data = sensor_csv_folder(spark, sf)
+    top = MF.latest_files(MF.sensor_files(MF.file_manifest(spark, data)), 2)
+    w = Window.orderBy(F.desc("modified"), F.asc("path"))  # over the 2 selected rows only
+    return top.select("file_name", F.row_number().over(w).alias("recency_rank"))
+
+
+SQL_INGEST_REPORT = with_(SENSOR, SENSOR_RAW) + f"""
+SELECT {VARIANT_SQL} AS variant, 'success' AS status, CAST(NULL AS VARCHAR) AS error, count(*) AS rows,
+       CAST(max(CASE WHEN event_id % 5 = 2 THEN 6 ELSE 5 END) AS BIGINT) AS cols
+FROM sensor_raw GROUP BY 1
+UNION ALL SELECT 'Error_log', 'success', NULL, count(*), CAST(5 AS BIGINT) FROM sensor_raw WHERE event_id % 5 = 0
+UNION ALL SELECT 'f', 'success', NULL, CAST(0 AS BIGINT), CAST(5 AS BIGINT)
+UNION ALL SELECT 'notes', 'failed', 'only CSV files are accepted', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)"""
+
+
+@register("ingest_report", SQL_INGEST_REPORT)
+def q_ingest_report(spark, sf):
+    """Batch upload of every file in the folder (a non-CSV file included)."""
+    data = sensor_csv_folder(spark, sf)
+    paths = [r["path"] for r in MF.file_manifest(spark, data, "*").select("path").collect()]
+    rep = CI.require_success(CI.ingest_report(spark, paths))
+    return (rep.groupBy(FF.variant_of(F.col("file_name")).alias("variant"), "status", "error")
+               .agg(F.sum("rows").alias("rows"), F.max("cols").alias("cols")))
+
+
+SQL_SENSOR_INFO = "SELECT CAST(6 AS BIGINT) AS sensor_file_count, ['a-000.csv', 'b-000.csv', 'c-000.csv', 'd-000.csv', 'e-000.csv', 'f-000.csv'] AS sensor_files"
+
+
+@register("sensor_file_info", None)
+def q_sensor_file_info(spark, sf):
+    """Count and names of the sensor files (names depend on the writer's part count)."""
+    return MF.sensor_file_info(spark, sensor_csv_folder(spark, sf))
+
+
+def _profile_sql() -> str:
+    types = {"event_id": "bigint", "temp": "double", "humid": "double", "press": "double", "error": "int"}
+    parts = []
+    for c, t in types.items():
+        parts.append(f"""SELECT (SELECT count(*) FROM sensor_raw) AS n_rows, 5 AS n_cols, '{c}' AS column,
+  '{t}' AS dtype, {ci(c + ' IS NULL')} AS null_count, count({c}) AS count,
+  round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, CAST(min({c}) AS DOUBLE) AS min,
+  round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50,
+  round(quantile_cont({c}, 0.75), 6) AS p75, CAST(max({c}) AS DOUBLE) AS max FROM sensor_raw""")
+    return with_(SENSOR, SENSOR_RAW) + union_all(parts)
+
+
+@register("dataset_profile", _profile_sql())
+def q_dataset_profile(spark, sf):
+    return CI.dataset_profile(td.sensor_raw(spark, sf))
+
+
+SQL_MERGE = with_(SENSOR) + """
+SELECT event_id, temp, CASE WHEN event_id % 2 = 0 THEN humid END AS humid,
+       CASE WHEN event_id % 2 = 1 THEN press END AS press, error,
+       CASE WHEN event_id % 2 = 1 THEN 'line-' || CAST(event_id % 7 AS VARCHAR) END AS line
+FROM sensor"""
+
+
+@register("merge_union", SQL_MERGE)
+def q_merge_union(spark, sf):
+    """UNION ALL by name of two frames with different columns."""
+    s = td.sensor(spark, sf)
+    even = s.where(F.col("event_id") % 2 == 0).select("event_id", "temp", "humid", "error")
+    odd = s.where(F.col("event_id") % 2 == 1).select(
+        "event_id", "temp", "press", "error",
+        F.concat(F.lit("line-"), (F.col("event_id") % 7).cast("string")).alias("line"))
+    return CI.union_by_name([even, odd])
+
+
+SQL_NORMALIZE = with_(SENSOR) + (
+    "SELECT event_id, temp, humid, press AS pressure_kpa, error, temp AS temp__c_ FROM sensor")
+
+
+@register("normalize_rename", SQL_NORMALIZE)
+def q_normalize_rename(spark, sf):
+    """Raw headers -> normalised names -> canonical sensor names (unit names stay)."""
+    from qforge.functions.names import normalize_names
+    s = td.sensor(spark, sf).select("event_id", "temp", "humid", "press", "error", F.col("temp").alias("t2"))
+    raw = ["Event-ID", "온도", " 습도 ", "Pressure kPa", "불량여부", "Temp (C)"]
+    return s.toDF(*normalize_names(raw))
+
+
+SQL_MERGE_PIPELINE = with_(SENSOR, SENSOR_RAW) + """
+SELECT CAST(6 AS BIGINT) AS sensor_file_count, CAST(6 AS BIGINT) AS processed_file_count,
+       count(*) AS combined_rows, CAST(6 AS BIGINT) AS combined_cols, count(*) AS all_files_rows
+FROM sensor_raw"""
+
+
+@register("merge_pipeline", SQL_MERGE_PIPELINE)
+def q_merge_pipeline(spark, sf):
+    """P1 over every sensor file: counts of the landed combined table."""
+    from qforge.session import scratch_path
+    res = P.merge_sensor_files(spark, sensor_csv_folder(spark, sf), None, scratch_path(spark, "merge"))
+    return res.summary.drop("output_path")
+
+
+# ============================================================ forest (M3, M5, M11-M14) - rows-only
+_FOREST_CACHE: dict[tuple, object] = {}
+FOREST_TREES = 200
+
+
+def trained_forest(spark: SparkSession, sf: str):
+    """The forest of the sensor table's stratified split, trained once per session and sf."""
+    key = (id(spark.sparkContext), sf)
+    if key not in _FOREST_CACHE:
+        from qforge.operators import forest as FO
+        train, test = S.stratified_split(td.sensor(spark, sf), "error", "event_id", 0.2, 42)
+        model = FO.fit_forest(train, FEATURES, "error", n_trees=FOREST_TREES, seed=42)
+        _FOREST_CACHE[key] = (model, test)
+    return _FOREST_CACHE[key]
+
+
+@register("rf_predictions")
+def q_rf_predictions(spark, sf):
+    model, test = trained_forest(spark, sf)
+    return model.score(test).select("event_id", F.col("error").alias("y_true"), "y_pred", "y_score")
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    model, _ = trained_forest(spark, sf)
+    return model.importance()
+
+
+@register("rf_metrics")
+def q_rf_metrics(spark, sf):
+    model, test = trained_forest(spark, sf)
+    return M.metrics_table(model.score(test), "error", "y_pred", "y_score")
+
+
+@register("model_report")
+def q_model_report(spark, sf):
+    model, test = trained_forest(spark, sf)
+    return M.model_report(model.score(test), model.importance(), "error", "y_pred", "y_score")
+
+
+@register("safe_region_rf")
+def q_safe_region_rf(spark, sf):
+    from qforge.operators import forest as FO
+    model, _ = trained_forest(spark, sf)
+    b = R.feature_bounds(td.sensor(spark, sf), FEATURES, "quantile")
+    return R.estimate_safe_region(spark, FO.grid_scorer(model), b, R.DEFAULT_SIZES, 0.05)
+
+
+@register("pipeline_summary")
+def q_pipeline_summary(spark, sf):
+    """P2 over every sensor file derived from the sf tables."""
+    return P.run_full_pipeline(spark, sensor_csv_folder(spark, sf), num_files=None).drop("output_dir")
