@@ -141,14 +141,15 @@ def infer_types(df: DataFrame, cols: list[str]) -> dict[str, str]:
                  F.count_if(x.isin(BOOL_TRUE + BOOL_FALSE)).alias(f"b{i}")]
     if not aggs:
         return {}
-    row = df.agg(*aggs).first()
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *aggs).first()
     out = {}
     for i, c in enumerate(cols):
         n = row[f"n{i}"]
         if n == 0:
             out[c] = "double"           # an all-missing column is numeric NaN in pandas
         elif row[f"l{i}"] == n:
-            out[c] = "bigint"
+            # integers with gaps become floating point, as in pandas
+            out[c] = "bigint" if n == row["rows"] else "double"
         elif row[f"d{i}"] == n:
             out[c] = "double"
         elif row[f"b{i}"] == n:
