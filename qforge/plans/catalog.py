@@ -738,3 +738,22 @@ def q_safe_region_rf(spark, sf):
 def q_pipeline_summary(spark, sf):
     """P2 over every sensor file derived from the sf tables."""
     return P.run_full_pipeline(spark, sensor_csv_folder(spark, sf), num_files=None).drop("output_dir")
+
+
+# ============================================================ streaming landing
+SQL_STREAM = with_(SENSOR, SENSOR_RAW) + (
+    "SELECT event_id, temp, humid, press, CAST(error AS BIGINT) AS error FROM sensor_raw WHERE event_id % 5 <> 2")
+
+
+@register("stream_landing", SQL_STREAM)
+def q_stream_landing(spark, sf):
+    """File-stream landing (available-now trigger) of every same-layout sensor file."""
+    from qforge.session import scratch_path
+    from qforge.streaming import start_landing
+    files = f"{sensor_csv_folder(spark, sf)}/[abdef]-*.csv"
+    out = scratch_path(spark, "landing")
+    q = start_landing(spark, files, out, checkpoint=f"{out}/_checkpoint", available_now=True)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return spark.read.parquet(f"{out}/rows").select("event_id", "temp", "humid", "press", "error")
