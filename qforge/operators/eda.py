@@ -1,47 +1,51 @@
 """Exploratory statistics as tables (A5-A10).
 
 The reference draws charts; here each chart's numbers are a DataFrame.
-All of them are global aggregates with map-side partial aggregation, so
-the shuffled data is bounded by (#columns x #bins) or (#columns^2), never
-by the number of rows.
+All of them come from global aggregates with map-side partial
+aggregation, so shuffled data is bounded by (#columns x #bins) or
+(#columns^2), never by the number of rows.
+
+Operators accept a precomputed ``ColumnStats`` (moments + quantiles);
+``eda_report`` computes it once and fuses the box-plot, correlation and
+label-summary aggregates into one scan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qforge.functions.columns import as_double, col, dlit
-from qforge.functions.order_stats import column_profile, exact_quantiles
+from qforge.functions.stats import ColumnStats, column_stats
+
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def _stats(df: DataFrame, cols: list[str], stats: ColumnStats | None, probs=QUARTILES) -> ColumnStats:
+    if stats is not None and stats.has(cols, probs):
+        return stats
+    return column_stats(df, cols, probs)
 
 
 # ---------------------------------------------------------------- A5
-def describe_numeric(df: DataFrame, cols: list[str], digits: int = 3) -> DataFrame:
+DESCRIBE_STATS = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
+
+
+def describe_numeric(df: DataFrame, cols: list[str], digits: int = 3,
+                     stats: ColumnStats | None = None) -> DataFrame:
     """count, mean, sample std, min, 25/50/75% (interpolated), max; rounded.
 
     Not ``DataFrame.summary()``: its percentiles are approximate nearest-rank.
+    Built from the fitted statistics (one row per column), so it costs no
+    scan beyond the statistics themselves.
     """
-    prof = column_profile(df, {c: as_double(c) for c in cols})
-    qs = exact_quantiles(df, cols, [0.25, 0.5, 0.75], profile=prof)
-    aggs = []
-    for i, c in enumerate(cols):
-        x = as_double(c)
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
-                 F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
-    wide = df.agg(*aggs)
-    r = lambda e: F.round(e, digits)
-    rows = [F.struct(
-        F.lit(c).alias("column"),
-        F.col(f"n{i}").alias("count"),
-        r(F.col(f"m{i}")).alias("mean"),
-        r(F.col(f"s{i}")).alias("std"),
-        r(F.col(f"a{i}")).alias("min"),
-        r(dlit(qs[c][0])).alias("p25"),
-        r(dlit(qs[c][1])).alias("p50"),
-        r(dlit(qs[c][2])).alias("p75"),
-        r(F.col(f"b{i}")).alias("max"),
-    ) for i, c in enumerate(cols)]
-    return wide.select(F.inline(F.array(*rows)))
+    st = _stats(df, cols, stats)
+    rows = [(c, st.count[c], st.mean[c], st.std_samp[c], st.min[c], st.q(c, 0.25), st.q(c, 0.5),
+             st.q(c, 0.75), st.max[c]) for c in cols]
+    base = df.sparkSession.createDataFrame(
+        rows, "column string, count long, mean double, std double, min double, p25 double, p50 double, "
+              "p75 double, max double")
+    return base.select("column", "count", *[F.round(c, digits).alias(c) for c in DESCRIBE_STATS[1:]])
 
 
 # ---------------------------------------------------------------- A6
@@ -52,7 +56,7 @@ def _edges(lo: float, hi: float, bins: int) -> tuple[float, float, float]:
     return lo, hi, (hi - lo) / bins
 
 
-def histogram(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
+def histogram(df: DataFrame, cols: list[str], bins: int = 30, stats: ColumnStats | None = None) -> DataFrame:
     """Equal-width bins per column over its own min..max; last bin closed.
 
     Columns: column, bin (0-based), bin_lo, bin_hi, count. Bin edges are
@@ -62,14 +66,12 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
     listed with count 0; nulls are skipped.
     """
     spark = df.sparkSession
-    prof = column_profile(df, {c: as_double(c) for c in cols})
-    structs = []
-    meta = []
+    st = _stats(df, cols, stats, ())
+    structs, meta = [], []
     for i, c in enumerate(cols):
-        n, lo, hi = prof[c]
-        if n == 0:
+        if st.count[c] == 0:
             continue
-        lo, hi, step = _edges(lo, hi, bins)
+        lo, hi, step = _edges(st.min[c], st.max[c], bins)
         meta.append((i, c, lo, hi, step))
         x = as_double(c)
         norm = bins / (hi - lo)
@@ -91,11 +93,13 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
     skeleton = (spark.range(len(meta) * bins)
                 .select(F.element_at(ids, (F.col("id") / bins).cast("int") + 1).alias("ci"),
                         (F.col("id") % bins).cast("int").alias("bin")))
-    name = F.element_at(F.array(*[F.lit(c) for _, c, *_ in meta]), _pos(meta))
-    los = F.element_at(F.array(*[dlit(lo) for *_, lo, _, _ in meta]), _pos(meta))
-    his = F.element_at(F.array(*[dlit(hi) for *_, hi, _ in meta]), _pos(meta))
-    steps = F.element_at(F.array(*[dlit(s) for *_, s in meta]), _pos(meta))
+    pos = _pos(meta)
+    name = F.element_at(F.array(*[F.lit(c) for _, c, *_ in meta]), pos)
+    los = F.element_at(F.array(*[dlit(lo) for *_, lo, _, _ in meta]), pos)
+    his = F.element_at(F.array(*[dlit(hi) for *_, hi, _ in meta]), pos)
+    steps = F.element_at(F.array(*[dlit(s) for *_, s in meta]), pos)
     b = F.col("bin")
+    # the counts side has at most #columns x bins rows by construction
     return (skeleton.join(F.broadcast(counts), ["ci", "bin"], "left")
             .select(name.alias("column"), b.alias("bin"),
                     (b.cast("double") * steps + los).alias("bin_lo"),
@@ -112,63 +116,68 @@ def _pos(meta):
 
 
 # ---------------------------------------------------------------- A7
-def correlation(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
-    """Pearson correlation for every ordered pair (x, y), pairwise complete.
-
-    One aggregate computes each unordered pair once; a constant column
-    gives NULL (also on its diagonal).
-    """
-    aggs = []
-    pairs = {}
+def _corr_parts(cols: list[str], digits: int):
+    aggs, pairs = [], {}
     for i, a in enumerate(cols):
         for j in range(i, len(cols)):
-            pairs[(i, j)] = f"c{i}_{j}"
+            pairs[(i, j)] = f"corr_{i}_{j}"
             aggs.append(F.corr(as_double(a), as_double(cols[j])).alias(pairs[(i, j)]))
-    wide = df.agg(*aggs)
     rows = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
-            key = pairs[(min(i, j), max(i, j))]
-            v = F.col(key)
-            v = F.nanvl(v, F.lit(None).cast("double"))
-            rows.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"),
-                                 F.round(v, digits).alias("corr")))
-    return wide.select(F.inline(F.array(*rows)))
+            v = F.nanvl(F.col(pairs[(min(i, j), max(i, j))]), F.lit(None).cast("double"))
+            rows.append((a, b, F.round(v, digits)))
+    return aggs, rows
+
+
+def correlation(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
+    """Pearson correlation for every ordered pair (x, y), pairwise complete.
+
+    One aggregate computes each unordered pair once; a constant column
+    gives NULL (also on its diagonal).
+    """
+    aggs, rows = _corr_parts(cols, digits)
+    return df.agg(*aggs).select(F.inline(F.array(*[
+        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), v.alias("corr")) for a, b, v in rows])))
 
 
 # ---------------------------------------------------------------- A8
-def boxplot_stats(df: DataFrame, cols: list[str], whis: float = 1.5) -> DataFrame:
-    """q1, median, q3, whiskers (most extreme data within whis*IQR), outliers."""
-    prof = column_profile(df, {c: as_double(c) for c in cols})
-    qs = exact_quantiles(df, cols, [0.25, 0.5, 0.75], profile=prof)
-    aggs, keep = [], []
+BOX_STATS = ["q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers"]
+
+
+def _box_parts(cols: list[str], st: ColumnStats, whis: float):
+    aggs, rows = [], []
     for i, c in enumerate(cols):
-        q1, med, q3 = qs[c]
+        q1, med, q3 = st.q(c, 0.25), st.q(c, 0.5), st.q(c, 0.75)
         if q1 is None:
             continue
-        keep.append((i, c))
         iqr = q3 - q1
         lo_f, hi_f = q1 - whis * iqr, q3 + whis * iqr
         x = as_double(c)
-        aggs += [F.min(F.when(x >= dlit(lo_f), x)).alias(f"wl{i}"),
-                 F.max(F.when(x <= dlit(hi_f), x)).alias(f"wh{i}"),
-                 F.count_if((x < dlit(lo_f)) | (x > dlit(hi_f))).alias(f"o{i}")]
+        aggs += [F.min(F.when(x >= dlit(lo_f), x)).alias(f"box_wl{i}"),
+                 F.max(F.when(x <= dlit(hi_f), x)).alias(f"box_wh{i}"),
+                 F.count_if((x < dlit(lo_f)) | (x > dlit(hi_f))).alias(f"box_o{i}")]
+        wl = F.least(F.coalesce(F.col(f"box_wl{i}"), dlit(q1)), dlit(q1))
+        wh = F.greatest(F.coalesce(F.col(f"box_wh{i}"), dlit(q3)), dlit(q3))
+        rows.append((c, {"q1": F.round(dlit(q1), 6), "median": F.round(dlit(med), 6),
+                         "q3": F.round(dlit(q3), 6), "iqr": F.round(dlit(q3 - q1), 6),
+                         "whisker_low": F.round(wl, 6), "whisker_high": F.round(wh, 6),
+                         "n_outliers": F.col(f"box_o{i}")}))
+    return aggs, rows
+
+
+def boxplot_stats(df: DataFrame, cols: list[str], whis: float = 1.5,
+                  stats: ColumnStats | None = None) -> DataFrame:
+    """q1, median, q3, whiskers (most extreme data within whis*IQR), outliers."""
+    st = _stats(df, cols, stats)
+    aggs, rows = _box_parts(cols, st, whis)
     schema = ("column string, q1 double, median double, q3 double, iqr double, "
               "whisker_low double, whisker_high double, n_outliers long")
-    if not keep:
+    if not rows:
         return df.sparkSession.createDataFrame([], schema)
-    wide = df.agg(*aggs)
-    rows = []
-    for i, c in keep:
-        q1, med, q3 = qs[c]
-        wl = F.least(F.coalesce(F.col(f"wl{i}"), dlit(q1)), dlit(q1))
-        wh = F.greatest(F.coalesce(F.col(f"wh{i}"), dlit(q3)), dlit(q3))
-        rows.append(F.struct(
-            F.lit(c).alias("column"), F.round(dlit(q1), 6).alias("q1"), F.round(dlit(med), 6).alias("median"),
-            F.round(dlit(q3), 6).alias("q3"), F.round(dlit(q3 - q1), 6).alias("iqr"),
-            F.round(wl, 6).alias("whisker_low"), F.round(wh, 6).alias("whisker_high"),
-            F.col(f"o{i}").alias("n_outliers")))
-    return wide.select(F.inline(F.array(*rows)))
+    order = ["q1", "median", "q3", "iqr", "whisker_low", "whisker_high", "n_outliers"]
+    return df.agg(*aggs).select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), *[e[k].alias(k) for k in order]) for c, e in rows])))
 
 
 # ---------------------------------------------------------------- A9
@@ -179,41 +188,53 @@ def label_distribution(df: DataFrame, label_col: str = "error") -> DataFrame:
               .orderBy("label"))
 
 
+def _label_parts(label_col: str):
+    y = col(label_col)
+    aggs = [F.count(F.lit(1)).alias("lab_total"), F.count_if(y == 0).alias("lab_normal"),
+            F.count_if(y == 1).alias("lab_error")]
+    rate = F.round(F.coalesce(F.try_divide(F.col("lab_error") * 100.0, F.col("lab_total")), F.lit(0.0)), 2)
+    return aggs, {"total": F.col("lab_total"), "normal_count": F.col("lab_normal"),
+                  "error_count": F.col("lab_error"), "error_rate": rate}
+
+
 def label_summary(df: DataFrame, label_col: str = "error") -> DataFrame:
     """total (null labels included), normal_count, error_count, error_rate %."""
-    y = col(label_col)
-    return df.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(y == 0).alias("normal_count"),
-        F.count_if(y == 1).alias("error_count"),
-    ).select("*", F.round(F.coalesce(F.try_divide(F.col("error_count") * 100.0, F.col("total")),
-                                     F.lit(0.0)), 2).alias("error_rate"))
+    aggs, out = _label_parts(label_col)
+    return df.agg(*aggs).select(*[v.alias(k) for k, v in out.items()])
 
 
 # ---------------------------------------------------------------- A10
-def eda_report(df: DataFrame, cols: list[str], label_col: str = "error", bins: int = 30) -> DataFrame:
-    """All EDA tables in one long table: section, column, stat, value."""
-    d = describe_numeric(df, cols)
-    stats = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
-    describe = d.select(F.inline(F.array(*[
-        F.struct(F.lit("describe").alias("section"), F.col("column"), F.lit(s).alias("stat"),
-                 F.col(s).cast("double").alias("value")) for s in stats])))
-    hist = histogram(df, cols, bins).select(
+def _long(section: str, column: str | Column, stat: str | Column, value: Column) -> Column:
+    c = F.lit(column) if isinstance(column, str) else column
+    s = F.lit(stat) if isinstance(stat, str) else stat
+    return F.struct(F.lit(section).alias("section"), c.alias("column"), s.alias("stat"),
+                    value.cast("double").alias("value"))
+
+
+def eda_report(df: DataFrame, cols: list[str], label_col: str = "error", bins: int = 30,
+               stats: ColumnStats | None = None) -> DataFrame:
+    """All EDA tables in one long table: section, column, stat, value.
+
+    Scans: the statistics (moments + quantile passes), the histogram
+    grouping, ONE fused aggregate for box plot + correlation + label
+    summary, and the label grouping.
+    """
+    st = _stats(df, cols, stats)
+    d = describe_numeric(df, cols, stats=st)
+    describe = d.select(F.inline(F.array(*[_long("describe", F.col("column"), s, F.col(s))
+                                           for s in DESCRIBE_STATS])))
+    hist = histogram(df, cols, bins, stats=st).select(
         F.lit("histogram").alias("section"), "column",
         F.format_string("bin_%02d", F.col("bin")).alias("stat"), F.col("count").cast("double").alias("value"))
-    corr = correlation(df, cols).select(
-        F.lit("correlation").alias("section"), F.col("x").alias("column"),
-        F.col("y").alias("stat"), F.col("corr").alias("value"))
-    bstats = ["q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers"]
-    box = boxplot_stats(df, cols).select(F.inline(F.array(*[
-        F.struct(F.lit("boxplot").alias("section"), F.col("column"), F.lit(s).alias("stat"),
-                 F.col(s).cast("double").alias("value")) for s in bstats])))
+
+    box_aggs, box_rows = _box_parts(cols, st, 1.5)
+    corr_aggs, corr_rows = _corr_parts(cols, 6)
+    lab_aggs, lab_out = _label_parts(label_col)
+    structs = ([_long("boxplot", c, k, e[k]) for c, e in box_rows for k in BOX_STATS]
+               + [_long("correlation", a, b, v) for a, b, v in corr_rows]
+               + [_long("label_summary", label_col, k, v) for k, v in lab_out.items()])
+    fused = df.agg(*box_aggs, *corr_aggs, *lab_aggs).select(F.inline(F.array(*structs)))
     labels = label_distribution(df, label_col).select(
         F.lit("label").alias("section"), F.lit(label_col).alias("column"),
         F.col("label").cast("string").alias("stat"), F.col("count").cast("double").alias("value"))
-    summ = label_summary(df, label_col)
-    lsum = summ.select(F.inline(F.array(*[
-        F.struct(F.lit("label_summary").alias("section"), F.lit(label_col).alias("column"),
-                 F.lit(s).alias("stat"), F.col(s).cast("double").alias("value"))
-        for s in ["total", "normal_count", "error_count", "error_rate"]])))
-    return describe.unionByName(hist).unionByName(corr).unionByName(box).unionByName(labels).unionByName(lsum)
+    return describe.unionByName(hist).unionByName(fused).unionByName(labels)

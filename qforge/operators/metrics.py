@@ -119,21 +119,22 @@ def score_table(df: DataFrame, label: str = "label", score: str = "score") -> Da
     return running_totals(grouped, "score", ["tp", "fp"], descending=True, with_next=True)
 
 
-def _totals(df: DataFrame, label: str) -> tuple[int, int]:
-    row = df.agg(F.count_if(col(label) == 1).alias("p"), F.count_if(col(label) == 0).alias("n")).first()
-    return int(row["p"]), int(row["n"])
+def _totals(table: DataFrame) -> tuple[int, int]:
+    """Positives and negatives, from the (small) distinct-score table."""
+    row = table.agg(F.sum("tp").alias("p"), F.sum("fp").alias("n")).first()
+    return int(row["p"] or 0), int(row["n"] or 0)
 
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score",
-              drop_intermediate: bool = True) -> DataFrame:
+              drop_intermediate: bool = True, table: DataFrame | None = None) -> DataFrame:
     """threshold, fpr, tpr: starts at (0, 0) with threshold +inf, scores descending.
 
     With ``drop_intermediate`` a point is dropped when it is collinear with
     its neighbours (the counts at the next distinct score equal its own);
     the first and last points are always kept.
     """
-    t = score_table(df, label, score)
-    pos, neg = _totals(df.where(col(score).isNotNull()), label)
+    t = score_table(df, label, score) if table is None else table
+    pos, neg = _totals(t)
     pts = t
     if drop_intermediate:
         # first point: running sums equal its own counts; last point: no next
@@ -153,10 +154,11 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score",
     return start.unionByName(body)
 
 
-def pr_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def pr_curve(df: DataFrame, label: str = "label", score: str = "score",
+             table: DataFrame | None = None) -> DataFrame:
     """threshold, precision, recall in ascending threshold order, ending at (1, 0)."""
-    t = score_table(df, label, score)
-    pos, _ = _totals(df.where(col(score).isNotNull()), label)
+    t = score_table(df, label, score) if table is None else table
+    pos, _ = _totals(t)
     prec = _div0(F.col("cum_tp"), F.col("cum_tp") + F.col("cum_fp"))
     rec = (F.col("cum_tp") / F.lit(float(pos))) if pos > 0 else F.lit(1.0)
     body = t.select(F.col("score").alias("threshold"), prec.alias("precision"), rec.alias("recall"))
@@ -165,12 +167,13 @@ def pr_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataF
     return body.unionByName(end)
 
 
-def auc_ap(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def auc_ap(df: DataFrame, label: str = "label", score: str = "score",
+           table: DataFrame | None = None) -> DataFrame:
     """One row: roc_auc (exact, ties as half) and average precision (step sum).
 
     NULL when only one class is present.
     """
-    t = score_table(df, label, score)
+    t = score_table(df, label, score) if table is None else table
     return t.agg(
         F.try_divide(F.sum(F.col("fp") * (F.col("cum_tp") - F.col("tp") / F.lit(2.0))),
                      (F.sum("tp") * F.sum("fp")).cast("double")).alias("roc_auc"),
@@ -197,10 +200,10 @@ def eval_hard(df: DataFrame, label: str = "label", pred: str = "prediction", dig
 
 
 def metrics_table(df: DataFrame, label: str = "label", pred: str = "prediction",
-                  score: str = "score") -> DataFrame:
+                  score: str = "score", table: DataFrame | None = None) -> DataFrame:
     """Long (metric, value) table of the headline test metrics."""
     cc = confusion_counts(df, label, pred)
-    aa = auc_ap(df, label, score).first()
+    aa = auc_ap(df, label, score, table=table).first()
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
     d = lambda e: e.cast("double")
     tpr = _div0(tp, tp + fn)

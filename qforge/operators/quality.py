@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from qforge.functions.columns import as_double, dlit
 from qforge.functions.order_stats import column_profile, exact_quantiles
+from qforge.functions.stats import ColumnStats
 
 GRADES = [(90.0, "Excellent"), (75.0, "Good"), (60.0, "Fair")]
 
@@ -48,12 +49,21 @@ def _fmt_range(lo, hi) -> str:
 
 
 def quality_indices(df: DataFrame, cols: list[str],
-                    valid_ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+                    valid_ranges: dict[str, tuple[float, float]] | None = None,
+                    stats: ColumnStats | None = None) -> DataFrame:
     """One row per column: column, CQI, UQI, VQI, DQI, valid_range."""
+    return _quality_rows(df, cols, valid_ranges, stats).drop("n_rows")
+
+
+def _quality_rows(df: DataFrame, cols: list[str], valid_ranges, stats) -> DataFrame:
     valid_ranges = valid_ranges or {}
     need = [c for c in cols if c not in valid_ranges]
     ranges = dict(valid_ranges)
-    if need:
+    if need and stats is not None and stats.has(need, (0.25, 0.75)):
+        for c in need:
+            q1, q3 = stats.q(c, 0.25), stats.q(c, 0.75)
+            ranges[c] = (None, None) if q1 is None else (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
+    elif need:
         prof = column_profile(df, {c: as_double(c) for c in need})
         ranges.update(iqr_ranges(df, need, profile=prof))
 
@@ -68,6 +78,10 @@ def quality_indices(df: DataFrame, cols: list[str],
         aggs += [F.count(x).alias(f"nn{i}"), F.count_distinct(x).alias(f"d{i}"), valid.alias(f"v{i}")]
     wide = df.agg(*aggs)
 
+    return wide.select(F.inline(F.array(*_index_structs(cols, ranges))))
+
+
+def _index_structs(cols, ranges) -> list[Column]:
     n = F.col("n").cast("double")
     rows = []
     for i, c in enumerate(cols):
@@ -83,8 +97,9 @@ def quality_indices(df: DataFrame, cols: list[str],
             F.round(vqi, 2).alias("VQI"),
             F.round((cqi + vqi) / F.lit(2.0), 2).alias("DQI"),
             F.lit(_fmt_range(*ranges[c])).alias("valid_range"),
+            F.col("n").alias("n_rows"),
         ))
-    return wide.select(F.inline(F.array(*rows)))
+    return rows
 
 
 def grade(dqi: Column) -> Column:
@@ -107,22 +122,24 @@ def quality_summary(indices: DataFrame) -> DataFrame:
 
 
 def quality_report(df: DataFrame, cols: list[str],
-                   valid_ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+                   valid_ranges: dict[str, tuple[float, float]] | None = None,
+                   stats: ColumnStats | None = None) -> DataFrame:
     """A4: per-column rows plus one overall row, each with a grade.
 
     Columns: scope ('column' | 'overall'), column, CQI, UQI, VQI, DQI,
-    grade, total_rows, columns_evaluated.
+    grade, total_rows, columns_evaluated. The row count rides along in the
+    indices aggregate (both union branches reuse its exchange).
     """
-    qi = quality_indices(df, cols, valid_ranges)
-    total = df.count()
+    qi = _quality_rows(df, cols, valid_ranges, stats)
     per_col = qi.select(
         F.lit("column").alias("scope"), "column", "CQI", "UQI", "VQI", "DQI",
-        grade(F.col("DQI")).alias("grade"))
-    overall = quality_summary(qi).select(
-        F.lit("overall").alias("scope"), F.lit(None).cast("string").alias("column"),
-        F.col("avg_cqi").alias("CQI"), F.col("avg_uqi").alias("UQI"),
-        F.col("avg_vqi").alias("VQI"), F.col("overall_dqi").alias("DQI"),
-        grade(F.col("overall_dqi")).alias("grade"))
+        grade(F.col("DQI")).alias("grade"), F.col("n_rows").alias("total_rows"))
+    overall = qi.agg(
+        F.round(F.avg("CQI"), 2).alias("CQI"), F.round(F.avg("UQI"), 2).alias("UQI"),
+        F.round(F.avg("VQI"), 2).alias("VQI"), F.round(F.avg("DQI"), 2).alias("DQI"),
+        F.max("n_rows").alias("total_rows"),
+    ).select(F.lit("overall").alias("scope"), F.lit(None).cast("string").alias("column"),
+             "CQI", "UQI", "VQI", "DQI", grade(F.col("DQI")).alias("grade"), "total_rows")
     return per_col.unionByName(overall).select(
-        "*", F.lit(total).cast("long").alias("total_rows"),
+        "scope", "column", "CQI", "UQI", "VQI", "DQI", "grade", "total_rows",
         F.lit(len(cols)).cast("int").alias("columns_evaluated"))

@@ -16,11 +16,17 @@ from pyspark.sql import functions as F
 
 from qforge.functions.columns import as_double, dlit
 from qforge.functions.order_stats import column_profile, exact_quantiles
+from qforge.functions.stats import ColumnStats
 
 
 def feature_bounds(df: DataFrame, cols: list[str], method: str = "quantile",
-                   q: tuple[float, float] = (0.05, 0.95)) -> dict[str, tuple[float, float]]:
+                   q: tuple[float, float] = (0.05, 0.95),
+                   stats: ColumnStats | None = None) -> dict[str, tuple[float, float]]:
     """R1 (interpolated quantiles, default 5% / 95%) or R2 (min / max)."""
+    if stats is not None and method == "minmax" and stats.has(cols):
+        return {c: (stats.min[c], stats.max[c]) for c in cols}
+    if stats is not None and method == "quantile" and stats.has(cols, q):
+        return {c: (stats.q(c, q[0]), stats.q(c, q[1])) for c in cols}
     prof = column_profile(df, {c: as_double(c) for c in cols})
     if method == "minmax":
         return {c: (prof[c][1], prof[c][2]) for c in cols}

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qforge.functions.stats import column_stats
 from qforge.operators import clean as C
 from qforge.operators import eda as E
 from qforge.operators import forest as FO
@@ -121,11 +122,13 @@ def run_full_pipeline(spark: SparkSession, data_dir: str, output_dir: str | None
     cleaned = spark.read.parquet(cleaned_path)
     write_result(cleaning.summary, out, "clean_summary")
 
-    qi = Q.quality_indices(cleaned, features)
+    # one statistics pass serves quality, EDA and the region bounds
+    st = column_stats(cleaned, features, (0.05, 0.25, 0.5, 0.75, 0.95))
+    qi = Q.quality_indices(cleaned, features, stats=st)
     write_result(qi, out, "quality_indices")
     qsum = Q.quality_summary(spark.read.parquet(f"{out}/quality_indices"))
     write_result(qsum, out, "quality_summary")
-    write_result(E.eda_report(cleaned, features, target), out, "eda_report")
+    write_result(E.eda_report(cleaned, features, target, stats=st), out, "eda_report")
 
     train, test = S.stratified_split(cleaned, target, ROW_ID, test_size, seed)
     model = FO.fit_forest(train, features, target, n_trees=n_trees, max_depth=max_depth, seed=seed)
@@ -136,14 +139,17 @@ def run_full_pipeline(spark: SparkSession, data_dir: str, output_dir: str | None
 
     hard = M.eval_hard(preds, "y_true", "y_pred")
     write_result(hard, out, "eval_hard")
-    write_result(M.metrics_table(preds, "y_true", "y_pred", "y_score"), out, "metrics")
+    # distinct scores with running totals: grouped once, shared by every curve metric
+    write_result(M.score_table(preds, "y_true", "y_score"), out, "score_table")
+    table = spark.read.parquet(f"{out}/score_table")
+    write_result(M.metrics_table(preds, "y_true", "y_pred", "y_score", table=table), out, "metrics")
     write_result(M.classification_report(preds, "y_true", "y_pred"), out, "classification_report")
     write_result(M.confusion_matrix(preds, "y_true", "y_pred"), out, "confusion_matrix")
-    write_result(M.roc_curve(preds, "y_true", "y_score"), out, "roc_curve")
-    write_result(M.pr_curve(preds, "y_true", "y_score"), out, "pr_curve")
+    write_result(M.roc_curve(preds, "y_true", "y_score", table=table), out, "roc_curve")
+    write_result(M.pr_curve(preds, "y_true", "y_score", table=table), out, "pr_curve")
     write_result(model.importance(), out, "feature_importance")
 
-    bounds = R.feature_bounds(cleaned, features, "quantile")
+    bounds = R.feature_bounds(cleaned, features, "quantile", stats=st)
     region = R.estimate_safe_region(spark, FO.grid_scorer(model), bounds, grid_sizes, prob_threshold)
     write_result(region, out, "safe_region")
     write_result(R.safe_region_json(spark.read.parquet(f"{out}/safe_region"), features), out,
