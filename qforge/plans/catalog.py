@@ -544,7 +544,7 @@ _CSV_CACHE: dict[tuple, str] = {}
 def sensor_csv_folder(spark: SparkSession, sf: str) -> str:
     """CSV files derived from the sf tables, written once per session and sf."""
     key = (id(spark.sparkContext), sf)
-    if key not in _CSV_CACHE:
+    if key not in _CSV_CACHE or not P._exists(spark, _CSV_CACHE[key]):
         _CSV_CACHE[key] = FF.write_sensor_csvs(spark, sf)
     return _CSV_CACHE[key]
 
@@ -632,7 +632,8 @@ def _profile_sql() -> str:
   '{t}' AS dtype, {ci(c + ' IS NULL')} AS null_count, count({c}) AS count,
   round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, CAST(min({c}) AS DOUBLE) AS min,
   round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50,
-  round(quantile_cont({c}, 0.75), 6) AS p75, CAST(max({c}) AS DOUBLE) AS max FROM sensor_raw""")
+  round(quantile_cont({c}, 0.75), 6) AS p75, CAST(max({c}) AS DOUBLE) AS max,
+  CAST(NULL AS BIGINT) AS unique, CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq FROM sensor_raw""")
     return with_(SENSOR, SENSOR_RAW) + union_all(parts)
 
 

@@ -222,6 +222,22 @@ def ingest_report(spark: SparkSession, paths: list[str], chain=enc.UPLOAD_CHAIN,
     return spark.createDataFrame(rows, "file_name string, status string, error string, rows long, cols long")
 
 
+def land_uploads(spark: SparkSession, paths: list[str], landing: str, chain=enc.UPLOAD_CHAIN,
+                 rename: dict[str, str] | None = None) -> DataFrame:
+    """Ingest a batch of offered files and append the good ones to a Parquet table.
+
+    Each landed row keeps its source file and the ingest time. Returns the
+    per-file report; raises when no file of the batch could be ingested.
+    """
+    report = require_success(ingest_report(spark, paths, chain, rename))
+    good = [p for p in paths if p.endswith(".csv")]
+    infos = [i for i in inspect_files(spark, good, chain, rename) if i.charset and i.columns]
+    if infos:
+        rows = read_csv_files(spark, [i.path for i in infos], chain, rename, keep_source=True, infos=infos)
+        rows.withColumn("_ingested_at", F.current_timestamp()).write.mode("append").parquet(landing)
+    return report
+
+
 def require_success(report: DataFrame) -> DataFrame:
     """The batch fails as a whole only when no file succeeded."""
     if report.where(F.col("status") == "success").limit(1).count() == 0:
@@ -230,11 +246,28 @@ def require_success(report: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- S10
+def text_summary(df: DataFrame, cols: list[str]) -> dict[str, tuple[int, str | None, int | None]]:
+    """unique / top / freq of text columns: distinct count and most frequent value.
+
+    One grouping per column (map-side combined; a hot value becomes one
+    partial row per task); only the top value per column reaches the driver.
+    """
+    out = {}
+    for c in cols:
+        counts = df.where(col(c).isNotNull()).groupBy(col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        row = counts.agg(F.count(F.lit(1)).alias("u"),
+                         F.max_by(F.col("v"), F.struct(F.col("n"), F.col("v"))).alias("top"),
+                         F.max("n").alias("freq")).first()
+        out[c] = (int(row["u"]), row["top"], row["freq"])
+    return out
+
+
 def dataset_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Per column: dtype, null_count, count, mean, std, min, p25, p50, p75, max
-    (statistics for numeric columns only), plus n_rows and n_cols."""
+    (numeric columns), unique, top, freq (text columns), plus n_rows and n_cols."""
     cols = cols or df.columns
     numeric = [c for c in cols if isinstance(df.schema[c].dataType, T.NumericType)]
+    texts = text_summary(df, [c for c in cols if isinstance(df.schema[c].dataType, T.StringType)])
     prof = column_profile(df, {c: as_double(c) for c in numeric})
     qs = exact_quantiles(df, numeric, [0.25, 0.5, 0.75], profile=prof) if numeric else {}
     aggs = [F.count(F.lit(1)).alias("n_rows")]
@@ -260,7 +293,10 @@ def dataset_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
             F.round(F.lit(q[0]).cast("double"), 6).alias("p25"),
             F.round(F.lit(q[1]).cast("double"), 6).alias("p50"),
             F.round(F.lit(q[2]).cast("double"), 6).alias("p75"),
-            (F.col(f"b{i}") if num else null).alias("max")))
+            (F.col(f"b{i}") if num else null).alias("max"),
+            F.lit(texts[c][0] if c in texts else None).cast("long").alias("unique"),
+            F.lit(texts[c][1] if c in texts else None).cast("string").alias("top"),
+            F.lit(texts[c][2] if c in texts else None).cast("long").alias("freq")))
     return wide.select("n_rows", F.lit(len(cols)).alias("n_cols"), F.inline(F.array(*rows)))
 
 
@@ -283,5 +319,6 @@ def land(df: DataFrame, path: str, fmt: str = "parquet") -> str:
 
 
 __all__ = ["NA_TOKENS", "FileInfo", "inspect_files", "read_group", "union_by_name", "na_to_null",
-           "infer_types", "apply_types", "read_csv_files", "file_summary", "ingest_report",
+           "infer_types", "apply_types", "read_csv_files", "file_summary", "ingest_report", "land_uploads",
+           "text_summary",
            "require_success", "dataset_profile", "preview", "land", "base_name"]

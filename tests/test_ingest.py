@@ -70,3 +70,15 @@ def test_merge_pipeline_latest_two(spark, folder, tmp_path):
     s = res.summary.first()
     assert (s.sensor_file_count, s.processed_file_count, s.combined_rows, s.combined_cols) == (5, 2, 2, 4)
     assert s.all_files_rows == 6
+
+
+def test_land_uploads_and_text_profile(spark, folder, tmp_path):
+    paths = [r.path for r in MF.file_manifest(spark, folder, "*").collect()]
+    landing = str(tmp_path / "landing")
+    rep = CI.land_uploads(spark, [p for p in paths if "Error" not in p], landing)
+    assert rep.where("status = 'failed'").count() == 1          # notes.txt
+    landed = spark.read.parquet(landing)
+    assert landed.count() == 6 and "_source_file" in landed.columns and "_ingested_at" in landed.columns
+    prof = {r.column: r for r in CI.dataset_profile(landed.drop("_ingested_at")).collect()}
+    assert prof["메모"].unique == 1 and prof["메모"].top == "뷁" and prof["메모"].freq == 1
+    assert prof["temp"].unique is None and prof["temp"]["count"] == 4
