@@ -90,7 +90,13 @@ def fit_forest(train: DataFrame, features: list[str], label: str, n_trees: int =
     pipe = Pipeline(stages=[VectorAssembler(inputCols=scaled_names, outputCol="__features",
                                             handleInvalid="error"), rf])
     data = scaler.transform(train, suffix="__s").withColumn("__label", col(label).cast("double"))
-    data = data.select(*scaled_names, "__label").persist()
+    data = data.select(*scaled_names, "__label")
+    # tree growth is parallel over partitions: a small input read as one split
+    # would train on one core; large inputs already have enough partitions
+    slots = train.sparkSession.sparkContext.defaultParallelism
+    if data.rdd.getNumPartitions() < slots:
+        data = data.repartition(slots)
+    data = data.persist()
     try:
         model = pipe.fit(data)
     finally:

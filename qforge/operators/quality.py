@@ -50,12 +50,19 @@ def _fmt_range(lo, hi) -> str:
 
 def quality_indices(df: DataFrame, cols: list[str],
                     valid_ranges: dict[str, tuple[float, float]] | None = None,
-                    stats: ColumnStats | None = None) -> DataFrame:
-    """One row per column: column, CQI, UQI, VQI, DQI, valid_range."""
-    return _quality_rows(df, cols, valid_ranges, stats).drop("n_rows")
+                    stats: ColumnStats | None = None, distinct: str = "exact") -> DataFrame:
+    """One row per column: column, CQI, UQI, VQI, DQI, valid_range.
+
+    ``distinct="approx"`` counts distinct values with HyperLogLog++ (about
+    1% error, no shuffle of the values) for very high-cardinality columns;
+    the default is exact.
+    """
+    return _quality_rows(df, cols, valid_ranges, stats, distinct).drop("n_rows")
 
 
-def _quality_rows(df: DataFrame, cols: list[str], valid_ranges, stats) -> DataFrame:
+def _quality_rows(df: DataFrame, cols: list[str], valid_ranges, stats, distinct: str = "exact") -> DataFrame:
+    if distinct not in ("exact", "approx"):
+        raise ValueError("distinct must be 'exact' or 'approx'")
     valid_ranges = valid_ranges or {}
     need = [c for c in cols if c not in valid_ranges]
     ranges = dict(valid_ranges)
@@ -75,7 +82,8 @@ def _quality_rows(df: DataFrame, cols: list[str], valid_ranges, stats) -> DataFr
             valid = F.lit(0).cast("long")
         else:
             valid = F.count_if(x.between(dlit(lo), dlit(hi)))
-        aggs += [F.count(x).alias(f"nn{i}"), F.count_distinct(x).alias(f"d{i}"), valid.alias(f"v{i}")]
+        nd = F.count_distinct(x) if distinct == "exact" else F.approx_count_distinct(x, 0.01)
+        aggs += [F.count(x).alias(f"nn{i}"), nd.alias(f"d{i}"), valid.alias(f"v{i}")]
     wide = df.agg(*aggs)
 
     return wide.select(F.inline(F.array(*_index_structs(cols, ranges))))
@@ -123,14 +131,14 @@ def quality_summary(indices: DataFrame) -> DataFrame:
 
 def quality_report(df: DataFrame, cols: list[str],
                    valid_ranges: dict[str, tuple[float, float]] | None = None,
-                   stats: ColumnStats | None = None) -> DataFrame:
+                   stats: ColumnStats | None = None, distinct: str = "exact") -> DataFrame:
     """A4: per-column rows plus one overall row, each with a grade.
 
     Columns: scope ('column' | 'overall'), column, CQI, UQI, VQI, DQI,
     grade, total_rows, columns_evaluated. The row count rides along in the
     indices aggregate (both union branches reuse its exchange).
     """
-    qi = _quality_rows(df, cols, valid_ranges, stats)
+    qi = _quality_rows(df, cols, valid_ranges, stats, distinct)
     per_col = qi.select(
         F.lit("column").alias("scope"), "column", "CQI", "UQI", "VQI", "DQI",
         grade(F.col("DQI")).alias("grade"), F.col("n_rows").alias("total_rows"))

@@ -106,3 +106,10 @@ def test_name_collision_raises():
     assert normalize_names(["온도", "습도"]) == ["temp", "humid"]
     with pytest.raises(ValueError):
         normalize_names(["온도", "temp"])
+
+
+def test_quality_approx_distinct(spark):
+    df = spark.range(5000).select((F.col("id") % 1000).cast("double").alias("x"))
+    exact = Q.quality_indices(df, ["x"]).first().UQI
+    approx = Q.quality_indices(df, ["x"], distinct="approx").first().UQI
+    assert exact == 20.0 and abs(approx - exact) / exact < 0.05
