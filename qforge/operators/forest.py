@@ -109,3 +109,29 @@ def grid_scorer(model: ForestModel, prob_col: str = "p_defect"):
     def score(grid: DataFrame) -> DataFrame:
         return model.score(grid, prob_col=prob_col, pred_col="__pred").drop("__pred")
     return score
+
+
+@dataclass
+class TrainResult:
+    model: ForestModel
+    test_scored: DataFrame
+    evaluation: DataFrame
+    split_sizes: DataFrame
+
+
+def train_and_evaluate(df: DataFrame, features: list[str], target: str, key: str,
+                       test_size: float = 0.2, n_trees: int = 200, seed: int = 42,
+                       max_depth: int | None = None) -> TrainResult:
+    """M5: exact stratified split -> scaler + forest on train -> hard-label evaluation on test."""
+    from qforge.operators.metrics import eval_hard
+    from qforge.operators.split import stratified_split
+    train, test = stratified_split(df, target, key, test_size, seed)
+    model = fit_forest(train, features, target, n_trees=n_trees, max_depth=max_depth, seed=seed)
+    scored = model.score(test)
+    return TrainResult(model, scored, eval_hard(scored, target, "y_pred"), _sizes(train, test))
+
+
+def _sizes(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Split sizes (two counts) as a one-row table."""
+    spark = train.sparkSession
+    return spark.createDataFrame([(train.count(), test.count())], "train_size long, test_size long")

@@ -531,8 +531,6 @@ def q_safe_region_none(spark, sf):
 
 
 # ============================================================ ingest
-from pyspark.sql import Window  # noqa: E402
-
 from qforge.plans import pipeline as P  # noqa: E402
 from qforge.sources import csv_ingest as CI  # noqa: E402
 from qforge.sources import fixture_files as FF  # noqa: E402
@@ -591,9 +589,9 @@ SQL_LATEST = "SELECT * FROM (VALUES ('f-000.csv', 1), ('e-000.csv', 2)) t(file_n
 def q_latest_files(spark, sf):
     """The 2 most recently modified sensor files (error-log files excluded)."""
     data = sensor_csv_folder(spark, sf)
-    top = MF.latest_files(MF.sensor_files(MF.file_manifest(spark, data)), 2)
-    w = Window.orderBy(F.desc("modified"), F.asc("path"))  # over the 2 selected rows only
-    return top.select("file_name", F.row_number().over(w).alias("recency_rank"))
+    top = MF.latest_files(MF.sensor_files(MF.file_manifest(spark, data)), 2).select("file_name").collect()
+    return spark.createDataFrame([(r["file_name"], i) for i, r in enumerate(top, start=1)],
+                                 "file_name string, recency_rank int")
 
 
 SQL_INGEST_REPORT = with_(SENSOR, SENSOR_RAW) + f"""
