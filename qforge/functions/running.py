@@ -33,13 +33,17 @@ def _lit_array(vals: list) -> Column:
 
 def running_totals(df: DataFrame, key: str, sums: list[str], descending: bool = True,
                    with_next: bool = False, rows_per_bucket: int = 1_000_000,
-                   max_buckets: int = 4096) -> DataFrame:
+                   max_buckets: int = 4096, materialize: bool = True) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum in key order) for each c in ``sums``.
 
     ``key`` must be distinct per row (aggregate first). With ``with_next``
     also add ``next_<c>``: the value of c on the following row in that
-    order (NULL on the last row).
+    order (NULL on the last row). ``materialize`` checkpoints the input to
+    the shared checkpoint folder first, so the sizing, bucket-boundary,
+    bucket-total and final passes read it once instead of recomputing it.
     """
+    if materialize:
+        df = df.checkpoint(eager=True)
     n = df.count()
     nb = min(max_buckets, max(1, math.ceil(n / rows_per_bucket)))
     k = F.col(key)

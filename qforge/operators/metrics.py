@@ -111,7 +111,11 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
 
 # ---------------------------------------------------------------- curves
 def score_table(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """Distinct scores descending with positives / negatives at each, plus running sums."""
+    """Distinct scores descending with positives / negatives at each, plus running sums.
+
+    The grouped table (one row per distinct score) is checkpointed once, so
+    the input is scanned a single time however many passes follow.
+    """
     y = col(label)
     grouped = (df.where(y.isin(0, 1) & col(score).isNotNull())
                  .groupBy(col(score).cast("double").alias("score"))

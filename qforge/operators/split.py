@@ -64,7 +64,13 @@ class SplitPlan:
 
 def plan_split(df: DataFrame, label: str, key: str, test_size: float = 0.2, seed: int = 42) -> SplitPlan:
     y = col(label)
-    counts = {r[0]: int(r[1]) for r in df.where(y.isNotNull()).groupBy(y).count().collect()}
+    h = split_hash(key, seed)
+    pre = _prefix(h)
+    # one grouped pass: class sizes and the hash-prefix range of each class
+    per_class = (df.where(y.isNotNull()).groupBy(y.alias("y"))
+                 .agg(F.count(F.lit(1)).alias("n"), F.min(pre).alias("lo"), F.max(pre).alias("hi"))
+                 .collect())
+    counts = {r["y"]: int(r["n"]) for r in per_class}
     n = sum(counts.values())
     if n == 0:
         raise ValueError("cannot split an empty table")
@@ -76,17 +82,17 @@ def plan_split(df: DataFrame, label: str, key: str, test_size: float = 0.2, seed
         raise ValueError("test and train sets must each hold at least one row per class")
     quotas = class_quotas(counts, n_test)
 
-    h = split_hash(key, seed)
-    values, ranks, names = {}, {}, {}
+    ranges = {r["y"]: (r["lo"], r["hi"]) for r in per_class}
+    values, ranks, names, profile = {}, {}, {}, {}
     for i, c in enumerate(sorted(counts)):
         if quotas[c] > 0:
             name = f"c{i}"
             names[c] = name
-            values[name] = F.when(y == F.lit(c), _prefix(h))
+            values[name] = F.when(y == F.lit(c), pre)
             ranks[name] = [quotas[c] - 1]
-    found = order_statistics(df, values, ranks) if values else {}
+            profile[name] = (counts[c], *ranges[c])
+    found = order_statistics(df, values, ranks, profile=profile) if values else {}
     plan = SplitPlan(label, key, seed, quotas)
-    pre = _prefix(h)
     for c in sorted(counts):
         if quotas[c] == 0:
             plan.conds[c] = F.lit(False)
