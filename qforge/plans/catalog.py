@@ -73,9 +73,9 @@ def q_fill_missing_mean(spark, sf):
     return r6(C.fill_missing_mean(td.sensor_raw(spark, sf)), ["temp", "humid"])
 
 
-def _z_sql(src: str) -> str:
-    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in FEATURES)
-    cond = " AND ".join(f"abs(({c} - m_{c}) / nullif(s_{c}, 0)) < 3.0" for c in FEATURES)
+def _z_sql(src: str, cols: list[str] = FEATURES, t: float = 3.0) -> str:
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in cols)
+    cond = " AND ".join(f"abs(({c} - m_{c}) / nullif(s_{c}, 0)) < {t}" for c in cols)
     return f"zs AS (SELECT {stats} FROM {src}),\nzkept AS (SELECT {src}.* FROM {src}, zs WHERE {cond})"
 
 
@@ -109,9 +109,9 @@ def q_clean_summary(spark, sf):
 
 
 # ============================================================ quality (A1-A4)
-def _qi_sql(src: str, ranges: dict | None = None) -> str:
+def _qi_sql(src: str, ranges: dict | None = None, cols: list[str] = FEATURES) -> str:
     parts = []
-    for c in FEATURES:
+    for c in cols:
         if ranges and c in ranges:
             lo, hi = ranges[c]
             bounds = f"(SELECT CAST({lo} AS DOUBLE) AS lo, CAST({hi} AS DOUBLE) AS hi)"
@@ -178,11 +178,11 @@ def q_quality_report(spark, sf):
 
 
 # ============================================================ EDA (A5-A10)
-def _describe_sql(src: str) -> str:
+def _describe_sql(src: str, cols: list[str] = FEATURES) -> str:
     return union_all([f"""SELECT '{c}' AS column, count({c}) AS count, round(avg({c}), 3) AS mean,
   round(stddev_samp({c}), 3) AS std, round(min({c}), 3) AS min, round(quantile_cont({c}, 0.25), 3) AS p25,
   round(quantile_cont({c}, 0.5), 3) AS p50, round(quantile_cont({c}, 0.75), 3) AS p75, round(max({c}), 3) AS max
-FROM {src}""" for c in FEATURES])
+FROM {src}""" for c in cols])
 
 
 SQL_DESCRIBE = with_(SENSOR) + _describe_sql("sensor")
@@ -193,9 +193,9 @@ def q_describe_numeric(spark, sf):
     return E.describe_numeric(td.sensor(spark, sf), FEATURES)
 
 
-def _hist_sql(src: str, bins: int = 30) -> str:
+def _hist_sql(src: str, bins: int = 30, cols: list[str] = FEATURES) -> str:
     parts = []
-    for c in FEATURES:
+    for c in cols:
         parts.append(f"""SELECT '{c}' AS column, CAST(b.i AS INTEGER) AS bin,
   round(b.i * r.step + r.lo, 6) AS bin_lo,
   round(CASE WHEN b.i + 1 >= {bins} THEN r.hi ELSE (b.i + 1) * r.step + r.lo END, 6) AS bin_hi,
@@ -232,9 +232,9 @@ def q_histogram(spark, sf):
     return r6(E.histogram(td.sensor(spark, sf), FEATURES), ["bin_lo", "bin_hi"])
 
 
-def _corr_sql(src: str) -> str:
+def _corr_sql(src: str, cols: list[str] = FEATURES) -> str:
     return union_all([f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS corr FROM {src}"
-                      for a in FEATURES for b in FEATURES])
+                      for a in cols for b in cols])
 
 
 SQL_CORR = with_(SENSOR) + _corr_sql("sensor")
@@ -245,7 +245,7 @@ def q_correlation(spark, sf):
     return E.correlation(td.sensor(spark, sf), FEATURES)
 
 
-def _box_sql(src: str) -> str:
+def _box_sql(src: str, cols: list[str] = FEATURES) -> str:
     return union_all([f"""SELECT '{c}' AS column, round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3,
   round(q3 - q1, 6) AS iqr,
   round(least(coalesce(min(CASE WHEN s.{c} >= q1 - 1.5 * (q3 - q1) THEN s.{c} END), q1), q1), 6) AS whisker_low,
@@ -253,7 +253,7 @@ def _box_sql(src: str) -> str:
   {ci(f's.{c} < q1 - 1.5 * (q3 - q1) OR s.{c} > q3 + 1.5 * (q3 - q1)')} AS n_outliers
 FROM {src} s, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS med,
                       quantile_cont({c}, 0.75) AS q3 FROM {src}) q
-GROUP BY q1, med, q3""" for c in FEATURES])
+GROUP BY q1, med, q3""" for c in cols])
 
 
 SQL_BOX = with_(SENSOR) + _box_sql("sensor")
@@ -756,3 +756,105 @@ def q_stream_landing(spark, sf):
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.parquet(f"{out}/rows").select("event_id", "temp", "humid", "press", "error")
+
+
+# ============================================================ more semantics: NULLs, fill, thresholds
+SQL_CORR_RAW = with_(SENSOR, SENSOR_RAW) + _corr_sql("sensor_raw")
+
+
+@register("correlation_raw", SQL_CORR_RAW)
+def q_correlation_raw(spark, sf):
+    """Pairwise-complete correlation: a pair skips rows with a NULL in either column."""
+    return E.correlation(td.sensor_raw(spark, sf), FEATURES)
+
+
+SQL_HIST_RAW = with_(SENSOR, SENSOR_RAW) + _hist_sql("sensor_raw")
+
+
+@register("histogram_raw", SQL_HIST_RAW)
+def q_histogram_raw(spark, sf):
+    return r6(E.histogram(td.sensor_raw(spark, sf), FEATURES), ["bin_lo", "bin_hi"])
+
+
+SQL_BOX_RAW = with_(SENSOR, SENSOR_RAW) + _box_sql("sensor_raw")
+
+
+@register("boxplot_stats_raw", SQL_BOX_RAW)
+def q_boxplot_stats_raw(spark, sf):
+    return E.boxplot_stats(td.sensor_raw(spark, sf), FEATURES)
+
+
+SQL_Z25 = with_(SENSOR, _z_sql("sensor", FEATURES, 2.5)) + "SELECT * FROM zkept"
+
+
+@register("zscore_filter_t25", SQL_Z25)
+def q_zscore_filter_t25(spark, sf):
+    return C.zscore_filter(td.sensor(spark, sf), FEATURES, 2.5)
+
+
+SQL_CLEAN_FILL = with_(
+    SENSOR, SENSOR_RAW,
+    "m AS (SELECT avg(temp) AS mt, avg(humid) AS mh FROM sensor_raw)",
+    "filled AS (SELECT event_id, coalesce(temp, mt) AS temp, coalesce(humid, mh) AS humid, press, error "
+    "FROM sensor_raw, m)",
+    _z_sql("filled")) + """
+SELECT 'fill' AS missing_method, CAST(3.0 AS DOUBLE) AS outlier_threshold,
+       o.n AS original_rows, o.miss AS missing_before, CAST(0 AS BIGINT) AS missing_after,
+       o.n AS rows_after_missing, CAST(0 AS BIGINT) AS removed_missing_rows, o.n - z.n AS removed_outlier_rows,
+       round(coalesce((o.n - z.n) * 100.0 / nullif(o.n, 0), 0.0), 2) AS outlier_removal_rate,
+       z.n AS final_rows, o.n - z.n AS total_removed_rows
+FROM (SELECT count(*) AS n,
+             CAST(count_if(temp IS NULL) + count_if(humid IS NULL) AS BIGINT) AS miss FROM sensor_raw) o,
+     (SELECT count(*) AS n FROM zkept) z"""
+
+
+@register("clean_summary_fill", SQL_CLEAN_FILL)
+def q_clean_summary_fill(spark, sf):
+    """Mean fill instead of drop, then the z-score filter on the filled data."""
+    return C.clean_summary(td.sensor_raw(spark, sf), FEATURES, "fill", 3.0)
+
+
+# ============================================================ the same operators on a wider table
+LINE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _lineitem(spark, sf):
+    return td.table(spark, sf, "lineitem")
+
+
+@register("lineitem_quality", _qi_sql("lineitem", None, LINE_COLS))
+def q_lineitem_quality(spark, sf):
+    """Quality indices of the order-line measures (any numeric columns work)."""
+    return Q.quality_indices(_lineitem(spark, sf), LINE_COLS)
+
+
+@register("lineitem_describe", _describe_sql("lineitem", LINE_COLS))
+def q_lineitem_describe(spark, sf):
+    return E.describe_numeric(_lineitem(spark, sf), LINE_COLS)
+
+
+@register("lineitem_boxplot", _box_sql("lineitem", LINE_COLS))
+def q_lineitem_boxplot(spark, sf):
+    return E.boxplot_stats(_lineitem(spark, sf), LINE_COLS)
+
+
+@register("lineitem_histogram", _hist_sql("lineitem", 30, LINE_COLS))
+def q_lineitem_histogram(spark, sf):
+    return r6(E.histogram(_lineitem(spark, sf), LINE_COLS), ["bin_lo", "bin_hi"])
+
+
+@register("lineitem_correlation", _corr_sql("lineitem", LINE_COLS))
+def q_lineitem_correlation(spark, sf):
+    return E.correlation(_lineitem(spark, sf), LINE_COLS)
+
+
+@register("lineitem_label_distribution",
+          "SELECT l_returnflag AS label, count(*) AS count FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1")
+def q_lineitem_label_distribution(spark, sf):
+    """Label counts of a text label column."""
+    return E.label_distribution(_lineitem(spark, sf), "l_returnflag")
+
+
+@register("lineitem_zscore", with_(_z_sql("lineitem", LINE_COLS, 3.0)) + "SELECT * FROM zkept")
+def q_lineitem_zscore(spark, sf):
+    return C.zscore_filter(_lineitem(spark, sf), LINE_COLS, 3.0)
