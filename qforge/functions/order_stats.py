@@ -147,7 +147,15 @@ def _by_input(names, sel):
     return [(n, per[n]) for n in names if n in per]
 
 
+def _staged(df, values, names, sel):
+    """Project each needed value once (e.g. a hash), then refer to the column."""
+    used = [name for name, _ in _by_input(names, sel)]
+    cols = {name: F.col(f"_v{k}") for k, name in enumerate(used)}
+    return df.select(*[values[name].alias(f"_v{k}") for k, name in enumerate(used)]), cols
+
+
 def _histogram_pass(df, values, names, sel, bins):
+    df, values = _staged(df, values, names, sel)
     structs, conds = [], []
     for name, ivs in _by_input(names, sel):
         v = values[name]
@@ -176,6 +184,7 @@ def _histogram_pass(df, values, names, sel, bins):
 
 
 def _values_pass(df, values, names, sel):
+    df, values = _staged(df, values, names, sel)
     structs, conds = [], []
     for name, ivs in _by_input(names, sel):
         v = values[name]

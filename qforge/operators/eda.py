@@ -67,25 +67,34 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 30, stats: ColumnStats
     """
     spark = df.sparkSession
     st = _stats(df, cols, stats, ())
-    structs, meta = [], []
+    meta = []
     for i, c in enumerate(cols):
         if st.count[c] == 0:
             continue
         lo, hi, step = _edges(st.min[c], st.max[c], bins)
         meta.append((i, c, lo, hi, step))
-        x = as_double(c)
-        norm = bins / (hi - lo)
-        b0 = F.least(F.floor((x - dlit(lo)) * dlit(norm)).cast("int"), F.lit(bins - 1))
-
-        def edge(k, lo=lo, hi=hi, step=step):
-            return F.when(k >= bins, dlit(hi)).otherwise(k.cast("double") * dlit(step) + dlit(lo))
-        b1 = F.when(x < edge(b0), b0 - 1).otherwise(b0)
-        b2 = F.when((x >= edge(b1 + 1)) & (b1 != bins - 1), b1 + 1).otherwise(b1)
-        structs.append(F.struct(F.lit(i).alias("ci"), b2.alias("bin"), x.alias("x")))
     schema = "column string, bin int, bin_lo double, bin_hi double, count long"
-    if not structs:
+    if not meta:
         return spark.createDataFrame([], schema)
-    counts = (df.select(F.inline(F.array(*structs)))
+
+    def edge(k, lo, hi, step):
+        return F.when(k >= bins, dlit(hi)).otherwise(k.cast("double") * dlit(step) + dlit(lo))
+
+    # one projection per step, so each intermediate bin index is computed once per row
+    x = {i: F.col(f"_x{i}") for i, *_ in meta}
+    b = {i: F.col(f"_b{i}") for i, *_ in meta}
+    staged = df.select(*[as_double(c).alias(f"_x{i}") for i, c, *_ in meta])
+    staged = staged.select(*[x[i] for i, *_ in meta], *[
+        F.least(F.floor((x[i] - dlit(lo)) * dlit(bins / (hi - lo))).cast("int"), F.lit(bins - 1)).alias(f"_b{i}")
+        for i, _, lo, hi, _ in meta])
+    staged = staged.select(*[x[i] for i, *_ in meta], *[
+        F.when(x[i] < edge(b[i], lo, hi, step), b[i] - 1).otherwise(b[i]).alias(f"_b{i}")
+        for i, _, lo, hi, step in meta])
+    staged = staged.select(*[x[i] for i, *_ in meta], *[
+        F.when((x[i] >= edge(b[i] + 1, lo, hi, step)) & (b[i] != bins - 1), b[i] + 1).otherwise(b[i]).alias(f"_b{i}")
+        for i, _, lo, hi, step in meta])
+    structs = [F.struct(F.lit(i).alias("ci"), b[i].alias("bin"), x[i].alias("x")) for i, *_ in meta]
+    counts = (staged.select(F.inline(F.array(*structs)))
                 .where(F.col("x").isNotNull())
                 .groupBy("ci", "bin").agg(F.count(F.lit(1)).alias("count")))
     # skeleton of every (column, bin): generated, bounded by #columns x bins

@@ -50,7 +50,7 @@ def class_quotas(counts: dict, n_draws: int) -> dict:
 @dataclass
 class SplitPlan:
     label: str
-    key: str
+    key: object
     seed: int
     quotas: dict
     conds: dict = field(default_factory=dict)
@@ -62,7 +62,9 @@ class SplitPlan:
         return out
 
 
-def plan_split(df: DataFrame, label: str, key: str, test_size: float = 0.2, seed: int = 42) -> SplitPlan:
+def plan_split(df: DataFrame, label: str, key: str | Column, test_size: float = 0.2,
+               seed: int = 42) -> SplitPlan:
+    """Class quotas and per-class hash thresholds. ``key`` must identify rows uniquely."""
     y = col(label)
     h = split_hash(key, seed)
     pre = _prefix(h)
@@ -114,7 +116,7 @@ def plan_split(df: DataFrame, label: str, key: str, test_size: float = 0.2, seed
     return plan
 
 
-def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2,
+def stratified_split(df: DataFrame, label: str, key: str | Column, test_size: float = 0.2,
                      seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(train, test) with exact per-class test quotas; repeatable from the seed."""
     plan = plan_split(df, label, key, test_size, seed)

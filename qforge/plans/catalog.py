@@ -858,3 +858,29 @@ def q_lineitem_label_distribution(spark, sf):
 @register("lineitem_zscore", with_(_z_sql("lineitem", LINE_COLS, 3.0)) + "SELECT * FROM zkept")
 def q_lineitem_zscore(spark, sf):
     return C.zscore_filter(_lineitem(spark, sf), LINE_COLS, 3.0)
+
+
+def _split_ctes(src: str, label: str, key_sql: str, test_size: float = 0.2, seed: int = 42) -> list[str]:
+    return [
+        f"cc AS (SELECT {label} AS y, count(*) AS n FROM {src} WHERE {label} IS NOT NULL GROUP BY 1)",
+        f"tt AS (SELECT sum(n) AS tot, CAST(ceil({test_size} * sum(n)) AS BIGINT) AS nt FROM cc)",
+        "fl AS (SELECT y, n, n / tot * nt AS cont, floor(n / tot * nt) AS f, nt FROM cc, tt)",
+        "qq AS (SELECT y, CAST(f + CASE WHEN row_number() OVER (ORDER BY cont - f DESC, y) <= "
+        "nt - (SELECT sum(f) FROM fl) THEN 1 ELSE 0 END AS BIGINT) AS quota FROM fl)",
+        f"ranked AS (SELECT s.*, row_number() OVER (PARTITION BY s.{label} "
+        f"ORDER BY md5(concat({key_sql}, ':{seed}'))) AS rn FROM {src} s WHERE s.{label} IS NOT NULL)",
+        f"test AS (SELECT r.* EXCLUDE (rn) FROM ranked r JOIN qq ON r.{label} = qq.y WHERE r.rn <= qq.quota)",
+    ]
+
+
+LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+SQL_SPLIT_LINE = with_(*_split_ctes("lineitem", "l_returnflag", "concat_ws('-', " + ", ".join(LINE_KEY) + ")")) + (
+    "SELECT " + ", ".join(LINE_KEY) + ", l_returnflag FROM test")
+
+
+@register("stratified_split_lineitem", SQL_SPLIT_LINE)
+def q_stratified_split_lineitem(spark, sf):
+    """Exact stratified test set over three text classes; the row key is composite."""
+    key = F.concat_ws("-", *LINE_KEY)
+    _, test = S.stratified_split(_lineitem(spark, sf), "l_returnflag", key, 0.2, 42)
+    return test.select(*LINE_KEY, "l_returnflag")
