@@ -134,7 +134,7 @@ def clean(df: DataFrame, num_cols: list[str], missing_method: str = "drop",
     if missing_method == "drop":
         after_missing = drop_missing(df, subset)
     elif missing_method == "fill":
-        after_missing = fill_missing_mean(df)
+        after_missing = fill_missing_mean(df, subset)
     else:
         raise ValueError("missing_method must be 'drop' or 'fill'")
     zs = fit_zscore(after_missing, num_cols, outlier_threshold)

@@ -102,7 +102,8 @@ def run_full_pipeline(spark: SparkSession, data_dir: str, output_dir: str | None
                       features: list[str] | None = None, target: str = "error",
                       num_files: int | None = 2, prob_threshold: float = 0.05,
                       n_trees: int = 200, max_depth: int | None = None, seed: int = 42,
-                      test_size: float = 0.2, grid_sizes: dict | None = None) -> DataFrame:
+                      test_size: float = 0.2, grid_sizes: dict | None = None,
+                      missing_method: str = "drop", outlier_threshold: float = 3.0) -> DataFrame:
     """Merge -> clean -> quality -> EDA -> split/train/evaluate -> safe region.
 
     Returns one summary row; every intermediate result is written under
@@ -117,7 +118,7 @@ def run_full_pipeline(spark: SparkSession, data_dir: str, output_dir: str | None
     data_cols = [c for c in combined.columns if c != ROW_ID]
 
     # clean: missing values are judged on the data columns, not the row id
-    cleaning = C.clean(combined, features, "drop", 3.0, subset=data_cols)
+    cleaning = C.clean(combined, features, missing_method, outlier_threshold, subset=data_cols)
     cleaned_path = CI.land(cleaning.cleaned, f"{out}/cleaned")
     cleaned = spark.read.parquet(cleaned_path)
     write_result(cleaning.summary, out, "clean_summary")

@@ -113,3 +113,19 @@ def test_quality_approx_distinct(spark):
     exact = Q.quality_indices(df, ["x"]).first().UQI
     approx = Q.quality_indices(df, ["x"], distinct="approx").first().UQI
     assert exact == 20.0 and abs(approx - exact) / exact < 0.05
+
+
+def test_one_row_table(spark):
+    df = spark.createDataFrame([(1.5, 2.0, 0)], "a double, b double, error int")
+    assert C.zscore_filter(df, ["a", "b"]).count() == 0          # std 0 -> z undefined
+    d = E.describe_numeric(df, ["a"]).first()
+    assert (d["count"], d.mean, d.std, d.p25, d.p75) == (1, 1.5, None, 1.5, 1.5)
+    q = Q.quality_indices(df, ["a"]).first()
+    assert (q.CQI, q.UQI, q.VQI, q.valid_range) == (100.0, 100.0, 100.0, "[1.50, 1.50]")
+
+
+def test_histogram_counts_cover_non_null(spark):
+    df = spark.range(997).select(F.when(F.col("id") % 11 == 0, None).otherwise(F.sqrt("id")).alias("x"))
+    h = E.histogram(df, ["x"], 30)
+    assert h.agg(F.sum("count")).first()[0] == df.where("x is not null").count()
+    assert h.count() == 30
