@@ -82,3 +82,18 @@ def test_land_uploads_and_text_profile(spark, folder, tmp_path):
     prof = {r.column: r for r in CI.dataset_profile(landed.drop("_ingested_at")).collect()}
     assert prof["메모"].unique == 1 and prof["메모"].top == "뷁" and prof["메모"].freq == 1
     assert prof["temp"].unique is None and prof["temp"]["count"] == 4
+
+
+def test_cp949_decided_by_python_codec(spark, tmp_path):
+    from qforge.sources import encoding as enc
+    p = tmp_path / "odd.csv"
+    with open(p, "wb") as f:
+        f.write("온도,비고\n1.0,".encode("cp949") + b"\xfe\xfe\n")
+    ok = tmp_path / "ok.csv"
+    with open(ok, "wb") as f:
+        f.write("온도,비고\n1.0,뷁\n".encode("cp949"))
+    paths = [str(p), str(ok)]
+    got = {r.path.rsplit("/", 1)[-1]: r.charset for r in enc.detect(spark, paths, enc.ANALYSIS_CHAIN).collect()}
+    assert got == {"odd.csv": None, "ok.csv": "cp949"}
+    up = {r.path.rsplit("/", 1)[-1]: r.charset for r in enc.detect(spark, paths, enc.UPLOAD_CHAIN).collect()}
+    assert up == {"odd.csv": "latin-1", "ok.csv": "cp949"}
