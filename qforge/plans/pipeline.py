@@ -62,12 +62,13 @@ def merge_sensor_files(spark: SparkSession, data_dir: str, num_files: int | None
     chosen = all_paths if num_files is None else all_paths[:num_files]
     infos = CI.inspect_files(spark, all_paths)            # one detection pass serves S8 and S9
     chosen_set = set(chosen)
-    combined = CI.read_csv_files(spark, chosen, infos=[i for i in infos if i.path in chosen_set])
+    chosen_infos = [i for i in infos if i.path in chosen_set]
     path = None
     if output_dir:
         path = f"{output_dir}/combined"
-        CI.land(combined.withColumn(ROW_ID, F.monotonically_increasing_id()), path)
-        combined = spark.read.parquet(path)
+        combined = CI.land_csv_files(spark, chosen, path, infos=chosen_infos, row_id=ROW_ID)
+    else:
+        combined = CI.read_csv_files(spark, chosen, infos=chosen_infos)
     n_rows = combined.count()
     n_cols = len([c for c in combined.columns if c != ROW_ID])
     summary = spark.createDataFrame(

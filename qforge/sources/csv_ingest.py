@@ -171,10 +171,10 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.withColumns(exprs) if exprs else df
 
 
-def read_csv_files(spark: SparkSession, paths: list[str], chain=enc.ANALYSIS_CHAIN,
-                   rename: dict[str, str] | None = None, keep_source: bool = False,
-                   infos: list[FileInfo] | None = None) -> DataFrame:
-    """S1 + S6 + S7 + S8 + U1: many CSV files in mixed charsets -> one typed table."""
+def read_csv_strings(spark: SparkSession, paths: list[str], chain=enc.ANALYSIS_CHAIN,
+                     rename: dict[str, str] | None = None,
+                     infos: list[FileInfo] | None = None) -> tuple[DataFrame, list[str]]:
+    """Parsed but untyped rows of many CSV files: (strings with NA tokens as NULL, column order)."""
     infos = infos if infos is not None else inspect_files(spark, paths, chain, rename)
     bad = [i.file_name for i in infos if i.charset is None or not i.columns]
     if bad:
@@ -188,11 +188,35 @@ def read_csv_files(spark: SparkSession, paths: list[str], chain=enc.ANALYSIS_CHA
             if c not in order:
                 order.append(c)
     frames = [read_group(spark, ps, cs, list(cols)) for (cs, cols), ps in groups.items()]
-    merged = union_by_name(frames)
-    merged = na_to_null(merged, order)
+    return na_to_null(union_by_name(frames), order), order
+
+
+def read_csv_files(spark: SparkSession, paths: list[str], chain=enc.ANALYSIS_CHAIN,
+                   rename: dict[str, str] | None = None, keep_source: bool = False,
+                   infos: list[FileInfo] | None = None) -> DataFrame:
+    """S1 + S6 + S7 + S8 + U1: many CSV files in mixed charsets -> one typed table."""
+    merged, order = read_csv_strings(spark, paths, chain, rename, infos)
     typed = apply_types(merged, infer_types(merged, order))
-    out = typed.select(*[col(c) for c in order], *( [SOURCE_COL] if keep_source else []))
-    return out
+    return typed.select(*[col(c) for c in order], *([SOURCE_COL] if keep_source else []))
+
+
+def land_csv_files(spark: SparkSession, paths: list[str], path: str, chain=enc.ANALYSIS_CHAIN,
+                   rename: dict[str, str] | None = None, infos: list[FileInfo] | None = None,
+                   row_id: str | None = None) -> DataFrame:
+    """K1: CSV files -> typed Parquet table at ``path``, parsing the text only once.
+
+    The parsed strings are written to ``path + "_strings"`` first; type
+    inference and the typed write then read that columnar copy instead of
+    re-parsing the CSV text. ``row_id`` adds a persistent row id.
+    """
+    merged, order = read_csv_strings(spark, paths, chain, rename, infos)
+    if row_id:
+        merged = merged.withColumn(row_id, F.monotonically_increasing_id())
+    merged.write.mode("overwrite").parquet(path + "_strings")
+    staged = spark.read.parquet(path + "_strings")
+    typed = apply_types(staged, infer_types(staged, order))
+    typed.select(*[col(c) for c in order], *([row_id] if row_id else [])).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 # ---------------------------------------------------------------- S9 / S3
@@ -319,6 +343,7 @@ def land(df: DataFrame, path: str, fmt: str = "parquet") -> str:
 
 
 __all__ = ["NA_TOKENS", "FileInfo", "inspect_files", "read_group", "union_by_name", "na_to_null",
+           "read_csv_strings", "land_csv_files",
            "infer_types", "apply_types", "read_csv_files", "file_summary", "ingest_report", "land_uploads",
            "text_summary",
            "require_success", "dataset_profile", "preview", "land", "base_name"]
