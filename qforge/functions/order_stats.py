@@ -37,6 +37,8 @@ from qforge.functions.columns import as_double
 DEFAULT_BINS = 4096
 DEFAULT_SMALL = 4096
 MAX_PASSES = 200
+# rows one pass may bring to the driver, over all intervals together
+PASS_BUDGET = 1_000_000
 
 
 @dataclass
@@ -99,9 +101,13 @@ def order_statistics(df: DataFrame, values: dict[str, Column], ranks: dict[str,
         intervals: dict[tuple, int] = {}
         for (name, _), st in pending.items():
             intervals.setdefault((name, st.lo, st.hi, st.below, st.cnt), len(intervals))
-        wide = {k: g for k, g in intervals.items() if k[4] > small}
-        narrow = {k: g for k, g in intervals.items() if k[4] <= small}
-        hist = _histogram_pass(df, values, names, wide, bins) if wide else {}
+        # many inputs x ranks: fewer bins and a smaller fetch size per interval,
+        # so one pass never returns more than PASS_BUDGET rows
+        share = max(PASS_BUDGET // len(intervals), 16)
+        eff_bins, eff_small = min(bins, share), min(small, share)
+        wide = {k: g for k, g in intervals.items() if k[4] > eff_small}
+        narrow = {k: g for k, g in intervals.items() if k[4] <= eff_small}
+        hist = _histogram_pass(df, values, names, wide, eff_bins) if wide else {}
         vals = _values_pass(df, values, names, narrow) if narrow else {}
 
         for key in list(pending):
