@@ -62,20 +62,7 @@ def fill_missing_mean(df: DataFrame, cols: list[str] | None = None) -> DataFrame
     Non-numeric columns and all-null columns stay as they are. Integral
     columns that receive a fill become double, as in pandas.
     """
-    numeric = [c for c in (cols or df.columns) if is_numeric(df, c)]
-    if not numeric:
-        return df
-    row = df.agg(*[e for i, c in enumerate(numeric) for e in (
-        F.avg(as_double(c)).alias(f"m{i}"), F.count_if(is_missing(df, c)).alias(f"z{i}"))]).first()
-    means = {c: row[f"m{i}"] for i, c in enumerate(numeric) if row[f"z{i}"] > 0}
-    out = []
-    for c in df.columns:
-        m = means.get(c)
-        if m is not None:
-            out.append(F.coalesce(as_double(c), dlit(m)).alias(c))
-        else:
-            out.append(col(c))
-    return df.select(*out)
+    return df.select(*[e.alias(c) for c, e in _fill_values(df, cols).items()])
 
 
 # ---------------------------------------------------------------- C5
@@ -123,33 +110,57 @@ class CleanResult:
     zscore: ZScoreModel
 
 
+def _fill_values(df: DataFrame, cols: list[str] | None) -> dict[str, Column]:
+    """Column -> expression after mean filling (only columns with gaps change)."""
+    numeric = [c for c in (cols or df.columns) if is_numeric(df, c)]
+    out = {c: col(c) for c in df.columns}
+    if not numeric:
+        return out
+    row = df.agg(*[e for i, c in enumerate(numeric) for e in (
+        F.avg(as_double(c)).alias(f"m{i}"), F.count_if(is_missing(df, c)).alias(f"z{i}"))]).first()
+    for i, c in enumerate(numeric):
+        if row[f"z{i}"] > 0 and row[f"m{i}"] is not None:
+            out[c] = F.coalesce(as_double(c), dlit(row[f"m{i}"]))
+    return out
+
+
 def clean(df: DataFrame, num_cols: list[str], missing_method: str = "drop",
           outlier_threshold: float = 3.0, subset: list[str] | None = None) -> CleanResult:
     """C1 -> C2/C3 -> C5 with counters.
 
     The z-score statistics are fitted on the data *after* missing-value
-    handling. The summary is one aggregate over the input with
-    conditional counts, so no intermediate result is counted separately.
+    handling. All counters come from ONE aggregate over the input: the
+    after-missing values and the fitted z predicate are evaluated on a
+    projection of it, so no intermediate table is counted separately.
     """
     if missing_method == "drop":
-        after_missing = drop_missing(df, subset)
+        after = {c: col(c) for c in df.columns}
+        kept = _all([~is_missing(df, c) for c in (subset or df.columns)])
     elif missing_method == "fill":
-        after_missing = fill_missing_mean(df, subset)
+        after = _fill_values(df, subset)
+        kept = F.lit(True)
     else:
         raise ValueError("missing_method must be 'drop' or 'fill'")
+    after_missing = df.where(kept).select(*[e.alias(c) for c, e in after.items()])
     zs = fit_zscore(after_missing, num_cols, outlier_threshold)
     cleaned = zs.transform(after_missing)
 
-    # counters over the *after-missing* frame need its own columns (fill)
-    wide = after_missing.agg(
-        F.count(F.lit(1)).alias("rows_after_missing"),
-        _missing_cells(after_missing).alias("missing_after"),
-        F.count_if(zs.keep()).alias("final_rows"),
-    )
-    base = df.agg(F.count(F.lit(1)).alias("original_rows"),
-                  _missing_cells(df).alias("missing_before"))
-    summary = _one_row_concat(base, wide)
-    summary = summary.select(
+    # one projection carries the input's missing flags and the after-missing values
+    n_in = len(df.columns)
+    proj = df.select(*[e.alias(c) for c, e in after.items()], kept.alias("__kept"),
+                     *[is_missing(df, c).alias(f"__m{i}") for i, c in enumerate(df.columns)])
+    k = F.col("__kept")
+    missing_before = F.lit(0).cast("long")
+    for i in range(n_in):
+        missing_before = missing_before + F.count_if(F.col(f"__m{i}"))
+    missing_after = F.lit(0).cast("long")
+    for c in after:
+        missing_after = missing_after + F.count_if(k & is_missing(proj, c))
+    summary = proj.agg(
+        F.count(F.lit(1)).alias("original_rows"), missing_before.alias("missing_before"),
+        missing_after.alias("missing_after"), F.count_if(k).alias("rows_after_missing"),
+        F.count_if(k & zs.keep()).alias("final_rows"),
+    ).select(
         F.lit(missing_method).alias("missing_method"),
         F.lit(float(outlier_threshold)).alias("outlier_threshold"),
         "original_rows", "missing_before", "missing_after", "rows_after_missing",
@@ -162,22 +173,6 @@ def clean(df: DataFrame, num_cols: list[str], missing_method: str = "drop",
     return CleanResult(cleaned, summary, zs)
 
 
-def _missing_cells(df: DataFrame) -> Column:
-    return total_missing(df, df.columns)
-
-
-def _one_row_concat(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Side-by-side concatenation of two single-row aggregates.
-
-    Both inputs are global aggregates (exactly one row each); they are
-    combined by materialising ``b``'s row as literals, which keeps the
-    plan free of joins.
-    """
-    row = b.first()
-    fields = b.schema.fields
-    return a.select("*", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in fields])
-
-
 def clean_summary(df: DataFrame, num_cols: list[str], missing_method: str = "drop",
                   outlier_threshold: float = 3.0) -> DataFrame:
     return clean(df, num_cols, missing_method, outlier_threshold).summary
