@@ -884,3 +884,11 @@ def q_stratified_split_lineitem(spark, sf):
     key = F.concat_ws("-", *LINE_KEY)
     _, test = S.stratified_split(_lineitem(spark, sf), "l_returnflag", key, 0.2, 42)
     return test.select(*LINE_KEY, "l_returnflag")
+
+
+@register("safe_region_json")
+def q_safe_region_json(spark, sf):
+    """R6 result shape: the nested JSON document (rows-only: JSON number text is engine-specific)."""
+    b = R.feature_bounds(td.sensor(spark, sf), FEATURES, "quantile")
+    region = R.estimate_safe_region(spark, _closed_form_scorer, b, R.DEFAULT_SIZES, REGION_THRESHOLD)
+    return R.safe_region_json(region, FEATURES)
