@@ -741,21 +741,26 @@ def q_pipeline_summary(spark, sf):
 
 # ============================================================ streaming landing
 SQL_STREAM = with_(SENSOR, SENSOR_RAW) + (
-    "SELECT event_id, temp, humid, press, CAST(error AS BIGINT) AS error FROM sensor_raw WHERE event_id % 5 <> 2")
+    "SELECT event_id, temp, humid, press, CAST(error AS BIGINT) AS error, "
+    f"CASE WHEN event_id % 5 = 2 THEN {NOTE_SQL} END AS \"비고\" FROM sensor_raw")
 
 
 @register("stream_landing", SQL_STREAM)
 def q_stream_landing(spark, sf):
-    """File-stream landing (available-now trigger) of every same-layout sensor file."""
+    """File-stream landing (available-now trigger): one stream per file layout, one table."""
     from qforge.session import scratch_path
     from qforge.streaming import start_landing
-    files = f"{sensor_csv_folder(spark, sf)}/[abdef]-*.csv"
+    folder = sensor_csv_folder(spark, sf)
     out = scratch_path(spark, "landing")
-    q = start_landing(spark, files, out, checkpoint=f"{out}/_checkpoint", available_now=True)
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(f"{out}/rows").select("event_id", "temp", "humid", "press", "error")
+    layouts = {"utf8": f"{folder}/[abdef]-*.csv", "cp949": f"{folder}/c-*.csv"}
+    for name, files in layouts.items():
+        q = start_landing(spark, files, out, checkpoint=f"{out}/_checkpoint_{name}", available_now=True,
+                          stream_name=name)
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+    rows = spark.read.option("mergeSchema", True).parquet(f"{out}/rows")
+    return rows.select("event_id", "temp", "humid", "press", "error", "비고")
 
 
 # ============================================================ more semantics: NULLs, fill, thresholds

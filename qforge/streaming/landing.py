@@ -14,6 +14,8 @@ charset of the files already present (or given explicitly).
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,23 +65,31 @@ def default_types(columns: list[str]) -> dict[str, str]:
 
 def start_landing(spark: SparkSession, source_dir: str, table_dir: str, columns: list[str] | None = None,
                   charset: str | None = None, checkpoint: str | None = None,
-                  available_now: bool = False, processing_time: str = "30 seconds") -> StreamingQuery:
-    """Append arriving rows to ``table_dir/rows`` and per-batch counters to ``table_dir/batches``."""
+                  available_now: bool = False, processing_time: str = "30 seconds",
+                  stream_name: str = "default") -> StreamingQuery:
+    """Append arriving rows to ``table_dir/rows`` and per-batch counters to ``table_dir/batches``.
+
+    Several streams (one per file layout) may land in the same table; each
+    writes its own ``_stream`` partition. Read the rows back with
+    ``mergeSchema`` when layouts differ in their columns.
+    """
     if columns is None or charset is None:
         charset, _, columns = infer_stream_layout(spark, source_dir)
     stream = sensor_stream(spark, source_dir, columns, charset)
-    ckpt = checkpoint or f"{checkpoint_dir(spark)}/qforge-streams/landing-{abs(hash(table_dir))}"
+    # a stable name: a restarted stream must find the same checkpoint
+    digest = hashlib.sha1(table_dir.encode("utf-8")).hexdigest()[:16]
+    ckpt = checkpoint or f"{checkpoint_dir(spark)}/qforge-streams/landing-{stream_name}-{digest}"
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("_batch_id", F.lit(batch_id))
+        rows = batch.withColumn("_stream", F.lit(stream_name)).withColumn("_batch_id", F.lit(batch_id))
         # replace this batch's slice on replay instead of appending twice
         (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("_batch_id").parquet(f"{table_dir}/rows"))
-        counters = rows.groupBy("_batch_id", CI.SOURCE_COL).agg(
+             .partitionBy("_stream", "_batch_id").parquet(f"{table_dir}/rows"))
+        counters = rows.groupBy("_stream", "_batch_id", CI.SOURCE_COL).agg(
             F.count(F.lit(1)).alias("rows"),
             *[F.count_if(col(c).isNull()).alias(f"missing_{c}") for c in columns])
         (counters.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                 .partitionBy("_batch_id").parquet(f"{table_dir}/batches"))
+                 .partitionBy("_stream", "_batch_id").parquet(f"{table_dir}/batches"))
 
     writer = stream.writeStream.foreachBatch(land).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
