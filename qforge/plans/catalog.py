@@ -897,3 +897,9 @@ def q_safe_region_json(spark, sf):
     b = R.feature_bounds(td.sensor(spark, sf), FEATURES, "quantile")
     region = R.estimate_safe_region(spark, _closed_form_scorer, b, R.DEFAULT_SIZES, REGION_THRESHOLD)
     return R.safe_region_json(region, FEATURES)
+
+
+@register("dataset_preview", with_(SENSOR, SENSOR_RAW) + "SELECT * FROM sensor_raw ORDER BY event_id LIMIT 5")
+def q_dataset_preview(spark, sf):
+    """S10 preview: the first five rows (by event id)."""
+    return CI.preview(td.sensor_raw(spark, sf), 5, ["event_id"])

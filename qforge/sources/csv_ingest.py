@@ -324,8 +324,14 @@ def dataset_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return wide.select("n_rows", F.lit(len(cols)).alias("n_cols"), F.inline(F.array(*rows)))
 
 
-def preview(df: DataFrame, n: int = 5) -> DataFrame:
-    """The first rows of a table (a fixed-size sample is the feature here)."""
+def preview(df: DataFrame, n: int = 5, order_by: list[str] | None = None) -> DataFrame:
+    """The first n rows of a table (a fixed-size preview is the feature here).
+
+    With ``order_by`` the rows are the first in that order (a distributed
+    top-n); without it, any n rows.
+    """
+    if order_by:
+        return df.orderBy(*[col(c) for c in order_by]).limit(n)
     return df.limit(n)
 
 
