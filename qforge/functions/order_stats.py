@@ -180,7 +180,7 @@ def _histogram_pass(df, values, names, sel, bins):
               .where(F.col("g").isNotNull())
               .groupBy("g", "b")
               .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx"))
-              .collect())
+              .collect())  # bounded: <= #intervals x bins <= PASS_BUDGET
     hist: dict[int, list] = {}
     for row in rows:
         hist.setdefault(row["g"], []).append((row["b"], row["c"], row["mn"], row["mx"]))
@@ -200,7 +200,7 @@ def _values_pass(df, values, names, sel):
     rows = (df.where(_any(conds))
               .select(F.inline(F.array(*structs)))
               .where(F.col("g").isNotNull())
-              .collect())
+              .collect())  # bounded: each narrow interval holds <= small values
     vals: dict[int, list[float]] = {g: [] for g in sel.values()}
     for row in rows:
         vals[row["g"]].append(row["x"])

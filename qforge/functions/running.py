@@ -63,7 +63,7 @@ def running_totals(df: DataFrame, key: str, sums: list[str], descending: bool =
     if with_next:
         first = (F.max_by if descending else F.min_by)(F.struct(*[F.col(c) for c in sums]), k)
         aggs.append(first.alias("_first"))
-    totals = {r["_bucket"]: r for r in b.groupBy("_bucket").agg(*aggs).collect()}
+    totals = {r["_bucket"]: r for r in b.groupBy("_bucket").agg(*aggs).collect()}  # bounded: <= max_buckets
 
     w = Window.partitionBy("_bucket").orderBy(order)
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -71,7 +71,7 @@ def plan_split(df: DataFrame, label: str, key: str | Column, test_size: float =
     # one grouped pass: class sizes and the hash-prefix range of each class
     per_class = (df.where(y.isNotNull()).groupBy(y.alias("y"))
                  .agg(F.count(F.lit(1)).alias("n"), F.min(pre).alias("lo"), F.max(pre).alias("hi"))
-                 .collect())
+                 .collect())  # bounded: one row per class
     counts = {r["y"]: int(r["n"]) for r in per_class}
     n = sum(counts.values())
     if n == 0:
@@ -107,6 +107,7 @@ def plan_split(df: DataFrame, label: str, key: str | Column, test_size: float =
         # several rows share the 52-bit prefix at the boundary: order them by the full hash
         if res.n_equal > MAX_TIES:
             raise ValueError("split key is not unique enough: too many rows share one hash")
+        # bounded: the tie count was checked against MAX_TIES above
         tied = sorted(r[0] for r in df.where((y == F.lit(c)) & (pre == dlit(t))).select(h).collect())
         need = quotas[c] - res.n_less
         cut = tied[need - 1]

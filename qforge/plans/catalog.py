@@ -549,6 +549,7 @@ def sensor_csv_folder(spark: SparkSession, sf: str) -> str:
 
 def _sensor_paths(spark, sf):
     data = sensor_csv_folder(spark, sf)
+    # bounded: one row per file
     return [r["path"] for r in MF.sensor_files(MF.file_manifest(spark, data)).select("path").collect()]
 
 
@@ -607,7 +608,7 @@ UNION ALL SELECT 'notes', 'failed', 'only CSV files are accepted', CAST(NULL AS
 def q_ingest_report(spark, sf):
     """Batch upload of every file in the folder (a non-CSV file included)."""
     data = sensor_csv_folder(spark, sf)
-    paths = [r["path"] for r in MF.file_manifest(spark, data, "*").select("path").collect()]
+    paths = [r["path"] for r in MF.file_manifest(spark, data, "*").select("path").collect()]  # bounded: per file
     rep = CI.require_success(CI.ingest_report(spark, paths))
     return (rep.groupBy(FF.variant_of(F.col("file_name")).alias("variant"), "status", "error")
                .agg(F.sum("rows").alias("rows"), F.max("cols").alias("cols")))

@@ -161,7 +161,7 @@ def run_full_pipeline(spark: SparkSession, data_dir: str, output_dir: str | None
     h = spark.read.parquet(f"{out}/eval_hard").first()
     reg = spark.read.parquet(f"{out}/safe_region").first()
     dqi = spark.read.parquet(f"{out}/quality_summary").first()["overall_dqi"]
-    metrics = {r["metric"]: r["value"] for r in spark.read.parquet(f"{out}/metrics").collect()}
+    metrics = {r["metric"]: r["value"] for r in spark.read.parquet(f"{out}/metrics").collect()}  # bounded: 11 rows
     row = ("success", cs["original_rows"], cs["final_rows"], cs["total_removed_rows"], dqi,
            h["accuracy"], h["precision"], h["recall"], h["f1_score"], h["auc_hard"],
            metrics.get("roc_auc"), reg["status"], reg["n_safe_points"], reg["n_total_points"],

@@ -75,7 +75,7 @@ def dedupe_names(names: list[str]) -> list[str]:
 def inspect_files(spark: SparkSession, paths: list[str], chain=enc.ANALYSIS_CHAIN,
                   rename: dict[str, str] | None = None) -> list[FileInfo]:
     """Charset, line count and normalised columns for each file (bounded by #files)."""
-    det = {r["path"]: r for r in enc.detect(spark, paths, chain).collect()}
+    det = {r["path"]: r for r in enc.detect(spark, paths, chain).collect()}  # bounded: per file
     infos = []
     for p in paths:
         key = _match(det, p)

@@ -90,7 +90,7 @@ def detect(spark: SparkSession, paths: list[str], chain: tuple[str, ...] = ANALY
     per_file = (lines.groupBy("path")
                 .agg(F.bool_and(utf8).alias("utf8"), F.count(F.lit(1)).alias("n_lines"),
                      F.min_by(F.col("v"), F.when(F.col("block_start") == 0, F.col("ord"))).alias("first"))
-                .collect())
+                .collect())  # bounded: one row per file
     found = {r["path"]: r for r in per_file}
     charsets: dict[str, str | None] = {}
     need_cp949 = []
@@ -101,7 +101,7 @@ def detect(spark: SparkSession, paths: list[str], chain: tuple[str, ...] = ANALY
             need_cp949.append(p)
     if need_cp949 and "cp949" in chain:
         rows = (lines.where(F.col("path").isin(need_cp949)).groupBy("path")
-                .agg(F.bool_and(_cp949_ok(F.col("v"))).alias("ok")).collect())
+                .agg(F.bool_and(_cp949_ok(F.col("v"))).alias("ok")).collect())  # bounded: per file
         for r in rows:
             if r["ok"]:
                 charsets[r["path"]] = "cp949"
