@@ -51,30 +51,33 @@ def raw_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
                     F.monotonically_increasing_id().alias("ord"), "v"))
 
 
-def _cp949_line_ok(s) -> bool:
-    if s is None:
-        return True
-    try:
-        s.encode("latin-1").decode("cp949")
-        return True
-    except UnicodeError:
-        return False
-
-
-@F.pandas_udf(T.BooleanType())
-def _cp949_ok(v: pd.Series) -> pd.Series:
-    """Python's cp949 codec decides (the JVM's table accepts a few more codes).
-
-    The whole Arrow batch is decoded as one blob first (newline never occurs
-    inside a CP949 multibyte sequence); only a failing batch is checked
-    line by line.
+def _cp949_udf():
+    """Vectorised CP949 validity check, built per call.
+
+    Defined as a closure so it is shipped to the executors by value: the
+    Python workers need pandas, not this package. Python's cp949 codec
+    decides (the JVM's table accepts a few more codes). The whole Arrow
+    batch is decoded as one blob first (newline never occurs inside a CP949
+    multibyte sequence); only a failing batch is checked line by line.
     """
-    blob = "\n".join(x for x in v if x is not None).encode("latin-1")
-    try:
-        blob.decode("cp949")
-        return pd.Series(True, index=v.index)
-    except UnicodeError:
-        return v.map(_cp949_line_ok).astype(bool)
+    def line_ok(s) -> bool:
+        if s is None:
+            return True
+        try:
+            s.encode("latin-1").decode("cp949")
+            return True
+        except UnicodeError:
+            return False
+
+    def check(v: pd.Series) -> pd.Series:
+        blob = "\n".join(x for x in v if x is not None).encode("latin-1")
+        try:
+            blob.decode("cp949")
+            return pd.Series(True, index=v.index)
+        except UnicodeError:
+            return v.map(line_ok).astype(bool)
+
+    return F.pandas_udf(check, T.BooleanType())
 
 
 def detect(spark: SparkSession, paths: list[str], chain: tuple[str, ...] = ANALYSIS_CHAIN) -> DataFrame:
@@ -101,7 +104,7 @@ def detect(spark: SparkSession, paths: list[str], chain: tuple[str, ...] = ANALY
             need_cp949.append(p)
     if need_cp949 and "cp949" in chain:
         rows = (lines.where(F.col("path").isin(need_cp949)).groupBy("path")
-                .agg(F.bool_and(_cp949_ok(F.col("v"))).alias("ok")).collect())  # bounded: per file
+                .agg(F.bool_and(_cp949_udf()(F.col("v"))).alias("ok")).collect())  # bounded: per file
         for r in rows:
             if r["ok"]:
                 charsets[r["path"]] = "cp949"
