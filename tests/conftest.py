@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -13,8 +12,9 @@ SF_MED = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from qforge.session import get_session
-    ckpt = tempfile.mkdtemp(prefix="qforge-test-ckpt-")
+    # the session's own spark.checkpoint.dir is used; configure() sets a
+    # temporary one only when none is configured
     s = get_session("local[4]", app_name="qforge-tests", shuffle_partitions=8,
-                    extra_conf={"spark.checkpoint.dir": ckpt, "spark.driver.memory": "4g"})
+                    extra_conf={"spark.driver.memory": "4g"})
     yield s
     s.stop()
