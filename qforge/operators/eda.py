@@ -12,6 +12,8 @@ label-summary aggregates into one scan.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +73,8 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 30, stats: ColumnStats
     for i, c in enumerate(cols):
         if st.count[c] == 0:
             continue
+        if not (math.isfinite(st.min[c]) and math.isfinite(st.max[c])):
+            raise ValueError(f"histogram range of {c!r} is not finite: [{st.min[c]}, {st.max[c]}]")
         lo, hi, step = _edges(st.min[c], st.max[c], bins)
         meta.append((i, c, lo, hi, step))
     schema = "column string, bin int, bin_lo double, bin_hi double, count long"

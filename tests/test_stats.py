@@ -129,3 +129,18 @@ def test_histogram_counts_cover_non_null(spark):
     h = E.histogram(df, ["x"], 30)
     assert h.agg(F.sum("count")).first()[0] == df.where("x is not null").count()
     assert h.count() == 30
+
+
+def test_quantiles_with_infinities(spark):
+    vals = [float("-inf"), -3.0, 0.5, 2.0, 7.0, 11.0, float("inf"), float("inf")] * 700
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = exact_quantiles(df, ["x"], [0.0, 0.3, 0.5, 0.7, 1.0], small=8, bins=16)["x"]
+    xs = sorted(vals)
+    n = len(xs)
+    for p, g in zip([0.0, 0.3, 0.5, 0.7, 1.0], got):
+        h = (n - 1) * p
+        lo, hi = xs[int(np.floor(h))], xs[int(np.ceil(h))]
+        want = lo if lo == hi else lo + (hi - lo) * (h - np.floor(h))
+        assert g == want or (np.isnan(want) and np.isnan(g))
+    with pytest.raises(ValueError):
+        E.histogram(df, ["x"], 30).collect()
