@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qforge.functions.columns import col
+from qforge.functions.columns import as_double, col
 from qforge.functions.running import running_totals
 
 
@@ -116,9 +116,9 @@ def score_table(df: DataFrame, label: str = "label", score: str = "score") -> Da
     The grouped table (one row per distinct score) is checkpointed once, so
     the input is scanned a single time however many passes follow.
     """
-    y = col(label)
-    grouped = (df.where(y.isin(0, 1) & col(score).isNotNull())
-                 .groupBy(col(score).cast("double").alias("score"))
+    y, sc = col(label), as_double(score)       # a NaN score counts as missing
+    grouped = (df.where(y.isin(0, 1) & sc.isNotNull())
+                 .groupBy(sc.alias("score"))
                  .agg(F.count_if(y == 1).alias("tp"), F.count_if(y == 0).alias("fp")))
     return running_totals(grouped, "score", ["tp", "fp"], descending=True, with_next=True)
 
