@@ -251,3 +251,18 @@ def eda_report(df: DataFrame, cols: list[str], label_col: str = "error", bins: i
         F.lit("label").alias("section"), F.lit(label_col).alias("column"),
         F.col("label").cast("string").alias("stat"), F.col("count").cast("double").alias("value"))
     return describe.unionByName(hist).unionByName(fused).unionByName(labels)
+
+
+def eda_tables(df: DataFrame, cols: list[str], label_col: str = "error", bins: int = 30,
+               stats: ColumnStats | None = None) -> dict[str, DataFrame]:
+    """A10 as separate tables (describe, histogram, correlation, boxplot, labels, label summary)
+    on one set of statistics."""
+    st = _stats(df, cols, stats)
+    return {
+        "describe": describe_numeric(df, cols, stats=st),
+        "histogram": histogram(df, cols, bins, stats=st),
+        "correlation": correlation(df, cols),
+        "boxplot": boxplot_stats(df, cols, stats=st),
+        "label_distribution": label_distribution(df, label_col),
+        "label_summary": label_summary(df, label_col),
+    }

@@ -22,6 +22,8 @@ def test_full_pipeline(spark, tmp_path):
     for name in ["combined", "cleaned", "clean_summary", "quality_indices", "eda_report", "test_predictions",
                  "metrics", "roc_curve", "pr_curve", "feature_importance", "safe_region"]:
         assert P.read_result(spark, out, name).count() >= 1, name
+    for name in ["describe", "histogram", "correlation", "boxplot", "label_distribution", "label_summary"]:
+        assert P.read_result(spark, out, f"eda/{name}").count() >= 1, name
     js = P.read_result(spark, out, "safe_region_json", fmt="json").first()["result"]
     assert '"n_total_points":4000' in js
     fi = P.read_result(spark, out, "feature_importance").agg(F.sum("importance")).first()[0]
