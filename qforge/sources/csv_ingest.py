@@ -36,6 +36,12 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 BOOL_TRUE = ["True", "TRUE", "true"]
 BOOL_FALSE = ["False", "FALSE", "false"]
 
+# Shapes of integer and floating-point text. Testing the shape first keeps
+# inference free of failing casts (a failing try_cast costs an exception
+# per value); integers longer than 18 digits are left to the float rule.
+INT_TEXT = r"^\s*[+-]?[0-9]{1,18}\s*$"
+FLOAT_TEXT = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
+
 SOURCE_COL = "_source_file"
 
 
@@ -136,8 +142,8 @@ def infer_types(df: DataFrame, cols: list[str]) -> dict[str, str]:
     for i, c in enumerate(cols):
         x = col(c)
         aggs += [F.count(x).alias(f"n{i}"),
-                 F.count(F.expr(f"try_cast({quote(c)} AS BIGINT)")).alias(f"l{i}"),
-                 F.count(F.expr(f"try_cast({quote(c)} AS DOUBLE)")).alias(f"d{i}"),
+                 F.count_if(x.rlike(INT_TEXT)).alias(f"l{i}"),
+                 F.count_if(x.rlike(FLOAT_TEXT)).alias(f"d{i}"),
                  F.count_if(x.isin(BOOL_TRUE + BOOL_FALSE)).alias(f"b{i}")]
     if not aggs:
         return {}
@@ -150,7 +156,7 @@ def infer_types(df: DataFrame, cols: list[str]) -> dict[str, str]:
         elif row[f"l{i}"] == n:
             # integers with gaps become floating point, as in pandas
             out[c] = "bigint" if n == row["rows"] else "double"
-        elif row[f"d{i}"] == n:
+        elif row[f"d{i}"] == n:          # the float shape includes every integer shape
             out[c] = "double"
         elif row[f"b{i}"] == n:
             out[c] = "boolean"

@@ -97,3 +97,18 @@ def test_cp949_decided_by_python_codec(spark, tmp_path):
     assert got == {"odd.csv": None, "ok.csv": "cp949"}
     up = {r.path.rsplit("/", 1)[-1]: r.charset for r in enc.detect(spark, paths, enc.UPLOAD_CHAIN).collect()}
     assert up == {"odd.csv": "latin-1", "ok.csv": "cp949"}
+
+
+def test_type_inference_shapes(spark):
+    rows = [("1", "1.5", "1e3", "12345678901234567890", "1.5d", "True", "a"),
+            ("-2", " 2 ", "inf", "1", "2.0", "false", "3"),
+            (None, "-.5", "-Infinity", "2", "3", None, None)]
+    cols = ["i", "f", "e", "big", "javafloat", "b", "mixed"]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols))
+    types = CI.infer_types(df, cols)
+    assert types == {"i": "double", "f": "double", "e": "double", "big": "double",
+                     "javafloat": "string", "b": "boolean", "mixed": "string"}
+    full = spark.createDataFrame([("1",), ("-2",), ("+3",)], "i string")
+    assert CI.infer_types(full, ["i"]) == {"i": "bigint"}
+    typed = CI.apply_types(df, types).collect()
+    assert typed[1]["e"] == float("inf") and typed[2]["f"] == -0.5 and typed[0]["big"] == 1.2345678901234567e19
