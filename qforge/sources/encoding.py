@@ -89,7 +89,9 @@ def detect(spark: SparkSession, paths: list[str], chain: tuple[str, ...] = ANALY
     if not paths:
         return spark.createDataFrame([], schema)
     lines = raw_lines(spark, paths)
-    utf8 = F.is_valid_utf8(F.encode(F.col("v"), "ISO-8859-1").cast("string"))
+    # plain ASCII lines are valid UTF-8; only the others are re-encoded and checked
+    ascii_only = ~F.col("v").rlike("[^\\x00-\\x7F]")
+    utf8 = F.when(ascii_only, True).otherwise(F.is_valid_utf8(F.encode(F.col("v"), "ISO-8859-1").cast("string")))
     per_file = (lines.groupBy("path")
                 .agg(F.bool_and(utf8).alias("utf8"), F.count(F.lit(1)).alias("n_lines"),
                      F.min_by(F.col("v"), F.when(F.col("block_start") == 0, F.col("ord"))).alias("first"))
