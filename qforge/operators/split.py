@@ -62,17 +62,31 @@ class SplitPlan:
         return out
 
 
+PREFIX_SPAN = float(2 ** 52)
+
+
 def plan_split(df: DataFrame, label: str, key: str | Column, test_size: float = 0.2,
-               seed: int = 42) -> SplitPlan:
-    """Class quotas and per-class hash thresholds. ``key`` must identify rows uniquely."""
+               seed: int = 42, bins: int = 4096) -> SplitPlan:
+    """Class quotas and per-class hash thresholds. ``key`` must identify rows uniquely.
+
+    The hash prefix is uniform over the known range [0, 2^52), so the first
+    pass needs no min/max: one grouped pass over (class, prefix bucket)
+    yields the class sizes and a histogram per class together. The bucket
+    holding each class's threshold rank is then resolved by the order-
+    statistic search restricted to that bucket (usually one value fetch).
+    """
     y = col(label)
     h = split_hash(key, seed)
     pre = _prefix(h)
-    # one grouped pass: class sizes and the hash-prefix range of each class
-    per_class = (df.where(y.isNotNull()).groupBy(y.alias("y"))
-                 .agg(F.count(F.lit(1)).alias("n"), F.min(pre).alias("lo"), F.max(pre).alias("hi"))
-                 .collect())  # bounded: one row per class
-    counts = {r["y"]: int(r["n"]) for r in per_class}
+    staged = df.where(y.isNotNull()).select(y.alias("y"), pre.alias("pre"))
+    bucket = F.least((F.col("pre") / F.lit(PREFIX_SPAN) * bins).cast("int"), F.lit(bins - 1))
+    hist_rows = (staged.groupBy("y", bucket.alias("b"))
+                 .agg(F.count(F.lit(1)).alias("n"), F.min("pre").alias("lo"), F.max("pre").alias("hi"))
+                 .collect())  # bounded: <= #classes x bins rows
+    hist: dict = {}
+    for r in hist_rows:
+        hist.setdefault(r["y"], []).append((r["b"], int(r["n"]), r["lo"], r["hi"]))
+    counts = {c: sum(n for _, n, _, _ in rows) for c, rows in hist.items()}
     n = sum(counts.values())
     if n == 0:
         raise ValueError("cannot split an empty table")
@@ -84,24 +98,31 @@ def plan_split(df: DataFrame, label: str, key: str | Column, test_size: float =
         raise ValueError("test and train sets must each hold at least one row per class")
     quotas = class_quotas(counts, n_test)
 
-    ranges = {r["y"]: (r["lo"], r["hi"]) for r in per_class}
-    values, ranks, names, profile = {}, {}, {}, {}
+    values, ranks, profile, below = {}, {}, {}, {}
     for i, c in enumerate(sorted(counts)):
-        if quotas[c] > 0:
-            name = f"c{i}"
-            names[c] = name
-            values[name] = F.when(y == F.lit(c), pre)
-            ranks[name] = [quotas[c] - 1]
-            profile[name] = (counts[c], *ranges[c])
+        if quotas[c] == 0:
+            continue
+        r, cum = quotas[c] - 1, 0
+        for b, cnt, lo, hi in sorted(hist[c]):
+            if r < cum + cnt:
+                name = f"c{i}"
+                # the population is the class's rows inside that bucket
+                values[name] = F.when((y == F.lit(c)) & pre.between(dlit(lo), dlit(hi)), pre)
+                ranks[name] = [r - cum]
+                profile[name] = (cnt, lo, hi)
+                below[c] = (name, cum)
+                break
+            cum += cnt
     found = order_statistics(df, values, ranks, profile=profile) if values else {}
     plan = SplitPlan(label, key, seed, quotas)
     for c in sorted(counts):
         if quotas[c] == 0:
             plan.conds[c] = F.lit(False)
             continue
-        res = found[names[c]][quotas[c] - 1]
-        t = res.value
-        if res.n_less + res.n_equal == quotas[c]:
+        name, cum = below[c]
+        res = found[name][quotas[c] - 1 - cum]
+        t, n_less = res.value, cum + res.n_less
+        if n_less + res.n_equal == quotas[c]:
             plan.conds[c] = pre <= dlit(t)
             continue
         # several rows share the 52-bit prefix at the boundary: order them by the full hash
@@ -109,7 +130,7 @@ def plan_split(df: DataFrame, label: str, key: str | Column, test_size: float =
             raise ValueError("split key is not unique enough: too many rows share one hash")
         # bounded: the tie count was checked against MAX_TIES above
         tied = sorted(r[0] for r in df.where((y == F.lit(c)) & (pre == dlit(t))).select(h).collect())
-        need = quotas[c] - res.n_less
+        need = quotas[c] - n_less
         cut = tied[need - 1]
         if need < len(tied) and tied[need] == cut:
             raise ValueError("split key is not unique: identical keys straddle the split")
