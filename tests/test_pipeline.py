@@ -43,3 +43,24 @@ def test_model_roundtrip(spark, tmp_path):
     b = {r.event_id: r.y_score for r in m2.score(test).collect()}
     assert a == b
     assert all(0.0 <= v <= 1.0 for v in a.values())
+
+
+def test_train_and_evaluate_and_region(spark):
+    import json
+    from qforge.operators import region as R
+    df = td.sensor(spark, SF_SMALL)
+    res = FO.train_and_evaluate(df, ["temp", "humid", "press"], "error", "event_id", n_trees=5, max_depth=6)
+    sizes = res.split_sizes.first()
+    assert (sizes.train_size, sizes.test_size) == (800, 200)
+    ev = res.evaluation.first()
+    assert 0.5 <= ev.accuracy <= 1.0
+    scorer = FO.grid_scorer(res.model)
+    reg = R.analyze_safe_region(df, scorer, ["temp", "humid", "press"], {"temp": 4, "humid": 3, "press": 2},
+                                threshold=1.01, bounds="minmax").first()
+    assert reg.status == "success" and reg.n_safe_points == reg.n_total_points == 24
+    mm = df.agg(F.min("temp"), F.max("temp")).first()
+    assert (reg.temp_min, reg.temp_max) == (mm[0], mm[1])
+    b3 = {"temp": (0.0, 1.0), "humid": (0.0, 1.0), "press": (0.0, 1.0)}
+    none = R.estimate_safe_region(spark, scorer, b3, {"temp": 3, "humid": 2, "press": 2}, threshold=0.0)
+    js = json.loads(R.safe_region_json(none, list(b3)).first().result)
+    assert js["status"] == "no_safe_region"
