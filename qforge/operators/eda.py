@@ -224,45 +224,61 @@ def _long(section: str, column: str | Column, stat: str | Column, value: Column)
                     value.cast("double").alias("value"))
 
 
-def eda_report(df: DataFrame, cols: list[str], label_col: str = "error", bins: int = 30,
-               stats: ColumnStats | None = None) -> DataFrame:
-    """All EDA tables in one long table: section, column, stat, value.
+def eda_tables(df: DataFrame, cols: list[str], label_col: str = "error", bins: int = 30,
+               stats: ColumnStats | None = None) -> dict[str, DataFrame]:
+    """A10 as separate tables on one set of statistics.
 
-    Scans: the statistics (moments + quantile passes), the histogram
-    grouping, ONE fused aggregate for box plot + correlation + label
-    summary, and the label grouping.
+    describe comes from the statistics; box plot, correlation and label
+    summary come from ONE fused aggregate (its single row is materialised
+    and the three tables are cut from it); histogram and label counts are
+    one grouping each. Three scans in total beyond the statistics.
     """
     st = _stats(df, cols, stats)
-    d = describe_numeric(df, cols, stats=st)
-    describe = d.select(F.inline(F.array(*[_long("describe", F.col("column"), s, F.col(s))
-                                           for s in DESCRIBE_STATS])))
-    hist = histogram(df, cols, bins, stats=st).select(
-        F.lit("histogram").alias("section"), "column",
-        F.format_string("bin_%02d", F.col("bin")).alias("stat"), F.col("count").cast("double").alias("value"))
-
     box_aggs, box_rows = _box_parts(cols, st, 1.5)
     corr_aggs, corr_rows = _corr_parts(cols, 6)
     lab_aggs, lab_out = _label_parts(label_col)
-    structs = ([_long("boxplot", c, k, e[k]) for c, e in box_rows for k in BOX_STATS]
-               + [_long("correlation", a, b, v) for a, b, v in corr_rows]
-               + [_long("label_summary", label_col, k, v) for k, v in lab_out.items()])
-    fused = df.agg(*box_aggs, *corr_aggs, *lab_aggs).select(F.inline(F.array(*structs)))
-    labels = label_distribution(df, label_col).select(
-        F.lit("label").alias("section"), F.lit(label_col).alias("column"),
-        F.col("label").cast("string").alias("stat"), F.col("count").cast("double").alias("value"))
-    return describe.unionByName(hist).unionByName(fused).unionByName(labels)
-
-
-def eda_tables(df: DataFrame, cols: list[str], label_col: str = "error", bins: int = 30,
-               stats: ColumnStats | None = None) -> dict[str, DataFrame]:
-    """A10 as separate tables (describe, histogram, correlation, boxplot, labels, label summary)
-    on one set of statistics."""
-    st = _stats(df, cols, stats)
+    agg = df.agg(*box_aggs, *corr_aggs, *lab_aggs)
+    wide = df.sparkSession.createDataFrame([agg.first()], agg.schema)  # bounded: one row
+    order = ["q1", "median", "q3", "iqr", "whisker_low", "whisker_high", "n_outliers"]
+    if box_rows:
+        box = wide.select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column"), *[e[k].alias(k) for k in order]) for c, e in box_rows])))
+    else:
+        box = df.sparkSession.createDataFrame([], "column string, q1 double, median double, q3 double, "
+                                                  "iqr double, whisker_low double, whisker_high double, n_outliers long")
     return {
         "describe": describe_numeric(df, cols, stats=st),
         "histogram": histogram(df, cols, bins, stats=st),
-        "correlation": correlation(df, cols),
-        "boxplot": boxplot_stats(df, cols, stats=st),
+        "correlation": wide.select(F.inline(F.array(*[
+            F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), v.alias("corr")) for a, b, v in corr_rows]))),
+        "boxplot": box,
         "label_distribution": label_distribution(df, label_col),
-        "label_summary": label_summary(df, label_col),
+        "label_summary": wide.select(*[v.alias(k) for k, v in lab_out.items()]),
     }
+
+
+def eda_long(tables: dict[str, DataFrame], label_col: str = "error") -> DataFrame:
+    """The EDA tables as one long table: section, column, stat, value."""
+    describe = tables["describe"].select(F.inline(F.array(*[
+        _long("describe", F.col("column"), s, F.col(s)) for s in DESCRIBE_STATS])))
+    hist = tables["histogram"].select(
+        F.lit("histogram").alias("section"), "column",
+        F.format_string("bin_%02d", F.col("bin")).alias("stat"), F.col("count").cast("double").alias("value"))
+    corr = tables["correlation"].select(
+        F.lit("correlation").alias("section"), F.col("x").alias("column"), F.col("y").alias("stat"),
+        F.col("corr").alias("value"))
+    box = tables["boxplot"].select(F.inline(F.array(*[
+        _long("boxplot", F.col("column"), s, F.col(s)) for s in BOX_STATS])))
+    labels = tables["label_distribution"].select(
+        F.lit("label").alias("section"), F.lit(label_col).alias("column"),
+        F.col("label").cast("string").alias("stat"), F.col("count").cast("double").alias("value"))
+    summ = tables["label_summary"].select(F.inline(F.array(*[
+        _long("label_summary", label_col, s, F.col(s))
+        for s in ["total", "normal_count", "error_count", "error_rate"]])))
+    return describe.unionByName(hist).unionByName(corr).unionByName(box).unionByName(labels).unionByName(summ)
+
+
+def eda_report(df: DataFrame, cols: list[str], label_col: str = "error", bins: int = 30,
+               stats: ColumnStats | None = None) -> DataFrame:
+    """All EDA tables in one long table: section, column, stat, value."""
+    return eda_long(eda_tables(df, cols, label_col, bins, stats), label_col)

@@ -130,9 +130,11 @@ def run_full_pipeline(spark: SparkSession, data_dir: str, output_dir: str | None
     write_result(qi, out, "quality_indices")
     qsum = Q.quality_summary(spark.read.parquet(f"{out}/quality_indices"))
     write_result(qsum, out, "quality_summary")
-    write_result(E.eda_report(cleaned, features, target, stats=st), out, "eda_report")
+    written = {}
     for name, table in E.eda_tables(cleaned, features, target, stats=st).items():
         write_result(table, out, f"eda/{name}")
+        written[name] = spark.read.parquet(f"{out}/eda/{name}")
+    write_result(E.eda_long(written, target), out, "eda_report")     # reshaped, no rescan
 
     train, test = S.stratified_split(cleaned, target, ROW_ID, test_size, seed)
     model = FO.fit_forest(train, features, target, n_trees=n_trees, max_depth=max_depth, seed=seed)
