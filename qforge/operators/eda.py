@@ -1,6 +1,6 @@
 """Exploratory statistics as tables (A5-A10).
 
-The reference draws charts; here each chart's numbers are a DataFrame.
+The source system draws charts; here each chart's numbers are a DataFrame.
 All of them come from global aggregates with map-side partial
 aggregation, so shuffled data is bounded by (#columns x #bins) or
 (#columns^2), never by the number of rows.

@@ -57,7 +57,7 @@ def sensor_file_info(spark: SparkSession, source: str | list[str]) -> DataFrame:
 
 
 def select_latest_sensor_files(spark: SparkSession, source: str | list[str], n: int = 2) -> tuple[DataFrame, list[str]]:
-    """S5 with the reference's distinct errors: missing folder, no sensor file."""
+    """S5 with distinct errors for a missing folder and for a folder without sensor files."""
     m = sensor_files(file_manifest(spark, source))
     chosen = [r["path"] for r in latest_files(m, n).select("path").collect()]
     if not chosen:
