@@ -23,7 +23,7 @@ from qforge.operators import metrics as M
 from qforge.operators import quality as Q
 from qforge.operators import region as R
 from qforge.operators import split as S
-from qforge.session import scratch_path
+from qforge.session import path_exists, scratch_path
 from qforge.sources import csv_ingest as CI
 from qforge.sources import manifest as MF
 
@@ -39,10 +39,7 @@ class MergeResult:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.globStatus(p))
+    return path_exists(spark, path)
 
 
 def merge_sensor_files(spark: SparkSession, data_dir: str, num_files: int | None = 2,

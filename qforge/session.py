@@ -8,7 +8,6 @@ none (local tests).
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -75,13 +74,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/qforge-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str | None:
-    """Strip a file: scheme; None for non-local file systems."""
-    if path.startswith("file:"):
-        p = path[len("file:"):]
-        while p.startswith("//"):
-            p = p[1:]
-        return p
-    if "://" in path:
-        return None
-    return path if os.path.isabs(path) else os.path.abspath(path)
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """True when the path (or glob) matches anything on its file system."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.globStatus(p))

@@ -58,6 +58,10 @@ def sensor_file_info(spark: SparkSession, source: str | list[str]) -> DataFrame:
 
 def select_latest_sensor_files(spark: SparkSession, source: str | list[str], n: int = 2) -> tuple[DataFrame, list[str]]:
     """S5 with distinct errors for a missing folder and for a folder without sensor files."""
+    from qforge.session import path_exists
+    for src in ([source] if isinstance(source, str) else source):
+        if not path_exists(spark, src):
+            raise FileNotFoundError(f"data folder not found: {src}")
     m = sensor_files(file_manifest(spark, source))
     chosen = [r["path"] for r in latest_files(m, n).select("path").collect()]
     if not chosen:

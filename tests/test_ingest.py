@@ -112,3 +112,14 @@ def test_type_inference_shapes(spark):
     assert CI.infer_types(full, ["i"]) == {"i": "bigint"}
     typed = CI.apply_types(df, types).collect()
     assert typed[1]["e"] == float("inf") and typed[2]["f"] == -0.5 and typed[0]["big"] == 1.2345678901234567e19
+
+
+def test_select_latest_errors(spark, folder, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        MF.select_latest_sensor_files(spark, str(tmp_path / "missing"))
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    with pytest.raises(ValueError):
+        MF.select_latest_sensor_files(spark, str(empty))
+    _, chosen = MF.select_latest_sensor_files(spark, folder, 2)
+    assert [c.rsplit("/", 1)[-1] for c in chosen] == ["f.csv", "d.csv"]
