@@ -148,6 +148,7 @@ def run_full_pipeline(spark: SparkSession, data_dir: str, output_dir: str | None
     write_result(M.metrics_table(preds, "y_true", "y_pred", "y_score", table=table), out, "metrics")
     write_result(M.classification_report(preds, "y_true", "y_pred"), out, "classification_report")
     write_result(M.confusion_matrix(preds, "y_true", "y_pred"), out, "confusion_matrix")
+    write_result(M.confusion_named(preds, "y_true", "y_pred"), out, "confusion_named")
     write_result(M.roc_curve(preds, "y_true", "y_score", table=table), out, "roc_curve")
     write_result(M.pr_curve(preds, "y_true", "y_score", table=table), out, "pr_curve")
     write_result(model.importance(), out, "feature_importance")

@@ -20,7 +20,8 @@ def test_full_pipeline(spark, tmp_path):
     assert row.original_rows - row.cleaned_rows == row.removed_rows
     assert row.n_total_points == 4000
     for name in ["combined", "cleaned", "clean_summary", "quality_indices", "eda_report", "test_predictions",
-                 "metrics", "roc_curve", "pr_curve", "feature_importance", "safe_region"]:
+                 "metrics", "roc_curve", "pr_curve", "feature_importance", "safe_region", "confusion_named",
+                 "classification_report", "confusion_matrix", "score_table"]:
         assert P.read_result(spark, out, name).count() >= 1, name
     for name in ["describe", "histogram", "correlation", "boxplot", "label_distribution", "label_summary"]:
         assert P.read_result(spark, out, f"eda/{name}").count() >= 1, name
