@@ -82,17 +82,18 @@ def inspect_files(spark: SparkSession, paths: list[str], chain=enc.ANALYSIS_CHAI
                   rename: dict[str, str] | None = None) -> list[FileInfo]:
     """Charset, line count and normalised columns for each file (bounded by #files)."""
     det = {r["path"]: r for r in enc.detect(spark, paths, chain).collect()}  # bounded: per file
+    by_norm = {norm_path(k): r for k, r in det.items()}
     infos = []
     for p in paths:
-        key = _match(det, p)
-        r = det.get(key) if key else None
+        r = det.get(p) or by_norm.get(norm_path(p))
         name = p.rstrip("/").split("/")[-1]
         if r is None:  # empty file: no line at all
             infos.append(FileInfo(p, name, None, 0, [], []))
             continue
         raw = dedupe_names(enc.parse_header(r["header"])) if r["header"] is not None else []
         cols = normalize_names(raw, CANONICAL_SENSOR_NAMES if rename is None else rename) if raw else []
-        infos.append(FileInfo(r["path"], name, r["charset"], int(r["n_lines"]), raw, cols))
+        # keep the caller's path string: callers select files by it
+        infos.append(FileInfo(p, name, r["charset"], int(r["n_lines"]), raw, cols))
     return infos
 
 
@@ -104,17 +105,6 @@ def norm_path(p: str) -> str:
     return p
 
 
-def _match(det: dict, p: str) -> str | None:
-    """Detector paths are qualified URIs; manifest paths may not be."""
-    if p in det:
-        return p
-    want = norm_path(p)
-    for k in det:
-        if norm_path(k) == want:
-            return k
-    return None
-
-
 def read_group(spark: SparkSession, paths: list[str], charset: str, columns: list[str]) -> DataFrame:
     """One CSV scan for files that share charset and header; all columns as strings."""
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
