@@ -124,15 +124,9 @@ def _fill_values(df: DataFrame, cols: list[str] | None) -> dict[str, Column]:
     return out
 
 
-def clean(df: DataFrame, num_cols: list[str], missing_method: str = "drop",
-          outlier_threshold: float = 3.0, subset: list[str] | None = None) -> CleanResult:
-    """C1 -> C2/C3 -> C5 with counters.
-
-    The z-score statistics are fitted on the data *after* missing-value
-    handling. All counters come from ONE aggregate over the input: the
-    after-missing values and the fitted z predicate are evaluated on a
-    projection of it, so no intermediate table is counted separately.
-    """
+def _clean_plan(df: DataFrame, num_cols: list[str], missing_method: str, outlier_threshold: float,
+                subset: list[str] | None):
+    """after-missing values, the keep flags, the fitted z model and the counter expressions."""
     if missing_method == "drop":
         after = {c: col(c) for c in df.columns}
         kept = _all([~is_missing(df, c) for c in (subset or df.columns)])
@@ -143,24 +137,24 @@ def clean(df: DataFrame, num_cols: list[str], missing_method: str = "drop",
         raise ValueError("missing_method must be 'drop' or 'fill'")
     after_missing = df.where(kept).select(*[e.alias(c) for c, e in after.items()])
     zs = fit_zscore(after_missing, num_cols, outlier_threshold)
-    cleaned = zs.transform(after_missing)
-
     # one projection carries the input's missing flags and the after-missing values
-    n_in = len(df.columns)
     proj = df.select(*[e.alias(c) for c, e in after.items()], kept.alias("__kept"),
                      *[is_missing(df, c).alias(f"__m{i}") for i, c in enumerate(df.columns)])
     k = F.col("__kept")
     missing_before = F.lit(0).cast("long")
-    for i in range(n_in):
+    for i in range(len(df.columns)):
         missing_before = missing_before + F.count_if(F.col(f"__m{i}"))
     missing_after = F.lit(0).cast("long")
     for c in after:
         missing_after = missing_after + F.count_if(k & is_missing(proj, c))
-    summary = proj.agg(
-        F.count(F.lit(1)).alias("original_rows"), missing_before.alias("missing_before"),
-        missing_after.alias("missing_after"), F.count_if(k).alias("rows_after_missing"),
-        F.count_if(k & zs.keep()).alias("final_rows"),
-    ).select(
+    counters = [F.count(F.lit(1)).alias("original_rows"), missing_before.alias("missing_before"),
+                missing_after.alias("missing_after"), F.count_if(k).alias("rows_after_missing"),
+                F.count_if(k & zs.keep()).alias("final_rows")]
+    return after_missing, zs, proj, counters
+
+
+def _summary(counts: DataFrame, missing_method: str, outlier_threshold: float) -> DataFrame:
+    return counts.select(
         F.lit(missing_method).alias("missing_method"),
         F.lit(float(outlier_threshold)).alias("outlier_threshold"),
         "original_rows", "missing_before", "missing_after", "rows_after_missing",
@@ -170,7 +164,20 @@ def clean(df: DataFrame, num_cols: list[str], missing_method: str = "drop",
         "final_rows",
         (F.col("original_rows") - F.col("final_rows")).alias("total_removed_rows"),
     )
-    return CleanResult(cleaned, summary, zs)
+
+
+def clean(df: DataFrame, num_cols: list[str], missing_method: str = "drop",
+          outlier_threshold: float = 3.0, subset: list[str] | None = None) -> CleanResult:
+    """C1 -> C2/C3 -> C5 with counters.
+
+    The z-score statistics are fitted on the data *after* missing-value
+    handling. All counters come from ONE aggregate over the input: the
+    after-missing values and the fitted z predicate are evaluated on a
+    projection of it, so no intermediate table is counted separately.
+    """
+    after_missing, zs, proj, counters = _clean_plan(df, num_cols, missing_method, outlier_threshold, subset)
+    summary = _summary(proj.agg(*counters), missing_method, outlier_threshold)
+    return CleanResult(zs.transform(after_missing), summary, zs)
 
 
 def clean_summary(df: DataFrame, num_cols: list[str], missing_method: str = "drop",

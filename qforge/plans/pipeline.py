@@ -116,9 +116,10 @@ def run_full_pipeline(spark: SparkSession, data_dir: str, output_dir: str | None
     data_cols = [c for c in combined.columns if c != ROW_ID]
 
     # clean: missing values are judged on the data columns, not the row id
+    # (observed metrics on the write would save the counter scan, but an Observation
+    # leaves the session unable to serialise Spark ML's scoring closures)
     cleaning = C.clean(combined, features, missing_method, outlier_threshold, subset=data_cols)
-    cleaned_path = CI.land(cleaning.cleaned, f"{out}/cleaned")
-    cleaned = spark.read.parquet(cleaned_path)
+    cleaned = spark.read.parquet(CI.land(cleaning.cleaned, f"{out}/cleaned"))
     write_result(cleaning.summary, out, "clean_summary")
 
     # one statistics pass serves quality, EDA and the region bounds
