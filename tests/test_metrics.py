@@ -73,3 +73,27 @@ def test_curves_monotone_and_bucketed(spark):
     pts = sorted((r.fpr, r.tpr) for r in whole)
     assert pts[0] == (0.0, 0.0) and pts[-1] == (1.0, 1.0)
     assert all(b[1] >= a[1] for a, b in zip(pts, pts[1:]))
+
+
+def test_report_three_classes(spark):
+    import random
+    rnd = random.Random(11)
+    rows = [(rnd.choice("abc"), rnd.choice("abcd")) for _ in range(500)]
+    df = spark.createDataFrame(rows, "label string, prediction string")
+    rep = {r.class_label: r for r in M.classification_report(df).collect()}
+    classes = sorted({x for pair in rows for x in pair})
+    f1s, sup = [], []
+    for c in classes:
+        tp = sum(1 for y, p in rows if y == c and p == c)
+        pred = sum(1 for _, p in rows if p == c)
+        true = sum(1 for y, _ in rows if y == c)
+        prec = tp / pred if pred else 0.0
+        rec = tp / true if true else 0.0
+        f1 = 2 * tp / (true + pred) if (true + pred) else 0.0
+        assert rep[c].precision == pytest.approx(prec) and rep[c].recall == pytest.approx(rec)
+        assert rep[c].f1_score == pytest.approx(f1) and rep[c].support == true
+        f1s.append(f1)
+        sup.append(true)
+    assert rep["macro avg"].f1_score == pytest.approx(sum(f1s) / len(f1s))
+    assert rep["weighted avg"].f1_score == pytest.approx(sum(f * s for f, s in zip(f1s, sup)) / sum(sup))
+    assert rep["accuracy"].f1_score == pytest.approx(sum(1 for y, p in rows if y == p) / len(rows))
