@@ -167,9 +167,9 @@ def _histogram_pass(df, values, names, sel, bins):
         v = values[name]
 
         def bin_of(g, lo, hi, v=v):
-            if not (math.isfinite(lo) and math.isfinite(hi)):
-                # an infinite end: its own bucket; the finite values in between
-                # form one bucket that the next pass splits
+            if not (math.isfinite(lo) and math.isfinite(hi)) or hi * 0.5 - lo * 0.5 == 0.0:
+                # an infinite end (or a span too small to scale): each end its own
+                # bucket; the values in between form one bucket the next pass splits
                 return F.when(v == F.lit(lo), 0).when(v == F.lit(hi), bins - 1).otherwise(1)
             # halves avoid overflow of hi-lo; the map is monotone in v
             frac = (v * 0.5 - F.lit(lo * 0.5)) / F.lit(hi * 0.5 - lo * 0.5)

@@ -129,12 +129,23 @@ def _pos(meta):
 
 
 # ---------------------------------------------------------------- A7
+def pearson(a: Column, b: Column) -> Column:
+    """Pearson correlation over the rows where both are present; NULL when either is constant.
+
+    Spark's ``corr`` raises DIVIDE_BY_ZERO under ANSI mode for a constant
+    column, so it is written as covariance / (std * std) with try_divide.
+    """
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def _corr_parts(cols: list[str], digits: int):
     aggs, pairs = [], {}
     for i, a in enumerate(cols):
         for j in range(i, len(cols)):
             pairs[(i, j)] = f"corr_{i}_{j}"
-            aggs.append(F.corr(as_double(a), as_double(cols[j])).alias(pairs[(i, j)]))
+            aggs.append(pearson(as_double(a), as_double(cols[j])).alias(pairs[(i, j)]))
     rows = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):

@@ -144,3 +144,19 @@ def test_quantiles_with_infinities(spark):
         assert g == want or (np.isnan(want) and np.isnan(g))
     with pytest.raises(ValueError):
         E.histogram(df, ["x"], 30).collect()
+
+
+def test_eda_report_awkward_columns(spark):
+    df = spark.createDataFrame([(None, 2.0, float(i), i % 2 if i < 9 else None) for i in range(10)],
+                               "a double, b double, c double, error int")
+    rep = E.eda_report(df, ["a", "b", "c"], "error")
+    sections = {r.section for r in rep.collect()}
+    assert sections == {"describe", "histogram", "correlation", "boxplot", "label", "label_summary"}
+    hist = E.histogram(df, ["a", "b", "c"], 30)
+    assert {r.column for r in hist.collect()} == {"b", "c"}          # all-null column has no bins
+    corr = {(r.x, r.y): r.corr for r in E.correlation(df, ["a", "b", "c"]).collect()}
+    assert corr[("b", "b")] is None and corr[("a", "c")] is None and corr[("c", "c")] == 1.0
+    box = {r.column for r in E.boxplot_stats(df, ["a", "b", "c"]).collect()}
+    assert box == {"b", "c"}
+    summ = E.label_summary(df, "error").first()
+    assert (summ.total, summ.normal_count, summ.error_count) == (10, 5, 4)
