@@ -160,3 +160,24 @@ def test_eda_report_awkward_columns(spark):
     assert box == {"b", "c"}
     summ = E.label_summary(df, "error").first()
     assert (summ.total, summ.normal_count, summ.error_count) == (10, 5, 4)
+
+
+def test_empty_table_everywhere(spark):
+    from qforge.operators import metrics as M
+    from qforge.operators import region as R
+    empty = spark.createDataFrame([], "temp double, humid double, error int")
+    cols = ["temp", "humid"]
+    assert E.describe_numeric(empty, cols).first()["count"] == 0
+    assert E.histogram(empty, cols).count() == 0
+    assert E.boxplot_stats(empty, cols).count() == 0
+    assert E.eda_report(empty, cols, "error").where("section = 'label_summary'").count() == 4
+    s = C.clean_summary(empty, cols)
+    assert s.first().final_rows == 0 and s.first().outlier_removal_rate == 0.0
+    scored = spark.createDataFrame([], "label int, prediction int, score double")
+    assert M.confusion_counts(scored).first().tp == 0
+    assert M.auc_ap(scored).first().roc_auc is None
+    assert M.roc_curve(scored).count() == 1
+    assert M.pr_curve(scored).count() == 1
+    assert M.classification_report(scored).where("class_label = 'accuracy'").count() == 1
+    reg = R.safe_region(spark.createDataFrame([], "temp double, p_defect double"), ["temp"], "p_defect", 0.5).first()
+    assert reg.status == "no_safe_region" and reg.n_total_points == 0
