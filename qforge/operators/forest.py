@@ -43,7 +43,9 @@ class ForestModel:
         keep = [c for c in df.columns]
         return out.select(
             *[col(c) for c in keep],
-            vector_to_array(F.col("probability"))[1].alias(prob_col),
+            # a model that never saw class 1 has one-element probabilities: P(1) = 0
+            F.coalesce(F.try_element_at(vector_to_array(F.col("probability")), F.lit(2)),
+                       F.lit(0.0)).alias(prob_col),
             F.col("prediction").cast("int").alias(pred_col))
 
     def importance(self, top_n: int | None = None) -> DataFrame:

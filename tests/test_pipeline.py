@@ -65,3 +65,11 @@ def test_train_and_evaluate_and_region(spark):
     none = R.estimate_safe_region(spark, scorer, b3, {"temp": 3, "humid": 2, "press": 2}, threshold=0.0)
     js = json.loads(R.safe_region_json(none, list(b3)).first().result)
     assert js["status"] == "no_safe_region"
+
+
+def test_single_class_training(spark):
+    df = spark.range(50).select(F.col("id").cast("double").alias("temp"), (F.col("id") * 2.0).alias("humid"),
+                                F.lit(1.0).alias("press"), F.lit(0).alias("error"))
+    m = FO.fit_forest(df, ["temp", "humid", "press"], "error", n_trees=3, max_depth=3)
+    out = m.score(df).agg(F.max("y_score"), F.max("y_pred")).first()
+    assert tuple(out) == (0.0, 0)
