@@ -53,6 +53,7 @@ class FileInfo:
     n_lines: int
     raw_names: list[str]
     columns: list[str]
+    error: str | None = None
 
     @property
     def rows(self) -> int:
@@ -91,9 +92,13 @@ def inspect_files(spark: SparkSession, paths: list[str], chain=enc.ANALYSIS_CHAI
             infos.append(FileInfo(p, name, None, 0, [], []))
             continue
         raw = dedupe_names(enc.parse_header(r["header"])) if r["header"] is not None else []
-        cols = normalize_names(raw, CANONICAL_SENSOR_NAMES if rename is None else rename) if raw else []
+        try:
+            cols = normalize_names(raw, CANONICAL_SENSOR_NAMES if rename is None else rename) if raw else []
+            err = None
+        except ValueError as e:          # e.g. two headers that normalise to one name
+            cols, err = [], str(e)
         # keep the caller's path string: callers select files by it
-        infos.append(FileInfo(p, name, r["charset"], int(r["n_lines"]), raw, cols))
+        infos.append(FileInfo(p, name, r["charset"], int(r["n_lines"]), raw, cols, err))
     return infos
 
 
@@ -172,7 +177,8 @@ def read_csv_strings(spark: SparkSession, paths: list[str], chain=enc.ANALYSIS_C
                      infos: list[FileInfo] | None = None) -> tuple[DataFrame, list[str]]:
     """Parsed but untyped rows of many CSV files: (strings with NA tokens as NULL, column order)."""
     infos = infos if infos is not None else inspect_files(spark, paths, chain, rename)
-    bad = [i.file_name for i in infos if i.charset is None or not i.columns]
+    bad = [f"{i.file_name} ({i.error})" if i.error else i.file_name
+           for i in infos if i.charset is None or not i.columns]
     if bad:
         raise ValueError(f"cannot decode or parse: {', '.join(sorted(bad))}")
     groups: dict[tuple, list[str]] = {}
@@ -223,20 +229,23 @@ def file_summary(spark: SparkSession, infos: list[FileInfo]) -> DataFrame:
 
 
 def ingest_report(spark: SparkSession, paths: list[str], chain=enc.UPLOAD_CHAIN,
-                  rename: dict[str, str] | None = None) -> DataFrame:
+                  rename: dict[str, str] | None = None, infos: list[FileInfo] | None = None) -> DataFrame:
     """S3: one row per offered file: file_name, status, error, rows, cols.
 
-    Names not ending in .csv are rejected; a file that is empty or cannot
-    be decoded fails on its own without stopping the rest.
+    Names not ending in .csv are rejected; a file that is empty, cannot be
+    decoded or has clashing column names fails on its own without stopping
+    the rest.
     """
     csvs = [p for p in paths if p.endswith(".csv")]
     rows = [(p.rstrip("/").split("/")[-1], "failed", "only CSV files are accepted", None, None)
             for p in paths if not p.endswith(".csv")]
-    for i in (inspect_files(spark, csvs, chain, rename) if csvs else []):
+    if infos is None:
+        infos = inspect_files(spark, csvs, chain, rename) if csvs else []
+    for i in infos:
         if i.charset is None:
             rows.append((i.file_name, "failed", "no supported character encoding fits", None, None))
         elif not i.columns:
-            rows.append((i.file_name, "failed", "no columns to parse", None, None))
+            rows.append((i.file_name, "failed", i.error or "no columns to parse", None, None))
         else:
             rows.append((i.file_name, "success", None, i.rows, len(i.columns)))
     return spark.createDataFrame(rows, "file_name string, status string, error string, rows long, cols long")
@@ -249,9 +258,10 @@ def land_uploads(spark: SparkSession, paths: list[str], landing: str, chain=enc.
     Each landed row keeps its source file and the ingest time. Returns the
     per-file report; raises when no file of the batch could be ingested.
     """
-    report = require_success(ingest_report(spark, paths, chain, rename))
-    good = [p for p in paths if p.endswith(".csv")]
-    infos = [i for i in inspect_files(spark, good, chain, rename) if i.charset and i.columns]
+    csvs = [p for p in paths if p.endswith(".csv")]
+    all_infos = inspect_files(spark, csvs, chain, rename) if csvs else []   # one detection pass
+    report = require_success(ingest_report(spark, paths, chain, rename, infos=all_infos))
+    infos = [i for i in all_infos if i.charset and i.columns]
     if infos:
         rows = read_csv_files(spark, [i.path for i in infos], chain, rename, keep_source=True, infos=infos)
         rows.withColumn("_ingested_at", F.current_timestamp()).write.mode("append").parquet(landing)

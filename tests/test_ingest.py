@@ -123,3 +123,13 @@ def test_select_latest_errors(spark, folder, tmp_path):
         MF.select_latest_sensor_files(spark, str(empty))
     _, chosen = MF.select_latest_sensor_files(spark, folder, 2)
     assert [c.rsplit("/", 1)[-1] for c in chosen] == ["f.csv", "d.csv"]
+
+
+def test_clashing_header_fails_alone(spark, folder, tmp_path):
+    bad = tmp_path / "clash.csv"
+    with open(bad, "wb") as f:
+        f.write("온도,temp\n1,2\n".encode("utf-8"))
+    paths = [str(tmp_path / "a.csv"), str(bad)]
+    rep = {r.file_name: r for r in CI.ingest_report(spark, paths).collect()}
+    assert rep["a.csv"].status == "success"
+    assert rep["clash.csv"].status == "failed" and "normalise" in rep["clash.csv"].error
