@@ -105,11 +105,14 @@ def detect(spark: SparkSession, paths: list[str], chain: tuple[str, ...] = ANALY
         else:
             need_cp949.append(p)
     if need_cp949 and "cp949" in chain:
-        rows = (lines.where(F.col("path").isin(need_cp949)).groupBy("path")
+        # ASCII lines are valid CP949: only lines with other bytes go through Python
+        non_ascii = lines.where(F.col("path").isin(need_cp949) & ~ascii_only)
+        rows = (non_ascii.groupBy("path")
                 .agg(F.bool_and(_cp949_udf()(F.col("v"))).alias("ok")).collect())  # bounded: per file
-        for r in rows:
-            if r["ok"]:
-                charsets[r["path"]] = "cp949"
+        verdict = {r["path"]: r["ok"] for r in rows}
+        for p in need_cp949:
+            if verdict.get(p, True):
+                charsets[p] = "cp949"
     for p in need_cp949:
         if p not in charsets:
             charsets[p] = "latin-1" if "latin-1" in chain else None
