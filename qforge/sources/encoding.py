@@ -106,7 +106,7 @@ def detect(spark: SparkSession, paths: list[str], chain: tuple[str, ...] = ANALY
             need_cp949.append(p)
     if need_cp949 and "cp949" in chain:
         # ASCII lines are valid CP949: only lines with other bytes go through Python
-        non_ascii = lines.where(F.col("path").isin(need_cp949) & ~ascii_only)
+        non_ascii = raw_lines(spark, need_cp949).where(~ascii_only)   # scans only those files
         rows = (non_ascii.groupBy("path")
                 .agg(F.bool_and(_cp949_udf()(F.col("v"))).alias("ok")).collect())  # bounded: per file
         verdict = {r["path"]: r["ok"] for r in rows}
