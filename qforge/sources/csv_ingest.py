@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import functools
 from dataclasses import dataclass
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +25,7 @@ from qforge.functions.columns import as_double, col, is_missing, quote
 from qforge.functions.names import CANONICAL_SENSOR_NAMES, normalize_names
 from qforge.functions.order_stats import column_profile, exact_quantiles
 from qforge.sources import encoding as enc
+from qforge.sources.encoding import norm_path
 from qforge.sources.manifest import base_name
 
 # The default missing-value tokens of the pandas CSV reader.
@@ -102,14 +102,6 @@ def inspect_files(spark: SparkSession, paths: list[str], chain=enc.ANALYSIS_CHAI
     return infos
 
 
-def norm_path(p: str) -> str:
-    """Comparable form of a file path: URI escapes decoded, file: scheme folded."""
-    p = unquote(p)
-    if p.startswith("file:"):
-        p = "/" + p[len("file:"):].lstrip("/")
-    return p
-
-
 def read_group(spark: SparkSession, paths: list[str], charset: str, columns: list[str]) -> DataFrame:
     """One CSV scan for files that share charset and header; all columns as strings."""
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])

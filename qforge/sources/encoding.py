@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import csv
 import io
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -80,10 +81,20 @@ def _cp949_udf():
     return F.pandas_udf(check, T.BooleanType())
 
 
+def norm_path(p: str) -> str:
+    """Comparable form of a file path: URI escapes decoded, file: scheme folded."""
+    p = unquote(p)
+    if p.startswith("file:"):
+        p = "/" + p[len("file:"):].lstrip("/")
+    return p
+
+
 def detect(spark: SparkSession, paths: list[str], chain: tuple[str, ...] = ANALYSIS_CHAIN) -> DataFrame:
-    """path, charset (None when no codec of the chain fits), n_lines, header (decoded text).
+    """path (as given), charset (None when no codec of the chain fits), n_lines, header (decoded text).
 
     Only per-file summaries (bounded by the number of files) reach the driver.
+    Scan metadata reports URI-encoded paths; they are mapped back to the
+    caller's strings, which are also what the second pass reads.
     """
     schema = "path string, charset string, n_lines long, header string"
     if not paths:
@@ -96,7 +107,8 @@ def detect(spark: SparkSession, paths: list[str], chain: tuple[str, ...] = ANALY
                 .agg(F.bool_and(utf8).alias("utf8"), F.count(F.lit(1)).alias("n_lines"),
                      F.min_by(F.col("v"), F.when(F.col("block_start") == 0, F.col("ord"))).alias("first"))
                 .collect())  # bounded: one row per file
-    found = {r["path"]: r for r in per_file}
+    given = {norm_path(p): p for p in paths}
+    found = {given.get(norm_path(r["path"]), r["path"]): r for r in per_file}
     charsets: dict[str, str | None] = {}
     need_cp949 = []
     for p, r in found.items():

@@ -133,3 +133,13 @@ def test_clashing_header_fails_alone(spark, folder, tmp_path):
     rep = {r.file_name: r for r in CI.ingest_report(spark, paths).collect()}
     assert rep["a.csv"].status == "success"
     assert rep["clash.csv"].status == "failed" and "normalise" in rep["clash.csv"].error
+
+
+def test_korean_file_name_with_space(spark, tmp_path):
+    d = tmp_path / "kr"
+    d.mkdir()
+    _write(d / "센서 데이터.csv", "온도,비고\n1.5,뷁\n", "cp949")
+    paths = [r.path for r in MF.file_manifest(spark, str(d)).collect()]
+    infos = CI.inspect_files(spark, paths)
+    assert infos[0].charset == "cp949" and infos[0].file_name == "센서 데이터.csv"
+    assert [tuple(r) for r in CI.read_csv_files(spark, paths, infos=infos).collect()] == [(1.5, "뷁")]
