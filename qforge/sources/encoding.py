@@ -121,9 +121,10 @@ def detect(spark: SparkSession, paths: list[str], chain: tuple[str, ...] = ANALY
         non_ascii = raw_lines(spark, need_cp949).where(~ascii_only)   # scans only those files
         rows = (non_ascii.groupBy("path")
                 .agg(F.bool_and(_cp949_udf()(F.col("v"))).alias("ok")).collect())  # bounded: per file
-        verdict = {r["path"]: r["ok"] for r in rows}
+        verdict = {norm_path(r["path"]): r["ok"] for r in rows}
         for p in need_cp949:
-            if verdict.get(p, True):
+            # a non-UTF-8 file always has a non-ASCII line, so it always has a verdict
+            if verdict.get(norm_path(p), False):
                 charsets[p] = "cp949"
     for p in need_cp949:
         if p not in charsets:
