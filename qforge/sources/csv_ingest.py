@@ -60,6 +60,11 @@ class FileInfo:
         return max(self.n_lines - 1, 0)
 
 
+def unnamed(names: list[str]) -> list[str]:
+    """An empty header name (e.g. from a trailing comma) becomes "Unnamed: <position>", as in pandas."""
+    return [n if n.strip() else f"Unnamed: {i}" for i, n in enumerate(names)]
+
+
 def dedupe_names(names: list[str]) -> list[str]:
     """Repeated header names get .1, .2 ... suffixes (first one unchanged)."""
     seen: dict[str, int] = {}
@@ -91,7 +96,7 @@ def inspect_files(spark: SparkSession, paths: list[str], chain=enc.ANALYSIS_CHAI
         if r is None:  # empty file: no line at all
             infos.append(FileInfo(p, name, None, 0, [], []))
             continue
-        raw = dedupe_names(enc.parse_header(r["header"])) if r["header"] is not None else []
+        raw = dedupe_names(unnamed(enc.parse_header(r["header"]))) if r["header"] is not None else []
         try:
             cols = normalize_names(raw, CANONICAL_SENSOR_NAMES if rename is None else rename) if raw else []
             err = None

@@ -143,3 +143,13 @@ def test_korean_file_name_with_space(spark, tmp_path):
     infos = CI.inspect_files(spark, paths)
     assert infos[0].charset == "cp949" and infos[0].file_name == "센서 데이터.csv"
     assert [tuple(r) for r in CI.read_csv_files(spark, paths, infos=infos).collect()] == [(1.5, "뷁")]
+
+
+def test_crlf_quoted_header_and_trailing_comma(spark, tmp_path):
+    d = tmp_path / "shapes"
+    d.mkdir()
+    _write(d / "crlf.csv", '"온도","습도",압력,불량여부,\r\n1.5,40,100,0,\r\n2.5,NA,110,1,\r\n')
+    paths = [r.path for r in MF.file_manifest(spark, str(d)).collect()]
+    df = CI.read_csv_files(spark, paths)
+    assert df.columns == ["temp", "humid", "press", "error", "unnamed_4"]
+    assert [tuple(r)[:4] for r in df.orderBy("temp").collect()] == [(1.5, 40.0, 100, 0), (2.5, None, 110, 1)]
