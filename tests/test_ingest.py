@@ -151,5 +151,5 @@ def test_crlf_quoted_header_and_trailing_comma(spark, tmp_path):
     _write(d / "crlf.csv", '"온도","습도",압력,불량여부,\r\n1.5,40,100,0,\r\n2.5,NA,110,1,\r\n')
     paths = [r.path for r in MF.file_manifest(spark, str(d)).collect()]
     df = CI.read_csv_files(spark, paths)
-    assert df.columns == ["temp", "humid", "press", "error", "unnamed_4"]
+    assert df.columns == ["temp", "humid", "press", "error", "unnamed__4"]
     assert [tuple(r)[:4] for r in df.orderBy("temp").collect()] == [(1.5, 40.0, 100, 0), (2.5, None, 110, 1)]
