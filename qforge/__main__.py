@@ -30,10 +30,12 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("--threshold", type=float, default=0.05)
     a.add_argument("--trees", type=int, default=200)
     a.add_argument("--missing", choices=["drop", "fill"], default="drop")
+    a.add_argument("--multiline", action="store_true", help="quoted fields may contain line breaks")
     m = sub.add_parser("merge", help="latest N sensor files -> one typed Parquet table")
     m.add_argument("--data", required=True)
     m.add_argument("--out", required=True)
     m.add_argument("--num-files", type=_num, default=2)
+    m.add_argument("--multiline", action="store_true", help="quoted fields may contain line breaks")
     u = sub.add_parser("upload", help="ingest offered files; append the good ones to a landing table")
     u.add_argument("--landing", required=True)
     u.add_argument("files", nargs="+")
@@ -51,9 +53,10 @@ def main(argv: list[str] | None = None) -> int:
     if args.cmd == "analyze":
         P.run_full_pipeline(spark, args.data, args.out, num_files=args.num_files,
                             prob_threshold=args.threshold, n_trees=args.trees,
-                            missing_method=args.missing).show(truncate=False, vertical=True)
+                            missing_method=args.missing, multiline=args.multiline
+                            ).show(truncate=False, vertical=True)
     elif args.cmd == "merge":
-        res = P.merge_sensor_files(spark, args.data, args.num_files, args.out)
+        res = P.merge_sensor_files(spark, args.data, args.num_files, args.out, args.multiline)
         res.summary.show(truncate=False, vertical=True)
         res.file_summary.show(truncate=False)
     elif args.cmd == "upload":

@@ -43,7 +43,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def merge_sensor_files(spark: SparkSession, data_dir: str, num_files: int | None = 2,
-                       output_dir: str | None = None) -> MergeResult:
+                       output_dir: str | None = None, multiline: bool = False) -> MergeResult:
     """Manifest -> latest N sensor files -> one typed table (+ K1 landing).
 
     ``num_files=None`` takes every sensor file. The landed table gets a
@@ -58,14 +58,16 @@ def merge_sensor_files(spark: SparkSession, data_dir: str, num_files: int | None
         raise ValueError("no sensor CSV files in the data folder")
     chosen = all_paths if num_files is None else all_paths[:num_files]
     infos = CI.inspect_files(spark, all_paths)            # one detection pass serves S8 and S9
+    if multiline:                                          # records may span lines: count them
+        infos = CI.count_records(spark, infos)
     chosen_set = set(chosen)
     chosen_infos = [i for i in infos if i.path in chosen_set]
     path = None
     if output_dir:
         path = f"{output_dir}/combined"
-        combined = CI.land_csv_files(spark, chosen, path, infos=chosen_infos, row_id=ROW_ID)
+        combined = CI.land_csv_files(spark, chosen, path, infos=chosen_infos, row_id=ROW_ID, multiline=multiline)
     else:
-        combined = CI.read_csv_files(spark, chosen, infos=chosen_infos)
+        combined = CI.read_csv_files(spark, chosen, infos=chosen_infos, multiline=multiline)
     n_rows = combined.count()
     n_cols = len([c for c in combined.columns if c != ROW_ID])
     summary = spark.createDataFrame(
@@ -101,7 +103,8 @@ def run_full_pipeline(spark: SparkSession, data_dir: str, output_dir: str | None
                       num_files: int | None = 2, prob_threshold: float = 0.05,
                       n_trees: int = 200, max_depth: int | None = None, seed: int = 42,
                       test_size: float = 0.2, grid_sizes: dict | None = None,
-                      missing_method: str = "drop", outlier_threshold: float = 3.0) -> DataFrame:
+                      missing_method: str = "drop", outlier_threshold: float = 3.0,
+                      multiline: bool = False) -> DataFrame:
     """Merge -> clean -> quality -> EDA -> split/train/evaluate -> safe region.
 
     Returns one summary row; every intermediate result is written under
@@ -111,7 +114,7 @@ def run_full_pipeline(spark: SparkSession, data_dir: str, output_dir: str | None
     grid_sizes = grid_sizes or {f: R.DEFAULT_SIZES.get(f, 10) for f in features}
     out = output_dir or scratch_path(spark, "pipeline")
 
-    merged = merge_sensor_files(spark, data_dir, num_files, out)
+    merged = merge_sensor_files(spark, data_dir, num_files, out, multiline)
     combined = merged.combined
     data_cols = [c for c in combined.columns if c != ROW_ID]
 

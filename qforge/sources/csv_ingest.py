@@ -54,10 +54,11 @@ class FileInfo:
     raw_names: list[str]
     columns: list[str]
     error: str | None = None
+    records: int | None = None      # parsed data records, when they differ from lines
 
     @property
     def rows(self) -> int:
-        return max(self.n_lines - 1, 0)
+        return self.records if self.records is not None else max(self.n_lines - 1, 0)
 
 
 def unnamed(names: list[str]) -> list[str]:
@@ -107,13 +108,18 @@ def inspect_files(spark: SparkSession, paths: list[str], chain=enc.ANALYSIS_CHAI
     return infos
 
 
-def read_group(spark: SparkSession, paths: list[str], charset: str, columns: list[str]) -> DataFrame:
-    """One CSV scan for files that share charset and header; all columns as strings."""
+def read_group(spark: SparkSession, paths: list[str], charset: str, columns: list[str],
+               multiline: bool = False) -> DataFrame:
+    """One CSV scan for files that share charset and header; all columns as strings.
+
+    ``multiline`` allows quoted fields with line breaks (each file is then
+    read by one task instead of being split).
+    """
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
     return (spark.read.schema(schema)
             .option("header", True).option("enforceSchema", True)
             .option("encoding", enc.JVM_CHARSET[charset])
-            .option("mode", "PERMISSIVE").option("multiLine", False)
+            .option("mode", "PERMISSIVE").option("multiLine", multiline)
             .csv(paths)
             .withColumn(SOURCE_COL, F.col("_metadata.file_path")))
 
@@ -170,8 +176,8 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 
 def read_csv_strings(spark: SparkSession, paths: list[str], chain=enc.ANALYSIS_CHAIN,
-                     rename: dict[str, str] | None = None,
-                     infos: list[FileInfo] | None = None) -> tuple[DataFrame, list[str]]:
+                     rename: dict[str, str] | None = None, infos: list[FileInfo] | None = None,
+                     multiline: bool = False) -> tuple[DataFrame, list[str]]:
     """Parsed but untyped rows of many CSV files: (strings with NA tokens as NULL, column order)."""
     infos = infos if infos is not None else inspect_files(spark, paths, chain, rename)
     bad = [f"{i.file_name} ({i.error})" if i.error else i.file_name
@@ -186,29 +192,45 @@ def read_csv_strings(spark: SparkSession, paths: list[str], chain=enc.ANALYSIS_C
         for c in i.columns:
             if c not in order:
                 order.append(c)
-    frames = [read_group(spark, ps, cs, list(cols)) for (cs, cols), ps in groups.items()]
+    frames = [read_group(spark, ps, cs, list(cols), multiline) for (cs, cols), ps in groups.items()]
     return na_to_null(union_by_name(frames), order), order
 
 
+def count_records(spark: SparkSession, infos: list[FileInfo], multiline: bool = True) -> list[FileInfo]:
+    """Per-file data records from a parse (needed when records span lines); one grouped scan."""
+    ok = [i for i in infos if i.charset and i.columns]
+    groups: dict[tuple, list[str]] = {}
+    for i in ok:
+        groups.setdefault((i.charset, tuple(i.columns)), []).append(i.path)
+    counts: dict[str, int] = {}
+    for (cs, cols), ps in groups.items():
+        rows = (read_group(spark, ps, cs, list(cols), multiline).groupBy(SOURCE_COL).count()
+                .collect())  # bounded: one row per file
+        counts.update({norm_path(r[SOURCE_COL]): int(r["count"]) for r in rows})
+    for i in ok:
+        i.records = counts.get(norm_path(i.path), 0)
+    return infos
+
+
 def read_csv_files(spark: SparkSession, paths: list[str], chain=enc.ANALYSIS_CHAIN,
                    rename: dict[str, str] | None = None, keep_source: bool = False,
-                   infos: list[FileInfo] | None = None) -> DataFrame:
+                   infos: list[FileInfo] | None = None, multiline: bool = False) -> DataFrame:
     """S1 + S6 + S7 + S8 + U1: many CSV files in mixed charsets -> one typed table."""
-    merged, order = read_csv_strings(spark, paths, chain, rename, infos)
+    merged, order = read_csv_strings(spark, paths, chain, rename, infos, multiline)
     typed = apply_types(merged, infer_types(merged, order))
     return typed.select(*[col(c) for c in order], *([SOURCE_COL] if keep_source else []))
 
 
 def land_csv_files(spark: SparkSession, paths: list[str], path: str, chain=enc.ANALYSIS_CHAIN,
                    rename: dict[str, str] | None = None, infos: list[FileInfo] | None = None,
-                   row_id: str | None = None) -> DataFrame:
+                   row_id: str | None = None, multiline: bool = False) -> DataFrame:
     """K1: CSV files -> typed Parquet table at ``path``, parsing the text only once.
 
     The parsed strings are written to ``path + "_strings"`` first; type
     inference and the typed write then read that columnar copy instead of
     re-parsing the CSV text. ``row_id`` adds a persistent row id.
     """
-    merged, order = read_csv_strings(spark, paths, chain, rename, infos)
+    merged, order = read_csv_strings(spark, paths, chain, rename, infos, multiline)
     if row_id:
         merged = merged.withColumn(row_id, F.monotonically_increasing_id())
     merged.write.mode("overwrite").parquet(path + "_strings")
@@ -352,7 +374,7 @@ def land(df: DataFrame, path: str, fmt: str = "parquet") -> str:
 
 
 __all__ = ["NA_TOKENS", "FileInfo", "inspect_files", "read_group", "union_by_name", "na_to_null",
-           "read_csv_strings", "land_csv_files",
+           "read_csv_strings", "land_csv_files", "count_records",
            "infer_types", "apply_types", "read_csv_files", "file_summary", "ingest_report", "land_uploads",
            "text_summary",
            "require_success", "dataset_profile", "preview", "land", "base_name"]

@@ -153,3 +153,15 @@ def test_crlf_quoted_header_and_trailing_comma(spark, tmp_path):
     df = CI.read_csv_files(spark, paths)
     assert df.columns == ["temp", "humid", "press", "error", "unnamed__4"]
     assert [tuple(r)[:4] for r in df.orderBy("temp").collect()] == [(1.5, 40.0, 100, 0), (2.5, None, 110, 1)]
+
+
+def test_multiline_records(spark, tmp_path):
+    d = tmp_path / "ml"
+    d.mkdir()
+    _write(d / "m.csv", '온도,메모\n1.5,"first line\nsecond line"\n2.5,plain\n')
+    res = P.merge_sensor_files(spark, str(d), None, str(tmp_path / "out"), multiline=True)
+    rows = sorted(tuple(r) for r in res.combined.select("temp", "메모").collect())
+    assert rows == [(1.5, "first line\nsecond line"), (2.5, "plain")]
+    s = res.summary.first()
+    assert s.combined_rows == 2 and s.all_files_rows == 2
+    assert res.file_summary.first().rows == 2
