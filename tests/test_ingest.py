@@ -165,3 +165,15 @@ def test_multiline_records(spark, tmp_path):
     s = res.summary.first()
     assert s.combined_rows == 2 and s.all_files_rows == 2
     assert res.file_summary.first().rows == 2
+
+
+def test_batch_with_no_good_file_fails(spark, tmp_path):
+    d = tmp_path / "bad"
+    d.mkdir()
+    _write(d / "notes.txt", "hello\n")
+    _write(d / "empty.csv", "")
+    paths = [str(d / "notes.txt"), str(d / "empty.csv")]
+    rep = {r.file_name: r.status for r in CI.ingest_report(spark, paths).collect()}
+    assert rep == {"notes.txt": "failed", "empty.csv": "failed"}
+    with pytest.raises(ValueError):
+        CI.land_uploads(spark, paths, str(tmp_path / "landing"))
