@@ -672,14 +672,14 @@ def q_normalize_rename(spark, sf):
     return s.toDF(*normalize_names(raw))
 
 
-SQL_MERGE_PIPELINE = with_(SENSOR, SENSOR_RAW) + """
+SQL_MERGE_FILES = with_(SENSOR, SENSOR_RAW) + """
 SELECT CAST(6 AS BIGINT) AS sensor_file_count, CAST(6 AS BIGINT) AS processed_file_count,
        count(*) AS combined_rows, CAST(6 AS BIGINT) AS combined_cols, count(*) AS all_files_rows
 FROM sensor_raw"""
 
 
-@register("merge_pipeline", SQL_MERGE_PIPELINE)
-def q_merge_pipeline(spark, sf):
+@register("merge_sensor_files", SQL_MERGE_FILES)
+def q_merge_sensor_files(spark, sf):
     """P1 over every sensor file: counts of the landed combined table."""
     from qforge.session import scratch_path
     res = P.merge_sensor_files(spark, sensor_csv_folder(spark, sf), None, scratch_path(spark, "merge"))
@@ -734,8 +734,8 @@ def q_safe_region_rf(spark, sf):
     return R.estimate_safe_region(spark, FO.grid_scorer(model), b, R.DEFAULT_SIZES, 0.05)
 
 
-@register("pipeline_summary")
-def q_pipeline_summary(spark, sf):
+@register("full_analysis")
+def q_full_analysis(spark, sf):
     """P2 over every sensor file derived from the sf tables."""
     return P.run_full_pipeline(spark, sensor_csv_folder(spark, sf), num_files=None).drop("output_dir")
 

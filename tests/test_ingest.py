@@ -65,7 +65,7 @@ def test_latest_and_missing(spark, folder, tmp_path):
         P.merge_sensor_files(spark, str(tmp_path / "nope"))
 
 
-def test_merge_pipeline_latest_two(spark, folder, tmp_path):
+def test_merge_latest_two(spark, folder, tmp_path):
     res = P.merge_sensor_files(spark, folder, 2, str(tmp_path / "out"))
     s = res.summary.first()
     assert (s.sensor_file_count, s.processed_file_count, s.combined_rows, s.combined_cols) == (5, 2, 2, 4)

@@ -10,7 +10,7 @@ from conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-SLOW = {"pipeline_summary", "rf_predictions", "rf_metrics", "model_report", "safe_region_rf"}
+SLOW = {"full_analysis", "rf_predictions", "rf_metrics", "model_report", "safe_region_rf"}
 
 
 def _norm(v):
