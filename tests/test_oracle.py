@@ -19,7 +19,7 @@ def _norm(v):
             return "nan"
         if math.isinf(v):
             return "inf" if v > 0 else "-inf"
-        return round(v, 9)
+        return repr(v)
     return v
 
 
