@@ -181,3 +181,17 @@ def test_empty_table_everywhere(spark):
     assert M.classification_report(scored).where("class_label = 'accuracy'").count() == 1
     reg = R.safe_region(spark.createDataFrame([], "temp double, p_defect double"), ["temp"], "p_defect", 0.5).first()
     assert reg.status == "no_safe_region" and reg.n_total_points == 0
+
+
+def test_running_totals_ascending(spark):
+    rng = np.random.default_rng(3)
+    keys = rng.permutation(300).astype(float)
+    vals = rng.integers(0, 7, 300)
+    df = spark.createDataFrame([(float(k), int(v)) for k, v in zip(keys, vals)], "k double, v long")
+    out = running_totals(df, "k", ["v"], descending=False, with_next=True, rows_per_bucket=25)
+    got = {r.k: (r.cum_v, r.next_v) for r in out.collect()}
+    order = np.argsort(keys)
+    cum = np.cumsum(vals[order])
+    for i, idx in enumerate(order):
+        nxt = int(vals[order[i + 1]]) if i + 1 < len(order) else None
+        assert got[keys[idx]] == (int(cum[i]), nxt)
