@@ -195,3 +195,16 @@ def test_running_totals_ascending(spark):
     for i, idx in enumerate(order):
         nxt = int(vals[order[i + 1]]) if i + 1 < len(order) else None
         assert got[keys[idx]] == (int(cum[i]), nxt)
+
+
+def test_quantiles_many_columns_small_budget(spark, monkeypatch):
+    import qforge.functions.order_stats as OS
+    monkeypatch.setattr(OS, "PASS_BUDGET", 200)
+    rng = np.random.default_rng(9)
+    data = rng.normal(size=(400, 12)).round(3)
+    cols = [f"c{j}" for j in range(12)]
+    df = spark.createDataFrame([tuple(float(x) for x in row) for row in data], ", ".join(f"{c} double" for c in cols))
+    probs = [0.05, 0.25, 0.5, 0.75, 0.95]
+    got = exact_quantiles(df, cols, probs)
+    for j, c in enumerate(cols):
+        assert np.allclose(got[c], np.quantile(data[:, j], probs, method="linear"), rtol=0, atol=1e-12)
