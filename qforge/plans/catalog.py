@@ -904,3 +904,13 @@ def q_safe_region_json(spark, sf):
 def q_dataset_preview(spark, sf):
     """S10 preview: the first five rows (by event id)."""
     return CI.preview(td.sensor_raw(spark, sf), 5, ["event_id"])
+
+
+SQL_SPLIT_TRAIN = with_(SENSOR, *SPLIT_CTES) + "SELECT event_id, error FROM train"
+
+
+@register("stratified_split_train", SQL_SPLIT_TRAIN)
+def q_stratified_split_train(spark, sf):
+    """The training side of the exact split: every row not drawn for the test set."""
+    train, _ = S.stratified_split(td.sensor(spark, sf), "error", "event_id", 0.2, 42)
+    return train.select("event_id", "error")
