@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from qforge.llm import bpe, chats, licenses, packing, secret_scan, site_quality, winnow
+from qforge.llm import bpe, chats, licenses, packing, phrases, secret_scan, site_quality, winnow
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -20,6 +20,11 @@ def op2_byte_bpe(spark, sf_dir, path: str | None = None):
     return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op3_phrase_automata(spark, sf_dir):
+    """Words of every document without passages that an earlier document has."""
+    return phrases.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op4_best_fit_sharding(spark, sf_dir):
     """All documents in 8 shards of near equal bytes, equal texts together."""
     rows = packing.sized(table(spark, sf_dir, "documents")).checkpoint()
@@ -59,6 +64,6 @@ def op10_event_chats(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_byte_bpe, op4_best_fit_sharding, op6_winnowing, op7_randomness_battery, op8_hierarchical_bayes,
+    op2_byte_bpe, op3_phrase_automata, op4_best_fit_sharding, op6_winnowing, op7_randomness_battery, op8_hierarchical_bayes,
     op9_rare_token_index, op10_event_chats)}
 ORACLE: dict[str, str] = {}
