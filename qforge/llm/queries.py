@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from qforge.llm import bpe, chats, licenses, packing, phrases, secret_scan, site_quality, winnow
+from qforge.llm import bpe, chats, lattice, licenses, packing, phrases, secret_scan, site_quality, token_groups, winnow
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lattice_hashing(spark, sf_dir):
+    """Links and component of every vector."""
+    return lattice.link(table(spark, sf_dir, "embeddings"))
+
+
 def op2_byte_bpe(spark, sf_dir, path: str | None = None):
     """Token count and digests of ids and decoded bytes of every document."""
     ranks = bpe.load_ranks(spark, path or public_tokenizers.path(RANKS))
@@ -31,6 +36,11 @@ def op4_best_fit_sharding(spark, sf_dir):
     return packing.digest(packing.pack_into(rows, 8))
 
 
+def op5_token_group_matrix(spark, sf_dir):
+    """Shingle count and near-duplicate component of every document."""
+    return token_groups.join(table(spark, sf_dir, "documents"))
+
+
 def op6_winnowing(spark, sf_dir):
     """Benchmark hits of every document."""
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -64,6 +74,6 @@ def op10_event_chats(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_byte_bpe, op3_phrase_automata, op4_best_fit_sharding, op6_winnowing, op7_randomness_battery, op8_hierarchical_bayes,
+    op1_lattice_hashing, op2_byte_bpe, op3_phrase_automata, op4_best_fit_sharding, op5_token_group_matrix, op6_winnowing, op7_randomness_battery, op8_hierarchical_bayes,
     op9_rare_token_index, op10_event_chats)}
 ORACLE: dict[str, str] = {}

@@ -139,12 +139,11 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     tested = F.transform(battery(_matches(body, RUN)), lambda x: F.struct(
         x["start"].alias("start"), x["end"].alias("end"), F.floor(F.log2(x["n"])).cast("int").alias("stratum"), x["p"].alias("p"),
         F.greatest(F.least(F.floor(ratio(x) / STEP), F.lit(TOP)), F.lit(0)).cast("int").alias("bin")))
-    # spans and runs only (few a document) are kept for the second step, so texts are scanned once
-    slim = docs.select(*[F.col(f"`{c}`") for c in keep], base.alias("__base"), tested.alias("__tested")).checkpoint()
-    limits = {r["stratum"]: r["bin"] for r in _limits(slim).collect()}          # one row a power of two of the length
-    passing = F.lit(False)
+    runs = docs.select(tested.alias("__tested")).where(F.size("__tested") > 0)
+    limits = {r["stratum"]: r["bin"] for r in _limits(runs).collect()}          # one row a power of two of the length
+    slim = docs.select(*[F.col(f"`{c}`") for c in keep], base.alias("__base"), tested.alias("__tested"))
     ok = lambda x: F.coalesce(F.create_map(*[F.lit(v) for kv in limits.items() for v in kv])[x["stratum"]] <= x["bin"],
-                              F.lit(False)) if limits else passing
+                              F.lit(False)) if limits else F.lit(False)
     random = F.filter("__tested", lambda x: (x["p"] >= ALPHA) & ok(x) & ~F.exists(
         "__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     every = F.array_sort(F.concat("__base", F.transform(random, lambda x: F.struct(
@@ -152,11 +151,11 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     return slim.select(*[F.col(f"`{c}`") for c in keep], every.alias("spans"))
 
 
-def _limits(slim: DataFrame) -> DataFrame:
+def _limits(runs: DataFrame) -> DataFrame:
     """e-BH by stratum on binned e-values: the lowest bin b with (runs at b or above) * e(b) >= m / Q."""
-    bins = (slim.select(F.explode("__tested").alias("x")).where(F.col("x.p") >= ALPHA)
+    bins = (runs.select(F.explode("__tested").alias("x")).where(F.col("x.p") >= ALPHA)
             .groupBy("x.stratum", "x.bin").agg(F.count("*").alias("n")))
-    total = slim.select(F.explode("__tested").alias("x")).groupBy("x.stratum").agg(F.count("*").alias("m"))
+    total = runs.select(F.explode("__tested").alias("x")).groupBy("x.stratum").agg(F.count("*").alias("m"))
     above = Window.partitionBy("stratum").orderBy(F.desc("bin"))                 # at most TOP + 1 bins
     return (bins.withColumn("k", F.sum("n").over(above)).join(total, "stratum")
             .where(F.log("k") + F.col("bin") * STEP >= F.log(F.col("m") / Q)).groupBy("stratum").agg(F.min("bin").alias("bin")))
