@@ -27,7 +27,7 @@ from qforge.llm.parcels import PACKED, deal, documents, pack, pack_documents, pa
 from qforge.llm.textops import Words, field, gram_hashes
 
 SPAN, K = 13, 5
-MAX_PATTERNS = 150_000
+MAX_PATTERNS = 100_000
 
 
 def minimizers(w: Words, span: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,61 +129,60 @@ def _stretches(n: int, span: int, k: int):
                 own = order[cut[s]:cut[s + 1]]
                 body = b"\n".join([text[p:q] for p, q in zip(x[own].tolist(), y[own].tolist())])
                 out.append((s, key[0].as_py(), pack(ids[d[own] + at], (d[own] + at).astype(np.int32),
-                                                    (a[own] - w.first[d[own]]).astype(np.int32), body)))
+                                                    (a[own] - w.first[d[own]]).astype(np.int32),
+                                                    (b[own] - a[own]).astype(np.int32), body)))
         return table(out)
     return fn
 
 
-def automata(patterns: list[tuple], max_patterns: int = MAX_PATTERNS):
-    """Aho-Corasick automata over word numbers, each with at most max_patterns phrases; the value is the smallest document."""
+def automaton(phrases: list[tuple]):
+    """Aho-Corasick automaton over word numbers; the value is the number of the phrase."""
     import ahocorasick
-    for i in range(0, len(patterns), max_patterns):
-        a = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for phrase, value in patterns[i:i + max_patterns]:
-            a.add_word(phrase, value)
-        a.make_automaton()
-        yield a
+    a = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for i, phrase in enumerate(phrases):
+        a.add_word(phrase, i)
+    a.make_automaton()
+    return a
 
 
 def _locate(span: int, max_patterns: int):
     """Shard: confirm recurring phrases, compile them, stream all stretches -> places to remove, by bucket."""
     def fn(key, packed):
-        number: dict[bytes, int] = {}
-        put = number.setdefault
-        at: dict[bytes, int] = {}
-        where: list[list] = []               # of each distinct stretch: (doc, bucket, row, first word)
-        for origin, body in zip(packed.column("origin").to_pylist(), packed.column("body").to_pylist()):
-            doc, row, first, text = unpack(body, np.int64, np.int32, np.int32, bytes)
-            for t, place in zip(text.split(b"\n"), zip(doc.tolist(), row.tolist(), first.tolist())):
-                i = at.setdefault(t, len(where))
-                if i == len(where):
-                    where.append([])
-                where[i].append((origin, *place))
-        words = [tuple([put(x, len(number)) for x in t.split(b" ")]) for t in at]
-        del at
-        low: dict[tuple, int] = {}
-        high: dict[tuple, int] = {}
-        for seq, places in zip(words, where):
-            least, most = min(p[1] for p in places), max(p[1] for p in places)
-            for j in range(len(seq) - span + 1):
-                g = seq[j:j + span]
-                if low.setdefault(g, least) > least:
-                    low[g] = least
-                if high.setdefault(g, most) < most:
-                    high[g] = most
-        confirmed = [(g, d) for g, d in low.items() if high[g] > d]
-        del low, high
-        firsts = sorted({d for _, d in confirmed})          # automata store small numbers: the rank of the document
-        rank = {d: r for r, d in enumerate(firsts)}
-        hits: dict[int, list] = {}
-        for a in automata([(g, rank[d]) for g, d in confirmed], max_patterns):
-            for seq, places in zip(words, where):
-                for end, r in a.iter(seq):
-                    d = firsts[r]
-                    for origin, doc, row, first in places:
-                        if d < doc:
-                            hits.setdefault(origin, []).append((row, first + end - span + 1))
-        return table([(o, 0, pack(*np.array(h, np.int32).T)) for o, h in hits.items()])
+        parts = [(o, *unpack(b, np.int64, np.int32, np.int32, np.int32, bytes))
+                 for o, b in zip(packed.column("origin").to_pylist(), packed.column("body").to_pylist())]
+        origin = np.repeat(np.array([p[0] for p in parts], np.int32), [len(p[1]) for p in parts])
+        doc, row, first, size = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3, 4))
+        hashes = np.concatenate([Words(pa.array([p[5].decode()], pa.string()), "space", False).h for p in parts])
+        # word numbers from 1; a 0 after each stretch keeps phrases from running over its end
+        number = np.unique(hashes, return_inverse=True)[1] + 1
+        begin = np.cumsum(size + 1) - size - 1
+        own = np.repeat(np.arange(len(size)), size)
+        seq = np.zeros(int((size + 1).sum()), np.int64)
+        seq[np.arange(len(number)) + own] = number
+        # confirm: which windows occur in two documents, and in which document first
+        start = np.concatenate([[0], np.cumsum(size - span + 1)])
+        of = np.repeat(np.arange(len(size)), size - span + 1)
+        at = begin[of] + np.arange(int(start[-1])) - start[of]
+        g = gram_hashes(seq.astype(np.uint64), span)[at]
+        order = np.argsort(g, kind="stable")
+        head = np.flatnonzero(np.concatenate([[True], g[order][1:] != g[order][:-1]]))
+        low, high = np.minimum.reduceat(doc[of][order], head), np.maximum.reduceat(doc[of][order], head)
+        many = np.flatnonzero(low < high)
+        spot, low = at[order][head[many]], low[many]
+        del g, order, of, at
+        stream, out = tuple(seq.tolist()), []
+        where = np.repeat(np.arange(len(size)), size + 1)
+        for i in range(0, len(spot), max_patterns):
+            a = automaton([stream[x:x + span] for x in spot[i:i + max_patterns].tolist()])
+            found = np.array(list(a.iter(stream)), np.int64).reshape(-1, 2)
+            t = where[found[:, 0]]
+            gone = low[i + found[:, 1]] < doc[t]
+            t, word = t[gone], found[gone, 0] - span + 1
+            out.append((origin[t], row[t], (first[t] + word - begin[t]).astype(np.int32)))
+        if not out:
+            return table([])
+        to, row, word = (np.concatenate([o[i] for o in out]) for i in (0, 1, 2))
+        return table(deal(to, int(to.max(initial=-1)) + 1, 0, row, word))
     return fn
 
 
