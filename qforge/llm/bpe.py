@@ -39,6 +39,8 @@ class Ranks:
         pairs = sorted((tokens[b[:i]] << 32 | tokens[b[i:]], r) for b, r in tokens.items()
                        for i in range(1, len(b)) if b[:i] in tokens and b[i:] in tokens)
         self.key, self.to = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+        # tokens that are part of a token of lower rank: merging one may call for a lower rank again
+        self.risky = {x for side in (self.key >> 32, self.key & 0xFFFFFFFF) for x in side[self.to < side].tolist()}
 
     def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where the two do not form a token."""
@@ -109,14 +111,18 @@ def replay(words: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
             step = np.arange(len(p)) - np.maximum.accumulate(np.where(begin, np.arange(len(p)), 0))
             p, q = p[step % 2 == 0], q[step % 2 == 0]
         nn, pp = nxt[q], prv[p]
+        if rank in ranks.risky:              # words where that can happen are encoded alone at the end
+            after, before = ranks.of(np.full(len(p), rank), tok[nn]), ranks.of(tok[pp], np.full(len(p), rank))
+            low = (nn >= 0) & (after >= 0) & (after < rank) | (pp >= 0) & (before >= 0) & (before < rank)
+            odd.append(p[low])
         tok[p], tok[q], nxt[p] = rank, -1, nn
         prv[nn[nn >= 0]] = p[nn >= 0]
         near = np.concatenate([pp[pp >= 0], p[nn >= 0]])
         near = near[tok[near] >= 0]          # a neighbour may just have been merged away
         if len(near):
             r = ranks.of(tok[near], tok[nxt[near]])
-            if (low := (r >= 0) & (r < rank)).any():
-                odd.append(near[low])        # a longer token of lower rank: such a word is done alone
+            if rank in ranks.risky:
+                odd.append(near[(r >= 0) & (r < rank)])
             post(near[r >= 0], r[r >= 0])
     live = tok >= 0
     count = np.add.reduceat(np.concatenate([live, [False]]).astype(np.int64), off[:-1]) if len(words) else size

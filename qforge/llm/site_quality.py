@@ -24,7 +24,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from qforge.llm.textops import Words, field, map_text, utf8
 
-MAX_LABELLED, MAX_WORDS, MIN_Z, MIN_DOCS = 20_000, 2000, 6.0, 8
+MAX_LABELLED, MAX_WORDS, MIN_Z, MIN_DOCS = 20_000, 2000, 6.0, 5
+#: Summed word evidence (log-odds) saturates here: one telling word weighs like many.
+STRONG = 6.0
 #: Paths up to which the site priors are sent to every task; beyond it they are joined.
 MAX_SITES = 200_000
 N_STYLE = 8
@@ -64,7 +66,7 @@ def features(col: pa.Array, word_hash: np.ndarray, word_weight: np.ndarray) -> n
         for t in range(word_weight.shape[1]):
             evidence[:, t] = np.bincount(pairs // len(word_hash), weights=word_weight[pairs % len(word_hash), t],
                                          minlength=len(col))
-    return np.concatenate([x, np.clip(evidence, -30, 30)], axis=1)
+    return np.concatenate([x, np.minimum(evidence, STRONG)], axis=1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray | None:
@@ -128,8 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_labelled: in
     rows = made.collect()                                 # at most max_labelled rows of ten numbers (repeated ids aside)
     for name, i, want in (("good", 0, 1), ("toxic", 1, 1)):
         use = [r for r in rows if r[i] is not None]
-        model[name] = logistic(np.array([r["x"] for r in use]).reshape(len(use), -1),
-                               np.array([float(r[i] == want) for r in use]))
+        model[name] = logistic(np.array([r["x"] for r in use]), np.array([float(r[i] == want) for r in use]))
     return model
 
 
