@@ -25,8 +25,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from qforge.llm.textops import Words, field, map_text, utf8
 
 MAX_LABELLED, MAX_WORDS, MIN_Z, MIN_DOCS = 20_000, 2000, 6.0, 5
-#: Summed word evidence (log-odds) saturates here: one telling word weighs like many.
-STRONG = 6.0
 #: Paths up to which the site priors are sent to every task; beyond it they are joined.
 MAX_SITES = 200_000
 N_STYLE = 8
@@ -54,7 +52,7 @@ def style(w: Words, data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def features(col: pa.Array, word_hash: np.ndarray, word_weight: np.ndarray) -> np.ndarray:
-    """Style features and, for each target, the summed weight of the marked words present."""
+    """Style features and, for each target, the weight of the strongest marked word present (long texts gather weak ones by chance)."""
     data, off = utf8(col)
     w = Words(col, "alnum", True)
     x = style(w, data, off)
@@ -64,9 +62,8 @@ def features(col: pa.Array, word_hash: np.ndarray, word_weight: np.ndarray) -> n
         hit = np.flatnonzero(word_hash[j] == w.h)
         pairs = np.unique(w.doc[hit] * np.int64(len(word_hash)) + j[hit])
         for t in range(word_weight.shape[1]):
-            evidence[:, t] = np.bincount(pairs // len(word_hash), weights=word_weight[pairs % len(word_hash), t],
-                                         minlength=len(col))
-    return np.concatenate([x, np.minimum(evidence, STRONG)], axis=1)
+            np.maximum.at(evidence[:, t], pairs // len(word_hash), word_weight[pairs % len(word_hash), t])
+    return np.concatenate([x, evidence], axis=1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray | None:
@@ -120,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_labelled: in
     words = (mine.mapInArrow(count, out).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "toxic")])
              .where(F.col("n") >= MIN_DOCS).withColumn("z", F.greatest(z("bad"), z("toxic")))
              .where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(MAX_WORDS).collect())
-    weight = np.array([[max(0.0, np.log((r[t] + 0.5) / (r["n"] - r[t] + 0.5)) - np.log(share[t] / (1 - share[t])))
+    weight = np.array([[max(0.0, np.log((r[t] + 0.5) / (r["n"] - r[t] + 2)) - np.log(share[t] / (1 - share[t])))
                         for t in ("bad", "toxic")] for r in words]).reshape(-1, 2)
     hashes = np.array([Words(pa.array([r["word"]]), "alnum", True).h[0] for r in words], np.uint64)
     order = np.argsort(hashes)
