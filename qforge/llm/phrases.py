@@ -27,7 +27,7 @@ from qforge.llm.parcels import PACKED, deal, documents, pack, pack_documents, pa
 from qforge.llm.textops import Words, field, gram_hashes
 
 SPAN, K = 13, 5
-MAX_PATTERNS = 100_000
+MAX_PATTERNS = 50_000
 
 
 def minimizers(w: Words, span: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,10 +135,17 @@ def _stretches(n: int, span: int, k: int):
     return fn
 
 
-def automaton(phrases: list[tuple]):
-    """Aho-Corasick automaton over word numbers; the value is the number of the phrase."""
+def spell(number: np.ndarray, width: int) -> str:
+    """Word numbers as ``width`` letters each, base 64. Each place has letters of its own, so a match cannot
+    begin inside a word, and no node of an automaton has more than 65 children."""
+    digits = np.stack([number >> (6 * i) & 63 | 64 * (i + 1) for i in range(width - 1, -1, -1)], axis=1)
+    return digits.astype("<u4").tobytes().decode("utf-32-le")
+
+
+def automaton(phrases: list[str]):
+    """Aho-Corasick automaton over spelled words; the value is the number of the phrase."""
     import ahocorasick
-    a = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for i, phrase in enumerate(phrases):
         a.add_word(phrase, i)
     a.make_automaton()
@@ -170,11 +177,13 @@ def _locate(span: int, max_patterns: int):
         many = np.flatnonzero(low < high)
         spot, low = at[order][head[many]], low[many]
         del g, order, of, at
-        stream, out = tuple(seq.tolist()), []
+        width = max(1, -(-int(seq.max(initial=0)).bit_length() // 6))
+        stream, out = spell(seq, width), []
         where = np.repeat(np.arange(len(size)), size + 1)
         for i in range(0, len(spot), max_patterns):
-            a = automaton([stream[x:x + span] for x in spot[i:i + max_patterns].tolist()])
+            a = automaton([stream[x * width:(x + span) * width] for x in spot[i:i + max_patterns].tolist()])
             found = np.array(list(a.iter(stream)), np.int64).reshape(-1, 2)
+            found[:, 0] //= width
             t = where[found[:, 0]]
             gone = low[i + found[:, 1]] < doc[t]
             t, word = t[gone], found[gone, 0] - span + 1
