@@ -82,7 +82,9 @@ def _quality_rows(df: DataFrame, cols: list[str], valid_ranges, stats, distinct:
             valid = F.lit(0).cast("long")
         else:
             valid = F.count_if(x.between(dlit(lo), dlit(hi)))
-        nd = F.count_distinct(x) if distinct == "exact" else F.approx_count_distinct(x, 0.01)
+        # distinct values of the column itself: 64-bit integers lose digits as doubles
+        own = x if dict(df.dtypes)[c] in ("float", "double") else F.col(f"`{c}`")
+        nd = F.count_distinct(own) if distinct == "exact" else F.approx_count_distinct(own, 0.01)
         aggs += [F.count(x).alias(f"nn{i}"), nd.alias(f"d{i}"), valid.alias(f"v{i}")]
     wide = df.agg(*aggs)
 

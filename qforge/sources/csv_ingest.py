@@ -108,6 +108,12 @@ def inspect_files(spark: SparkSession, paths: list[str], chain=enc.ANALYSIS_CHAI
     return infos
 
 
+def csv_options(charset: str, multiline: bool = False) -> dict[str, str]:
+    """The one CSV dialect of batch and stream: doubled quotes inside quoted cells, a backslash is plain text."""
+    return {"header": "true", "encoding": enc.JVM_CHARSET[charset], "mode": "PERMISSIVE", "quote": '"', "escape": '"',
+            "multiLine": str(multiline).lower()}
+
+
 def read_group(spark: SparkSession, paths: list[str], charset: str, columns: list[str],
                multiline: bool = False) -> DataFrame:
     """One CSV scan for files that share charset and header; all columns as strings.
@@ -117,9 +123,7 @@ def read_group(spark: SparkSession, paths: list[str], charset: str, columns: lis
     """
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
     return (spark.read.schema(schema)
-            .option("header", True).option("enforceSchema", True)
-            .option("encoding", enc.JVM_CHARSET[charset])
-            .option("mode", "PERMISSIVE").option("multiLine", multiline)
+            .options(enforceSchema="true", **csv_options(charset, multiline))
             .csv(paths)
             .withColumn(SOURCE_COL, F.col("_metadata.file_path")))
 

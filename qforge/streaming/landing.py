@@ -45,9 +45,8 @@ def sensor_stream(spark: SparkSession, source_dir: str, columns: list[str], char
                   types: dict[str, str] | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming DataFrame of new sensor rows with canonical names and types."""
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
-    reader = (spark.readStream.schema(schema).option("header", True)
-              .option("encoding", enc.JVM_CHARSET[charset]).option("pathGlobFilter", "*.csv")
-              .option("mode", "PERMISSIVE"))
+    reader = (spark.readStream.schema(schema).options(**CI.csv_options(charset))
+              .option("pathGlobFilter", "*.csv"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.csv(source_dir).withColumn(CI.SOURCE_COL, F.col("_metadata.file_path"))

@@ -177,3 +177,12 @@ def test_batch_with_no_good_file_fails(spark, tmp_path):
     assert rep == {"notes.txt": "failed", "empty.csv": "failed"}
     with pytest.raises(ValueError):
         CI.land_uploads(spark, paths, str(tmp_path / "landing"))
+
+
+def test_csv_quotes_and_backslashes(spark, tmp_path):
+    """Doubled quotes belong to the cell and a backslash is plain text, as in pandas."""
+    from qforge.sources import csv_ingest as CI
+    p = tmp_path / "q.csv"
+    p.write_text('temp,note,humid\n1.5,"a ""b"", c",2\n2.5,"x\\",3\n', encoding="utf-8")
+    got = CI.read_group(spark, [str(p)], "utf-8", ["temp", "note", "humid"]).select("temp", "note", "humid").collect()
+    assert [tuple(r) for r in got] == [("1.5", 'a "b", c', "2"), ("2.5", "x\\", "3")]

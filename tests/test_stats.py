@@ -208,3 +208,10 @@ def test_quantiles_many_columns_small_budget(spark, monkeypatch):
     got = exact_quantiles(df, cols, probs)
     for j, c in enumerate(cols):
         assert np.allclose(got[c], np.quantile(data[:, j], probs, method="linear"), rtol=0, atol=1e-12)
+
+
+def test_distinct_of_large_integers(spark):
+    """Integers above 2^53 that differ are different values."""
+    from qforge.operators import quality as Q
+    df = spark.range(100).selectExpr(f"id + {2 ** 53} AS x")
+    assert Q.quality_indices(df, ["x"]).first()["UQI"] == 100.0
