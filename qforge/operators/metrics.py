@@ -18,20 +18,19 @@ from qforge.functions.columns import as_double, col
 from qforge.functions.running import running_totals
 
 
-def _binary(df: DataFrame, label: str, pred: str) -> DataFrame:
-    return df.where(col(label).isNotNull() & col(pred).isNotNull())
-
-
 # ---------------------------------------------------------------- M6
 def confusion_counts(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
-    """One row: tn, fp, fn, tp (absent cells are 0)."""
+    """One row: tn, fp, fn, tp (absent cells are 0).
+
+    A label or prediction that is null or not 0 / 1 raises: such rows belong to no cell.
+    """
     y, p = col(label), col(pred)
-    return _binary(df, label, pred).agg(
-        F.count_if((y == 0) & (p == 0)).alias("tn"),
-        F.count_if((y == 0) & (p == 1)).alias("fp"),
-        F.count_if((y == 1) & (p == 0)).alias("fn"),
-        F.count_if((y == 1) & (p == 1)).alias("tp"),
-    )
+    cells = {"tn": (0, 0), "fp": (0, 1), "fn": (1, 0), "tp": (1, 1)}
+    counts = df.agg(*[F.count_if((y == a) & (p == b)).alias(c) for c, (a, b) in cells.items()],
+                    F.count(F.lit(1)).alias("n"))
+    left = F.col("n") - F.col("tn") - F.col("fp") - F.col("fn") - F.col("tp")
+    fail = F.raise_error(F.concat(left.cast("string"), F.lit(" rows have a label or prediction that is not 0 or 1")))
+    return counts.select(*[F.when(left == 0, F.col(c)).otherwise(fail).alias(c) for c in cells])
 
 
 def confusion_matrix(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
@@ -60,11 +59,13 @@ def per_class_counts(df: DataFrame, label: str = "label", pred: str = "predictio
     """class, tp, support (true count), predicted (predicted count); any k classes.
 
     Grouped counts by (label, prediction) - at most k^2 rows - are split
-    into per-class contributions and summed again.
+    into per-class contributions and summed again. A null label or
+    prediction raises.
     """
-    pairs = (_binary(df, label, pred)
-             .groupBy(col(label).alias("y"), col(pred).alias("p"))
-             .agg(F.count(F.lit(1)).alias("n")))
+    fail = F.raise_error(F.lit("a label or prediction is null"))
+    pairs = (df.groupBy(col(label).alias("y"), col(pred).alias("p"))
+             .agg(F.count(F.lit(1)).alias("n"))
+             .select(F.coalesce("y", fail).alias("y"), F.coalesce("p", fail).alias("p"), "n"))
     y, p, n = F.col("y"), F.col("p"), F.col("n")
     contrib = pairs.select(F.inline(F.array(
         F.struct(y.alias("class"), F.when(y == p, n).otherwise(0).alias("tp"),
@@ -114,11 +115,12 @@ def score_table(df: DataFrame, label: str = "label", score: str = "score") -> Da
     """Distinct scores descending with positives / negatives at each, plus running sums.
 
     The grouped table (one row per distinct score) is checkpointed once, so
-    the input is scanned a single time however many passes follow.
+    the input is scanned a single time however many passes follow. A label
+    that is not 0 / 1 or a missing score (null or NaN) raises.
     """
-    y, sc = col(label), as_double(score)       # a NaN score counts as missing
-    grouped = (df.where(y.isin(0, 1) & sc.isNotNull())
-                 .groupBy(sc.alias("score"))
+    y, sc = col(label), as_double(score)
+    known = F.coalesce(F.when(y.isin(0, 1), sc), F.raise_error(F.lit("a label is not 0 or 1, or a score is missing")))
+    grouped = (df.groupBy(known.alias("score"))
                  .agg(F.count_if(y == 1).alias("tp"), F.count_if(y == 0).alias("fp")))
     return running_totals(grouped, "score", ["tp", "fp"], descending=True, with_next=True)
 

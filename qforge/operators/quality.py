@@ -57,10 +57,13 @@ def quality_indices(df: DataFrame, cols: list[str],
     1% error, no shuffle of the values) for very high-cardinality columns;
     the default is exact.
     """
-    return _quality_rows(df, cols, valid_ranges, stats, distinct).drop("n_rows")
+    wide, rows = _quality_rows(df, cols, valid_ranges, stats, distinct)
+    return wide.select(F.inline(F.array(*rows))).drop("n_rows")
 
 
-def _quality_rows(df: DataFrame, cols: list[str], valid_ranges, stats, distinct: str = "exact") -> DataFrame:
+def _quality_rows(df: DataFrame, cols: list[str], valid_ranges, stats,
+                  distinct: str = "exact") -> tuple[DataFrame, list[Column]]:
+    """The one-row aggregate and, over it, one struct per column."""
     if distinct not in ("exact", "approx"):
         raise ValueError("distinct must be 'exact' or 'approx'")
     valid_ranges = valid_ranges or {}
@@ -88,7 +91,7 @@ def _quality_rows(df: DataFrame, cols: list[str], valid_ranges, stats, distinct:
         aggs += [F.count(x).alias(f"nn{i}"), nd.alias(f"d{i}"), valid.alias(f"v{i}")]
     wide = df.agg(*aggs)
 
-    return wide.select(F.inline(F.array(*_index_structs(cols, ranges))))
+    return wide, _index_structs(cols, ranges)
 
 
 def _index_structs(cols, ranges) -> list[Column]:
@@ -137,19 +140,20 @@ def quality_report(df: DataFrame, cols: list[str],
     """A4: per-column rows plus one overall row, each with a grade.
 
     Columns: scope ('column' | 'overall'), column, CQI, UQI, VQI, DQI,
-    grade, total_rows, columns_evaluated. The row count rides along in the
-    indices aggregate (both union branches reuse its exchange).
+    grade, total_rows, columns_evaluated. All rows are unfolded from the
+    one-row aggregate, so the table is aggregated once.
     """
-    qi = _quality_rows(df, cols, valid_ranges, stats, distinct)
-    per_col = qi.select(
-        F.lit("column").alias("scope"), "column", "CQI", "UQI", "VQI", "DQI",
-        grade(F.col("DQI")).alias("grade"), F.col("n_rows").alias("total_rows"))
-    overall = qi.agg(
-        F.round(F.avg("CQI"), 2).alias("CQI"), F.round(F.avg("UQI"), 2).alias("UQI"),
-        F.round(F.avg("VQI"), 2).alias("VQI"), F.round(F.avg("DQI"), 2).alias("DQI"),
-        F.max("n_rows").alias("total_rows"),
-    ).select(F.lit("overall").alias("scope"), F.lit(None).cast("string").alias("column"),
-             "CQI", "UQI", "VQI", "DQI", grade(F.col("DQI")).alias("grade"), "total_rows")
-    return per_col.unionByName(overall).select(
-        "scope", "column", "CQI", "UQI", "VQI", "DQI", "grade", "total_rows",
-        F.lit(len(cols)).cast("int").alias("columns_evaluated"))
+    wide, structs = _quality_rows(df, cols, valid_ranges, stats, distinct)
+    wide = wide.select(F.array(*structs).alias("c"))
+
+    def row(scope, name, idx: dict[str, Column], total) -> Column:
+        return F.struct(F.lit(scope).alias("scope"), name.alias("column"), *[v.alias(k) for k, v in idx.items()],
+                        grade(idx["DQI"]).alias("grade"), total.alias("total_rows"))
+
+    names = ("CQI", "UQI", "VQI", "DQI")
+    per_col = F.transform("c", lambda r: row("column", r["column"], {k: r[k] for k in names}, r["n_rows"]))
+    mean = {k: F.round(sum((F.col("c")[i][k] for i in range(len(cols))), F.lit(0.0)) / F.lit(float(len(cols))), 2)
+            for k in names}
+    overall = row("overall", F.lit(None).cast("string"), mean, F.col("c")[0]["n_rows"])
+    return wide.select(F.inline(F.concat(per_col, F.array(overall)))).select(
+        "*", F.lit(len(cols)).cast("int").alias("columns_evaluated"))

@@ -7,6 +7,9 @@ rows to the largest fractional parts, ties by class order). The q_c-th
 key per class is found with the distributed order-statistic search on a
 52-bit numeric prefix of the hash, so the split is a plain filter
 ``key <= threshold(class)``: no window, no per-class task, no join.
+Rows with one key at the threshold are ordered by a hash of all columns
+in the same way; of fully equal rows there, the right number goes to each
+side. Without a key the hash of all columns is the key.
 """
 
 from __future__ import annotations
@@ -20,7 +23,14 @@ from pyspark.sql import functions as F
 from qforge.functions.columns import as_double, col, dlit
 from qforge.functions.order_stats import order_statistics
 
-MAX_TIES = 100_000
+#: Copies of one row that a task writes when equal rows straddle the threshold.
+COPIES_PER_TASK = 100_000
+
+
+def row_hash(df: DataFrame, seed: int) -> Column:
+    """Hash of all columns, nulls included."""
+    whole = F.to_json(F.struct(*[col(c) for c in df.columns]), {"ignoreNullFields": "false"})
+    return F.md5(F.concat(whole, F.lit(f":{seed}")))
 
 
 def split_hash(key: str | Column, seed: int) -> Column:
@@ -54,20 +64,43 @@ class SplitPlan:
     seed: int
     quotas: dict
     conds: dict = field(default_factory=dict)
+    equal: dict = field(default_factory=dict)     # class -> (condition of the equal rows, copies in test, in train)
 
     def is_test(self) -> Column:
+        """Rows of the test side, without the equal rows that straddle a threshold."""
         out = F.lit(False)
         for c, cond in self.conds.items():
             out = out | ((col(self.label) == F.lit(c)) & cond)
         return out
 
+    def sides(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(train, test)"""
+        flag, straddling = self.is_test(), F.lit(False)
+        for cond, _, _ in self.equal.values():
+            straddling = straddling | cond
+        train, test = df.where(~flag & ~straddling), df.where(flag)
+        for cond, n_test, n_train in self.equal.values():
+            train = train.unionByName(copies(df.where(cond), n_train))
+            test = test.unionByName(copies(df.where(cond), n_test))
+        return train, test
+
+
+def copies(equal: DataFrame, n: int) -> DataFrame:
+    """n copies of the one row that all rows of ``equal`` are, dealt out over tasks."""
+    one = equal.agg(F.first(F.struct(*[col(c) for c in equal.columns])).alias("row")).where("row IS NOT NULL")
+    blocks = -(-n // COPIES_PER_TASK)
+    block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    size = F.least(F.lit(COPIES_PER_TASK), F.lit(n) - F.col("block") * COPIES_PER_TASK)
+    return (one.select("row", block).repartition("block")
+            .select("row", F.explode(F.sequence(F.lit(1), size.cast("int"))).alias("nth")).select("row.*"))
+
 
 PREFIX_SPAN = float(2 ** 52)
 
 
-def plan_split(df: DataFrame, label: str, key: str | Column, test_size: float = 0.2,
+def plan_split(df: DataFrame, label: str, key: str | Column | None = None, test_size: float = 0.2,
                seed: int = 42, bins: int = 4096) -> SplitPlan:
-    """Class quotas and per-class hash thresholds. ``key`` must identify rows uniquely.
+    """Class quotas and per-class hash thresholds. A null label raises.
 
     The hash prefix is uniform over the known range [0, 2^52), so the first
     pass needs no min/max: one grouped pass over (class, prefix bucket)
@@ -76,9 +109,8 @@ def plan_split(df: DataFrame, label: str, key: str | Column, test_size: float =
     statistic search restricted to that bucket (usually one value fetch).
     """
     y = col(label)
-    h = split_hash(key, seed)
-    pre = _prefix(h)
-    staged = df.where(y.isNotNull()).select(y.alias("y"), pre.alias("pre"))
+    pre = _prefix(row_hash(df, seed) if key is None else split_hash(key, seed))
+    staged = df.select(y.alias("y"), pre.alias("pre"))
     bucket = F.least((F.col("pre") / F.lit(PREFIX_SPAN) * bins).cast("int"), F.lit(bins - 1))
     hist_rows = (staged.groupBy("y", bucket.alias("b"))
                  .agg(F.count(F.lit(1)).alias("n"), F.min("pre").alias("lo"), F.max("pre").alias("hi"))
@@ -87,6 +119,8 @@ def plan_split(df: DataFrame, label: str, key: str | Column, test_size: float =
     for r in hist_rows:
         hist.setdefault(r["y"], []).append((r["b"], int(r["n"]), r["lo"], r["hi"]))
     counts = {c: sum(n for _, n, _, _ in rows) for c, rows in hist.items()}
+    if None in counts:
+        raise ValueError(f"{counts[None]} rows have no label")
     n = sum(counts.values())
     if n == 0:
         raise ValueError("cannot split an empty table")
@@ -125,26 +159,27 @@ def plan_split(df: DataFrame, label: str, key: str | Column, test_size: float =
         if n_less + res.n_equal == quotas[c]:
             plan.conds[c] = pre <= dlit(t)
             continue
-        # several rows share the 52-bit prefix at the boundary: order them by the full hash
-        if res.n_equal > MAX_TIES:
-            raise ValueError("split key is not unique enough: too many rows share one hash")
-        # bounded: the tie count was checked against MAX_TIES above
-        tied = sorted(r[0] for r in df.where((y == F.lit(c)) & (pre == dlit(t))).select(h).collect())
-        need = quotas[c] - n_less
-        cut = tied[need - 1]
-        if need < len(tied) and tied[need] == cut:
-            raise ValueError("split key is not unique: identical keys straddle the split")
-        plan.conds[c] = (pre < dlit(t)) | ((pre == dlit(t)) & (h <= F.lit(cut)))
+        # several rows share the key's prefix at the threshold: order them by the hash of all columns
+        need, tie = quotas[c] - n_less, (y == F.lit(c)) & (pre == dlit(t))
+        rest = _prefix(row_hash(df, seed + 1))
+        second = order_statistics(df, {"tie": F.when(tie, rest)}, {"tie": [need - 1]})["tie"][need - 1]
+        u, at = second.value, tie & (rest == dlit(second.value))
+        if second.n_less + second.n_equal == need:
+            plan.conds[c] = (pre < dlit(t)) | ((pre == dlit(t)) & (rest <= dlit(u)))
+            continue
+        whole = row_hash(df, seed + 1)
+        ends = df.where(at).agg(F.min(whole).alias("lo"), F.max(whole).alias("hi")).first()
+        if ends["lo"] != ends["hi"]:
+            raise ValueError("different rows at the threshold have one 104-bit hash; choose another seed")
+        plan.conds[c] = (pre < dlit(t)) | ((pre == dlit(t)) & (rest < dlit(u)))
+        plan.equal[c] = (at, need - second.n_less, second.n_less + second.n_equal - need)
     return plan
 
 
-def stratified_split(df: DataFrame, label: str, key: str | Column, test_size: float = 0.2,
+def stratified_split(df: DataFrame, label: str, key: str | Column | None = None, test_size: float = 0.2,
                      seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(train, test) with exact per-class test quotas; repeatable from the seed."""
-    plan = plan_split(df, label, key, test_size, seed)
-    flag = plan.is_test()
-    labelled = df.where(col(label).isNotNull())
-    return labelled.where(~flag), labelled.where(flag)
+    """(train, test) with exact per-class test quotas; repeatable from the seed. A null label raises."""
+    return plan_split(df, label, key, test_size, seed).sides(df)
 
 
 # ---------------------------------------------------------------- M2

@@ -38,11 +38,14 @@ BOOL_FALSE = ["False", "FALSE", "false"]
 
 # Shapes of integer and floating-point text. Testing the shape first keeps
 # inference free of failing casts (a failing try_cast costs an exception
-# per value); integers longer than 18 digits are left to the float rule.
+# per value); only 19-digit text is cast to see whether it fits 64 bits.
 INT_TEXT = r"^\s*[+-]?[0-9]{1,18}\s*$"
+INT19_TEXT = r"^\s*[+-]?[0-9]{19}\s*$"
 FLOAT_TEXT = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
 
 SOURCE_COL = "_source_file"
+CORRUPT_COL = "__corrupt_record"
+RAGGED = "a record has more cells than the header"
 
 
 @dataclass
@@ -55,6 +58,7 @@ class FileInfo:
     columns: list[str]
     error: str | None = None
     records: int | None = None      # parsed data records, when they differ from lines
+    multiline: bool = False         # a quoted cell may hold line breaks
 
     @property
     def rows(self) -> int:
@@ -87,7 +91,12 @@ def dedupe_names(names: list[str]) -> list[str]:
 
 def inspect_files(spark: SparkSession, paths: list[str], chain=enc.ANALYSIS_CHAIN,
                   rename: dict[str, str] | None = None) -> list[FileInfo]:
-    """Charset, line count and normalised columns for each file (bounded by #files)."""
+    """Charset, record count and normalised columns for each file (bounded by #files).
+
+    A file with an odd number of quotes in some line is read with quoted line
+    breaks (by one task) and its records are counted by a parse; all others
+    stay splittable. A record with more cells than the header is the file's error.
+    """
     det = {r["path"]: r for r in enc.detect(spark, paths, chain).collect()}  # bounded: per file
     by_norm = {norm_path(k): r for k, r in det.items()}
     infos = []
@@ -104,7 +113,10 @@ def inspect_files(spark: SparkSession, paths: list[str], chain=enc.ANALYSIS_CHAI
         except ValueError as e:          # e.g. two headers that normalise to one name
             cols, err = [], str(e)
         # keep the caller's path string: callers select files by it
-        infos.append(FileInfo(p, name, r["charset"], int(r["n_lines"]), raw, cols, err))
+        if cols and not r["odd_quotes"] and r["max_cells"] > len(cols):
+            err = RAGGED
+        infos.append(FileInfo(p, name, r["charset"], int(r["n_lines"]), raw, cols, err, multiline=bool(r["odd_quotes"])))
+    count_records(spark, [i for i in infos if i.multiline])
     return infos
 
 
@@ -115,17 +127,25 @@ def csv_options(charset: str, multiline: bool = False) -> dict[str, str]:
 
 
 def read_group(spark: SparkSession, paths: list[str], charset: str, columns: list[str],
-               multiline: bool = False) -> DataFrame:
+               multiline: bool = False, strict: bool = True) -> DataFrame:
     """One CSV scan for files that share charset and header; all columns as strings.
 
     ``multiline`` allows quoted fields with line breaks (each file is then
-    read by one task instead of being split).
+    read by one task instead of being split). A record with more cells than
+    the header raises with its file's name; with ``strict=False`` its raw text
+    stays in ``CORRUPT_COL`` instead. Missing cells at the end are NULL.
     """
-    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
-    return (spark.read.schema(schema)
-            .options(enforceSchema="true", **csv_options(charset, multiline))
+    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in [*columns, CORRUPT_COL]])
+    rows = (spark.read.schema(schema)
+            .options(enforceSchema="true", columnNameOfCorruptRecord=CORRUPT_COL, **csv_options(charset, multiline))
             .csv(paths)
             .withColumn(SOURCE_COL, F.col("_metadata.file_path")))
+    rows = rows.withColumn(CORRUPT_COL, F.when(enc.cells(col(CORRUPT_COL)) > len(columns), col(CORRUPT_COL)))
+    if not strict:
+        return rows
+    # the message names a data column too: Spark refuses scans of the raw text alone
+    said = F.concat(col(SOURCE_COL), F.lit(f": {RAGGED}; first cell: "), F.coalesce(col(columns[0]), F.lit("")))
+    return rows.where(F.when(col(CORRUPT_COL).isNotNull(), F.raise_error(said).cast("boolean")).otherwise(True)).drop(CORRUPT_COL)
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
@@ -144,7 +164,8 @@ def infer_types(df: DataFrame, cols: list[str]) -> dict[str, str]:
     for i, c in enumerate(cols):
         x = col(c)
         aggs += [F.count(x).alias(f"n{i}"),
-                 F.count_if(x.rlike(INT_TEXT)).alias(f"l{i}"),
+                 F.count_if(x.rlike(INT_TEXT) | F.when(x.rlike(INT19_TEXT), F.expr(f"try_cast({quote(c)} AS BIGINT)").isNotNull())
+                            .otherwise(False)).alias(f"l{i}"),
                  F.count_if(x.rlike(FLOAT_TEXT)).alias(f"d{i}"),
                  F.count_if(x.isin(BOOL_TRUE + BOOL_FALSE)).alias(f"b{i}")]
     if not aggs:
@@ -185,34 +206,40 @@ def read_csv_strings(spark: SparkSession, paths: list[str], chain=enc.ANALYSIS_C
     """Parsed but untyped rows of many CSV files: (strings with NA tokens as NULL, column order)."""
     infos = infos if infos is not None else inspect_files(spark, paths, chain, rename)
     bad = [f"{i.file_name} ({i.error})" if i.error else i.file_name
-           for i in infos if i.charset is None or not i.columns]
+           for i in infos if i.charset is None or i.error or not i.columns]
     if bad:
         raise ValueError(f"cannot decode or parse: {', '.join(sorted(bad))}")
     groups: dict[tuple, list[str]] = {}
     for i in infos:
-        groups.setdefault((i.charset, tuple(i.columns)), []).append(i.path)
+        groups.setdefault((i.charset, tuple(i.columns), multiline or i.multiline), []).append(i.path)
     order: list[str] = []
     for i in infos:
         for c in i.columns:
             if c not in order:
                 order.append(c)
-    frames = [read_group(spark, ps, cs, list(cols), multiline) for (cs, cols), ps in groups.items()]
+    frames = [read_group(spark, ps, cs, list(cols), many) for (cs, cols, many), ps in groups.items()]
     return na_to_null(union_by_name(frames), order), order
 
 
 def count_records(spark: SparkSession, infos: list[FileInfo], multiline: bool = True) -> list[FileInfo]:
-    """Per-file data records from a parse (needed when records span lines); one grouped scan."""
+    """Per-file data records from a parse (needed when records span lines); one grouped scan.
+
+    A record with more cells than the header becomes the file's error.
+    """
     ok = [i for i in infos if i.charset and i.columns]
     groups: dict[tuple, list[str]] = {}
     for i in ok:
         groups.setdefault((i.charset, tuple(i.columns)), []).append(i.path)
     counts: dict[str, int] = {}
     for (cs, cols), ps in groups.items():
-        rows = (read_group(spark, ps, cs, list(cols), multiline).groupBy(SOURCE_COL).count()
+        parsed = read_group(spark, ps, cs, list(cols), multiline, strict=False)
+        rows = (parsed.select(SOURCE_COL, CORRUPT_COL, col(cols[0]).alias("first_cell")).groupBy(SOURCE_COL)
+                .agg(F.count(F.lit(1)).alias("n"), F.count(CORRUPT_COL).alias("ragged"), F.count("first_cell").alias("filled"))
                 .collect())  # bounded: one row per file
-        counts.update({norm_path(r[SOURCE_COL]): int(r["count"]) for r in rows})
+        counts.update({norm_path(r[SOURCE_COL]): (int(r["n"]), int(r["ragged"])) for r in rows})
     for i in ok:
-        i.records = counts.get(norm_path(i.path), 0)
+        i.records, ragged = counts.get(norm_path(i.path), (0, 0))
+        i.error = RAGGED if ragged else i.error
     return infos
 
 
@@ -256,8 +283,8 @@ def ingest_report(spark: SparkSession, paths: list[str], chain=enc.UPLOAD_CHAIN,
     """S3: one row per offered file: file_name, status, error, rows, cols.
 
     Names not ending in .csv are rejected; a file that is empty, cannot be
-    decoded or has clashing column names fails on its own without stopping
-    the rest.
+    decoded, has clashing column names or a record with more cells than the
+    header fails on its own without stopping the rest.
     """
     csvs = [p for p in paths if p.endswith(".csv")]
     rows = [(p.rstrip("/").split("/")[-1], "failed", "only CSV files are accepted", None, None)
@@ -267,7 +294,7 @@ def ingest_report(spark: SparkSession, paths: list[str], chain=enc.UPLOAD_CHAIN,
     for i in infos:
         if i.charset is None:
             rows.append((i.file_name, "failed", "no supported character encoding fits", None, None))
-        elif not i.columns:
+        elif i.error or not i.columns:
             rows.append((i.file_name, "failed", i.error or "no columns to parse", None, None))
         else:
             rows.append((i.file_name, "success", None, i.rows, len(i.columns)))
@@ -284,7 +311,7 @@ def land_uploads(spark: SparkSession, paths: list[str], landing: str, chain=enc.
     csvs = [p for p in paths if p.endswith(".csv")]
     all_infos = inspect_files(spark, csvs, chain, rename) if csvs else []   # one detection pass
     report = require_success(ingest_report(spark, paths, chain, rename, infos=all_infos))
-    infos = [i for i in all_infos if i.charset and i.columns]
+    infos = [i for i in all_infos if i.charset and i.columns and not i.error]
     if infos:
         rows = read_csv_files(spark, [i.path for i in infos], chain, rename, keep_source=True, infos=infos)
         rows.withColumn("_ingested_at", F.current_timestamp()).write.mode("append").parquet(landing)

@@ -4,12 +4,13 @@ A wrong charset does not fail in Spark - it silently yields U+FFFD - so
 the "try encodings until one parses" pattern cannot be used; detection
 is explicit and distributed:
 
-pass 1 (JVM only): every line of every file is read through the CSV
-  source as ISO-8859-1 (a byte-preserving decode) into one column; per
-  file we aggregate "all lines are valid UTF-8", the line count and the
-  header line (the first line of the block at offset 0, by scan order).
+pass 1 (JVM only): every line of every file is read through the text
+  source, which keeps the bytes; per file we aggregate "all lines are
+  valid UTF-8", the line count, the header line (the first line of the
+  block at offset 0, by scan order), whether a line has an odd number of
+  quotes (a record may then span lines) and the most cells of a line.
 pass 2 (only for files that are not UTF-8): a vectorised pandas UDF
-  checks CP949 validity of the same byte-preserved lines.
+  checks CP949 validity of the same lines.
 CP949 trail bytes never equal newline, comma or quote, so line splitting
 on bytes is safe and both passes stay splittable.
 """
@@ -21,7 +22,7 @@ import io
 from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,18 +39,24 @@ JVM_CHARSET = {
 ANALYSIS_CHAIN = ("utf-8", "cp949")
 UPLOAD_CHAIN = ("utf-8", "cp949", "latin-1")
 
-_LINE_SCHEMA = "v string"
-
-
 def raw_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row per line: path, block_start, ord (scan order), v (bytes as latin-1)."""
-    return (spark.read.schema(_LINE_SCHEMA)
-            .option("encoding", "ISO-8859-1").option("sep", "\u0001").option("quote", "")
-            .option("header", False).option("mode", "PERMISSIVE")
-            .csv(paths)
+    """One row per line that is not blank: path, block_start, ord (scan order), v (the bytes, unchecked)."""
+    return (spark.read.text(paths)
             .select(F.col("_metadata.file_path").alias("path"),
                     F.col("_metadata.file_block_start").alias("block_start"),
-                    F.monotonically_increasing_id().alias("ord"), "v"))
+                    F.monotonically_increasing_id().alias("ord"), F.col("value").alias("v"))
+            .where(F.trim("v") != ""))
+
+
+def occurrences(text: Column, char: str) -> Column:
+    """How often an ASCII character stands in a text, counted on the bytes."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(char), F.lit("")))
+
+
+def cells(line: Column) -> Column:
+    """Cells of a CSV record: commas outside quotes, and one."""
+    bare = F.when(F.contains(line, F.lit('"')), F.regexp_replace(line, '"[^"]*"', "")).otherwise(line)
+    return occurrences(bare, ",") + 1
 
 
 def _cp949_udf():
@@ -65,13 +72,13 @@ def _cp949_udf():
         if s is None:
             return True
         try:
-            s.encode("latin-1").decode("cp949")
+            s.decode("cp949")
             return True
         except UnicodeError:
             return False
 
     def check(v: pd.Series) -> pd.Series:
-        blob = "\n".join(x for x in v if x is not None).encode("latin-1")
+        blob = b"\n".join(bytes(x) for x in v if x is not None)
         try:
             blob.decode("cp949")
             return pd.Series(True, index=v.index)
@@ -90,22 +97,22 @@ def norm_path(p: str) -> str:
 
 
 def detect(spark: SparkSession, paths: list[str], chain: tuple[str, ...] = ANALYSIS_CHAIN) -> DataFrame:
-    """path (as given), charset (None when no codec of the chain fits), n_lines, header (decoded text).
+    """path (as given), charset (None when no codec of the chain fits), n_lines, header (decoded text),
+    odd_quotes (a line has an odd number of quotes), max_cells (of a line).
 
     Only per-file summaries (bounded by the number of files) reach the driver.
     Scan metadata reports URI-encoded paths; they are mapped back to the
     caller's strings, which are also what the second pass reads.
     """
-    schema = "path string, charset string, n_lines long, header string"
+    schema = "path string, charset string, n_lines long, header string, odd_quotes boolean, max_cells long"
     if not paths:
         return spark.createDataFrame([], schema)
     lines = raw_lines(spark, paths)
-    # plain ASCII lines are valid UTF-8; only the others are re-encoded and checked
-    ascii_only = ~F.col("v").rlike("[^\\x00-\\x7F]")
-    utf8 = F.when(ascii_only, True).otherwise(F.is_valid_utf8(F.encode(F.col("v"), "ISO-8859-1").cast("string")))
     per_file = (lines.groupBy("path")
-                .agg(F.bool_and(utf8).alias("utf8"), F.count(F.lit(1)).alias("n_lines"),
-                     F.min_by(F.col("v"), F.when(F.col("block_start") == 0, F.col("ord"))).alias("first"))
+                .agg(F.bool_and(F.is_valid_utf8("v")).alias("utf8"), F.count(F.lit(1)).alias("n_lines"),
+                     F.bool_or(occurrences(F.col("v"), '"') % 2 == 1).alias("odd_quotes"),
+                     F.max(cells(F.col("v"))).alias("max_cells"),
+                     F.min_by(F.col("v").cast("binary"), F.when(F.col("block_start") == 0, F.col("ord"))).alias("first"))
                 .collect())  # bounded: one row per file
     given = {norm_path(p): p for p in paths}
     found = {given.get(norm_path(r["path"]), r["path"]): r for r in per_file}
@@ -118,9 +125,9 @@ def detect(spark: SparkSession, paths: list[str], chain: tuple[str, ...] = ANALY
             need_cp949.append(p)
     if need_cp949 and "cp949" in chain:
         # ASCII lines are valid CP949: only lines with other bytes go through Python
-        non_ascii = raw_lines(spark, need_cp949).where(~ascii_only)   # scans only those files
+        non_ascii = raw_lines(spark, need_cp949).where(F.col("v").rlike("[^\\x00-\\x7F]"))   # scans only those files
         rows = (non_ascii.groupBy("path")
-                .agg(F.bool_and(_cp949_udf()(F.col("v"))).alias("ok")).collect())  # bounded: per file
+                .agg(F.bool_and(_cp949_udf()(F.col("v").cast("binary"))).alias("ok")).collect())  # bounded: per file
         verdict = {norm_path(r["path"]): r["ok"] for r in rows}
         for p in need_cp949:
             # a non-UTF-8 file always has a non-ASCII line, so it always has a verdict
@@ -133,16 +140,15 @@ def detect(spark: SparkSession, paths: list[str], chain: tuple[str, ...] = ANALY
     for p, r in found.items():
         cs = charsets[p]
         header = decode_header(r["first"], cs) if cs else None
-        out.append((p, cs, int(r["n_lines"]), header))
+        out.append((p, cs, int(r["n_lines"]), header, r["odd_quotes"], int(r["max_cells"])))
     return spark.createDataFrame(out, schema)
 
 
-def decode_header(first_line: str | None, charset: str) -> str | None:
+def decode_header(first_line: bytes | None, charset: str) -> str | None:
     if first_line is None:
         return None
-    raw = first_line.encode("latin-1")
     codec = "utf-8-sig" if charset == "utf-8" else charset
-    return raw.decode(codec)
+    return bytes(first_line).decode(codec)
 
 
 def parse_header(header: str) -> list[str]:
