@@ -914,3 +914,18 @@ def q_stratified_split_train(spark, sf):
     """The training side of the exact split: every row not drawn for the test set."""
     train, _ = S.stratified_split(td.sensor(spark, sf), "error", "event_id", 0.2, 42)
     return train.select("event_id", "error")
+
+
+SQL_SPLIT_NOKEY = with_(*_split_ctes("lineitem", "l_returnflag", "''")[:4]) + (
+    "SELECT l_returnflag, any_value(quota) AS n_test, count(*) - any_value(quota) AS n_train, "
+    "CAST(sum(l_linenumber) AS BIGINT) AS line_sum FROM lineitem JOIN qq ON l_returnflag = qq.y GROUP BY 1")
+
+
+@register("stratified_split_nokey", SQL_SPLIT_NOKEY)
+def q_stratified_split_nokey(spark, sf):
+    """The split of a table without a key and with many equal rows: exact sizes per class, and no row lost or doubled."""
+    rows = _lineitem(spark, sf).select("l_returnflag", F.col("l_linenumber").cast("long").alias("l_linenumber"))
+    train, test = S.stratified_split(rows, "l_returnflag", None, 0.2, 42)
+    sides = train.withColumn("t", F.lit(0)).unionByName(test.withColumn("t", F.lit(1)))
+    return sides.groupBy("l_returnflag").agg(
+        F.sum("t").alias("n_test"), F.sum(1 - F.col("t")).alias("n_train"), F.sum("l_linenumber").alias("line_sum"))
