@@ -6,7 +6,8 @@ with equal words have the same one, so it decides the shard.
 1. Candidates: shards count in how many documents each kept 5-gram occurs.
 2. Only stretches whose 5-gram recurs travel on. Their shard confirms the windows that really occur
    in two documents, compiles them into Aho-Corasick automata over word numbers (bounded in
-   size, several a shard if needed) and streams every stretch of every document through them.
+   size, several a shard if needed) and streams every distinct stretch through them once; what is found
+   holds at each of its places in each document.
 3. The places found where a smaller doc_id has the phrase go back to the documents, whose covered words
    are removed.
 
@@ -153,41 +154,58 @@ def automaton(phrases: list[str]):
 
 
 def _locate(span: int, max_patterns: int):
-    """Shard: confirm recurring phrases, compile them, stream all stretches -> places to remove, by bucket."""
+    """Shard: confirm recurring phrases, compile them, stream every distinct stretch -> places to remove, by bucket."""
     def fn(key, packed):
         parts = [(o, *unpack(b, np.int64, np.int32, np.int32, np.int32, bytes))
                  for o, b in zip(packed.column("origin").to_pylist(), packed.column("body").to_pylist())]
         origin = np.repeat(np.array([p[0] for p in parts], np.int32), [len(p[1]) for p in parts])
-        doc, row, first, size = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3, 4))
-        hashes = np.concatenate([Words(pa.array([p[5].decode()], pa.string()), "space", False).h for p in parts])
+        doc, row, first, sizes = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3, 4))
+        # stretches with equal words are confirmed and streamed once; ``which`` leads back to all their places
+        seen: dict[bytes, int] = {}
+        which = np.fromiter((seen.setdefault(t, len(seen)) for p in parts for t in p[5].split(b"\n")), np.int64, len(doc))
+        del parts
+        text = pa.array([b"\n".join(seen)], pa.large_binary()).cast(pa.large_string())
+        m = len(seen)
+        del seen
+        hashes = Words(text, "space", False).h
+        del text
+        size = np.zeros(m, np.int64)
+        size[which] = sizes
+        places = np.argsort(which, kind="stable")
+        from_ = np.searchsorted(which[places], np.arange(m + 1))
+        lo, hi = np.minimum.reduceat(doc[places], from_[:-1]), np.maximum.reduceat(doc[places], from_[:-1])
         # word numbers from 1; a 0 after each stretch keeps phrases from running over its end
         number = np.unique(hashes, return_inverse=True)[1] + 1
         begin = np.cumsum(size + 1) - size - 1
-        own = np.repeat(np.arange(len(size)), size)
+        own = np.repeat(np.arange(m), size)
         seq = np.zeros(int((size + 1).sum()), np.int64)
         seq[np.arange(len(number)) + own] = number
         # confirm: which windows occur in two documents, and in which document first
         start = np.concatenate([[0], np.cumsum(size - span + 1)])
-        of = np.repeat(np.arange(len(size)), size - span + 1)
+        of = np.repeat(np.arange(m), size - span + 1)
         at = begin[of] + np.arange(int(start[-1])) - start[of]
         g = gram_hashes(seq.astype(np.uint64), span)[at]
         order = np.argsort(g, kind="stable")
         head = np.flatnonzero(np.concatenate([[True], g[order][1:] != g[order][:-1]]))
-        low, high = np.minimum.reduceat(doc[of][order], head), np.maximum.reduceat(doc[of][order], head)
+        low, high = np.minimum.reduceat(lo[of][order], head), np.maximum.reduceat(hi[of][order], head)
         many = np.flatnonzero(low < high)
         spot, low = at[order][head[many]], low[many]
         del g, order, of, at
         width = max(1, -(-int(seq.max(initial=0)).bit_length() // 6))
         stream, out = spell(seq, width), []
-        where = np.repeat(np.arange(len(size)), size + 1)
+        where = np.repeat(np.arange(m), size + 1)
         for i in range(0, len(spot), max_patterns):
             a = automaton([stream[x * width:(x + span) * width] for x in spot[i:i + max_patterns].tolist()])
             found = np.array(list(a.iter(stream)), np.int64).reshape(-1, 2)
-            found[:, 0] //= width
-            t = where[found[:, 0]]
-            gone = low[i + found[:, 1]] < doc[t]
-            t, word = t[gone], found[gone, 0] - span + 1
-            out.append((origin[t], row[t], (first[t] + word - begin[t]).astype(np.int32)))
+            end = found[:, 0] // width
+            t = where[end]
+            copies = from_[t + 1] - from_[t]
+            hit = np.repeat(np.arange(len(t)), copies)
+            place = places[np.arange(len(hit)) - np.repeat(np.cumsum(copies) - copies, copies) + np.repeat(from_[t], copies)]
+            gone = low[i + found[hit, 1]] < doc[place]
+            hit, place = hit[gone], place[gone]
+            out.append((origin[place], row[place],
+                        (first[place] + (end - span + 1 - begin[t])[hit]).astype(np.int32)))
         if not out:
             return table([])
         to, row, word = (np.concatenate([o[i] for o in out]) for i in (0, 1, 2))
