@@ -14,7 +14,8 @@ exact. Here the k-th smallest value is found by *histogram refinement*:
    value) is resolved by fetching just those values.
 
 Only bounded summaries reach the driver. Each pass is one scan of the
-needed columns; later passes carry a range filter the scan can use. A hot
+needed columns; where the caller names the raw column (``raw``), later passes
+carry a range filter on it that the scan can use. A hot
 value (say a third of all rows equal to one number) is resolved as soon as
 its bucket has min == max, so skew makes this faster, not slower.
 
@@ -32,7 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qforge.functions.columns import as_double
+from qforge.functions.columns import as_double, col
 
 DEFAULT_BINS = 4096
 DEFAULT_SMALL = 4096
@@ -70,12 +71,13 @@ def column_profile(df: DataFrame, values: dict[str, Column]) -> dict[str, tuple[
 
 def order_statistics(df: DataFrame, values: dict[str, Column], ranks: dict[str, list[int]],
                      profile: dict | None = None, bins: int = DEFAULT_BINS,
-                     small: int = DEFAULT_SMALL) -> dict[str, dict[int, RankResult]]:
+                     small: int = DEFAULT_SMALL, raw: dict[str, Column] | None = None) -> dict[str, dict[int, RankResult]]:
     """k-th smallest non-null value (0-based ranks) of each value expression.
 
     ``values`` maps a name to a double Column (NULL = not part of that
     population, which is how grouped selections such as "per label" are
-    expressed). Returns name -> rank -> RankResult(value, n_less, n_equal).
+    expressed). ``raw`` maps a name to the stored column its values are a cast
+    of. Returns name -> rank -> RankResult(value, n_less, n_equal).
     """
     if profile is None:
         profile = column_profile(df, {k: values[k] for k in ranks})
@@ -107,8 +109,8 @@ def order_statistics(df: DataFrame, values: dict[str, Column], ranks: dict[str,
         eff_bins, eff_small = min(bins, share), min(small, share)
         wide = {k: g for k, g in intervals.items() if k[4] > eff_small}
         narrow = {k: g for k, g in intervals.items() if k[4] <= eff_small}
-        hist = _histogram_pass(df, values, names, wide, eff_bins) if wide else {}
-        vals = _values_pass(df, values, names, narrow) if narrow else {}
+        hist = _histogram_pass(_in_ranges(df, names, raw, wide), values, names, wide, eff_bins) if wide else {}
+        vals = _values_pass(_in_ranges(df, names, raw, narrow), values, names, narrow) if narrow else {}
 
         for key in list(pending):
             name, r = key
@@ -153,6 +155,15 @@ def _by_input(names, sel):
     return [(n, per[n]) for n in names if n in per]
 
 
+def _in_ranges(df, names, raw, sel):
+    """Rows with a value in one of the intervals, told from the stored columns so that the filter reaches
+    the scan. NaN is above every number, so it stays out as it does in the values."""
+    per = _by_input(names, sel)
+    if raw is None or any(name not in raw for name, _ in per):
+        return df
+    return df.where(_any([raw[name].between(F.lit(lo), F.lit(hi)) for name, ivs in per for _, lo, hi in ivs]))
+
+
 def _staged(df, values, names, sel):
     """Project each needed value once (e.g. a hash), then refer to the column."""
     used = [name for name, _ in _by_input(names, sel)]
@@ -249,6 +260,6 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                 rs.update({math.floor(h), math.ceil(h)})
         ranks[c] = sorted(rs)
     found = order_statistics(df, values, {c: r for c, r in ranks.items() if r},
-                             profile=profile, **kw)
+                             profile=profile, raw={c: col(c) for c in cols}, **kw)
     return {c: [interpolate(profile[c][0], p, lambda k, c=c: found[c][k].value) for p in probs]
             for c in cols}

@@ -1,93 +1,65 @@
 """Running (cumulative) totals without a single-partition window.
 
 ``Window.orderBy(k)`` with no partition key sends every row to one task.
-Instead the rows are cut into key-range buckets (boundaries from
-``percentile_approx``, a bounded list), each bucket's total is computed
-with a ``groupBy`` (bounded: one row per bucket), the per-bucket offsets
-are prefix-summed on the driver and injected as an array literal, and
-the running sum inside a bucket is a window partitioned by the bucket.
-When the input is small enough for one task (``rows_per_bucket``), the
-bucketing is skipped.
+Instead the rows are range-partitioned by the key into as many buckets as
+there are shuffle partitions and written once to the shared checkpoint
+folder, each with its bucket number. A ``groupBy`` gives one total per
+bucket; the totals' prefix sums (one row per bucket) are joined back as a
+small table, and the running sum inside a bucket is a window partitioned by
+the bucket. Every size of input takes this way.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-
-def _count_below(key: Column, bounds: list, lo: int, hi: int) -> Column:
-    """Number of ``bounds`` strictly below ``key`` (balanced CASE tree, log depth)."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(key > F.lit(bounds[mid]), _count_below(key, bounds, mid + 1, hi)) \
-            .otherwise(_count_below(key, bounds, lo, mid))
-
-
-def _lit_array(vals: list) -> Column:
-    return F.array(*[F.lit(v) for v in vals])
+from pyspark.sql import types as T
 
 
 def running_totals(df: DataFrame, key: str, sums: list[str], descending: bool = True,
-                   with_next: bool = False, rows_per_bucket: int = 1_000_000,
-                   max_buckets: int = 4096, materialize: bool = True) -> DataFrame:
+                   with_next: bool = False, buckets: int | None = None) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum in key order) for each c in ``sums``.
 
     ``key`` must be distinct per row (aggregate first). With ``with_next``
     also add ``next_<c>``: the value of c on the following row in that
-    order (NULL on the last row). ``materialize`` checkpoints the input to
-    the shared checkpoint folder first, so the sizing, bucket-boundary,
-    bucket-total and final passes read it once instead of recomputing it.
+    order (NULL on the last row). ``buckets`` defaults to the number of
+    shuffle partitions, which also bounds the rows that reach the driver.
     """
-    if materialize:
-        df = df.checkpoint(eager=True)
-    n = df.count()
-    nb = min(max_buckets, max(1, math.ceil(n / rows_per_bucket)))
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     k = F.col(key)
-    if nb == 1:
-        bounds: list = []
-        bucket = F.lit(0)
-    else:
-        probs = [i / nb for i in range(1, nb)]
-        bounds = sorted(set(df.agg(F.percentile_approx(k, probs, 10000)).first()[0]))
-        asc = _count_below(k, bounds, 0, len(bounds))
-        bucket = (F.lit(len(bounds)) - asc) if descending else asc
-    nbk = len(bounds) + 1
     order = k.desc() if descending else k.asc()
-    b = df.withColumn("_bucket", bucket.cast("int"))
+    # the bucket number is stored with the row, so all later passes agree on the borders
+    b = df.repartitionByRange(n, order).withColumn("_bucket", F.spark_partition_id()).checkpoint(eager=True)
 
     aggs = [F.sum(F.col(c)).alias(c) for c in sums]
     if with_next:
         first = (F.max_by if descending else F.min_by)(F.struct(*[F.col(c) for c in sums]), k)
         aggs.append(first.alias("_first"))
-    totals = {r["_bucket"]: r for r in b.groupBy("_bucket").agg(*aggs).collect()}  # bounded: <= max_buckets
+    totals = sorted(b.groupBy("_bucket").agg(*aggs).collect(), key=lambda r: r["_bucket"])  # bounded: <= buckets
+
+    before, rows = [0] * len(sums), []
+    for i, r in enumerate(totals):
+        following = totals[i + 1]["_first"] if with_next and i + 1 < len(totals) else [None] * len(sums)
+        rows.append((r["_bucket"], *before, *(following if with_next else ())))
+        before = [x + (r[c] or 0) for x, c in zip(before, sums)]
+    total_type = b.groupBy().agg(*aggs).schema
+    fields = [T.StructField("_bucket", T.IntegerType())]
+    fields += [T.StructField(f"_before_{c}", total_type[c].dataType) for c in sums]
+    if with_next:
+        fields += [T.StructField(f"_after_{c}", b.schema[c].dataType) for c in sums]
+    zero = {T.DoubleType: float, T.FloatType: float}
+    cast = [zero.get(type(f.dataType), lambda v: v) for f in fields]
+    offsets = spark.createDataFrame(
+        [tuple(None if v is None else c(v) for c, v in zip(cast, r)) for r in rows], T.StructType(fields))
 
     w = Window.partitionBy("_bucket").orderBy(order)
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cols = []
     for c in sums:
-        offs, acc = [], 0
-        for i in range(nbk):
-            offs.append(acc)
-            t = totals.get(i)
-            acc = acc + ((t[c] or 0) if t is not None else 0)
-        offset = F.element_at(_lit_array(offs), F.col("_bucket") + 1) if nbk > 1 else F.lit(0)
-        cols.append((offset + F.sum(F.col(c)).over(running)).alias(f"cum_{c}"))
+        cols.append((F.col(f"_before_{c}") + F.sum(F.col(c)).over(running)).alias(f"cum_{c}"))
         if with_next:
-            # first row of the next non-empty bucket, for the last row of a bucket
-            nxt, following = [None] * nbk, None
-            for i in range(nbk - 1, -1, -1):
-                nxt[i] = following
-                t = totals.get(i)
-                if t is not None:
-                    following = t["_first"][c]
-            if nbk > 1:
-                carry = F.element_at(_lit_array(nxt), F.col("_bucket") + 1)
-            else:
-                carry = F.lit(None)
-            cols.append(F.coalesce(F.lead(F.col(c)).over(w), carry.cast(b.schema[c].dataType))
-                        .alias(f"next_{c}"))
-    return b.select("*", *cols).drop("_bucket")
+            # the first row of the next bucket follows the last row of this one
+            cols.append(F.coalesce(F.lead(F.col(c)).over(w), F.col(f"_after_{c}")).alias(f"next_{c}"))
+    joined = b.join(F.broadcast(offsets), "_bucket")   # one row a bucket
+    return joined.select(*[F.col(c) for c in df.columns], *cols)

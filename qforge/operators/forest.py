@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qforge.functions.columns import col
-from qforge.operators.split import ScalerModel, fit_scaler
+from qforge.operators.split import ScalerModel, fit_scaler, stratified_split
 
 SPARK_MAX_DEPTH = 30
+#: Rows a forest is fitted on at most (see fit_forest).
+MAX_TRAIN_ROWS = 2_000_000
 
 
 @dataclass
@@ -33,6 +35,7 @@ class ForestModel:
     label: str
     scaler: ScalerModel
     pipeline: PipelineModel
+    n_train_rows: int | None = None       # rows the trees were fitted on
 
     def _scaled(self, df: DataFrame) -> DataFrame:
         return self.scaler.transform(df, suffix="__s")
@@ -63,7 +66,7 @@ class ForestModel:
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
         spark = SparkSession.getActiveSession()
         meta = {"features": self.features, "label": self.label,
-                "scaler": {c: list(v) for c, v in self.scaler.stats.items()}}
+                "scaler": {c: list(v) for c, v in self.scaler.stats.items()}, "n_train_rows": self.n_train_rows}
         spark.createDataFrame([(json.dumps(meta),)], "meta string") \
             .coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
@@ -71,17 +74,26 @@ class ForestModel:
     def load(spark: SparkSession, path: str) -> "ForestModel":
         meta = json.loads(spark.read.json(f"{path}/meta").first()["meta"])
         scaler = ScalerModel({c: tuple(v) for c, v in meta["scaler"].items()})
-        return ForestModel(meta["features"], meta["label"], scaler, PipelineModel.load(f"{path}/pipeline"))
+        return ForestModel(meta["features"], meta["label"], scaler, PipelineModel.load(f"{path}/pipeline"),
+                           meta.get("n_train_rows"))
 
 
 def fit_forest(train: DataFrame, features: list[str], label: str, n_trees: int = 200,
                max_depth: int | None = None, min_leaf: int = 1, seed: int = 42,
-               max_bins: int = 128, subset: str | None = None) -> ForestModel:
+               max_bins: int = 128, subset: str | None = None, max_train_rows: int = MAX_TRAIN_ROWS,
+               partitions: int | None = None) -> ForestModel:
     """M3: gini trees on bootstrap samples; features per split = int(sqrt(k)).
 
-    ``max_depth=None`` means as deep as Spark allows (30).
+    ``max_depth=None`` means as deep as Spark allows (30). Trees with one-row leaves grow with the rows they
+    see, so a larger table is fitted on ``max_train_rows`` of its rows, drawn by the seeded hash of
+    ``stratified_split`` in proportion to the classes; the scaler is fitted on all rows and scoring covers all
+    rows. The model records the number. Bagging is seeded per partition: ``partitions`` fixes their number
+    where the model must not depend on the cores.
     """
     scaler = fit_scaler(train, features)
+    n_rows = train.count()
+    if n_rows > max_train_rows:
+        _, train = stratified_split(train, label, None, max_train_rows / n_rows, seed)
     scaled_names = [f + "__s" for f in features]
     k = subset or str(max(1, int(math.sqrt(len(features)))))
     rf = RandomForestClassifier(
@@ -95,15 +107,15 @@ def fit_forest(train: DataFrame, features: list[str], label: str, n_trees: int =
     data = data.select(*scaled_names, "__label")
     # tree growth is parallel over partitions: a small input read as one split
     # would train on one core; large inputs already have enough partitions
-    slots = train.sparkSession.sparkContext.defaultParallelism
-    if data.rdd.getNumPartitions() < slots:
+    slots = partitions or train.sparkSession.sparkContext.defaultParallelism
+    if partitions or data.rdd.getNumPartitions() < slots:
         data = data.repartition(slots)
     data = data.persist()
     try:
         model = pipe.fit(data)
     finally:
         data.unpersist()
-    return ForestModel(list(features), label, scaler, model)
+    return ForestModel(list(features), label, scaler, model, min(n_rows, max_train_rows))
 
 
 def grid_scorer(model: ForestModel, prob_col: str = "p_defect"):
@@ -126,7 +138,6 @@ def train_and_evaluate(df: DataFrame, features: list[str], target: str, key: str
                        max_depth: int | None = None) -> TrainResult:
     """M5: exact stratified split -> scaler + forest on train -> hard-label evaluation on test."""
     from qforge.operators.metrics import eval_hard
-    from qforge.operators.split import stratified_split
     train, test = stratified_split(df, target, key, test_size, seed)
     model = fit_forest(train, features, target, n_trees=n_trees, max_depth=max_depth, seed=seed)
     scored = model.score(test)

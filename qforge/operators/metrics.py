@@ -19,15 +19,18 @@ from qforge.functions.running import running_totals
 
 
 # ---------------------------------------------------------------- M6
-def confusion_counts(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
+def confusion_counts(df: DataFrame, label: str = "label", pred: str = "prediction",
+                     weight: str | None = None) -> DataFrame:
     """One row: tn, fp, fn, tp (absent cells are 0).
 
     A label or prediction that is null or not 0 / 1 raises: such rows belong to no cell.
+    ``weight`` names a column with the number of rows each row stands for.
     """
     y, p = col(label), col(pred)
+    w = F.lit(1).cast("long") if weight is None else col(weight)
     cells = {"tn": (0, 0), "fp": (0, 1), "fn": (1, 0), "tp": (1, 1)}
-    counts = df.agg(*[F.count_if((y == a) & (p == b)).alias(c) for c, (a, b) in cells.items()],
-                    F.count(F.lit(1)).alias("n"))
+    counts = df.agg(*[F.coalesce(F.sum(F.when((y == a) & (p == b), w)), F.lit(0)).alias(c) for c, (a, b) in cells.items()],
+                    F.coalesce(F.sum(w), F.lit(0)).alias("n"))
     left = F.col("n") - F.col("tn") - F.col("fp") - F.col("fn") - F.col("tp")
     fail = F.raise_error(F.concat(left.cast("string"), F.lit(" rows have a label or prediction that is not 0 or 1")))
     return counts.select(*[F.when(left == 0, F.col(c)).otherwise(fail).alias(c) for c in cells])
@@ -42,9 +45,9 @@ def confusion_matrix(df: DataFrame, label: str = "label", pred: str = "predictio
     )))
 
 
-def confusion_named(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
+def confusion_named(df: DataFrame, label: str = "label", pred: str = "prediction", weight: str | None = None) -> DataFrame:
     """The published names of the four cells."""
-    return confusion_counts(df, label, pred).select(
+    return confusion_counts(df, label, pred, weight).select(
         F.col("tn").alias("normal_to_normal"), F.col("fp").alias("normal_to_defect"),
         F.col("fn").alias("defect_to_normal"), F.col("tp").alias("defect_to_defect"))
 
@@ -111,17 +114,26 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
 
 
 # ---------------------------------------------------------------- curves
-def score_table(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def scored_counts(df: DataFrame, label: str = "label", pred: str = "prediction", score: str = "score") -> DataFrame:
+    """label, prediction, score, n: the scored rows grouped (map-side combined) and written once to the shared
+    checkpoint folder, so that a model scores each row a single time however many metrics follow."""
+    return (df.groupBy(col(label).alias("label"), col(pred).alias("prediction"), as_double(score).alias("score"))
+            .agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True))
+
+
+def score_table(df: DataFrame, label: str = "label", score: str = "score", weight: str | None = None) -> DataFrame:
     """Distinct scores descending with positives / negatives at each, plus running sums.
 
     The grouped table (one row per distinct score) is checkpointed once, so
     the input is scanned a single time however many passes follow. A label
-    that is not 0 / 1 or a missing score (null or NaN) raises.
+    that is not 0 / 1 or a missing score (null or NaN) raises. ``weight`` names
+    a column with the number of rows each row stands for.
     """
     y, sc = col(label), as_double(score)
     known = F.coalesce(F.when(y.isin(0, 1), sc), F.raise_error(F.lit("a label is not 0 or 1, or a score is missing")))
+    w = F.lit(1).cast("long") if weight is None else col(weight)
     grouped = (df.groupBy(known.alias("score"))
-                 .agg(F.count_if(y == 1).alias("tp"), F.count_if(y == 0).alias("fp")))
+                 .agg(*[F.sum(F.when(y == v, w).otherwise(F.lit(0).cast("long"))).alias(c) for c, v in (("tp", 1), ("fp", 0))]))
     return running_totals(grouped, "score", ["tp", "fp"], descending=True, with_next=True)
 
 
@@ -207,8 +219,15 @@ def eval_hard(df: DataFrame, label: str = "label", pred: str = "prediction", dig
 
 def metrics_table(df: DataFrame, label: str = "label", pred: str = "prediction",
                   score: str = "score", table: DataFrame | None = None) -> DataFrame:
-    """Long (metric, value) table of the headline test metrics."""
-    cc = confusion_counts(df, label, pred)
+    """Long (metric, value) table of the headline test metrics.
+
+    Without ``table`` the scored rows are read once: ``scored_counts`` feeds the cells and the curve sums.
+    """
+    if table is None:
+        df = scored_counts(df, label, pred, score)
+        cc, table = confusion_counts(df, "label", "prediction", "n"), score_table(df, "label", "score", "n")
+    else:
+        cc = confusion_counts(df, label, pred)
     aa = auc_ap(df, label, score, table=table).first()
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
     d = lambda e: e.cast("double")
@@ -235,17 +254,27 @@ def model_report(scored: DataFrame, importance: DataFrame | None, label: str = "
                  pred: str = "prediction", score: str | None = "score") -> DataFrame:
     """Feature importance + confusion cells + ROC points as one long table."""
     parts = []
+    if score is not None:
+        scored = scored_counts(scored, label, pred, score)
+        label, pred, score = "label", "prediction", "score"
+    weight = None if score is None else "n"
     if importance is not None:
         parts.append(importance.select(F.lit("feature_importance").alias("section"),
                                        F.col("feature").alias("key"), F.col("importance").alias("value")))
-    cm = confusion_named(scored, label, pred)
+    cm = confusion_named(scored, label, pred, weight)
     parts.append(cm.select(F.inline(F.array(*[
         F.struct(F.lit("confusion").alias("section"), F.lit(c).alias("key"), F.col(c).cast("double").alias("value"))
         for c in cm.columns]))))
     if score is not None:
-        aa = auc_ap(scored, label, score)
+        table = score_table(scored, label, score, weight)
+        aa = auc_ap(scored, label, score, table=table)
         parts.append(aa.select(F.lit("roc").alias("section"), F.lit("roc_auc").alias("key"),
                                F.col("roc_auc").alias("value")))
+        curve = roc_curve(scored, label, score, table=table)
+        # a point's key is its threshold; the value of each section is one coordinate
+        for axis in ("fpr", "tpr"):
+            parts.append(curve.select(F.lit(f"roc_{axis}").alias("section"), F.col("threshold").cast("string").alias("key"),
+                                      F.col(axis).alias("value")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -87,6 +87,11 @@ def safe_region(scored: DataFrame, cols: list[str], prob_col: str = "p_defect",
     )
 
 
+def safe_points(scored: DataFrame, cols: list[str], prob_col: str = "p_defect", threshold: float = 0.05) -> DataFrame:
+    """The points themselves whose defect probability is strictly below the threshold."""
+    return scored.where(F.col(prob_col) < dlit(threshold)).select(*cols, prob_col)
+
+
 def safe_region_json(region: DataFrame, cols: list[str]) -> DataFrame:
     """R6 nested shape as one JSON string column ``result``."""
     rng = F.struct(*[F.struct(F.col(f"{c}_min").alias("min"), F.col(f"{c}_max").alias("max")).alias(c)

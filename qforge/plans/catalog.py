@@ -541,7 +541,7 @@ _CSV_CACHE: dict[tuple, str] = {}
 
 def sensor_csv_folder(spark: SparkSession, sf: str) -> str:
     """CSV files derived from the sf tables, written once per session and sf."""
-    key = (id(spark.sparkContext), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _CSV_CACHE or not P._exists(spark, _CSV_CACHE[key]):
         _CSV_CACHE[key] = FF.write_sensor_csvs(spark, sf)
     return _CSV_CACHE[key]
@@ -693,7 +693,7 @@ FOREST_TREES = 200
 
 def trained_forest(spark: SparkSession, sf: str):
     """The forest of the sensor table's stratified split, trained once per session and sf."""
-    key = (id(spark.sparkContext), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _FOREST_CACHE:
         from qforge.operators import forest as FO
         train, test = S.stratified_split(td.sensor(spark, sf), "error", "event_id", 0.2, 42)

@@ -63,7 +63,7 @@ def test_curves_monotone_and_bucketed(spark):
     # force the multi-bucket path of the running totals
     orig = running.running_totals
     try:
-        M.running_totals = lambda *a, **k: orig(*a, **dict(k, rows_per_bucket=37))
+        M.running_totals = lambda *a, **k: orig(*a, **dict(k, buckets=17))
         split = M.roc_curve(df).collect()
         ap_split = M.auc_ap(df).first()
     finally:

@@ -42,7 +42,7 @@ def test_running_totals_buckets(spark):
     keys = rng.permutation(500).astype(float)
     vals = rng.integers(0, 5, 500)
     df = spark.createDataFrame([(float(k), int(v)) for k, v in zip(keys, vals)], "k double, v long")
-    out = running_totals(df, "k", ["v"], descending=True, with_next=True, rows_per_bucket=40)
+    out = running_totals(df, "k", ["v"], descending=True, with_next=True, buckets=13)
     got = {r.k: (r.cum_v, r.next_v) for r in out.collect()}
     order = np.argsort(-keys)
     cum = np.cumsum(vals[order])
@@ -188,7 +188,7 @@ def test_running_totals_ascending(spark):
     keys = rng.permutation(300).astype(float)
     vals = rng.integers(0, 7, 300)
     df = spark.createDataFrame([(float(k), int(v)) for k, v in zip(keys, vals)], "k double, v long")
-    out = running_totals(df, "k", ["v"], descending=False, with_next=True, rows_per_bucket=25)
+    out = running_totals(df, "k", ["v"], descending=False, with_next=True, buckets=12)
     got = {r.k: (r.cum_v, r.next_v) for r in out.collect()}
     order = np.argsort(keys)
     cum = np.cumsum(vals[order])
