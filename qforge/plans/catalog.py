@@ -929,3 +929,100 @@ def q_stratified_split_nokey(spark, sf):
     sides = train.withColumn("t", F.lit(0)).unionByName(test.withColumn("t", F.lit(1)))
     return sides.groupBy("l_returnflag").agg(
         F.sum("t").alias("n_test"), F.sum(1 - F.col("t")).alias("n_train"), F.sum("l_linenumber").alias("line_sum"))
+
+
+# ============================================================ dialect, exact integers, points, read-back
+SQL_QUOTED = """
+SELECT o_orderkey, 'say "' || o_orderpriority || '", then \\' || chr(10) || ' and ' || o_orderstatus || ',' AS note
+FROM orders"""
+
+
+@register("csv_quoted_text", SQL_QUOTED)
+def q_csv_quoted_text(spark, sf):
+    """Texts with quotes, commas, backslashes and line breaks, written as CSV and read back."""
+    from qforge.session import scratch_path
+    note = F.concat(F.lit('say "'), "o_orderpriority", F.lit('", then \\\n and '), "o_orderstatus", F.lit(","))
+    out = scratch_path(spark, "quoted")
+    (td.table(spark, sf, "orders").select("o_orderkey", note.alias("note")).write
+     .options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(out))
+    paths = [r["path"] for r in MF.file_manifest(spark, out).select("path").collect()]  # bounded: per file
+    return CI.read_csv_files(spark, paths)
+
+
+BIG = 9007199254740993          # 2^53 + 1
+SQL_QI_BIG = with_(f"big AS (SELECT {BIG} + event_id AS big_id FROM events)") + _qi_sql("big", {"big_id": (0.0, 1e16)}, ["big_id"])
+
+
+@register("quality_indices_bigint", SQL_QI_BIG)
+def q_quality_indices_bigint(spark, sf):
+    """Neighbouring 64-bit integers beyond 2^53 stay distinct (A1)."""
+    ids = td.table(spark, sf, "events").select((F.col("event_id") + F.lit(BIG).cast("long")).alias("big_id"))
+    return Q.quality_indices(ids, ["big_id"], {"big_id": (0.0, 1e16)})
+
+
+SQL_SAFE_POINTS = with_(SENSOR, _grid_sql(BOUNDS_Q), f"sg AS (SELECT *, {SCORE_EXPR} AS p FROM grid)") + (
+    "SELECT round(temp, 6) AS temp, round(humid, 6) AS humid, round(press, 6) AS press, round(p, 6) AS p_defect "
+    f"FROM sg WHERE p < {REGION_THRESHOLD}")
+
+
+@register("safe_points", SQL_SAFE_POINTS)
+def q_safe_points(spark, sf):
+    """The grid points below the threshold, next to their summary row."""
+    b = R.feature_bounds(td.sensor(spark, sf), FEATURES, "quantile")
+    grid = _closed_form_scorer(R.param_grid(spark, b, R.DEFAULT_SIZES))
+    return r6(R.safe_points(grid, FEATURES, threshold=REGION_THRESHOLD), [*FEATURES, "p_defect"])
+
+
+SQL_AUC_LINE = with_("scored AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, "
+                     "l_extendedprice AS score FROM lineitem)", *SQL_CURVE_BASE) + """
+SELECT round(sum(fp * (ctp - tp / 2.0)) / nullif(sum(tp) * sum(fp), 0), 6) AS roc_auc,
+       round(sum(tp * (ctp / (ctp + cfp))) / nullif(sum(tp), 0), 6) AS average_precision
+FROM cu"""
+
+
+@register("roc_auc_ap_lineitem", SQL_AUC_LINE)
+def q_roc_auc_ap_lineitem(spark, sf):
+    """Curve sums over many distinct scores, cut into key ranges."""
+    rows = _lineitem(spark, sf).select((F.col("l_returnflag") == "R").cast("int").alias("label"),
+                                       F.col("l_extendedprice").alias("score"))
+    return r6(M.auc_ap(rows), ["roc_auc", "average_precision"])
+
+
+@register("result_readback", with_(SENSOR, SENSOR_RAW) + (
+    "SELECT * FROM sensor_raw WHERE temp IS NOT NULL AND humid IS NOT NULL"))
+def q_result_readback(spark, sf):
+    """A cleaned table written as a result and read back (K2-K4)."""
+    from qforge.session import scratch_path
+    out = scratch_path(spark, "results")
+    P.write_result(C.drop_missing(td.sensor_raw(spark, sf)), out, "cleaned")
+    return P.read_result(spark, out, "cleaned")
+
+
+SQL_UPLOAD = with_(SENSOR, SENSOR_RAW) + f"SELECT {VARIANT_SQL} AS variant, count(*) AS n_rows FROM sensor_raw GROUP BY 1"
+
+
+@register("upload_landing", SQL_UPLOAD)
+def q_upload_landing(spark, sf):
+    """A batch of sensor files landed twice: the retry replaces the batch."""
+    from qforge.session import scratch_path
+    paths, out = _sensor_paths(spark, sf), scratch_path(spark, "uploads")
+    for _ in range(2):
+        CI.land_uploads(spark, paths, out)
+    name = F.element_at(F.split("_source_file", "/"), -1)
+    return spark.read.parquet(out).groupBy(FF.variant_of(name).alias("variant")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+SQL_FOREST_CHECKS = with_(SENSOR, *SPLIT_CTES) + (
+    "SELECT count(*) AS n_test, CAST(sum(error) AS BIGINT) AS n_positive, CAST(1.0 AS DOUBLE) AS importance_sum, "
+    "true AS accurate, (SELECT count(*) FROM train) AS n_train FROM test")
+
+
+@register("forest_checks", SQL_FOREST_CHECKS)
+def q_forest_checks(spark, sf):
+    """What must hold of any forest on the exact split: sizes, importances that sum to 1, accuracy above 0.97."""
+    model, test = trained_forest(spark, sf)
+    scored = model.score(test).agg(
+        F.count(F.lit(1)).alias("n_test"), F.sum("error").cast("long").alias("n_positive"),
+        (F.avg((F.col("y_pred") == F.col("error")).cast("double")) > 0.97).alias("accurate"))
+    total = model.importance().agg(F.round(F.sum("importance"), 6).alias("importance_sum")).first()[0]
+    return scored.withColumn("importance_sum", F.lit(total)).withColumn("n_train", F.lit(model.n_train_rows).cast("long"))

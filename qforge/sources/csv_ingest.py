@@ -15,6 +15,7 @@ Nothing but per-file and per-column summaries reaches the driver.
 from __future__ import annotations
 
 import functools
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -302,11 +303,12 @@ def ingest_report(spark: SparkSession, paths: list[str], chain=enc.UPLOAD_CHAIN,
 
 
 def land_uploads(spark: SparkSession, paths: list[str], landing: str, chain=enc.UPLOAD_CHAIN,
-                 rename: dict[str, str] | None = None) -> DataFrame:
-    """Ingest a batch of offered files and append the good ones to a Parquet table.
+                 rename: dict[str, str] | None = None, batch: str | None = None) -> DataFrame:
+    """Ingest a batch of offered files and add the good ones to a Parquet table.
 
-    Each landed row keeps its source file and the ingest time. Returns the
-    per-file report; raises when no file of the batch could be ingested.
+    Each landed row keeps its source file and the ingest time. The table is partitioned by ``_batch`` (by
+    default a digest of the paths) and a batch that is landed again replaces itself, so a retry doubles no
+    rows. Returns the per-file report; raises when no file of the batch could be ingested.
     """
     csvs = [p for p in paths if p.endswith(".csv")]
     all_infos = inspect_files(spark, csvs, chain, rename) if csvs else []   # one detection pass
@@ -314,7 +316,9 @@ def land_uploads(spark: SparkSession, paths: list[str], landing: str, chain=enc.
     infos = [i for i in all_infos if i.charset and i.columns and not i.error]
     if infos:
         rows = read_csv_files(spark, [i.path for i in infos], chain, rename, keep_source=True, infos=infos)
-        rows.withColumn("_ingested_at", F.current_timestamp()).write.mode("append").parquet(landing)
+        name = batch or hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+        (rows.withColumn("_ingested_at", F.current_timestamp()).withColumn("_batch", F.lit(name))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(landing))
     return report
 
 
