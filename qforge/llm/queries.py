@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from qforge.llm import bpe, chats, lattice, licenses, packing, phrases, secret_scan, site_quality, token_groups, winnow
+from qforge.llm.oracles import ORACLE  # noqa: F401 - read by the entry
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -76,4 +77,3 @@ def op10_event_chats(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_lattice_hashing, op2_byte_bpe, op3_phrase_automata, op4_best_fit_sharding, op5_token_group_matrix, op6_winnowing, op7_randomness_battery, op8_hierarchical_bayes,
     op9_rare_token_index, op10_event_chats)}
-ORACLE: dict[str, str] = {}
