@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 
 from qforge.llm.textops import field, map_text, ship
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
 
 class Ranks:

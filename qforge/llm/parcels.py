@@ -12,7 +12,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from qforge.llm.textops import field, slices
+from qforge.llm.textops import SLICE_BYTES, field, slices
 
 PACKED = T.StructType([field("bucket", T.IntegerType()), field("origin", T.IntegerType()), field("body", T.BinaryType())])
 _HEAD = np.dtype("<i8")
@@ -66,7 +66,7 @@ def pack_documents(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for part in slices(b, 1, 16 << 20):
+            for part in slices(b, 1, 4 << 20):
                 to = part.column(2).to_numpy(zero_copy_only=False)
                 order = np.argsort(to, kind="stable")
                 cut = np.searchsorted(to[order], np.arange(n + 1))
@@ -95,7 +95,7 @@ def documents(packed: pa.Table) -> tuple[np.ndarray, np.ndarray, list[str]]:
             [x[2].decode() for x in every])
 
 
-def text_slices(texts: list[str], max_bytes: int = 4 << 20):
+def text_slices(texts: list[str], max_bytes: int = SLICE_BYTES):
     """(first index, Arrow array) over runs of bounded size."""
     at, size = 0, 0
     for i, t in enumerate(texts):
