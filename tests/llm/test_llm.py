@@ -164,6 +164,24 @@ def test_token_groups(docs, texts, empty, max_group):
         assert token_groups.join(empty).count() == 0
 
 
+def test_links_of_drifting_versions():
+    """Chains of near copies whose later versions drift: the largest component changes while sets are left out."""
+    for seed in range(1500):
+        r = random.Random(seed)
+        sets, fresh = [], iter(range(10 ** 6, 10 ** 7))
+        for _ in range(r.randint(1, 3)):
+            now = sets[-1] if sets and r.random() < 0.5 else list(range(r.randint(12, 40)))
+            for _ in range(r.randint(3, 12)):
+                now = [next(fresh) if r.random() < r.choice((0.02, 0.06, 0.1)) else x for x in now]
+                sets.append(now)
+        r.shuffle(sets)
+        sets = [set(x) for x in {tuple(sorted(s)): s for s in sets}.values()]
+        want = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+        got = token_groups.links([np.array(sorted(s), np.uint64) for s in sets], 80)
+        assert components_of(len(sets), got) == components_of(len(sets), want), seed
+        assert set(map(lambda e: (max(e), min(e)), got)) <= set(want)
+
+
 def test_jaccard_border(spark):
     """Exactly 0.8 links, a little less does not, whatever the size."""
     rows, want, i = [], {}, 0
