@@ -86,18 +86,22 @@ def document_frequency(docs: DataFrame, index: Index, text: str = "text") -> tup
     return {x: got.get(i, 0) for i, x in enumerate(index.words)}, got.get(len(index.words), 0)
 
 
-def place(w: Words, wid: np.ndarray, ids: np.ndarray, anchors: list[int], weight: np.ndarray):
-    """(start, same) of every placement: first word of the template, and which of its words agree."""
-    starts = np.unique(np.concatenate([np.flatnonzero(wid == ids[o]) - o for o in anchors]))
+def place(w: Words, wid: np.ndarray, ids: np.ndarray, anchors: list[int]):
+    """(start, document, same) of every placement: where the template's first word would stand, and which of its words agree there.
+
+    A placement belongs to the document of the anchor word that proposed it: at a border of documents one start
+    may be a cut template of each of them.
+    """
+    hit = [np.flatnonzero(wid == ids[o]) for o in anchors]
+    pairs = np.stack([np.concatenate([h - o for h, o in zip(hit, anchors)]), w.doc[np.concatenate(hit)]])
+    starts, home = np.unique(pairs, axis=1)
     n = len(wid)
     if not len(starts):
-        return starts, np.zeros((0, len(ids)), bool)
+        return starts, home, np.zeros((0, len(ids)), bool)
     at = starts[:, None] + np.arange(len(ids))
     inside = (at >= 0) & (at < n)
-    safe = np.clip(at, 0, max(n - 1, 0))
-    held = np.argmax(wid[safe] == ids, axis=1)           # some agreeing word fixes the document
-    home = w.doc[safe[np.arange(len(starts)), held]]
-    return starts, inside & (wid[safe] == ids) & (w.doc[safe] == home[:, None])
+    safe = np.clip(at, 0, n - 1)
+    return starts, home, inside & (wid[safe] == ids) & (w.doc[safe] == home[:, None])
 
 
 def scan(docs: DataFrame, keep: list[str], text: str = "text", base: dict[str, str] | None = None,
@@ -119,14 +123,13 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", base: dict[str, s
             whole, near = [[] for _ in range(n)], [[] for _ in range(n)]
             for ids, (k0, k1), label, is_base in index.templates:
                 rare = sorted(range(len(ids)), key=lambda o: (-idf[ids[o]], o))
-                starts, same = place(w, wid, ids, rare[:1] if is_base else rare[:ANCHORS], idf)
+                starts, home, same = place(w, wid, ids, rare[:1] if is_base else rare[:ANCHORS])
                 score = (same * idf[ids]).sum(axis=1) / idf[ids].sum()
                 ok = same.all(axis=1) if is_base else same[:, k0:k1].all(axis=1) & (score >= MIN_SCORE)
                 for t in np.flatnonzero(ok):
-                    j = int(np.argmax(same[t]))
                     if any(w.word(starts[t] + o) != index.words[ids[o]].encode() for o in np.flatnonzero(same[t])):
                         continue                          # equal hash, other word
-                    d = int(w.doc[starts[t] + j])
+                    d = int(home[t])
                     x = {"label": label, "start": int(max(starts[t], w.first[d]) - w.first[d])}
                     if is_base:
                         whole[d].append(x)

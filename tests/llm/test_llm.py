@@ -257,6 +257,20 @@ def test_licenses(docs, texts, empty):
     assert licenses.scan(empty, ["doc_id"]).count() == 0
 
 
+def test_licenses_at_borders_of_documents(spark):
+    """What a document gets does not depend on the row before it or behind it."""
+    cut = ["GNU General Public License version 3", "Apache License Version 2.0 text", "hereby granted, free of charge, to any person obtaining a copy",
+           "so it is licensed under the GNU lesser general public", "licensed under the GNU general public license", "licensed under the", "the",
+           "this is licensed under", None, ""]
+    order = [(i, j) for i in range(len(cut)) for j in range(len(cut))]
+    flat = [k for pair in order for k in pair]
+    rows = spark.createDataFrame([(i, cut[k]) for i, k in enumerate(flat)], "doc_id long, text string").coalesce(1)
+    got = by_id(licenses.digest(licenses.scan(rows, ["doc_id"])))
+    for k in range(len(cut)):                             # one text, one answer, whatever its neighbours
+        assert len({(got[i]["labels"], got[i]["score"]) for i, x in enumerate(flat) if x == k}) == 1
+    assert {got[i]["labels"] for i, x in enumerate(flat) if x == 0} == {"gpl,gpl-3.0"}
+
+
 def test_packing_even(docs, texts, empty):
     rows = by_id(packing.digest(packing.pack_into(packing.sized(docs), 3)))
     home = {}
