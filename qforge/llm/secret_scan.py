@@ -1,8 +1,8 @@
 """Operator 7 (built-in functions only): secrets by patterns and by a battery of randomness tests.
 
 Patterns give the base spans (assign, access, hex). The method looks at every run of 20 or more
-token characters that mixes letters and digits. Its encoding is inferred (hex, base32,
-base36, base62, base64) and three tests ask whether it is uniform over that alphabet:
+token characters that mixes letters and digits. Its encoding is inferred without the padding at its end (hex, base32,
+base36, base62, base64, base64url, else the union of them) and three tests ask whether it is uniform over that alphabet:
 chi-squared of the character counts, a runs test above and below the middle of the alphabet,
 and lag-1 serial correlation. Their p-values are combined by Fisher's rule; a run is
 consistent with a random key if the combined p-value is at least ``ALPHA``. Against chance, the likelihood
@@ -29,7 +29,11 @@ KINDS = ["assign", "access", "hex", "random"]
 ALPHABETS = [("hex", "0123456789abcdef"), ("HEX", "0123456789ABCDEF"), ("base32", "234567ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
              ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
              ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
-             ("base64", "+-/0123456789=ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz")]
+             ("base64", "+/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
+             ("base64url", "-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"),
+             ("union", "+-/0123456789=ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz")]
+# Fixed value: at most six signs of padding (base32); a longer row of them is no padding.
+PADDING = "(?<!=)={1,6}$"
 ALPHA, Q, STEP, TOP = 1e-3, 0.05, 0.25, 4000
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
@@ -68,8 +72,9 @@ def _is(chars: Column, low: str, high: str) -> Column:
 
 
 def battery(found: Column) -> Column:
-    """For each run: span, length, combined p-value of the three tests, and its counts by character class."""
-    keep = F.filter(found, lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]"))
+    """For each run: span, length without padding, combined p-value of the three tests, and its counts by character class."""
+    keep = F.transform(F.filter(found, lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]")), lambda x: F.struct(
+        x["start"].alias("start"), x["end"].alias("end"), F.regexp_replace(x["value"], PADDING, "").alias("value")))
 
     def alphabet(v: Column) -> Column:
         out = F.lit(ALPHABETS[-1][1])

@@ -1,5 +1,6 @@
 """Operators of qforge.llm against brute force on a small hostile table, and on edge cases."""
 
+import base64
 import hashlib
 import random
 import re
@@ -244,6 +245,25 @@ def test_secrets(docs, texts, empty):
     assert secret_scan.scan(empty, ["doc_id"]).count() == 0
 
 
+def test_secrets_long_base64(spark):
+    """Random keys of 1000 to 4000 signs in base64 and base64url, padded or not, are found and leave the text."""
+    r, rows = random.Random(7), []
+    for i in range(240):
+        raw = r.randbytes(r.randint(750, 3000) // 3 * 3 + i % 3)
+        key = (base64.b64encode if i % 2 else base64.urlsafe_b64encode)(raw).decode()
+        rows.append((i, f"the key is {key if i % 4 < 2 else key.rstrip('=')} and so on", len(key if i % 4 < 2 else key.rstrip("="))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    found = secret_scan.scan(docs, ["doc_id", "text", "n"]).cache()
+    got = by_id(found)
+    for odd in (0, 1):
+        for low, high in ((1000, 2000), (2000, 3000), (3000, 4100)):
+            own = [x for x in got.values() if x["doc_id"] % 2 == odd and low <= x["n"] < high]
+            hit = [x for x in own if [(s["start"], s["kind"], s["end"]) for s in x["spans"]] == [(11, 3, 11 + x["n"])]]
+            assert len(own) > 20 and len(hit) >= 0.95 * len(own), (odd, low, len(hit), len(own))
+    clean = by_id(found.where(F.size("spans") == 1).select("doc_id", secret_scan.redact(F.col("text"), F.col("spans")).alias("c")))
+    assert {x["c"] for x in clean.values()} == {"the key is [SECRET] and so on"}
+
+
 def test_licenses(docs, texts, empty):
     got = by_id(licenses.digest(licenses.scan(docs, ["doc_id"])))
     for i, t in enumerate(texts):
