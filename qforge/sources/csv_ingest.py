@@ -18,7 +18,7 @@ import functools
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,14 +141,23 @@ def read_group(spark: SparkSession, paths: list[str], charset: str, columns: lis
             .options(enforceSchema="true", columnNameOfCorruptRecord=CORRUPT_COL, **csv_options(charset, multiline))
             .csv(paths)
             .withColumn(SOURCE_COL, F.col("_metadata.file_path")))
-    rows = rows.withColumn(CORRUPT_COL, F.when(enc.cells(col(CORRUPT_COL)) > len(columns), col(CORRUPT_COL)))
+    rows = keep_ragged(rows, columns)
     if not strict:
         return rows
-    # the message names a data column too: Spark refuses scans of the raw text alone
-    said = F.concat(col(SOURCE_COL), F.lit(f": {RAGGED}; first cell: "), F.coalesce(col(columns[0]), F.lit("")))
+    said = F.concat(col(SOURCE_COL), F.lit(": "), ragged_text(col(columns[0])))
     return rows.where(F.when(col(CORRUPT_COL).isNotNull(), F.raise_error(said).cast("boolean")).otherwise(True)).drop(CORRUPT_COL)
 
 
+def keep_ragged(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``CORRUPT_COL`` only of records with more cells than the header."""
+    return rows.withColumn(CORRUPT_COL, F.when(enc.cells(col(CORRUPT_COL)) > len(columns), col(CORRUPT_COL)))
+
+
+def ragged_text(first: Column) -> Column:
+    """What is said of a ragged record; it names a data column too, as Spark refuses scans of the raw text alone."""
+    return F.concat(F.lit(f"{RAGGED}; first cell: "), F.coalesce(first, F.lit("")))
+
+
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
     """UNION ALL by column name; a column missing from a frame is NULL there."""
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
