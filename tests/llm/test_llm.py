@@ -424,6 +424,21 @@ def test_quality_edges(spark, docs, empty):
     assert site_quality.judge(empty, lab, host, path, ["doc_id"]).count() == 0
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    """Different texts with one id are different documents; only rows equal in id and text count once."""
+    import corpus_pipeline
+    w = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcdef"]
+    rows = [(1, w[0]), (1, w[1]), (1, w[0]), (2, w[2]), (3, w[1] + " tail"), (4, w[3]), (4, w[4]), (0, w[4] + " tail"), (5, w[2]),
+            (6, w[5]), (6, w[5] + " tail"), (7, None), (7, ""), (None, w[0]), (None, w[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    want = [(1, w[0]), (1, w[1]), (2, w[2]), (4, w[3]), (0, w[4] + " tail"), (7, None), (7, ""), (None, w[0]), (None, w[0])]
+    six = [x for x in got if x[0] == 6]
+    assert len(six) == 1 and sorted(map(str, got)) == sorted(map(str, want + six))
+    one = token_groups.join(docs.where("doc_id IN (0, 1, 3, 4)")).collect()   # as one document an id links by each of its texts
+    assert {(r["doc_id"], r["component_id"]) for r in one} == {(1, 1), (3, 1), (4, 0), (0, 0)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     sf = "/root/testdata/sf0.001"
