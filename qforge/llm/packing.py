@@ -6,8 +6,8 @@ enter the bin with the tightest remaining capacity that holds them, found in a b
 Groups are too many for one task, so small ones (below 1/512 of a shard) first form parcels
 by hash; parcels and large groups are the items. Their number is bounded by the byte total
 over the parcel size, whatever the number of rows. ``pack`` fills as few shards of a fixed
-capacity as it can: cells of about 64 shards are packed in parallel and the part-filled last
-bins of all cells are packed once more. ``pack_into`` fills a given number of shards evenly: the
+capacity as it can: cells of about 64 shards are packed in parallel and the part-filled
+bins of all cells are packed again by cells of bins, in rounds. ``pack_into`` fills a given number of shards evenly: the
 smallest capacity at which best fit needs no further shard (found by bisection).
 
 A group larger than a shard cannot stay whole in ``pack_into`` without breaking the size
@@ -120,7 +120,36 @@ def pack_into(rows: DataFrame, n_shards: int) -> DataFrame:
     return keyed.join(F.broadcast(shards), "item").drop("item")
 
 
-def pack(rows: DataFrame, capacity: int, cell_shards: int = 64) -> DataFrame:
+def _repacked(bins: DataFrame, capacity: int, limit: int) -> DataFrame:
+    """(cell, bin, shard): bins below 7/8 packed again, about ``limit`` of them a task, until they fit one task.
+
+    A bin that finds no partner among those of its task stays a shard; merged ones halve in number each round.
+    """
+    def again(step: int):
+        def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+            where, load = best_fit_decreasing(list(zip(pdf["load"].tolist(), pdf["shard"])), capacity)
+            b = pdf["shard"].map(where)
+            held = b.map(b.value_counts())
+            to = f"t{step}:{pdf['part'].iloc[0]}:" + b.astype(str)
+            return pdf.assign(to=to.where(held > 1, pdf["shard"]), load=b.map(dict(enumerate(load))), held=held)[["shard", "to", "load", "held"]]
+        return fn
+    named = bins.select("cell", "bin", "load", F.concat_ws(":", "cell", "bin").alias("shard")).checkpoint()
+    loose, step = named.where(F.col("load") * 8 < capacity * 7).select("shard", "load"), 0
+    while (n := loose.count()) > 1:
+        parts = -(-n // limit)
+        moved = (loose.withColumn("part", F.pmod(F.xxhash64("shard"), F.lit(parts))).groupBy("part")
+                 .applyInPandas(again(step), "shard string, to string, load long, held long").checkpoint())
+        named = (named.join(moved.select("shard", "to"), "shard", "left")
+                 .select("cell", "bin", F.coalesce("to", "shard").alias("shard")).checkpoint())
+        if parts == 1:
+            break
+        loose = (moved.where((F.col("held") > 1) & (F.col("load") * 8 < capacity * 7))
+                 .select(F.col("to").alias("shard"), "load").distinct())
+        step += 1
+    return named.select("cell", "bin", "shard")
+
+
+def pack(rows: DataFrame, capacity: int, cell_shards: int = 64, tail_bins: int = 4096) -> DataFrame:
     """(group, shard, bytes): every group in a shard of at most ``capacity`` bytes (a larger group alone)."""
     total = rows.agg(F.sum("size")).first()[0] or 0
     cells = max(1, -(-total // (capacity * cell_shards)))
@@ -137,16 +166,7 @@ def pack(rows: DataFrame, capacity: int, cell_shards: int = 64) -> DataFrame:
         return pdf.assign(bin=b, load=b.map(dict(enumerate(load))))[["cell", "item", "bin", "load"]]
     first = items.groupBy("cell").applyInPandas(one_cell, "cell long, item string, bin long, load long")
     bins = first.select("cell", "bin", "load").distinct()
-    full = bins.where(F.col("load") * 8 >= capacity * 7).select("cell", "bin")
-
-    def tails(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = (pdf["cell"].astype(str) + ":" + pdf["bin"].astype(str)).tolist()
-        where, _ = best_fit_decreasing(list(zip(pdf["load"].tolist(), keys)), capacity)
-        return pdf.assign(shard=["t%d" % where[k] for k in keys])[["cell", "bin", "shard"]]
-    # the part-filled bins: a few of each cell of `cell_shards` shards
-    rest = (bins.where(F.col("load") * 8 < capacity * 7).groupBy(F.lit(0).alias("one"))
-            .applyInPandas(tails, "cell long, bin long, shard string"))
-    named = full.select("cell", "bin", F.concat_ws(":", "cell", "bin").alias("shard")).unionByName(rest)
+    named = _repacked(bins, capacity, tail_bins)
     return keyed.join(first.select("cell", "item", "bin"), ["cell", "item"]).join(named, ["cell", "bin"]).select(
         "group", "shard", "bytes")
 

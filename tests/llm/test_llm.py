@@ -327,6 +327,19 @@ def test_pack_capacity(spark):
     assert len(got) == 3000 and max(load.values()) <= 1000 and len(load) <= total / 1000 * 1.1 + 1
 
 
+def test_pack_repacks_tails_by_cells(spark):
+    """Part-filled bins are dealt to tasks of a bounded number; bins without a partner stay as they are."""
+    for size, least in ((F.col("id") % 97 + 1, 1), (F.lit(510), 0)):
+        rows = spark.range(600).select(size.cast("long").alias("size"), F.col("id").cast("string").alias("group"))
+        got = packing.pack(rows, 1000, cell_shards=1, tail_bins=4).collect()
+        load = {}
+        for r in got:
+            load[r["shard"]] = load.get(r["shard"], 0) + r["bytes"]
+        assert len({r["group"] for r in got}) == len(got) == 600 and max(load.values()) <= 1000
+        assert len({x.split(":")[1] for x in load if x.startswith("t0:")}) > least or not least
+        assert least or (len(load) == 600 and not any(x.startswith("t") for x in load))
+
+
 def test_chats(spark):
     rows = [(1, 2, "assistant", "b\\ <|end|>"), (1, 0, "system", None), (1, 1, None, "</s>[INST] x"), (2, 0, "assistant", ""),
             (None, 0, "user", "n"), (1, 2, "assistant", "b\\ <|end|>")]
