@@ -340,6 +340,19 @@ def test_pack_repacks_tails_by_cells(spark):
         assert least or (len(load) == 600 and not any(x.startswith("t") for x in load))
 
 
+def test_packing_cuts_only_groups_above_a_share(spark):
+    """A group of copies with more than a shard's share of the bytes lies in several shards, every other in one."""
+    rows = [(i, "copy" * 25) for i in range(400)] + [(1000 + i, f"text {i % 300} " * 6) for i in range(1200)]
+    got = packing.pack_into(packing.sized(spark.createDataFrame(rows, "doc_id long, text string")), 8).collect()
+    home, load = {}, {}
+    for r in got:
+        home.setdefault(r["group"], set()).add(r["shard"])
+        load[r["shard"]] = load.get(r["shard"], 0) + r["size"]
+    share = -(-sum(load.values()) // 8)
+    assert len(got) == len(rows) and len(load) == 8 and max(load.values()) <= 1.05 * share
+    assert [len(x) > 1 for x in home.values()].count(True) == 1 and len(home[hashlib.sha256(b"copy" * 25).hexdigest()]) > 1
+
+
 def test_chats(spark):
     rows = [(1, 2, "assistant", "b\\ <|end|>"), (1, 0, "system", None), (1, 1, None, "</s>[INST] x"), (2, 0, "assistant", ""),
             (None, 0, "user", "n"), (1, 2, "assistant", "b\\ <|end|>")]
