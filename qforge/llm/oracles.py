@@ -86,4 +86,67 @@ SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_ite
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN names ON names.doc_id = d.doc_id"""
 
-ORACLE = {"op1_lattice_hashing": OP1, "op3_phrase_automata": OP3, "op5_token_group_matrix": OP5, "op6_winnowing": OP6}
+def _op11(rounds: int = 2) -> str:
+    """Nearest entries by all distances, ``rounds`` times with new means, then once more."""
+    near = """a{t} AS MATERIALIZED (SELECT vec_id, label, part, x, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d FROM (
+  SELECT p.*, c.entry, list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i])))::BIGINT AS d
+  FROM p JOIN c{t} c USING (part)) GROUP BY vec_id, label, part, x)"""
+    move = """c{u} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM c{t} c LEFT JOIN (
+  SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (
+    SELECT part, entry, i, sum(v)::BIGINT AS s, count(*) AS n FROM (
+      SELECT part, entry, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{t}) GROUP BY part, entry, i)
+  GROUP BY part, entry) m ON m.part = c.part AND m.entry = c.entry)"""
+    steps = [f"{near.format(t=t)},\n{move.format(t=t, u=t + 1)}" for t in range(rounds)]
+    return f"""WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, k AS part, list_slice(e, k * (len(e) // 16) + 1, (k + 1) * (len(e) // 16)) AS x FROM v, range(16) r(k)),
+c0 AS MATERIALIZED (SELECT part, entry, x FROM (
+  SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry FROM p) WHERE entry < 64),
+{", ".join(steps)},
+{near.format(t=rounds)},
+w AS (SELECT vec_id, label, string_agg(printf('%02x', entry::INTEGER), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM c{rounds}) AS codebooks_sha256 FROM w"""
+
+
+#: CRC-32 of the ASCII text ``s``, bit by bit.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, len(s) + 1), lambda k: ascii(s[k])::UBIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+    lambda v, z: xor(v >> 1, 3988292384::UBIGINT * (v & 1::UBIGINT)))), 4294967295::UBIGINT)"""
+
+
+def _op13(levels: int = 9, top: int = 5) -> str:
+    """Trees of up to 8 ** levels leaves under a top tree of up to 8 ** top languages; a finished tree stays as it is."""
+    def h(text: str) -> str:
+        one = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+        return "sha256(" + " || ".join(one.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def level(name: str, below: str, key: str) -> str:
+        return f"""{name} AS MATERIALIZED (SELECT {key}, i // 8 AS i, (n + 7) // 8 AS n, CASE WHEN n > 1 THEN string_agg(h, '' ORDER BY i) END AS body,
+  CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM {below} GROUP BY {key}, i // 8, n)"""
+
+    def climb(name: str, below: str, runs: str, key: str) -> str:
+        left, right = "substr(body, 1, (64 * (p.pos % 8))::BIGINT)", "substr(body, (64 * (p.pos % 8) + 65)::BIGINT)"
+        return f"""{name} AS MATERIALIZED (SELECT p.* REPLACE (p.pos // 8 AS pos,
+    CASE WHEN body IS NULL THEN p.acc ELSE sha256({left} || p.acc || {right}) END AS acc,
+    CASE WHEN body IS NULL THEN p.proof ELSE p.proof || {left} || {right} END AS proof)
+  FROM {below} p JOIN {runs} r ON r.{key} = p.{key} AND r.i = p.pos // 8)"""
+    folded = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [f"d AS MATERIALIZED (SELECT doc_id, coalesce('L' || lang, '') AS tree, 0 AS one, {h('text')} AS leaf, {h(folded)} AS low, doc_id::VARCHAR AS s FROM documents)",
+            f"l0 AS MATERIALIZED (SELECT doc_id, tree, one, leaf AS h, CASE WHEN {CRC32} % 3 = 0 THEN low ELSE leaf END AS claim, "
+            "row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d)"]
+    ctes += [level(f"l{k}", f"l{k - 1}", "tree") for k in range(1, levels + 1)]
+    ctes += [f"t0 AS MATERIALIZED (SELECT 0 AS one, tree, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM l{levels})"]
+    ctes += [level(f"t{k}", f"t{k - 1}", "one") for k in range(1, top + 1)]
+    ctes += ["p0 AS (SELECT doc_id, tree, one, h AS leaf, i AS pos, claim AS acc, '' AS proof FROM l0)"]
+    ctes += [climb(f"p{k}", f"p{k - 1}", f"l{k}", "tree") for k in range(1, levels + 1)]
+    ctes += [f"q0 AS (SELECT p.* REPLACE (t0.i AS pos), t0.h AS subroot FROM p{levels} p JOIN t0 ON t0.tree = p.tree)"]
+    ctes += [climb(f"q{k}", f"q{k - 1}", f"t{k}", "one") for k in range(1, top + 1)]
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = h AS verified FROM q{top} q, t{top} t"""
+
+
+ORACLE = {"op1_lattice_hashing": OP1, "op3_phrase_automata": OP3, "op5_token_group_matrix": OP5, "op6_winnowing": OP6,
+          "op11_adaptive_bounds": _op11(), "op13_sibling_shift": _op13()}

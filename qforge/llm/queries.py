@@ -1,11 +1,12 @@
-"""The ten operators and the pipeline as registered queries over the given tables."""
+"""The operators as registered queries over the given tables."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from qforge.llm import bpe, chats, lattice, licenses, packing, phrases, secret_scan, site_quality, token_groups, winnow
+from qforge.llm import (bpe, chats, lattice, licenses, merkle, packing, phrases, secret_scan, site_quality, token_groups, toxicity,
+                        vector_codes, winnow)
 from qforge.llm.oracles import ORACLE  # noqa: F401 - read by the entry
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -74,6 +75,21 @@ def op10_event_chats(spark, sf_dir):
     return chats.digest(chats.format_chats(chats.as_events(rows)))
 
 
+def op11_adaptive_bounds(spark, sf_dir):
+    """Code, error and label error of every vector, and the digest of all codebooks."""
+    return vector_codes.digest(*vector_codes.compress(table(spark, sf_dir, "embeddings")))
+
+
+def op12_weighted_lexicon(spark, sf_dir):
+    """Toxicity score and decision of every document."""
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_sibling_shift(spark, sf_dir):
+    """Leaf, roots, proof digest and verification of every document."""
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lattice_hashing, op2_byte_bpe, op3_phrase_automata, op4_best_fit_sharding, op5_token_group_matrix, op6_winnowing, op7_randomness_battery, op8_hierarchical_bayes,
-    op9_rare_token_index, op10_event_chats)}
+    op9_rare_token_index, op10_event_chats, op11_adaptive_bounds, op12_weighted_lexicon, op13_sibling_shift)}
