@@ -949,6 +949,34 @@ def q_csv_quoted_text(spark, sf):
     return CI.read_csv_files(spark, paths)
 
 
+SQL_QUOTED_SPLIT = """
+SELECT doc_id, sha256(text) AS text_sha256, source, CAST(true AS BOOLEAN) AS many_tasks FROM documents"""
+
+
+@register("csv_quoted_split", SQL_QUOTED_SPLIT)
+def q_csv_quoted_split(spark, sf):
+    """Whole texts with line breaks, written as CSV and read back by blocks far smaller than a file."""
+    from qforge.session import scratch_path
+    from qforge.sources import csv_records as REC
+    out = scratch_path(spark, "quoted-split")
+    (td.table(spark, sf, "documents").select("doc_id", "text", "source").write
+     .options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{out}/csv"))
+    files = MF.file_manifest(spark, f"{out}/csv").select("path", "length").collect()  # bounded: per file
+    paths = [r["path"] for r in files]
+    conf = {"spark.sql.files.maxPartitionBytes": max(1 << 16, sum(r["length"] for r in files) // 64), "spark.sql.files.openCostInBytes": 1 << 14}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:                                                   # read and written here, as the block size is the session's
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        blocks = REC.block_effects(spark, paths).groupBy("path").count().agg(F.min("count").alias("n")).first()["n"]
+        CI.read_csv_files(spark, paths).write.parquet(f"{out}/rows")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return spark.read.parquet(f"{out}/rows").select(
+        "doc_id", F.sha2("text", 256).alias("text_sha256"), "source", F.lit(blocks > 1).alias("many_tasks"))
+
+
 BIG = 9007199254740993          # 2^53 + 1
 SQL_QI_BIG = with_(f"big AS (SELECT {BIG} + event_id AS big_id FROM events)") + _qi_sql("big", {"big_id": (0.0, 1e16)}, ["big_id"])
 

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from qforge.functions.columns import as_double, col, is_missing, quote
 from qforge.functions.names import CANONICAL_SENSOR_NAMES, normalize_names
 from qforge.functions.order_stats import column_profile, exact_quantiles
+from qforge.sources import csv_records as REC
 from qforge.sources import encoding as enc
 from qforge.sources.encoding import norm_path
 from qforge.sources.manifest import base_name
@@ -94,9 +95,9 @@ def inspect_files(spark: SparkSession, paths: list[str], chain=enc.ANALYSIS_CHAI
                   rename: dict[str, str] | None = None) -> list[FileInfo]:
     """Charset, record count and normalised columns for each file (bounded by #files).
 
-    A file with an odd number of quotes in some line is read with quoted line
-    breaks (by one task) and its records are counted by a parse; all others
-    stay splittable. A record with more cells than the header is the file's error.
+    A file with an odd number of quotes in some line may have quoted line
+    breaks: its lines are joined to records (``csv_records``) and those are counted
+    by a parse. A record with more cells than the header is the file's error.
     """
     det = {r["path"]: r for r in enc.detect(spark, paths, chain).collect()}  # bounded: per file
     by_norm = {norm_path(k): r for k, r in det.items()}
@@ -131,16 +132,19 @@ def read_group(spark: SparkSession, paths: list[str], charset: str, columns: lis
                multiline: bool = False, strict: bool = True) -> DataFrame:
     """One CSV scan for files that share charset and header; all columns as strings.
 
-    ``multiline`` allows quoted fields with line breaks (each file is then
-    read by one task instead of being split). A record with more cells than
+    ``multiline`` allows quoted fields with line breaks (files are split into
+    tasks all the same, see ``csv_records``). A record with more cells than
     the header raises with its file's name; with ``strict=False`` its raw text
     stays in ``CORRUPT_COL`` instead. Missing cells at the end are NULL.
     """
-    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in [*columns, CORRUPT_COL]])
-    rows = (spark.read.schema(schema)
-            .options(enforceSchema="true", columnNameOfCorruptRecord=CORRUPT_COL, **csv_options(charset, multiline))
-            .csv(paths)
-            .withColumn(SOURCE_COL, F.col("_metadata.file_path")))
+    if multiline:
+        rows = REC.parsed(REC.records(spark, paths, charset), columns, CORRUPT_COL, csv_options(charset, True)).withColumnRenamed("__path", SOURCE_COL)
+    else:
+        schema = T.StructType([T.StructField(c, T.StringType(), True) for c in [*columns, CORRUPT_COL]])
+        rows = (spark.read.schema(schema)
+                .options(enforceSchema="true", columnNameOfCorruptRecord=CORRUPT_COL, **csv_options(charset))
+                .csv(paths)
+                .withColumn(SOURCE_COL, F.col("_metadata.file_path")))
     rows = keep_ragged(rows, columns)
     if not strict:
         return rows
