@@ -12,8 +12,11 @@ label-summary aggregates into one scan.
 
 from __future__ import annotations
 
+import functools
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,11 @@ from qforge.functions.stats import ColumnStats, column_stats
 
 QUARTILES = (0.25, 0.5, 0.75)
 
+#: Columns up to which correlations are one aggregate; columns a block, and pairs of blocks a task adds up (3 MB each).
+NARROW, GRAM_BLOCK, GRAM_PAIRS = 16, 256, 64
+#: Share of the squares about the mean at which a pair's variance is too close to rounding.
+NEARLY_CONSTANT = 1e-9
+
 
 def _stats(df: DataFrame, cols: list[str], stats: ColumnStats | None, probs=QUARTILES) -> ColumnStats:
     if stats is not None and stats.has(cols, probs):
@@ -157,14 +165,84 @@ def _corr_parts(cols: list[str], digits: int):
 def correlation(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
     """Pearson correlation for every ordered pair (x, y), pairwise complete.
 
-    One aggregate computes each unordered pair once; a constant column
-    gives NULL (also on its diagonal).
+    A constant column gives NULL (also on its diagonal). Up to ``NARROW`` columns are one aggregate with an
+    expression a pair; more are summed as blocks of a Gram matrix (``correlation_wide``), whose plan grows
+    with the columns only.
     """
+    if len(cols) > NARROW:
+        return correlation_wide(df, cols, digits)
     aggs, rows = _corr_parts(cols, digits)
     return df.agg(*aggs).select(F.inline(F.array(*[
         F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), v.alias("corr")) for a, b, v in rows])))
 
 
+def correlation_wide(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
+    """``correlation`` of many columns by blocked Gram matrices with masks for missing values.
+
+    A task adds up, over its Arrow batches and for each pair of column blocks, the products X'X, X'M, (X*X)'M and M'M
+    of the values (less the column's mean, missing ones 0) and their masks: all that pairwise-complete correlation
+    needs. One row a task and pair is then summed. Pairs that are nearly constant where both are present are too close to
+    rounding for sums; they are computed again by ``pearson``.
+    """
+    spark, k = df.sparkSession, len(cols)
+    prof = df.agg(*[f(as_double(c)).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("a", F.min), ("b", F.max), ("m", F.avg))]).first()
+    flat = {i for i in range(k) if prof[f"a{i}"] is None or prof[f"a{i}"] == prof[f"b{i}"]}      # no or one value: NULL
+    used = [i for i in range(k) if i not in flat]
+    centre = np.array([prof[f"m{i}"] for i in used])
+    rows = df.select(*[as_double(cols[i]).alias(f"c{i}") for i in used])
+    sums = [f"{n} double" for n in ("si", "sj", "qi", "qj", "p")]
+    schema = ", ".join(["i int", "j int", "n long", *sums])
+    blocks = [(a, min(a + GRAM_BLOCK, len(used))) for a in range(0, len(used), GRAM_BLOCK)]
+    pairs = [(x, y) for n, x in enumerate(blocks) for y in blocks[n:]]
+
+    def gram(mine):
+        def run(batches):
+            total = None
+            for batch in batches:
+                x = np.stack([np.asarray(c.to_numpy(zero_copy_only=False), np.float64) for c in batch.columns], axis=1) - centre
+                m = ~np.isnan(x)
+                x, m = np.where(m, x, 0.0), m.astype(np.float64)
+                now = [(x[:, a:b].T @ x[:, c:d], x[:, a:b].T @ m[:, c:d], m[:, a:b].T @ x[:, c:d],
+                        (x[:, a:b] ** 2).T @ m[:, c:d], m[:, a:b].T @ x[:, c:d] ** 2, m[:, a:b].T @ m[:, c:d]) for (a, b), (c, d) in mine]
+                total = now if total is None else [tuple(u + v for u, v in zip(s, t)) for s, t in zip(total, now)]
+            for ((a, b), (c, d)), (p, si, sj, qi, qj, n) in zip(mine, total or []):
+                i, j = np.meshgrid(np.arange(a, b), np.arange(c, d), indexing="ij")
+                keep = i <= j
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(i[keep].astype(np.int32)), pa.array(j[keep].astype(np.int32)), pa.array(n[keep].astype(np.int64)),
+                     *[pa.array(v[keep]) for v in (si, sj, qi, qj, p)]], names=["i", "j", "n", "si", "sj", "qi", "qj", "p"])
+        return run
+    # a job adds up as many block pairs as fit in a task
+    parts = [rows.mapInArrow(gram(pairs[at:at + GRAM_PAIRS]), schema) for at in range(0, len(pairs), GRAM_PAIRS)]
+    if not parts:
+        got = spark.createDataFrame([], schema)
+    else:
+        got = functools.reduce(DataFrame.unionAll, parts).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "qi", "qj", "p")])
+    n = F.col("n")
+    spread = lambda s, q: F.col(q) - F.try_divide(F.col(s) * F.col(s), n)
+    got = got.select("i", "j", "n", (F.col("p") - F.try_divide(F.col("si") * F.col("sj"), n)).alias("cov"),
+                     spread("si", "qi").alias("vi"), spread("sj", "qj").alias("vj"),
+                     ((spread("si", "qi") <= F.col("qi") * NEARLY_CONSTANT) | (spread("sj", "qj") <= F.col("qj") * NEARLY_CONSTANT)).alias("near"))
+    got = got.checkpoint()                                # columns squared numbers
+    value = F.when(n < 1, None).otherwise(F.try_divide("cov", F.sqrt("vi") * F.sqrt("vj")))
+    out = got.where(~F.col("near") | (n < 1)).select("i", "j", value.alias("corr"))
+    again = [(r["i"], r["j"]) for r in got.where(F.col("near") & (n > 0)).select("i", "j").collect()]
+    for at in range(0, len(again), 200):
+        some = again[at:at + 200]
+        one = df.agg(*[pearson(as_double(cols[used[i]]), as_double(cols[used[j]])).alias(f"p{q}") for q, (i, j) in enumerate(some)])
+        out = out.unionByName(one.select(F.inline(F.array(*[
+            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"p{q}").alias("corr")) for q, (i, j) in enumerate(some)]))))
+    both = out.unionByName(out.where("i != j").select(F.col("j").alias("i"), F.col("i").alias("j"), "corr"))
+    named = spark.createDataFrame([(at, cols[i]) for at, i in enumerate(used)], "at int, name string")       # a row a column
+    x, y = named.select(F.col("at").alias("i"), F.col("name").alias("x")), named.select(F.col("at").alias("j"), F.col("name").alias("y"))
+    clean = F.round(F.nanvl("corr", F.lit(None).cast("double")), digits)
+    out = both.join(F.broadcast(x), "i").join(F.broadcast(y), "j").select("x", "y", clean.alias("corr"))
+    empty = [(cols[i], cols[j]) for i in range(k) for j in range(k) if i in flat or j in flat]
+    if empty:
+        out = out.unionByName(spark.createDataFrame(empty, "x string, y string").withColumn("corr", F.lit(None).cast("double")))
+    return out
+
+
 # ---------------------------------------------------------------- A8
 BOX_STATS = ["q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers"]
 

@@ -854,6 +854,31 @@ def q_lineitem_correlation(spark, sf):
     return E.correlation(_lineitem(spark, sf), LINE_COLS)
 
 
+WIDE_BASE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_partkey % 100", "l_suppkey % 50", "l_orderkey % 97"]
+#: 64 mixtures of measures with missing values in different rows, a constant column, and one that is missing throughout.
+WIDE = {f"w{k}": f"CASE WHEN (l_orderkey + {k}) % 11 <> 0 THEN CAST({WIDE_BASE[k % 8]} AS DOUBLE) * {1 + k // 8} "
+                 f"+ CAST({WIDE_BASE[(3 * k + 1) % 8]} AS DOUBLE) * {k % 5} END" for k in range(64)}
+WIDE |= {"same": "CAST(7.25 AS DOUBLE)", "gone": "CAST(NULL AS DOUBLE)"}
+
+
+def _corr_wide_sql() -> str:
+    names = list(WIDE)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    return (with_("w AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in WIDE.items()) + " FROM lineitem)",
+                  "c AS (SELECT " + ", ".join(f'{"CAST(NULL AS DOUBLE)" if {a, b} & {"same", "gone"} else f"round(corr({a}, {b}), 6)"} AS "{a}-{b}"'
+                                                  for a, b in pairs) + " FROM w)",
+                  "u AS (SELECT * FROM c UNPIVOT INCLUDE NULLS (corr FOR pair IN (COLUMNS(*))))",
+                  "s AS (SELECT split_part(pair, '-', 1) AS x, split_part(pair, '-', 2) AS y, corr FROM u)")
+            + "SELECT x, y, corr FROM s UNION ALL SELECT y AS x, x AS y, corr FROM s WHERE x <> y")
+
+
+@register("correlation_wide", _corr_wide_sql())
+def q_correlation_wide(spark, sf):
+    """Correlations of 66 columns with missing values (A7): sums of blocks, a plan that grows with the columns only."""
+    wide = td.table(spark, sf, "lineitem").select(*[F.expr(e).alias(c) for c, e in WIDE.items()])
+    return E.correlation(wide, list(WIDE))
+
+
 @register("lineitem_label_distribution",
           "SELECT l_returnflag AS label, count(*) AS count FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1")
 def q_lineitem_label_distribution(spark, sf):
