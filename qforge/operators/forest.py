@@ -18,10 +18,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qforge.functions.columns import col
+from qforge.operators.forest_nodes import NodeForest, nodes_of
 from qforge.operators.split import ScalerModel, fit_scaler, stratified_split
 
 SPARK_MAX_DEPTH = 30
@@ -38,7 +39,7 @@ class ForestModel:
     n_train_rows: int | None = None       # rows the trees were fitted on
 
     def _scaled(self, df: DataFrame) -> DataFrame:
-        return self.scaler.transform(df, suffix="__s")
+        return df.select("*", *_scaled_columns(self.scaler, self.features))
 
     def score(self, df: DataFrame, prob_col: str = "y_score", pred_col: str = "y_pred") -> DataFrame:
         """Add P(class 1) and the argmax prediction; drop model columns."""
@@ -61,6 +62,11 @@ class ForestModel:
         df = df.orderBy(F.desc("importance"), "feature")
         return df.limit(top_n) if top_n else df
 
+    def as_nodes(self, path: str | None = None) -> NodeForest:
+        """The same forest as a table of nodes."""
+        spark, rf = SparkSession.getActiveSession(), self.pipeline.stages[-1]
+        return NodeForest(self.features, self.label, self.scaler, nodes_of(spark, rf, path), rf.getNumTrees, self.n_train_rows)
+
     def save(self, path: str) -> None:
         """Spark ML model plus the scaler and feature list."""
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
@@ -71,30 +77,38 @@ class ForestModel:
             .coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> "ForestModel":
+    def load(spark: SparkSession, path: str) -> "ForestModel | NodeForest":
         meta = json.loads(spark.read.json(f"{path}/meta").first()["meta"])
+        if meta.get("kind") == "nodes":
+            return NodeForest.load(spark, path)
         scaler = ScalerModel({c: tuple(v) for c, v in meta["scaler"].items()})
         return ForestModel(meta["features"], meta["label"], scaler, PipelineModel.load(f"{path}/pipeline"),
                            meta.get("n_train_rows"))
 
 
+def _scaled_columns(scaler: ScalerModel, features: list[str]) -> list[Column]:
+    scaled = scaler.columns()
+    return [scaled[f].alias(f"__s{i}") for i, f in enumerate(features)]
+
+
 def fit_forest(train: DataFrame, features: list[str], label: str, n_trees: int = 200,
                max_depth: int | None = None, min_leaf: int = 1, seed: int = 42,
                max_bins: int = 128, subset: str | None = None, max_train_rows: int = MAX_TRAIN_ROWS,
-               partitions: int | None = None) -> ForestModel:
+               partitions: int | None = None, min_samples_split: int = 2) -> ForestModel | NodeForest:
     """M3: gini trees on bootstrap samples; features per split = int(sqrt(k)).
 
     ``max_depth=None`` means as deep as Spark allows (30). Trees with one-row leaves grow with the rows they
     see, so a larger table is fitted on ``max_train_rows`` of its rows, drawn by the seeded hash of
     ``stratified_split`` in proportion to the classes; the scaler is fitted on all rows and scoring covers all
     rows. The model records the number. Bagging is seeded per partition: ``partitions`` fixes their number
-    where the model must not depend on the cores.
+    where the model must not depend on the cores. With ``min_samples_split`` above 2, splits of fewer drawn rows
+    are pruned to leaves and the result is a ``NodeForest``, which has the same uses.
     """
     scaler = fit_scaler(train, features)
     n_rows = train.count()
     if n_rows > max_train_rows:
         _, train = stratified_split(train, label, None, max_train_rows / n_rows, seed)
-    scaled_names = [f + "__s" for f in features]
+    scaled_names = [f"__s{i}" for i in range(len(features))]       # whatever the columns are called
     k = subset or str(max(1, int(math.sqrt(len(features)))))
     rf = RandomForestClassifier(
         featuresCol="__features", labelCol="__label", numTrees=n_trees,
@@ -103,8 +117,7 @@ def fit_forest(train: DataFrame, features: list[str], label: str, n_trees: int =
         bootstrap=True, seed=seed, cacheNodeIds=True, maxMemoryInMB=512)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=scaled_names, outputCol="__features",
                                             handleInvalid="error"), rf])
-    data = scaler.transform(train, suffix="__s").withColumn("__label", col(label).cast("double"))
-    data = data.select(*scaled_names, "__label")
+    data = train.select(*_scaled_columns(scaler, features), col(label).cast("double").alias("__label"))
     # tree growth is parallel over partitions: a small input read as one split
     # would train on one core; large inputs already have enough partitions
     slots = partitions or train.sparkSession.sparkContext.defaultParallelism
@@ -115,7 +128,8 @@ def fit_forest(train: DataFrame, features: list[str], label: str, n_trees: int =
         model = pipe.fit(data)
     finally:
         data.unpersist()
-    return ForestModel(list(features), label, scaler, model, min(n_rows, max_train_rows))
+    fitted = ForestModel(list(features), label, scaler, model, min(n_rows, max_train_rows))
+    return fitted.as_nodes().pruned(min_samples_split) if min_samples_split > 2 else fitted
 
 
 def grid_scorer(model: ForestModel, prob_col: str = "p_defect"):
@@ -135,11 +149,12 @@ class TrainResult:
 
 def train_and_evaluate(df: DataFrame, features: list[str], target: str, key: str,
                        test_size: float = 0.2, n_trees: int = 200, seed: int = 42,
-                       max_depth: int | None = None) -> TrainResult:
+                       max_depth: int | None = None, min_samples_split: int = 2) -> TrainResult:
     """M5: exact stratified split -> scaler + forest on train -> hard-label evaluation on test."""
     from qforge.operators.metrics import eval_hard
     train, test = stratified_split(df, target, key, test_size, seed)
-    model = fit_forest(train, features, target, n_trees=n_trees, max_depth=max_depth, seed=seed)
+    model = fit_forest(train, features, target, n_trees=n_trees, max_depth=max_depth, seed=seed,
+                       min_samples_split=min_samples_split)
     scored = model.score(test)
     return TrainResult(model, scored, eval_hard(scored, target, "y_pred"), _sizes(train, test))
 

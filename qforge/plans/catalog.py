@@ -720,6 +720,46 @@ def q_rf_metrics(spark, sf):
     return M.metrics_table(model.score(test), "error", "y_pred", "y_score")
 
 
+SQL_FOREST_NODES = with_(SENSOR, *SPLIT_CTES) + (
+    "SELECT count(*) AS n_rows, true AS same_scores, true AS same_predictions, true AS same_importance, true AS whole_trees FROM test")
+
+
+@register("forest_nodes", SQL_FOREST_NODES)
+def q_forest_nodes(spark, sf):
+    """The forest as a table of nodes gives the scores, predictions and importances of the fitted model to 1e-9."""
+    model, test = trained_forest(spark, sf)
+    table = model.as_nodes()
+    both = table.score(model.score(test), "p_nodes", "y_nodes").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.bool_and(F.abs(F.col("p_nodes") - F.col("y_score")) <= 1e-9).alias("same_scores"),
+        F.bool_and((F.col("y_nodes") == F.col("y_pred")) | (F.abs(F.col("y_score") - 0.5) <= 1e-9)).alias("same_predictions"))
+    ours, theirs = ({r["feature"]: r["importance"] for r in m.importance().collect()} for m in (table, model))      # a row a feature
+    split, leaf = F.count_if(F.col("left") >= 0), F.count_if(F.col("left") < 0)
+    whole = table.nodes.groupBy("tree").agg((leaf == split + 1).alias("whole")).agg(F.bool_and("whole")).first()[0]
+    return both.withColumn("same_importance", F.lit(all(abs(ours[f] - v) <= 1e-9 for f, v in theirs.items()))).withColumn("whole_trees", F.lit(whole))
+
+
+SQL_FOREST_MIN = with_(SENSOR, *SPLIT_CTES) + (
+    "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS small_splits, true AS pruned, true AS whole_trees, true AS uncut_rows_equal FROM test")
+MIN_SAMPLES_SPLIT = 40
+
+
+@register("forest_min_split", SQL_FOREST_MIN)
+def q_forest_min_split(spark, sf):
+    """No split of fewer rows than ``min_samples_split``, and unchanged scores wherever no tree was cut on a row's way (M3)."""
+    model, test = trained_forest(spark, sf)
+    table = model.as_nodes()
+    small = table.pruned(MIN_SAMPLES_SPLIT)
+    same = table.pruned(2)                                 # every split has two rows at least: nothing is cut
+    scored = same.score(table.score(test, "p_table", "y_table"), "p_same", "y_same")
+    rows = small.score(scored, "p_small", "y_small").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.bool_and(F.col("p_same") == F.col("p_table")).alias("uncut_rows_equal"))
+    split, leaf = F.count_if(F.col("left") >= 0), F.count_if(F.col("left") < 0)
+    whole = small.nodes.groupBy("tree").agg((leaf == split + 1).alias("whole")).agg(F.bool_and("whole")).first()[0]
+    few = small.nodes.where((F.col("left") >= 0) & (F.col("n") < MIN_SAMPLES_SPLIT)).count()
+    return rows.select("n_rows", F.lit(few).cast("long").alias("small_splits"), F.lit(small.nodes.count() < table.nodes.count()).alias("pruned"),
+                       F.lit(whole).alias("whole_trees"), "uncut_rows_equal")
+
+
 @register("model_report")
 def q_model_report(spark, sf):
     model, test = trained_forest(spark, sf)
