@@ -13,7 +13,7 @@ forest of their links, from which components are found.
 
 Equal vectors of a label form a class and are compared once; their copies count as links. Vectors that are
 null, zero, or hold null or non-finite components, and null labels, link with nothing. Vectors of different
-length link with nothing. Rows with an equal vec_id are counted one by one in the links.
+length link with nothing. Rows with an equal vec_id are different vectors: each has links of its own and is counted one by one.
 """
 
 from __future__ import annotations
@@ -212,10 +212,12 @@ def _cells(min_cosine: float, tables: int, kind: str):
 def link(vectors: DataFrame, min_cosine: float = MIN_COSINE, tables: int = TABLES, probes: int = PROBES,
          scale: float = SCALE, max_cell: int = MAX_CELL) -> DataFrame:
     """vec_id, n_links, component_id and kept, one row a vector."""
-    distinct = classes(vectors).checkpoint()
+    # every class has a number of its own, as vec_ids may repeat; ids come back at the end
+    distinct = classes(vectors).withColumn("cid", F.monotonically_increasing_id()).checkpoint()
+    numbered = distinct.select(F.col("cid").alias("vec_id"), "embedding", "copies", "label")
     kind = "f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "f8"
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = cell_rows(distinct.repartition("vec_id"), tables, probes, scale, kind)
+    rows = cell_rows(numbered.repartition("vec_id"), tables, probes, scale, kind)
     # crowded cells only: fewer than one row for max_cell rows
     crowded = (rows.select("cell").groupBy("cell").agg(F.count("*").alias("m")).where(F.col("m") > max_cell)
                .select("cell", F.ceil(F.col("m") / F.lit(max_cell)).cast("int").alias("blocks")).checkpoint())
@@ -230,10 +232,13 @@ def link(vectors: DataFrame, min_cosine: float = MIN_COSINE, tables: int = TABLE
     found = (dealt.select("bucket", "cell", "low", "high", "side", "home", "vec_id", "copies", "vec", "codes", "at")
              .groupBy("bucket").applyInArrow(_cells(min_cosine, tables, kind), "vec_id long, n long, parent long").checkpoint())
     counts = found.groupBy(F.col("vec_id").alias("id")).agg(F.sum("n").alias("n"))
-    comps = components(found.select(F.col("vec_id").alias("a"), F.col("parent").alias("b"))).select(F.col("id").alias("cid"), "component")
-    named = (distinct.join(counts, F.col("vec_id") == F.col("id"), "left").join(comps, F.col("vec_id") == F.col("cid"), "left")
+    comps = components(found.select(F.col("vec_id").alias("a"), F.col("parent").alias("b"))).select(F.col("id").alias("lid"), "component")
+    ids = distinct.select("cid", "vec_id").join(comps, F.col("cid") == F.col("lid")).select("lid", "component", "vec_id")
+    least = ids.groupBy(F.col("component").alias("c")).agg(F.min("vec_id").alias("least"))        # combined before the exchange
+    comps = ids.join(least, F.col("component") == F.col("c")).select("lid", "least")
+    named = (distinct.join(counts, F.col("cid") == F.col("id"), "left").join(comps, F.col("cid") == F.col("lid"), "left")
              .select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                     F.coalesce("component", "vec_id").alias("component_id")))
+                     F.coalesce("least", "vec_id").alias("component_id")))
     own = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long").alias("l"), F.col("embedding").alias("e"))
     return own.join(named, ["l", "e"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -11,7 +11,7 @@ bins of all cells are packed again by cells of bins, in rounds. ``pack_into`` fi
 smallest capacity at which best fit needs no further shard (found by bisection).
 
 A group larger than a shard cannot stay whole in ``pack_into`` without breaking the size
-law, so only such a group is cut, by row hash; in ``pack`` it gets a shard of its own.
+law, so only such a group is cut, by row number (equal rows too); in ``pack`` it gets a shard of its own.
 Null text: no bytes (size 1), grouped with the empty text. Repeated rows are rows of their
 own. An empty table gives an empty result.
 """
@@ -95,7 +95,8 @@ def _parcel(n: Column | int) -> Column:
 
 
 def pack_into(rows: DataFrame, n_shards: int) -> DataFrame:
-    """``rows`` (size, group, ...) plus ``shard`` 0..n-1 with sizes as equal as best fit makes them."""
+    """``rows`` (size, group, ...) plus ``shard`` 0..n-1, with sizes as equal as best fit makes them, and the row's number ``__row``."""
+    rows = rows.withColumn("__row", F.monotonically_increasing_id()).checkpoint()
     parcels = PARCELS * n_shards
     total = rows.agg(F.sum("size")).first()[0] or 0
     big = max(1, total // parcels)
@@ -105,7 +106,7 @@ def pack_into(rows: DataFrame, n_shards: int) -> DataFrame:
     cut = F.when(F.col("bytes") > part, F.ceil(F.col("bytes") / F.lit(max(1, part // 64)))).otherwise(1)
     keyed = (rows.join(F.broadcast(large.select("group", cut.cast("long").alias("cut"))), "group", "left")
              .withColumn("item", F.when(F.col("cut").isNull(), _parcel(parcels)).otherwise(
-                 F.concat_ws("#", "group", F.pmod(F.xxhash64("doc_id"), F.col("cut")).cast("string")))).drop("cut"))
+                 F.concat_ws("#", "group", F.pmod(F.xxhash64("__row"), F.col("cut")).cast("string")))).drop("cut"))
     items = [(r["bytes"], r["item"]) for r in
              keyed.groupBy("item").agg(F.sum("size").alias("bytes")).collect()]     # bounded: see above
     low, high = part, max(part, max([s for s, _ in items], default=0)) * 2
@@ -172,13 +173,13 @@ def pack(rows: DataFrame, capacity: int, cell_shards: int = 64, tail_bins: int =
 
 
 def slots(rows: DataFrame) -> DataFrame:
-    """Add ``slot``: 0, 1, ... without gaps within each shard, numbered in many buckets at once."""
+    """Add ``slot``: 0, 1, ... without gaps within each shard, numbered in many buckets at once (dealt by ``__row``, so equal rows spread)."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    split = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "group"), F.lit(n)))
+    split = rows.withColumn("bucket", F.pmod(F.xxhash64("__row"), F.lit(n)))
     counts = split.groupBy("shard", "bucket").agg(F.count("*").alias("n"))        # shards x buckets rows
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     start = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "group")
+    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "group", "__row")
     return (split.withColumn("i", F.row_number().over(inside)).join(F.broadcast(start), ["shard", "bucket"])
             .withColumn("slot", F.col("start") + F.col("i") - 1).drop("bucket", "i", "start"))
 

@@ -34,8 +34,7 @@ def op3_phrase_automata(spark, sf_dir):
 
 def op4_best_fit_sharding(spark, sf_dir):
     """All documents in 8 shards of near equal bytes, equal texts together."""
-    rows = packing.sized(table(spark, sf_dir, "documents")).checkpoint()
-    return packing.digest(packing.pack_into(rows, 8))
+    return packing.digest(packing.pack_into(packing.sized(table(spark, sf_dir, "documents")), 8))
 
 
 def op5_token_group_matrix(spark, sf_dir):
