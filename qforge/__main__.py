@@ -29,6 +29,8 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("--num-files", type=_num, default=2)
     a.add_argument("--threshold", type=float, default=0.05)
     a.add_argument("--trees", type=int, default=200)
+    a.add_argument("--min-samples-split", type=int, default=2)
+    a.add_argument("--no-resume", action="store_true", help="do every stage again")
     a.add_argument("--missing", choices=["drop", "fill"], default="drop")
     a.add_argument("--multiline", action="store_true", help="quoted fields may contain line breaks")
     m = sub.add_parser("merge", help="latest N sensor files -> one typed Parquet table")
@@ -42,7 +44,7 @@ def main(argv: list[str] | None = None) -> int:
     r = sub.add_parser("result", help="read a result table back")
     r.add_argument("--out", required=True)
     r.add_argument("name")
-    r.add_argument("--format", default="parquet")
+    r.add_argument("--format", default=None, help="default: the format it was written in")
     f = sub.add_parser("files", help="sensor file count and names")
     f.add_argument("--data", required=True)
     args = p.parse_args(argv)
@@ -53,10 +55,12 @@ def main(argv: list[str] | None = None) -> int:
     if args.cmd == "analyze":
         P.run_full_pipeline(spark, args.data, args.out, num_files=args.num_files,
                             prob_threshold=args.threshold, n_trees=args.trees,
-                            missing_method=args.missing, multiline=args.multiline
+                            missing_method=args.missing, multiline=args.multiline,
+                            min_samples_split=args.min_samples_split, resume=not args.no_resume
                             ).show(truncate=False, vertical=True)
     elif args.cmd == "merge":
         res = P.merge_sensor_files(spark, args.data, args.num_files, args.out, args.multiline)
+        P.ResultSet(spark, args.out).commit({"combined": {"path": "combined", "format": "parquet"}})
         res.summary.show(truncate=False, vertical=True)
         res.file_summary.show(truncate=False)
     elif args.cmd == "upload":

@@ -9,6 +9,7 @@ passes of ``exact_quantiles``.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -37,6 +38,15 @@ class ColumnStats:
     def q(self, col: str, p: float):
         return self.quantiles[col][p]
 
+    def to_json(self) -> str:
+        own = dict(self.__dict__, quantiles={c: list(q.items()) for c, q in self.quantiles.items()})
+        return json.dumps(own)
+
+    @staticmethod
+    def from_json(text: str) -> "ColumnStats":
+        own = json.loads(text)
+        return ColumnStats(**dict(own, quantiles={c: {p: v for p, v in q} for c, q in own["quantiles"].items()}))
+
     def has(self, cols: list[str], probs=()) -> bool:
         return all(c in self.count and all(p in self.quantiles.get(c, {}) for p in probs) for c in cols)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qforge.functions.columns import as_double, col, dlit
+from qforge.functions.columns import as_double, col, dlit, is_missing
 from qforge.functions.stats import ColumnStats, column_stats
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -58,6 +58,20 @@ def describe_numeric(df: DataFrame, cols: list[str], digits: int = 3,
     return base.select("column", "count", *[F.round(c, digits).alias(c) for c in DESCRIBE_STATS[1:]])
 
 
+def data_summary(df: DataFrame, num_cols: list[str], digits: int = 3, stats: ColumnStats | None = None) -> DataFrame:
+    """A5 with the table's shape: a row a column, in the table's order.
+
+    n_rows and n_cols (the shape), position, column, dtype, na_count, and for ``num_cols`` the numbers of ``describe_numeric``.
+    """
+    cols = df.columns
+    wide = df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(is_missing(df, c)).alias(f"z{i}") for i, c in enumerate(cols)])
+    rows = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
+                     F.col(f"z{i}").alias("na_count")) for i, c in enumerate(cols)]
+    shape = wide.select("n_rows", F.lit(len(cols)).alias("n_cols"), F.inline(F.array(*rows)))
+    return shape.join(F.broadcast(describe_numeric(df, num_cols, digits, stats)), "column", "left").select(      # a row a column
+        "n_rows", "n_cols", "position", "column", "dtype", "na_count", *DESCRIBE_STATS)
+
+
 # ---------------------------------------------------------------- A6
 def _edges(lo: float, hi: float, bins: int) -> tuple[float, float, float]:
     """Histogram range (widened by 0.5 each side when constant) and step."""

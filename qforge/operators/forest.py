@@ -149,13 +149,19 @@ class TrainResult:
 
 def train_and_evaluate(df: DataFrame, features: list[str], target: str, key: str,
                        test_size: float = 0.2, n_trees: int = 200, seed: int = 42,
-                       max_depth: int | None = None, min_samples_split: int = 2) -> TrainResult:
-    """M5: exact stratified split -> scaler + forest on train -> hard-label evaluation on test."""
+                       max_depth: int | None = None, min_samples_split: int = 2, scored_path: str | None = None) -> TrainResult:
+    """M5: exact stratified split -> scaler + forest on train -> hard-label evaluation on test.
+
+    With ``scored_path`` the scored test rows are written there once and read back for the evaluation.
+    """
     from qforge.operators.metrics import eval_hard
     train, test = stratified_split(df, target, key, test_size, seed)
     model = fit_forest(train, features, target, n_trees=n_trees, max_depth=max_depth, seed=seed,
                        min_samples_split=min_samples_split)
     scored = model.score(test)
+    if scored_path:
+        scored.write.mode("overwrite").parquet(scored_path)
+        scored = df.sparkSession.read.parquet(scored_path)
     return TrainResult(model, scored, eval_hard(scored, target, "y_pred"), _sizes(train, test))
 
 

@@ -218,10 +218,10 @@ def eval_hard(df: DataFrame, label: str = "label", pred: str = "prediction", dig
 
 
 def metrics_table(df: DataFrame, label: str = "label", pred: str = "prediction",
-                  score: str = "score", table: DataFrame | None = None) -> DataFrame:
+                  score: str = "score", table: DataFrame | None = None, model: str | None = None) -> DataFrame:
     """Long (metric, value) table of the headline test metrics.
 
-    Without ``table`` the scored rows are read once: ``scored_counts`` feeds the cells and the curve sums.
+    With ``model`` a row ``model`` holds that name in a further column ``text`` (NULL in the others). Without ``table`` the scored rows are read once: ``scored_counts`` feeds the cells and the curve sums.
     """
     if table is None:
         df = scored_counts(df, label, pred, score)
@@ -246,8 +246,12 @@ def metrics_table(df: DataFrame, label: str = "label", pred: str = "prediction",
         ("n_positive", d(tp + fn)),
         ("n_negative", d(tn + fp)),
     ]
-    return cc.select(F.inline(F.array(*[
+    out = cc.select(F.inline(F.array(*[
         F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in items])))
+    if model is None:
+        return out
+    name = out.sparkSession.range(1).select(F.lit("model").alias("metric"), F.lit(None).cast("double").alias("value"), F.lit(model).alias("text"))
+    return name.unionByName(out.withColumn("text", F.lit(None).cast("string")))
 
 
 def model_report(scored: DataFrame, importance: DataFrame | None, label: str = "label",

@@ -673,9 +673,8 @@ def q_normalize_rename(spark, sf):
 
 
 SQL_MERGE_FILES = with_(SENSOR, SENSOR_RAW) + """
-SELECT CAST(6 AS BIGINT) AS sensor_file_count, CAST(6 AS BIGINT) AS processed_file_count,
-       count(*) AS combined_rows, CAST(6 AS BIGINT) AS combined_cols, count(*) AS all_files_rows
-FROM sensor_raw"""
+SELECT CAST(6 AS BIGINT) AS file_groups, true AS all_processed, count(*) AS combined_rows, CAST(6 AS BIGINT) AS combined_cols,
+       count(*) AS all_files_rows FROM sensor_raw"""
 
 
 @register("merge_sensor_files", SQL_MERGE_FILES)
@@ -683,7 +682,9 @@ def q_merge_sensor_files(spark, sf):
     """P1 over every sensor file: counts of the landed combined table."""
     from qforge.session import scratch_path
     res = P.merge_sensor_files(spark, sensor_csv_folder(spark, sf), None, scratch_path(spark, "merge"))
-    return res.summary.drop("output_path")
+    groups = res.file_summary.agg(F.count_distinct(FF.variant_of(F.col("file_name"))).alias("file_groups"))      # however many part files
+    return groups.crossJoin(F.broadcast(res.summary.select(
+        (F.col("sensor_file_count") == F.col("processed_file_count")).alias("all_processed"), "combined_rows", "combined_cols", "all_files_rows")))
 
 
 # ============================================================ forest (M3, M5, M11-M14) - rows-only
@@ -1119,3 +1120,6 @@ def q_forest_checks(spark, sf):
         (F.avg((F.col("y_pred") == F.col("error")).cast("double")) > 0.97).alias("accurate"))
     total = model.importance().agg(F.round(F.sum("importance"), 6).alias("importance_sum")).first()[0]
     return scored.withColumn("importance_sum", F.lit(total)).withColumn("n_train", F.lit(model.n_train_rows).cast("long"))
+
+
+from qforge.plans import catalog_results  # noqa: E402, F401 - registers its queries here

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 from qforge.functions.columns import as_double, col, is_missing, quote
 from qforge.functions.names import CANONICAL_SENSOR_NAMES, normalize_names
 from qforge.functions.order_stats import column_profile, exact_quantiles
+from qforge.session import path_exists, remove_path, scratch_path
 from qforge.sources import csv_records as REC
 from qforge.sources import encoding as enc
 from qforge.sources.encoding import norm_path
@@ -48,6 +50,11 @@ FLOAT_TEXT = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|in
 SOURCE_COL = "_source_file"
 CORRUPT_COL = "__corrupt_record"
 RAGGED = "a record has more cells than the header"
+#: Bytes up to which a file's content is hashed as a whole.
+WHOLE_FILE = 64 << 20
+PROFILE = ("array<struct<position: int, column: string, dtype: string, n_rows: long, null_count: long, count: long, mean: double, "
+           "std: double, min: double, p25: double, p50: double, p75: double, max: double>>")
+LEDGER = f"file_name string, digest string, rows long, cols long, is_sensor_file boolean, profile {PROFILE}, _batch string"
 
 
 @dataclass
@@ -271,17 +278,19 @@ def land_csv_files(spark: SparkSession, paths: list[str], path: str, chain=enc.A
                    row_id: str | None = None, multiline: bool = False) -> DataFrame:
     """K1: CSV files -> typed Parquet table at ``path``, parsing the text only once.
 
-    The parsed strings are written to ``path + "_strings"`` first; type
+    The parsed strings are written to the scratch folder first; type
     inference and the typed write then read that columnar copy instead of
-    re-parsing the CSV text. ``row_id`` adds a persistent row id.
+    re-parsing the CSV text, and it is removed. ``row_id`` adds a persistent row id.
     """
     merged, order = read_csv_strings(spark, paths, chain, rename, infos, multiline)
     if row_id:
         merged = merged.withColumn(row_id, F.monotonically_increasing_id())
-    merged.write.mode("overwrite").parquet(path + "_strings")
-    staged = spark.read.parquet(path + "_strings")
+    strings = scratch_path(spark, "csv-strings")
+    merged.write.parquet(strings)
+    staged = spark.read.parquet(strings)
     typed = apply_types(staged, infer_types(staged, order))
     typed.select(*[col(c) for c in order], *([row_id] if row_id else [])).write.mode("overwrite").parquet(path)
+    remove_path(spark, strings)
     return spark.read.parquet(path)
 
 
@@ -306,7 +315,7 @@ def ingest_report(spark: SparkSession, paths: list[str], chain=enc.UPLOAD_CHAIN,
     if infos is None:
         infos = inspect_files(spark, csvs, chain, rename) if csvs else []
     for i in infos:
-        if i.charset is None:
+        if i.charset is None and i.n_lines:
             rows.append((i.file_name, "failed", "no supported character encoding fits", None, None))
         elif i.error or not i.columns:
             rows.append((i.file_name, "failed", i.error or "no columns to parse", None, None))
@@ -315,24 +324,101 @@ def ingest_report(spark: SparkSession, paths: list[str], chain=enc.UPLOAD_CHAIN,
     return spark.createDataFrame(rows, "file_name string, status string, error string, rows long, cols long")
 
 
+def content_digests(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """Digest of every file's content: SHA-256 up to ``WHOLE_FILE`` bytes.
+
+    A larger file is not held by one task: its digest is taken from its size, number of lines and the sums of two hashes of
+    its lines, so it does not depend on the order of lines (nor does the table that is read from it).
+    """
+    files = spark.read.format("binaryFile").load(paths)
+    sizes = {r["path"]: r["length"] for r in files.select("path", "length").collect()}                 # bounded: per file
+    small, large = ([p for p, n in sizes.items() if (n <= WHOLE_FILE) == few] for few in (True, False))
+    out = {}
+    if small:
+        got = spark.read.format("binaryFile").load(small).select("path", F.sha2("content", 256).alias("d")).collect()
+        out.update({norm_path(r["path"]): r["d"] for r in got})
+    if large:
+        v = F.col("v").cast("binary")
+        sums = (enc.raw_lines(spark, large).groupBy("path")
+                .agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(v).cast("decimal(38,0)")).alias("a"),
+                     F.sum(F.crc32(F.concat(v, F.lit(b"\x01")))).alias("b")).collect())
+        out.update({norm_path(r["path"]): hashlib.sha256(f"lines:{r['n']}:{r['a']}:{r['b']}".encode()).hexdigest() for r in sums})
+    return {p: out[norm_path(p)] for p in paths if norm_path(p) in out}
+
+
+def file_profiles(rows: DataFrame, cols: list[str]) -> DataFrame:
+    """path and ``profile``: per column of a file n_rows, dtype, null_count, count, mean, std, min, quartiles and max.
+
+    One grouping by (file, column). The quartiles of a file's column are exact and taken by one task, which holds its distinct values.
+    """
+    kinds = {c: rows.schema[c].dataType for c in cols}
+    cells = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(kinds[c].simpleString()).alias("dtype"), is_missing(rows, c).alias("gone"),
+                      (as_double(c) if isinstance(kinds[c], T.NumericType) else F.lit(None).cast("double")).alias("x")) for i, c in enumerate(cols)]
+    long = rows.select(F.col(SOURCE_COL).alias("path"), F.inline(F.array(*cells)))
+    one = long.groupBy("path", "position", "column", "dtype").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if("gone").alias("null_count"), F.count_if(~F.col("gone")).alias("count"), F.avg("x").alias("mean"),
+        F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.percentile("x", F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])).alias("q"), F.max("x").alias("max"))
+    fields = ["position", "column", "dtype", "n_rows", "null_count", "count", "mean", "std", "min", *[F.try_element_at("q", F.lit(i)).alias(f"p{25 * i}") for i in (1, 2, 3)], "max"]
+    return one.select("path", F.struct(*fields).alias("c")).groupBy("path").agg(F.array_sort(F.collect_list("c")).alias("profile"))
+
+
+def read_ledger(spark: SparkSession, landing: str) -> DataFrame:
+    """The record of every landed file: file_name, digest, rows, cols, is_sensor_file, profile, batch."""
+    return spark.read.schema(LEDGER).parquet(f"{landing}/_ledger")
+
+
+def read_landed(spark: SparkSession, landing: str) -> DataFrame:
+    """Rows of the batches whose record is complete."""
+    done = [r["_batch"] for r in read_ledger(spark, landing).select("_batch").distinct().collect()]      # a row a batch
+    return spark.read.option("mergeSchema", True).parquet(landing).where(F.col("_batch").cast("string").isin(done))
+
+
 def land_uploads(spark: SparkSession, paths: list[str], landing: str, chain=enc.UPLOAD_CHAIN,
                  rename: dict[str, str] | None = None, batch: str | None = None) -> DataFrame:
     """Ingest a batch of offered files and add the good ones to a Parquet table.
 
     Each landed row keeps its source file and the ingest time. The table is partitioned by ``_batch`` (by
     default a digest of the paths) and a batch that is landed again replaces itself, so a retry doubles no
-    rows. Returns the per-file report; raises when no file of the batch could be ingested.
+    rows. A file whose content another batch has landed, or an earlier file of this one holds, is a ``duplicate`` and lands
+    nothing. The ledger (``_ledger``) gets one record a landed file after its rows: digest, shape, sensor flag and profile.
+    Returns the per-file report with digest, sensor flag and profile; raises when no file of the batch could be ingested.
     """
     csvs = [p for p in paths if p.endswith(".csv")]
     all_infos = inspect_files(spark, csvs, chain, rename) if csvs else []   # one detection pass
     report = require_success(ingest_report(spark, paths, chain, rename, infos=all_infos))
-    infos = [i for i in all_infos if i.charset and i.columns and not i.error]
+    good = [i for i in all_infos if i.charset and i.columns and not i.error]
+    name = batch or hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+    digests = content_digests(spark, [i.path for i in good])
+    known = set()
+    if path_exists(spark, f"{landing}/_ledger"):
+        offered = spark.createDataFrame([(d,) for d in set(digests.values())], "digest string")            # a row an offered file
+        known = {r["digest"] for r in read_ledger(spark, landing).where(F.col("_batch") != name)
+                 .join(F.broadcast(offered), "digest", "left_semi").select("digest").distinct().collect()}
+    infos, twice = [], set()
+    for i in sorted(good, key=lambda i: i.path):
+        d = digests[i.path]
+        (twice.add(i.path) if d in known else infos.append(i))
+        known.add(d)
+    profiles = spark.createDataFrame([], f"path string, profile {PROFILE}")
     if infos:
         rows = read_csv_files(spark, [i.path for i in infos], chain, rename, keep_source=True, infos=infos)
-        name = batch or hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+        cols = [c for c in rows.columns if c != SOURCE_COL]
+        stored = f"{landing}/_batch={name}"
         (rows.withColumn("_ingested_at", F.current_timestamp()).withColumn("_batch", F.lit(name))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(landing))
-    return report
+        profiles = file_profiles(spark.read.parquet(stored), cols)
+    facts = spark.createDataFrame(
+        [(i.file_name, norm_path(i.path), digests[i.path], not re.search("error", i.file_name, re.IGNORECASE), i.path in twice) for i in good],
+        "f string, own string, digest string, is_sensor_file boolean, twice boolean")
+    by_name = profiles.collect()                              # bounded: a row a file, a cell a column
+    named = spark.createDataFrame([(norm_path(r["path"]), r["profile"]) for r in by_name], f"own2 string, profile {PROFILE}")
+    facts = facts.join(F.broadcast(named), F.col("own") == F.col("own2"), "left")
+    full = report.join(F.broadcast(facts), F.col("file_name") == F.col("f"), "left").select(
+        "file_name", F.when(F.col("twice"), "duplicate").otherwise(F.col("status")).alias("status"), "error", "rows", "cols", "digest", "is_sensor_file", "profile")
+    full = full.checkpoint()
+    (full.where("status = 'success'").select("file_name", "digest", "rows", "cols", "is_sensor_file", "profile").withColumn("_batch", F.lit(name))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(f"{landing}/_ledger"))
+    return full
 
 
 def require_success(report: DataFrame) -> DataFrame:
