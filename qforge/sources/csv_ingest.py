@@ -367,10 +367,29 @@ def read_ledger(spark: SparkSession, landing: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(f"{landing}/_ledger")
 
 
+def wider(a: str, b: str) -> str:
+    """The type that holds values of both: integers and floating point are double, other mixtures text."""
+    return a if a == b else "double" if {a, b} == {"bigint", "double"} else "string"
+
+
 def read_landed(spark: SparkSession, landing: str) -> DataFrame:
-    """Rows of the batches whose record is complete."""
-    done = [r["_batch"] for r in read_ledger(spark, landing).select("_batch").distinct().collect()]      # a row a batch
-    return spark.read.option("mergeSchema", True).parquet(landing).where(F.col("_batch").cast("string").isin(done))
+    """Rows of the batches whose record is complete; a column that batches hold in different types has the wider one."""
+    own = F.transform("profile", lambda c: F.struct(c["column"], c["dtype"])).alias("types")
+    layouts: dict[tuple, list[str]] = {}
+    for r in read_ledger(spark, landing).where("profile IS NOT NULL").select("_batch", own).distinct().collect():      # a row or a few a batch
+        layouts.setdefault(tuple((t["column"], t["dtype"]) for t in r["types"]), []).append(r["_batch"])
+    if not layouts:
+        raise ValueError(f"no complete batch with rows in {landing}")
+    types: dict[str, str] = {}
+    for layout in layouts:
+        for c, t in layout:
+            types[c] = wider(types.get(c, t), t)
+    frames = []
+    for layout, batches in layouts.items():                # a scan for all batches of one layout
+        rows = spark.read.option("basePath", landing).parquet(*[f"{landing}/_batch={b}" for b in sorted(set(batches))])
+        frames.append(rows.select(*[col(c).cast(types[c]).alias(c) for c, _ in layout], SOURCE_COL, "_ingested_at",
+                                  F.col("_batch").cast("string").alias("_batch")))
+    return union_by_name(frames).select(*[col(c) for c in types], SOURCE_COL, "_ingested_at", "_batch")
 
 
 def land_uploads(spark: SparkSession, paths: list[str], landing: str, chain=enc.UPLOAD_CHAIN,
