@@ -40,6 +40,9 @@ DEFAULT_SMALL = 4096
 MAX_PASSES = 200
 # rows one pass may bring to the driver, over all intervals together
 PASS_BUDGET = 1_000_000
+# inputs of one pass up to which every interval is an expression of its own; more meet a table of intervals in a join,
+# so the plan grows with the inputs only
+WIDE_INPUTS = 8
 
 
 @dataclass
@@ -159,7 +162,7 @@ def _in_ranges(df, names, raw, sel):
     """Rows with a value in one of the intervals, told from the stored columns so that the filter reaches
     the scan. NaN is above every number, so it stays out as it does in the values."""
     per = _by_input(names, sel)
-    if raw is None or any(name not in raw for name, _ in per):
+    if raw is None or len(per) > WIDE_INPUTS or any(name not in raw for name, _ in per):
         return df
     return df.where(_any([raw[name].between(F.lit(lo), F.lit(hi)) for name, ivs in per for _, lo, hi in ivs]))
 
@@ -171,7 +174,24 @@ def _staged(df, values, names, sel):
     return df.select(*[values[name].alias(f"_v{k}") for k, name in enumerate(used)]), cols
 
 
+def _met(df, values, names, sel):
+    """(g, x, lo, hi, ends) of all values inside an interval; ``ends``: the span is infinite or too small to scale."""
+    df, values = _staged(df, values, names, sel)
+    per = _by_input(names, sel)
+    cells = [F.struct(F.lit(k).alias("k"), values[name].alias("x")) for k, (name, _) in enumerate(per)]
+    rows = df.select(F.inline(F.array(*cells))).where("x IS NOT NULL")
+    table = df.sparkSession.createDataFrame(
+        [(k, g, lo, hi, not (math.isfinite(lo) and math.isfinite(hi)) or hi * 0.5 - lo * 0.5 == 0.0) for k, (_, ivs) in enumerate(per) for g, lo, hi in ivs],
+        "k int, g int, lo double, hi double, ends boolean")
+    return rows.join(F.broadcast(table), "k").where(F.col("x").between(F.col("lo"), F.col("hi")))      # a row an interval
+
+
 def _histogram_pass(df, values, names, sel, bins):
+    if len(_by_input(names, sel)) > WIDE_INPUTS:
+        x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
+        scaled = F.least(F.floor(F.try_divide(x * 0.5 - lo * 0.5, hi * 0.5 - lo * 0.5) * bins).cast("int"), F.lit(bins - 1))
+        b = F.when(~F.col("ends"), scaled).when(x == lo, 0).when(x == hi, bins - 1).otherwise(1)
+        return _by_interval(_met(df, values, names, sel).select("g", b.alias("b"), "x"))
     df, values = _staged(df, values, names, sel)
     structs, conds = [], []
     for name, ivs in _by_input(names, sel):
@@ -190,10 +210,11 @@ def _histogram_pass(df, values, names, sel, bins):
         b = _interval_case(v, ivs, bin_of)
         structs.append(F.struct(gid.alias("g"), b.alias("b"), v.alias("x")))
         conds.append(gid.isNotNull())
-    rows = (df.where(_any(conds))
-              .select(F.inline(F.array(*structs)))
-              .where(F.col("g").isNotNull())
-              .groupBy("g", "b")
+    return _by_interval(df.where(_any(conds)).select(F.inline(F.array(*structs))).where(F.col("g").isNotNull()))
+
+
+def _by_interval(rows) -> dict[int, list]:
+    rows = (rows.groupBy("g", "b")
               .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx"))
               .collect())  # bounded: <= #intervals x bins <= PASS_BUDGET
     hist: dict[int, list] = {}
@@ -205,6 +226,8 @@ def _histogram_pass(df, values, names, sel, bins):
 
 
 def _values_pass(df, values, names, sel):
+    if len(_by_input(names, sel)) > WIDE_INPUTS:
+        return _by_rank(_met(df, values, names, sel).select("g", "x"), sel)
     df, values = _staged(df, values, names, sel)
     structs, conds = [], []
     for name, ivs in _by_input(names, sel):
@@ -212,10 +235,11 @@ def _values_pass(df, values, names, sel):
         gid = _interval_case(v, ivs, lambda g, lo, hi: F.lit(g))
         structs.append(F.struct(gid.alias("g"), v.alias("x")))
         conds.append(gid.isNotNull())
-    rows = (df.where(_any(conds))
-              .select(F.inline(F.array(*structs)))
-              .where(F.col("g").isNotNull())
-              .collect())  # bounded: each narrow interval holds <= small values
+    return _by_rank(df.where(_any(conds)).select(F.inline(F.array(*structs))).where(F.col("g").isNotNull()), sel)
+
+
+def _by_rank(rows, sel) -> dict[int, list[float]]:
+    rows = rows.collect()                                 # bounded: each narrow interval holds <= small values
     vals: dict[int, list[float]] = {g: [] for g in sel.values()}
     for row in rows:
         vals[row["g"]].append(row["x"])

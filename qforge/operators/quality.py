@@ -10,10 +10,11 @@ linear-interpolated quartiles; a user range overrides it per column.
 Every value is rounded to 2 decimals; n = 0 gives 0.
 
 Plan: a profile job (count/min/max), the quartile refinement passes
-(bounded histograms), then ONE aggregate for all columns: counts,
-exact distinct counts (Spark plans them as an Expand + two-level hash
-aggregate, shuffled by value, not funnelled into one task) and the
-in-range counts against literal bounds.
+(bounded histograms), then ONE scan for all columns: every cell is a slim
+row (column number, value), counted by value in its task and shuffled by
+value, never funnelled into one task. The values' counts give rows, missing,
+distinct and (against literal bounds) in-range numbers together. (Spark's own
+plan for many distinct counts copies the whole row once a column.)
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qforge.functions.columns import as_double, dlit
+from qforge.functions.columns import as_double, col, dlit
 from qforge.functions.order_stats import column_profile, exact_quantiles
 from qforge.functions.stats import ColumnStats
 
@@ -77,21 +78,40 @@ def _quality_rows(df: DataFrame, cols: list[str], valid_ranges, stats,
         prof = column_profile(df, {c: as_double(c) for c in need})
         ranges.update(iqr_ranges(df, need, profile=prof))
 
+    if distinct == "exact":
+        return _by_value(df, cols, ranges), _index_structs(cols, ranges)
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(cols):
         x = as_double(c)
         lo, hi = ranges[c]
-        if lo is None:
-            valid = F.lit(0).cast("long")
-        else:
-            valid = F.count_if(x.between(dlit(lo), dlit(hi)))
-        # distinct values of the column itself: 64-bit integers lose digits as doubles
-        own = x if dict(df.dtypes)[c] in ("float", "double") else F.col(f"`{c}`")
-        nd = F.count_distinct(own) if distinct == "exact" else F.approx_count_distinct(own, 0.01)
-        aggs += [F.count(x).alias(f"nn{i}"), nd.alias(f"d{i}"), valid.alias(f"v{i}")]
-    wide = df.agg(*aggs)
-
-    return wide, _index_structs(cols, ranges)
+        valid = F.lit(0).cast("long") if lo is None else F.count_if(x.between(dlit(lo), dlit(hi)))
+        own = x if df.schema[c].dataType.typeName() in FRACTIONAL else col(c)
+        aggs += [F.count(x).alias(f"nn{i}"), F.approx_count_distinct(own, 0.01).alias(f"d{i}"), valid.alias(f"v{i}")]
+    return df.agg(*aggs), _index_structs(cols, ranges)
+
+
+FRACTIONAL, INTEGRAL = ("float", "double"), ("byte", "short", "integer", "long")
+
+
+def _by_value(df: DataFrame, cols: list[str], ranges: dict) -> DataFrame:
+    """One row: n, and per column nn (present), d (distinct) and v (in range), from one grouping by (column, value)."""
+    def cell(i: int, c: str) -> Column:
+        # a value keeps its own kind: 64-bit integers lose digits as doubles
+        kind = df.schema[c].dataType.typeName()
+        none = {"x": F.lit(None).cast("double"), "k": F.lit(None).cast("long"), "s": F.lit(None).cast("string")}
+        own = {"x": as_double(c)} if kind in FRACTIONAL else {"k": col(c).cast("long")} if kind in INTEGRAL else {"s": col(c).cast("string")}
+        return F.struct(F.lit(i).alias("ci"), *[v.alias(n) for n, v in {**none, **own}.items()])
+    counts = (df.select(F.inline(F.array(*[cell(i, c) for i, c in enumerate(cols)]))).groupBy("ci", "x", "k", "s").agg(F.count(F.lit(1)).alias("n")))
+    value = F.coalesce("x", F.col("k").cast("double"), F.expr("try_cast(s AS DOUBLE)"))
+    inside = F.lit(False)
+    for i, c in enumerate(cols):
+        if ranges[c][0] is not None:
+            inside = F.when(F.col("ci") == i, value.between(dlit(ranges[c][0]), dlit(ranges[c][1]))).otherwise(inside)
+    here = F.col("x").isNotNull() | F.col("k").isNotNull() | F.col("s").isNotNull()
+    each = counts.groupBy("ci").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(here, F.col("n"))), F.lit(0)).alias("nn"),
+                                    F.count_if(here).alias("d"), F.coalesce(F.sum(F.when(inside, F.col("n"))), F.lit(0)).alias("v"))
+    wide = [F.coalesce(F.max(F.when(F.col("ci") == i, F.col(k))), F.lit(0)).alias(f"{k}{i}") for i in range(len(cols)) for k in ("nn", "d", "v")]
+    return each.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *wide)             # a row a column
 
 
 def _index_structs(cols, ranges) -> list[Column]:

@@ -22,9 +22,12 @@ from pyspark.sql import functions as F
 
 from qforge.functions.columns import as_double, col, dlit
 from qforge.functions.order_stats import order_statistics
+from qforge.operators.split_many import split_many
 
 #: Copies of one row that a task writes when equal rows straddle the threshold.
 COPIES_PER_TASK = 100_000
+#: Classes up to which thresholds are literals, and the (class, bucket) rows that may reach the driver for it.
+MAX_CLASSES, MAX_HISTOGRAM = 40, 200_000
 
 
 def row_hash(df: DataFrame, seed: int) -> Column:
@@ -99,8 +102,8 @@ PREFIX_SPAN = float(2 ** 52)
 
 
 def plan_split(df: DataFrame, label: str, key: str | Column | None = None, test_size: float = 0.2,
-               seed: int = 42, bins: int = 4096) -> SplitPlan:
-    """Class quotas and per-class hash thresholds. A null label raises.
+               seed: int = 42, bins: int = 4096) -> SplitPlan | None:
+    """Class quotas and per-class hash thresholds; None if classes and buckets are too many for the driver. A null label raises.
 
     The hash prefix is uniform over the known range [0, 2^52), so the first
     pass needs no min/max: one grouped pass over (class, prefix bucket)
@@ -114,7 +117,9 @@ def plan_split(df: DataFrame, label: str, key: str | Column | None = None, test_
     bucket = F.least((F.col("pre") / F.lit(PREFIX_SPAN) * bins).cast("int"), F.lit(bins - 1))
     hist_rows = (staged.groupBy("y", bucket.alias("b"))
                  .agg(F.count(F.lit(1)).alias("n"), F.min("pre").alias("lo"), F.max("pre").alias("hi"))
-                 .collect())  # bounded: <= #classes x bins rows
+                 .limit(MAX_HISTOGRAM + 1).collect())
+    if len(hist_rows) > MAX_HISTOGRAM or len({r["y"] for r in hist_rows}) > MAX_CLASSES:
+        return None
     hist: dict = {}
     for r in hist_rows:
         hist.setdefault(r["y"], []).append((r["b"], int(r["n"]), r["lo"], r["hi"]))
@@ -178,8 +183,16 @@ def plan_split(df: DataFrame, label: str, key: str | Column | None = None, test_
 
 def stratified_split(df: DataFrame, label: str, key: str | Column | None = None, test_size: float = 0.2,
                      seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(train, test) with exact per-class test quotas; repeatable from the seed. A null label raises."""
-    return plan_split(df, label, key, test_size, seed).sides(df)
+    """(train, test) with exact per-class test quotas; repeatable from the seed. A null label raises.
+
+    Few classes: thresholds are literals of a filter. Many: a table that rows meet in a join (``split_many``). The split is the same.
+    """
+    plan = plan_split(df, label, key, test_size, seed)
+    if plan is not None:
+        return plan.sides(df)
+    prefix = _prefix(row_hash(df, seed) if key is None else split_hash(key, seed))
+    whole = row_hash(df, seed + 1)
+    return split_many(df, label, prefix, _prefix(whole), whole, test_size)
 
 
 # ---------------------------------------------------------------- M2

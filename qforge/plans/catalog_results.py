@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from qforge.operators import clean as C
 from qforge.operators import eda as E
 from qforge.operators import metrics as M
+from qforge.operators import quality as Q
 from qforge.operators import region as R
 from qforge.plans import pipeline as P
-from qforge.plans.catalog import (BOUNDS_Q, REGION_THRESHOLD, SQL_CURVE_BASE, VARIANT_SQL, _closed_form_scorer, _describe_sql, _qi_sql,
-                                  _region_cols, _region_sql, _sensor_paths, _z_sql, r6, register, sensor_csv_folder)
+from qforge.plans.catalog import (BOUNDS_Q, LINE_KEY, REGION_THRESHOLD, SQL_CURVE_BASE, VARIANT_SQL, WIDE, _closed_form_scorer, _describe_sql, _qi_sql,
+                                  _region_cols, _region_sql, _sensor_paths, _split_ctes, _z_sql, r6, register, sensor_csv_folder)
 from qforge.plans.results import ResultSet
 from qforge.plans.sql_fixtures import FEATURES, SCORED, SENSOR, SENSOR_RAW, ci, union_all, with_
 from qforge.session import scratch_path
@@ -207,6 +208,53 @@ def q_safe_region_json_read(spark, sf):
     return r6(rows, _region_cols())
 
 
+# ============================================================ wide tables
+QUALITY_WIDE = [f"w{k}" for k in range(20)]
+
+
+@register("quality_indices_wide", with_("w AS (SELECT " + ", ".join(f"{WIDE[c]} AS {c}" for c in QUALITY_WIDE) + " FROM lineitem)")
+          + _qi_sql("w", None, QUALITY_WIDE))
+def q_quality_indices_wide(spark, sf):
+    """Quality indices of 20 columns with missing values: one grouping by value, no copy of a row for each column (A1)."""
+    wide = td.table(spark, sf, "lineitem").select(*[F.expr(WIDE[c]).alias(c) for c in QUALITY_WIDE])
+    return Q.quality_indices(wide, QUALITY_WIDE)
+
+
+# classes: order and line, so that they grow with the data and number tens of thousands
+SPLIT_MANY = "l_orderkey * 8 + l_linenumber % 2"
+SQL_SPLIT_MANY = with_(f"lines AS (SELECT *, {SPLIT_MANY} AS cls FROM lineitem)",
+                       "big AS (SELECT cls FROM lines GROUP BY cls HAVING count(*) > 1)",
+                       "l2 AS (SELECT lines.* FROM lines JOIN big USING (cls))",
+                       *_split_ctes("l2", "cls", "concat_ws('-', " + ", ".join(LINE_KEY) + ")", 0.5)) + (
+    "SELECT " + ", ".join(LINE_KEY) + ", cls FROM test")
+
+
+@register("stratified_split_many", SQL_SPLIT_MANY)
+def q_stratified_split_many(spark, sf):
+    """Exact stratified test set over as many classes as a third of the rows: thresholds in a table, ranks in executors (M1)."""
+    lines = td.table(spark, sf, "lineitem").withColumn("cls", F.expr(SPLIT_MANY))
+    big = lines.groupBy("cls").count().where("count > 1").select("cls")
+    rows = lines.join(big, "cls").checkpoint()
+    from qforge.operators import split as S
+    _, test = S.stratified_split(rows, "cls", F.concat_ws("-", *LINE_KEY), 0.5, 42)
+    return test.select(*LINE_KEY, "cls")
+
+
+PROFILE_TEXT = {"documents": ["text", "lang", "source"], "orders": ["o_orderstatus", "o_orderpriority"]}
+SQL_PROFILE_TEXT = union_all([f"""SELECT '{t}' AS table_name, '{c}' AS column, (SELECT count(*) FROM {t}) AS n_rows, {ci(c + ' IS NULL')} AS null_count,
+  count(DISTINCT {c}) AS unique, (SELECT sha256(v) FROM (SELECT {c} AS v, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v DESC LIMIT 1)) AS top_sha256,
+  (SELECT max(n) FROM (SELECT count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c})) AS freq FROM {t}""" for t, cs in PROFILE_TEXT.items() for c in cs])
+
+
+@register("profile_text", SQL_PROFILE_TEXT)
+def q_profile_text(spark, sf):
+    """Distinct count and most frequent value of text columns, whole documents among them, by one grouping a table."""
+    parts = [CI.dataset_profile(td.table(spark, sf, t).select(*cs)).select(
+        F.lit(t).alias("table_name"), "column", "n_rows", "null_count", "unique", F.sha2("top", 256).alias("top_sha256"), "freq")
+        for t, cs in PROFILE_TEXT.items()]
+    return CI.union_by_name(parts)
+
+
 # ============================================================ the whole pipeline
 # one file group has a column of its own, so only its rows have no missing value
 SQL_FULL = with_(SENSOR, SENSOR_RAW, "own AS (SELECT * FROM sensor_raw WHERE event_id % 5 = 2 AND temp IS NOT NULL AND humid IS NOT NULL)",

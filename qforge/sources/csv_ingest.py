@@ -449,19 +449,27 @@ def require_success(report: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- S10
 def text_summary(df: DataFrame, cols: list[str]) -> dict[str, tuple[int, str | None, int | None]]:
-    """unique / top / freq of text columns: distinct count and most frequent value.
+    """unique / top / freq of text columns: distinct count and most frequent value (of equally frequent ones the largest).
 
-    One grouping per column (map-side combined; a hot value becomes one
-    partial row per task); only the top value per column reaches the driver.
+    One grouping for all columns by (column, SHA-256 of the value), combined map-side, so an exchange carries 32 bytes a value however
+    long the texts are. A second scan takes the largest of the values whose digest has the highest count; where no value
+    repeats that is the column's maximum. One row a column reaches the driver.
     """
-    out = {}
-    for c in cols:
-        counts = df.where(col(c).isNotNull()).groupBy(col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        row = counts.agg(F.count(F.lit(1)).alias("u"),
-                         F.max_by(F.col("v"), F.struct(F.col("n"), F.col("v"))).alias("top"),
-                         F.max("n").alias("freq")).first()
-        out[c] = (int(row["u"]), row["top"], row["freq"])
-    return out
+    if not cols:
+        return {}
+    cells = [F.struct(F.lit(i).alias("ci"), col(c).alias("v")) for i, c in enumerate(cols)]
+    values = df.select(F.inline(F.array(*cells))).where("v IS NOT NULL").withColumn("d", F.unhex(F.sha2("v", 256)))
+    counts = values.groupBy("ci", "d").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    found = {r["ci"]: r for r in counts.groupBy("ci").agg(F.count(F.lit(1)).alias("u"), F.max("n").alias("freq")).collect()}   # a row a column
+    most = F.element_at(F.create_map(*[x for i, r in found.items() for x in (F.lit(i), F.lit(r["freq"]))]), F.col("ci")) if found else F.lit(0)
+    once = [i for i, r in found.items() if r["freq"] == 1]
+    top = F.max("v").alias("top")
+    tops = values.where(F.col("ci").isin(once)).groupBy("ci").agg(top)
+    if len(once) < len(found):
+        first = counts.where(~F.col("ci").isin(once)).where(F.col("n") == most).select("ci", "d")
+        tops = tops.unionByName(values.join(first, ["ci", "d"], "left_semi").groupBy("ci").agg(top))
+    best = {r["ci"]: r["top"] for r in tops.collect()}                                                                         # a row a column
+    return {c: (found[i]["u"], best[i], found[i]["freq"]) if i in found else (0, None, None) for i, c in enumerate(cols)}
 
 
 def dataset_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
