@@ -20,7 +20,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from qforge.llm.textops import field
 
@@ -90,6 +90,39 @@ def as_events(turns: DataFrame) -> DataFrame:
                         F.lit(None).cast("long").alias("target"), "role", "text")
 
 
+STEP = 16                                    # sequence numbers kept for one turn
+
+
+def as_log(turns: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, role, text) as the log a chat service writes; folding it gives the rows back.
+
+    By the turn's place a text is streamed (an empty message and three deltas), corrected (a draft, and its edit after the next
+    turn), regenerated (a draft, a turn that went on from it, then the new text by a regeneration and a delta, which drops that
+    turn) or streamed and edited. Rows with one turn number stand in the order of role and text.
+    """
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))      # one conversation, as the fold
+    t, n = F.col("text"), F.col("n")
+    third = [t.substr(F.lit(1), F.expr("n div 3")), t.substr(F.expr("n div 3 + 1"), F.expr("2 * n div 3 - n div 3")),
+             t.substr(F.expr("2 * n div 3 + 1"), F.expr("n - 2 * n div 3"))]
+
+    def event(after: int, kind: str, text, to: bool = True, role=None):
+        return F.struct((F.col("base") + after).alias("seq"), F.lit(kind).alias("kind"), F.when(F.lit(to), F.col("base")).alias("target"),
+                        (F.lit(None).cast("string") if role is None else role).alias("role"), text.alias("text"))
+
+    def says(text, role=F.col("role"), after: int = 0):
+        return event(after, "message", text, False, role)
+    streamed = [says(F.lit("")), *[event(i + 1, "delta", x) for i, x in enumerate(third)]]
+    corrected = [says(F.concat(F.lit("draft "), third[0])), event(2 * STEP - 1, "edit", t)]
+    regenerated = [says(F.lit("draft")), says(F.lit("went on"), F.lit("user"), 1), event(2, "regenerate", third[0]),
+                   event(3, "delta", F.concat(third[1], third[2]))]
+    both = [says(third[0]), event(1, "delta", F.lit(" draft")), event(2, "edit", F.concat(third[0], third[1])), event(3, "delta", third[2])]
+    way = F.col("place") % 4
+    events = F.when(way == 0, F.array(*streamed)).when(way == 1, F.array(*corrected)).when(way == 2, F.array(*regenerated)).otherwise(F.array(*both))
+    rows = turns.select("conv_id", F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+                        place.cast("long").alias("place"))
+    return (rows.withColumn("base", F.col("place") * STEP).withColumn("n", F.char_length("text")).select("conv_id", F.inline(events)))
+
+
 def format_chats(events: DataFrame) -> DataFrame:
     """conv_id, formatted text and loss mask of every conversation in an event log."""
     spans = T.ArrayType(T.StructType([field("start", T.LongType()), field("end", T.LongType())]))

@@ -66,12 +66,12 @@ def op9_rare_token_index(spark, sf_dir):
 
 
 def op10_event_chats(spark, sf_dir):
-    """All conversations, and one whose texts imitate control strings, formatted and read back."""
+    """All conversations, and one whose texts imitate control strings, from a log with deltas, edits and regenerations, formatted and read back."""
     tricky = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(tricky)
-    return chats.digest(chats.format_chats(chats.as_events(rows)))
+    return chats.digest(chats.format_chats(chats.as_log(rows)))
 
 
 def op11_adaptive_bounds(spark, sf_dir):
