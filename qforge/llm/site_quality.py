@@ -13,7 +13,8 @@ A document is rejected if its posterior of good quality is below 0.5 or that of
 
 Null text counts as empty, null host or path as a site of its own. Without labels of both
 classes that model has no evidence and rejects nothing. Label rows with a null are left out
-for that target; of repeated label rows the worst counts. Repeated documents are judged one by one.
+for that target; of repeated label rows the worst counts. Repeated documents are judged one by one; of a labelled id's rows
+one is fitted (the words of all are counted).
 """
 
 from __future__ import annotations
@@ -90,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_labelled: in
              .orderBy(F.xxhash64("__id"), "__id").limit(max_labelled))
     # at most max_labelled rows of three numbers on the broadcast side
     mine = docs.join(F.broadcast(marks), docs["doc_id"] == marks["__id"]).select(
-        "__q", "__t", F.col(f"`{text}`").cast("string").alias("text")).checkpoint()
+        "__q", "__t", F.col(f"`{text}`").cast("string").alias("text"), "__id").checkpoint()
     out = T.StructType([field("word", T.StringType()), *[field(c, T.LongType()) for c in ("n", "bad", "toxic")]])
 
     def count(batches):
@@ -123,8 +124,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_labelled: in
     order = np.argsort(hashes)
     model = {"hash": hashes[order], "weight": weight[order]}
     made = map_text(mine, lambda: lambda c: [pa.array(features(c, model["hash"], model["weight"]).tolist(), pa.list_(pa.float64()))],
-                    [field("x", T.ArrayType(T.DoubleType()))], ["__q", "__t"])
-    rows = made.collect()                                 # at most max_labelled rows of ten numbers (repeated ids aside)
+                    [field("x", T.ArrayType(T.DoubleType()))], ["__q", "__t", "__id"])
+    # an id may stand in many rows: one of them, so at most max_labelled rows of ten numbers reach the driver
+    rows = made.groupBy("__id").agg(F.min(F.struct("__q", "__t", "x")).alias("row")).select("row.*").collect()
     for name, i, want in (("good", 0, 1), ("toxic", 1, 1)):
         use = [r for r in rows if r[i] is not None]
         model[name] = logistic(np.array([r["x"] for r in use]), np.array([float(r[i] == want) for r in use]))

@@ -1,11 +1,11 @@
-"""Operators 1 and 4 where ids and whole rows repeat."""
+"""Operators 1, 4 and 8 where ids and whole rows repeat."""
 
 import random
 from collections import Counter
 
 import numpy as np
 
-from qforge.llm import lattice, packing
+from qforge.llm import lattice, packing, site_quality
 
 
 def brute_links(rows, bound=0.93):
@@ -77,3 +77,14 @@ def test_packing_equal_rows_above_a_share(spark):
         groups.setdefault((x["text_crc32"], x["size"]), set()).add(x["shard"])
     assert sum(len(s) > 1 for s in groups.values()) == 1             # only the large group is cut
     even(spark, [(None, "null ids share one text")] * 2000 + [(None, t) for _, t in others[:4000]])
+
+
+def test_classifier_fits_one_row_of_a_labelled_id(spark, monkeypatch):
+    rows = [(i, f"good plain words number {i}" if i % 3 else f"bad $$$ words {i}", "s", "en") for i in range(60)] + [(1, "the same row again", "s", "en")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    seen, real = [], site_quality.logistic
+    monkeypatch.setattr(site_quality, "logistic", lambda x, y, ridge=1.0: (seen.append(len(y)), real(x, y, ridge))[1])
+    host, path = site_quality.host_and_path(docs)
+    assert site_quality.judge(docs, labels, host, path, ["doc_id"]).count() == len(rows)
+    assert seen == [60, 60]
