@@ -18,6 +18,7 @@ CANONICAL_SENSOR_NAMES = {
     "불량여부": "error",
 }
 
+# The four steps a header goes through, in this order (see normalize_name).
 _WS = re.compile(r"\s+")
 _NON_WORD = re.compile(r"[^\w]+")
 

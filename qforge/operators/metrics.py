@@ -47,6 +47,7 @@ def confusion_matrix(df: DataFrame, label: str = "label", pred: str = "predictio
 
 def confusion_named(df: DataFrame, label: str = "label", pred: str = "prediction", weight: str | None = None) -> DataFrame:
     """The published names of the four cells."""
+    # The published names of the four cells.
     return confusion_counts(df, label, pred, weight).select(
         F.col("tn").alias("normal_to_normal"), F.col("fp").alias("normal_to_defect"),
         F.col("fn").alias("defect_to_normal"), F.col("tp").alias("defect_to_defect"))
@@ -233,6 +234,7 @@ def metrics_table(df: DataFrame, label: str = "label", pred: str = "prediction",
     d = lambda e: e.cast("double")
     tpr = _div0(tp, tp + fn)
     tnr = _div0(tn, tn + fp)
+    # The published metric names, and the 1e-12 that keeps specificity finite.
     items = [
         ("accuracy", _div0(tp + tn, tn + fp + fn + tp)),
         ("precision", _div0(tp, tp + fp)),
