@@ -172,11 +172,11 @@ class NodeForest:
         weight = F.aggregate("counts", F.lit(0.0), lambda a, b: a + b) * F.col("gain")
         by = self.nodes.where("left >= 0").groupBy("tree", "feature").agg(F.sum(weight).alias("w"))
         whole = by.groupBy("tree").agg(F.sum("w").alias("all"))
-        share = by.join(whole, "tree").where("all > 0").groupBy("feature").agg(F.sum(F.col("w") / F.col("all")).alias("w"))      # a row a feature
+        share = by.join(whole, "tree").where("all > 0").groupBy("feature").agg(F.sum(F.col("w") / F.col("all")).alias("w"))
         names = self.nodes.sparkSession.createDataFrame(list(enumerate(self.features)), "feature int, name string")
-        both = names.join(F.broadcast(share), "feature", "left").select("name", F.coalesce("w", F.lit(0.0)).alias("w"))
-        out = both.crossJoin(F.broadcast(share.agg(F.sum("w").alias("all")))).select(             # one row of one number
-            F.col("name").alias("feature"), F.coalesce(F.try_divide("w", "all"), F.lit(0.0)).alias("importance"))
+        total = share.agg(F.sum("w").alias("all")).first()["all"] or 0.0
+        out = names.join(F.broadcast(share), "feature", "left").select(                           # a row a feature
+            F.col("name").alias("feature"), (F.coalesce("w", F.lit(0.0)) / F.lit(total if total else 1.0)).alias("importance"))
         out = out.orderBy(F.desc("importance"), "feature")
         return out.limit(top_n) if top_n else out
 

@@ -682,9 +682,9 @@ def q_merge_sensor_files(spark, sf):
     """P1 over every sensor file: counts of the landed combined table."""
     from qforge.session import scratch_path
     res = P.merge_sensor_files(spark, sensor_csv_folder(spark, sf), None, scratch_path(spark, "merge"))
-    groups = res.file_summary.agg(F.count_distinct(FF.variant_of(F.col("file_name"))).alias("file_groups"))      # however many part files
-    return groups.crossJoin(F.broadcast(res.summary.select(
-        (F.col("sensor_file_count") == F.col("processed_file_count")).alias("all_processed"), "combined_rows", "combined_cols", "all_files_rows")))
+    groups = res.file_summary.agg(F.count_distinct(FF.variant_of(F.col("file_name"))).alias("n")).first()["n"]      # however many part files
+    return res.summary.select(F.lit(groups).cast("long").alias("file_groups"), (F.col("sensor_file_count") == F.col("processed_file_count")).alias("all_processed"),
+                              "combined_rows", "combined_cols", "all_files_rows")
 
 
 # ============================================================ forest (M3, M5, M11-M14) - rows-only
