@@ -3,8 +3,10 @@
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. Of every
 ``window`` consecutive k-gram hashes the rightmost smallest is kept, on both sides, with
 ``k + window - 1 = span``: whatever shares ``span`` consecutive words shares a kept hash.
-Kept hashes are joined, each hit fixes an alignment of document and item, and the
-alignment is extended to its maximal equal runs, word by word on the texts. An item with
+Kept hashes are joined; a document's windows around a hit are compared, word by word on the
+texts, with the different windows of the items that keep the same hash, and equal neighbours are
+extended to one span. A window is looked up once whatever the number of its places in an item, so
+repetitive texts cost time in proportion to their length. An item with
 fewer than ``span`` words is one window, so it is found by all its grams of its own length.
 
 Null or empty texts have no words and no hits; an empty benchmark hits nothing; a null
@@ -26,26 +28,29 @@ SPAN, K = 10, 5
 MAX_INDEX_WORDS = 2_000_000
 SPANS = T.ArrayType(T.StructType([field("item_id", T.LongType()), field("start", T.LongType()),
                                   field("end", T.LongType())]))
-ARROW_SPANS = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def winnowed(w: Words, k: int, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word position, hash) of the kept k-grams."""
+def kept_grams(w: Words, k: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first words of the windows inside one document, position of the k-gram each keeps, hashes of all k-grams)."""
     width = span - k + 1
     g = gram_hashes(w.h, k)
     n = len(g) - width + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), g
     best, at = g[:n].copy(), np.arange(n)
     for j in range(1, width):
         c = g[j:n + j]
         less = c <= best
         best[less] = c[less]
         at[less] = np.flatnonzero(less) + j
-    whole = w.doc[:n] == w.doc[span - 1:span - 1 + n]
-    mark = np.zeros(len(g), bool)
-    mark[at[whole]] = True
-    pos = np.flatnonzero(mark)
+    whole = np.flatnonzero(w.doc[:n] == w.doc[span - 1:span - 1 + n])
+    return whole, at[whole], g
+
+
+def winnowed(w: Words, k: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word position, hash) of the kept k-grams."""
+    _, at, g = kept_grams(w, k, span)
+    pos = np.unique(at)
     return pos, g[pos]
 
 
@@ -56,64 +61,109 @@ def short_grams(w: Words, m: int) -> tuple[np.ndarray, np.ndarray]:
     return ok, g[ok]
 
 
-def equal_runs(w: Words, d: int, v: Words, i: int, diag: int, span: int) -> list[tuple[int, int]]:
-    """Maximal runs (document word positions) equal to item i on one alignment, long enough to hold a window."""
-    dn, vn = w.first[d + 1] - w.first[d], v.first[i + 1] - v.first[i]
-    lo, hi = max(0, diag), min(dn, diag + vn)
-    a, b = w.first[d] + lo, v.first[i] + lo - diag
-    eq = w.h[a:a + hi - lo] == v.h[b:b + hi - lo]
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], eq.astype(np.int8), [0]])))
-    need = min(span, int(vn))
-    out = []
-    for x, y in zip(edge[::2], edge[1::2]):
-        run = None
-        for t in range(x, y + 1):            # the words themselves decide
-            same = t < y and w.word(a + t) == v.word(b + t)
-            if same and run is None:
-                run = t
-            elif not same and run is not None:
-                if t - run >= need:
-                    out.append((int(lo + run), int(lo + t)))
-                run = None
-    return out
+def within(count: np.ndarray) -> np.ndarray:
+    """0 .. count - 1 for each count, one after the other."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+
+
+def same_bytes(w: Words, i: np.ndarray, v: Words, j: np.ndarray) -> np.ndarray:
+    """Whether word i of w and word j of v are equal, for all pairs."""
+    n = w.e[i] - w.s[i]
+    ok = n == v.e[j] - v.s[j]
+    t = np.flatnonzero(ok)
+    step = within(n[t])
+    unlike = w.data[np.repeat(w.s[i[t]], n[t]) + step] != v.data[np.repeat(v.s[j[t]], n[t]) + step]
+    ok[np.repeat(t, n[t])[unlike]] = False
+    return ok
+
+
+def merged(doc: np.ndarray, item: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans of one document and item that overlap or touch become one. Ends must ascend with starts, as those of one item do."""
+    order = np.lexsort((end, start, item, doc))
+    doc, item, start, end = (x[order] for x in (doc, item, start, end))
+    if not len(doc):
+        return doc, item, start, end
+    new = np.flatnonzero(np.concatenate(
+        [[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] > end[:-1])]))
+    return doc[new], item[new], start[new], end[np.append(new[1:], len(doc)) - 1]
 
 
 class Index:
-    """Kept hashes of the benchmark items, sorted, with their item and word position."""
+    """Kept hashes of the benchmark, its words by hash, and the different windows of each item by hash."""
 
     def __init__(self, ids: list, texts: list, span: int, k: int):
-        self.ids, self.span, self.k = ids, span, k
+        self.ids, self.span, self.k = pa.array(ids, pa.int64()), span, k
         v = self.words = Words(pa.array(texts, pa.string()), "alnum", True)
         sizes = np.diff(v.first)
-        pos, fp = winnowed(v, k, span)
-        keep = [(fp, pos)]
-        self.lengths = sorted({int(x) for x in sizes if 0 < x < span})
-        for m in self.lengths:
-            p, g = short_grams(v, m)
-            mine = sizes[v.doc[p]] == m
-            keep.append((g[mine], p[mine]))
-        fp, pos = np.concatenate([x for x, _ in keep]), np.concatenate([x for _, x in keep])
-        order = np.argsort(fp, kind="stable")
-        self.fp, self.pos = fp[order], pos[order]
-
-    def spans(self, w: Words) -> list[list[dict]]:
-        """Per document of the slice: item and word span of every maximal hit."""
-        out = [[] for _ in range(len(w.off) - 1)]
-        if not len(self.fp):
-            return out
-        v, seen = self.words, set()
-        for pos, g in [winnowed(w, self.k, self.span), *[short_grams(w, m) for m in self.lengths]]:
-            lo, hi = np.searchsorted(self.fp, g, "left"), np.searchsorted(self.fp, g, "right")
-            for t in np.flatnonzero(hi > lo):
-                d = int(w.doc[pos[t]])
-                for x in self.pos[lo[t]:hi[t]]:
-                    i = int(v.doc[x])
-                    seen.add((d, i, int(pos[t] - w.first[d] - (x - v.first[i]))))
-        for d, i, diag in sorted(seen):
-            out[d] += [{"item_id": self.ids[i], "start": a, "end": b}
-                       for a, b in equal_runs(w, d, v, i, diag, self.span)]
+        self.fp = np.unique(winnowed(v, k, span)[1])
+        number = {}
+        self.code = np.array([number.setdefault(v.word(i), i) for i in range(len(v.h))], np.int64)
+        self.vocabulary = np.unique(self.code)                        # first place of every word, by hash
+        self.vocabulary = self.vocabulary[np.argsort(v.h[self.vocabulary], kind="stable")]
+        self.hashes = v.h[self.vocabulary]
+        self.windows = []
+        for m in sorted({int(min(x, span)) for x in sizes if x > 0}):
+            pos, g = short_grams(v, m)
+            mine = (sizes[v.doc[pos]] == m) if m < span else sizes[v.doc[pos]] >= m
+            pos, g = pos[mine], g[mine]
+            order = np.lexsort((pos, v.doc[pos], g))
+            pos, g = pos[order], g[order]
+            again = np.zeros(len(pos), bool)
+            again[1:] = (g[1:] == g[:-1]) & (v.doc[pos[1:]] == v.doc[pos[:-1]])
+            for j in range(m):
+                again[1:] &= self.code[pos[1:] + j] == self.code[pos[:-1] + j]
+            self.windows.append((m, g[~again], pos[~again]))
+
+    def codes(self, w: Words, at: np.ndarray) -> np.ndarray:
+        """Number of the equal word of the benchmark for each word position, -1 without one; the bytes decide."""
+        out = np.full(len(at), -1, np.int64)
+        low, high = (np.searchsorted(self.hashes, w.h[at], side) for side in ("left", "right"))
+        for r in range(int((high - low).max(initial=0))):             # once, unless two words share a hash
+            t = np.flatnonzero(low + r < high)
+            j = self.vocabulary[low[t] + r]
+            same = same_bytes(w, at[t], self.words, j)
+            out[t[same]] = j[same]
         return out
 
+    def hits(self, w: Words, pairs: int):
+        """(document, item, first word, word after the last) of equal windows, merged, at most about ``pairs`` windows at a time."""
+        whole, kept, grams = kept_grams(w, self.k, self.span)
+        j = np.minimum(np.searchsorted(self.fp, grams[kept]), max(len(self.fp) - 1, 0))
+        near = whole[self.fp[j] == grams[kept]] if len(self.fp) else whole[:0]         # windows that keep a hash the benchmark keeps
+        for m, hashes, pos in self.windows:
+            p, g = short_grams(w, m)
+            if m == self.span:
+                use = np.isin(p, near, assume_unique=True)
+                p, g = p[use], g[use]
+            low, high = (np.searchsorted(hashes, g, side) for side in ("left", "right"))
+            hit = np.flatnonzero(high > low)
+            p, low, n = p[hit], low[hit], (high - low)[hit]
+            mark = np.zeros(len(w.h) + 1, np.int64)
+            np.add.at(mark, p, 1)
+            np.add.at(mark, p + m, -1)
+            need = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+            code = np.full(len(w.h), -1, np.int64)
+            code[need] = self.codes(w, need)
+            block = np.cumsum(n) // pairs
+            for part in np.split(np.arange(len(p)), np.flatnonzero(np.diff(block)) + 1):
+                x = pos[np.repeat(low[part], n[part]) + within(n[part])]
+                q = np.repeat(p[part], n[part])
+                same = np.ones(len(q), bool)
+                for t in range(m):
+                    same &= code[q + t] == self.code[x + t]
+                q, x = q[same], x[same]
+                d = w.doc[q]
+                yield merged(d, self.words.doc[x], q - w.first[d], q - w.first[d] + m)
+
+    def spans(self, w: Words, pairs: int = 4_000_000) -> pa.ListArray:
+        """Per document of the slice: the stretches of words covered by windows of an item, by item and start."""
+        found = list(self.hits(w, pairs))
+        none = [np.zeros(0, np.int64)] * 4
+        doc, item, start, end = merged(*[np.concatenate(x) for x in zip(*found)] if found else none)
+        off = np.searchsorted(doc, np.arange(len(w.off)))
+        return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.StructArray.from_arrays(
+            [self.ids.take(pa.array(item)), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["item_id", "start", "end"]))
+
 
 def find_spans(docs: DataFrame, bench: DataFrame, keep: list[str], text: str = "text", span: int = SPAN, k: int = K,
                names: tuple[str, str] = ("n_words", "spans"), max_index_words: int = MAX_INDEX_WORDS) -> DataFrame:
@@ -134,14 +184,14 @@ def find_spans(docs: DataFrame, bench: DataFrame, keep: list[str], text: str = "
 
         def fn(col):
             w = Words(col, "alnum", True)
-            return [pa.array(np.diff(w.first), pa.int64()), pa.array(index.spans(w), ARROW_SPANS)]
+            return [pa.array(np.diff(w.first), pa.int64()), index.spans(w)]
         return fn
     return map_text(docs, make, [field(names[0], T.LongType()), field(names[1], SPANS)], keep, text)
 
 
 def _hash_rows(df: DataFrame, key: str, span: int, k: int, lengths: list[int], own: bool) -> DataFrame:
-    """(key, fp, pos): kept hashes; for items (own) only the gram that is the whole short item."""
-    out = T.StructType([field(key, T.StringType()), field("fp", T.LongType()), field("pos", T.LongType())])
+    """(key, fp): different kept hashes; for items (own) only the gram that is the whole short item."""
+    out = T.StructType([field(key, T.StringType()), field("fp", T.LongType())])
 
     def run(batches):
         for b in batches:
@@ -153,10 +203,8 @@ def _hash_rows(df: DataFrame, key: str, span: int, k: int, lengths: list[int], o
                 mine = sizes[w.doc[p]] == m if own else np.ones(len(p), bool)
                 keep.append((p[mine], g[mine]))
             p, g = np.concatenate([x for x, _ in keep]), np.concatenate([x for _, x in keep])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(w.doc[p])), pa.array(g.view(np.int64)), pa.array(p - w.first[w.doc[p]])],
-                names=out.fieldNames())
-    return df.mapInArrow(run, out)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(w.doc[p])), pa.array(g.view(np.int64))], names=out.fieldNames())
+    return df.mapInArrow(run, out).distinct()
 
 
 def _joined(docs: DataFrame, items: DataFrame, keep: list[str], text: str, span: int, k: int,
@@ -170,22 +218,16 @@ def _joined(docs: DataFrame, items: DataFrame, keep: list[str], text: str, span:
     counted = map_text(items, lambda: lambda col: [pa.array(np.diff(Words(col, "alnum", True).first), pa.int64())],
                        [field("n", T.LongType())], [], "text")
     every = sorted(r[0] for r in counted.where(f"n BETWEEN 1 AND {span - 1}").distinct().collect())   # below span values
-    hits = (_hash_rows(d.select("dk", "dt"), "dk", span, k, every, False)
-            .join(_hash_rows(i.select("ik", "it"), "ik", span, k, every, True).withColumnRenamed("pos", "ipos"), "fp")
-            .select("dk", "ik", (F.col("pos") - F.col("ipos")).alias("diag")).distinct())
-    pairs = hits.groupBy("dk", "ik").agg(F.collect_list("diag").alias("diags")).join(d, "dk").join(i, "ik")
+    hits = _hash_rows(d.select("dk", "dt"), "dk", span, k, every, False).join(
+        _hash_rows(i.select("ik", "it"), "ik", span, k, every, True), "fp").select("dk", "ik").distinct()
+    pairs = hits.join(d, "dk").join(i, "ik")
     out = T.StructType([field("dk", T.StringType()), *SPANS.elementType.fields])
 
     def extend(batches):
         for b in batches:
-            rows = []
-            for r in b.select(["dk", "item_id", "dt", "it", "diags"]).to_pylist():
-                w, v = (Words(pa.array([r[c]], pa.string()), "alnum", True) for c in ("dt", "it"))
-                for diag in sorted(r["diags"]):
-                    rows += [{"dk": r["dk"], "item_id": r["item_id"], "start": a, "end": e}
-                             for a, e in equal_runs(w, 0, v, 0, diag, span)]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(
-                [("dk", pa.string()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+            for dk, item, text, own in zip(*[b.column(c).to_pylist() for c in ("dk", "item_id", "dt", "it")]):
+                found = Index([item], [own], span, k).spans(Words(pa.array([text], pa.string()), "alnum", True)).flatten()
+                yield pa.RecordBatch.from_arrays([pa.array([dk] * len(found), pa.string()), *found.flatten()], names=out.fieldNames())
     spans = (pairs.mapInArrow(extend, out).groupBy("dk")
              .agg(F.collect_list(F.struct("item_id", "start", "end")).alias("__spans")))
 
