@@ -10,7 +10,8 @@ ratio of the uniform model over the corpus' own mix of character classes (counte
 documents) serves as an e-value, and the e-BH rule bounds the share of false discoveries by ``Q`` within
 each stratum of length. Random spans that overlap a base span are not repeated.
 
-Null text counts as empty; empty texts have no spans. Positions are code points, ends exclusive.
+Null text counts as empty; empty texts have no spans. A text with very many matches is walked in blocks, so its
+time grows little faster than its length. Positions are code points, ends exclusive.
 Repeated rows are scanned one by one; other columns are ignored unless kept.
 """
 
@@ -38,22 +39,56 @@ ALPHA, Q, STEP, TOP = 1e-3, 0.05, 0.25, 4000
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once (inside lambdas an expression would be computed for every element)."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _blocks(items: Column) -> Column:
+    """A non-empty array cut into about as many blocks as each has elements."""
+    return _bound(items, lambda v: _bound(F.ceil(F.sqrt(F.size(v))).cast("int"), lambda b: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(v) - 1) / b).cast("int")), lambda i: F.slice(v, i * b + 1, b))))
+
+
+def _running(values: Column, zero: Column, add) -> Column:
+    """For each element of array<bigint> what ``add`` makes of those before it.
+
+    Blocks are reduced first, then each is walked from its start, so the arrays that a walk
+    appends to hold the square root of all elements and a long array costs little more a piece than a short one.
+    """
+    def walk(xs, start):
+        begin = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(xs, begin, lambda acc, x: F.struct(
+            add(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+    return _bound(values, lambda v: F.when(F.size(v) == 0, v).otherwise(_bound(_blocks(v), lambda bs: F.flatten(F.zip_with(
+        bs, walk(F.transform(bs, lambda x: F.aggregate(x, zero, add)), zero), walk)))))
+
+
 def _matches(text: Column, pattern: str, value: int = 0, least: int = 0) -> Column:
     """Struct (start, end, value) of every leftmost match: gaps and matches alternate."""
     parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
                        lambda g, m: F.struct(F.char_length(g).alias("g"), F.char_length(m).alias("m")))
     parts = F.zip_with(parts, F.regexp_extract_all(text, F.lit(pattern), F.lit(value)),
                        lambda p, v: F.struct(p["g"].alias("g"), p["m"].alias("m"), v.alias("v")))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"),
-                    F.array().cast("array<struct<start:bigint,end:bigint,value:string>>").alias("out"))
-    walked = F.aggregate(F.filter(parts, lambda p: p["m"].isNotNull()), zero, lambda acc, p: F.struct(
-        (acc["at"] + p["g"] + p["m"]).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + p["g"]).alias("start"), (acc["at"] + p["g"] + p["m"]).alias("end"),
-                                              p["v"].alias("value")))).alias("out")))["out"]
+    walked = _bound(F.filter(parts, lambda p: p["m"].isNotNull()), lambda ps: F.zip_with(
+        ps, _running(F.transform(ps, lambda p: (p["g"] + p["m"]).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x),
+        lambda p, at: F.struct((at + p["g"]).alias("start"), (at + p["g"] + p["m"]).alias("end"), p["v"].alias("value"))))
     found = F.filter(walked, lambda x: F.char_length(x["value"]) >= least)
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,value:string>>"))
 
 
+def _apart(spans: Column) -> Column:
+    """Spans in order, without the random ones that overlap a base span: those before end, those after begin outside."""
+    far = F.lit(2 ** 62).cast("bigint")
+    ends = lambda v: _running(F.transform(v, lambda x: F.when(x["kind"] < 3, x["end"]).otherwise(0)),
+                              F.lit(0).cast("bigint"), lambda a, x: F.greatest(a, x))
+    begins = lambda v: F.reverse(_running(F.transform(F.reverse(v), lambda x: F.when(x["kind"] < 3, x["start"]).otherwise(far)),
+                                          far, lambda a, x: F.least(a, x)))
+    return _bound(F.array_sort(spans), lambda v: F.when(~F.exists(v, lambda x: x["kind"] == 3), v).otherwise(
+        _bound(F.struct(ends(v).alias("ends"), begins(v).alias("begins")), lambda o: F.filter(v, lambda x, i: (x["kind"] < 3) | (
+            (F.get(o["ends"], i) <= x["start"]) & (F.get(o["begins"], i) >= x["end"]))))))
+
+
 def _typed(found: Column, kind: str) -> Column:
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"),
                                                  x["end"].alias("end"))).cast(SPAN)
@@ -144,37 +179,45 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     tested = F.transform(battery(_matches(body, RUN)), lambda x: F.struct(
         x["start"].alias("start"), x["end"].alias("end"), F.floor(F.log2(x["n"])).cast("int").alias("stratum"), x["p"].alias("p"),
         F.greatest(F.least(F.floor(ratio(x) / STEP), F.lit(TOP)), F.lit(0)).cast("int").alias("bin")))
-    runs = docs.select(tested.alias("__tested")).where(F.size("__tested") > 0)
+    runs = docs.select(F.explode_outer(tested).alias("x")).where("x IS NOT NULL")  # outer: a filter on the array would compute it again
     limits = {r["stratum"]: r["bin"] for r in _limits(runs).collect()}          # one row a power of two of the length
     slim = docs.select(*[F.col(f"`{c}`") for c in keep], base.alias("__base"), tested.alias("__tested"))
     ok = lambda x: F.coalesce(F.create_map(*[F.lit(v) for kv in limits.items() for v in kv])[x["stratum"]] <= x["bin"],
                               F.lit(False)) if limits else F.lit(False)
-    random = F.filter("__tested", lambda x: (x["p"] >= ALPHA) & ok(x) & ~F.exists(
-        "__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    every = F.array_sort(F.concat("__base", F.transform(random, lambda x: F.struct(
-        x["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), x["end"].alias("end"))).cast(SPAN)))
+    random = F.transform(F.filter("__tested", lambda x: (x["p"] >= ALPHA) & ok(x)), lambda x: F.struct(
+        x["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), x["end"].alias("end"))).cast(SPAN)
+    every = _apart(F.concat("__base", random))
     return slim.select(*[F.col(f"`{c}`") for c in keep], every.alias("spans"))
 
 
 def _limits(runs: DataFrame) -> DataFrame:
     """e-BH by stratum on binned e-values: the lowest bin b with (runs at b or above) * e(b) >= m / Q."""
-    bins = (runs.select(F.explode("__tested").alias("x")).where(F.col("x.p") >= ALPHA)
-            .groupBy("x.stratum", "x.bin").agg(F.count("*").alias("n")))
-    total = runs.select(F.explode("__tested").alias("x")).groupBy("x.stratum").agg(F.count("*").alias("m"))
+    likely = (F.col("x.p") >= ALPHA).cast("int")
+    bins = (runs.groupBy("x.stratum", "x.bin")
+            .agg(F.count("*").alias("m"), F.sum(likely).alias("n")))
     above = Window.partitionBy("stratum").orderBy(F.desc("bin"))                 # at most TOP + 1 bins
-    return (bins.withColumn("k", F.sum("n").over(above)).join(total, "stratum")
-            .where(F.log("k") + F.col("bin") * STEP >= F.log(F.col("m") / Q)).groupBy("stratum").agg(F.min("bin").alias("bin")))
+    return (bins.withColumn("k", F.sum("n").over(above)).withColumn("m", F.sum("m").over(Window.partitionBy("stratum")))
+            .where((F.col("n") > 0) & (F.log("k") + F.col("bin") * STEP >= F.log(F.col("m") / Q))).groupBy("stratum").agg(F.min("bin").alias("bin")))
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """Text with every (merged) span replaced by a mark."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(spans, zero, lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
-        s["end"].alias("at"), F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(
-            F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)))
-            .otherwise(F.lit(""))).alias("out"))))
-    return F.when(F.size(spans) == 0, text).otherwise(
-        F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.lit(2 ** 31 - 1))))
+    """Text with every (merged) span replaced by a mark; ``spans`` in order. What is kept is cut out block by block."""
+    zero = F.lit(0).cast("bigint")
+
+    def cut(whole, a, b):
+        return F.substring(whole, (a + 1).cast("int"), (b - a).cast("int"))
+
+    def block(x):
+        base, end = x[0]["a"], F.element_at(x, -1)["b"]
+        return _bound(cut(text, base, end), lambda whole: F.concat_ws("", F.transform(x, lambda c: F.concat(
+            cut(whole, c["a"] - base, c["b"] - base), F.lit(mark)))))
+
+    def pieces(s):
+        before = _running(F.transform(s, lambda x: x["end"]), zero, lambda a, x: F.greatest(a, x))
+        return F.filter(F.zip_with(s, before, lambda x, at: F.struct(at.alias("a"), x["start"].alias("b"))), lambda c: c["b"] >= c["a"])
+    done = _bound(spans, lambda s: F.concat(
+        F.concat_ws("", F.transform(_blocks(pieces(s)), block)), cut(text, F.array_max(F.transform(s, lambda x: x["end"])), F.lit(2 ** 31 - 1))))
+    return F.when(F.size(spans) == 0, text).otherwise(done)
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -1,11 +1,16 @@
-"""Operators 1, 4 and 8 where ids and whole rows repeat."""
+"""Operators 1, 4 and 8 where ids and whole rows repeat, 6 and 7 where a text repeats itself."""
 
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
-from qforge.llm import lattice, packing, site_quality
+from qforge.llm import lattice, packing, secret_scan, site_quality, winnow
+from qforge.llm.textops import Words
 
 
 def brute_links(rows, bound=0.93):
@@ -88,3 +93,63 @@ def test_classifier_fits_one_row_of_a_labelled_id(spark, monkeypatch):
     host, path = site_quality.host_and_path(docs)
     assert site_quality.judge(docs, labels, host, path, ["doc_id"]).count() == len(rows)
     assert seen == [60, 60]
+
+
+def test_winnow_repetitive_texts():
+    """Spans of texts over few words against brute force; a long text of one word in seconds, and one span."""
+    r = random.Random(5)
+    for trial in range(40):
+        letters = "ab" if trial % 2 else "abcdefgh"
+        items = [" ".join(r.choices(letters, k=r.choice((0, 1, 2, 5, 9, 10, 11, 30, 60)))) for _ in range(6)]
+        docs = [" ".join(r.choices(letters, k=r.randint(0, 80))) for _ in range(3)] + [f"c {items[5]} {items[4]}"]
+        index, w = winnow.Index(list(range(6)), items, 10, 5), Words(pa.array(docs), "alnum", True)
+        want = []
+        for d in docs:
+            d, hit = d.split(), set()
+            for i, item in enumerate(items):
+                item = item.split()
+                m = min(10, len(item))
+                grams = {tuple(item[j:j + m]) for j in range(len(item) - m + 1)} if m else set()
+                hit |= {(i, p + t) for p in range(len(d) - m + 1) if tuple(d[p:p + m]) in grams for t in range(m)}
+            want.append(hit)
+        for pairs in (4_000_000, 3):
+            assert [{(s["item_id"], p) for s in spans for p in range(s["start"], s["end"])}
+                    for spans in index.spans(w, pairs).to_pylist()] == want
+    began = time.time()
+    index = winnow.Index([7], ["ha " * 200], 10, 5)
+    assert index.spans(Words(pa.array(["ha " * 1_000_000]), "alnum", True)).to_pylist() == [[{"item_id": 7, "start": 0, "end": 1_000_000}]]
+    assert time.time() - began < 30
+
+
+def test_secrets_in_long_listings(spark):
+    """Thousands of matches in one text: spans, overlaps of the random ones and the cut text against brute force."""
+    r = random.Random(9)
+    run = lambda letters, n: "".join(r.choices(letters, k=n))
+    some = [run("0123456789abcdef", 34) if i % 3 else "token=" + run("abcdefghijkmnopqrstuvwxyzABCDEFGH0123456789", 30) for i in range(3000)]
+    some[5] = "AKIA" + run("ABCDEFGHIJKLMNOP0123456789", 16)
+    text = " ".join(("é " if i % 7 == 0 else "") + x for i, x in enumerate(some))
+    df = spark.createDataFrame([(1, text), (2, some[1]), (3, ""), (4, None)], "doc_id long, text string")
+    found = secret_scan.scan(df, ["doc_id", "text"]).cache()
+    spans = [tuple(s) for s in found.where("doc_id = 1").first()["spans"]]
+    base = sorted([(m.start(), 0, m.end()) for m in re.finditer("token=([A-Za-z0-9]+)", text)] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{32,}", text)]
+                  + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]{12,}", text)])
+    assert [s for s in spans if s[1] < 3] == base
+    assert not any(s[1] == 3 and any(b[0] < s[2] and s[0] < b[2] for b in base) for s in spans)
+    clean = found.select(secret_scan.redact(F.coalesce("text", F.lit("")), F.col("spans")).alias("c")).collect()
+    out, at = [], 0
+    for a, _, b in spans:
+        if a >= at:
+            out += [text[at:a], "[SECRET]"]
+        at = max(at, b)
+    assert [r["c"] for r in clean] == ["".join(out) + text[at:], "[SECRET]", "", ""]
+
+
+def test_random_spans_beside_base_ones(spark):
+    """The walk over ordered spans drops just the random ones that overlap a base span."""
+    r = random.Random(2)
+    rows = [(i, sorted((s, r.choice((0, 2, 3, 3)), s + r.randint(1, 9)) for s in (r.randrange(60) for _ in range(r.randrange(14))))) for i in range(200)]
+    df = spark.createDataFrame(rows, f"id long, spans {secret_scan.SPAN}")
+    got = {x["id"]: [tuple(s) for s in x["s"]] for x in df.select("id", secret_scan._apart(F.col("spans")).alias("s")).collect()}
+    for i, spans in rows:
+        base = [s for s in spans if s[1] < 3]
+        assert got[i] == [s for s in spans if s[1] < 3 or not any(b[0] < s[2] and s[0] < b[2] for b in base)]
