@@ -8,7 +8,8 @@ other figures cover all documents.
 Sites: the mean evidence over all documents is the global prior. Each host's rate is shrunk
 towards it, each path's rate towards its host's, with a strength estimated from how much
 rates differ between sites beyond sampling noise (method of moments). A document's posterior
-log-odds are its evidence plus the log-odds by which its path's prior differs from the global one.
+log-odds are its evidence plus the log-odds by which its path's prior differs from the global one; that prior is made
+of the other documents, its own evidence is left out of the sums of its path and host (a lone document has its host's prior).
 A document is rejected if its posterior of good quality is below 0.5 or that of being toxic above 0.5.
 
 Null text counts as empty, null host or path as a site of its own. Without labels of both
@@ -153,47 +154,62 @@ def _logit(c: Column) -> Column:
     return F.log(c / (1 - c))
 
 
-def _strength(rates: DataFrame, parent: Column) -> Column:
-    """Pseudo-count of the prior: parent variance over the variance between sites beyond noise, 5 to 10000."""
+def _strength(rate: Column, parent: Column) -> Column:
+    """Pseudo-count of the prior: parent variance over the variance between sites beyond noise, 5 to 10000 (an aggregate over sites of n)."""
     noise = parent * (1 - parent)
-    between = F.avg((F.col("rate") - parent) * (F.col("rate") - parent) - noise / F.col("n"))
+    between = F.avg((rate - parent) * (rate - parent) - noise / F.col("n"))
     return F.least(F.greatest(F.avg(noise) / F.greatest(between, F.lit(1e-9)) - 1, F.lit(5.0)), F.lit(10_000.0))
 
 
-def site_priors(seen: DataFrame) -> DataFrame:
-    """(__host, __path, prior, global prior) of both targets, from grouped sums over all documents."""
-    sums = lambda df, keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.sum("t").alias("t"))
-    paths = seen.groupBy("__host", "__path").agg(
-        F.count("*").alias("n"), F.sum(F.coalesce(_sigmoid(F.col("__good")), F.lit(1.0))).alias("g"),
-        F.sum(F.coalesce(_sigmoid(F.col("__toxic")), F.lit(0.0))).alias("t")).checkpoint()
-    hosts = sums(paths, ["__host"])
+def site_sums(seen: DataFrame) -> DataFrame:
+    """One row a path: documents and summed evidence of path and host, the strengths of both priors and the global rates.
+
+    Columns for target x (g: good, t: toxic): ``n``, ``x`` of the path; ``hn``, ``hx`` of its host; ``kx``, ``px``, the pseudo-counts
+    of the global prior in a host and of the host's in a path; ``wx``, the rate over all documents.
+    """
+    own = _own_evidence()
+    paths = seen.groupBy("__host", "__path").agg(F.count("*").alias("n"), *[F.sum(own[t]).alias(t) for t in own]).checkpoint()
+    hosts = paths.groupBy(F.col("__host").alias("hh")).agg(*[F.sum(c).alias(f"h{c}") for c in ("n", "g", "t")])
     top = paths.agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.sum("t").alias("t")).first()
-    whole = {t: min(max((top[t] or 0) / max(top["n"] or 0, 1), 1e-4), 1 - 1e-4) for t in ("g", "t")}
-    for t in ("g", "t"):
-        k = hosts.withColumn("rate", F.col(t) / F.col("n")).agg(_strength(hosts, F.lit(whole[t])).alias("k")).first()["k"] or 5.0
-        hosts = hosts.withColumn(f"h{t}", (F.col(t) + k * whole[t]) / (F.col("n") + k))
-    both = paths.join(hosts.select(F.col("__host").alias("hh"), "hg", "ht"), F.col("__host").eqNullSafe(F.col("hh"))).drop("hh")
-    for t in ("g", "t"):
-        k = both.withColumn("rate", F.col(t) / F.col("n")).agg(_strength(both, F.col(f"h{t}")).alias("k")).first()["k"] or 5.0
-        both = both.withColumn(f"p{t}", F.greatest(F.least((F.col(t) + k * F.col(f"h{t}")) / (F.col("n") + k), F.lit(1 - 1e-4)),
-                                                   F.lit(1e-4)))
-    return both.select("__host", "__path", "pg", "pt", F.lit(whole["g"]).alias("wg"), F.lit(whole["t"]).alias("wt"))
+    whole = {t: min(max((top[t] or 0) / max(top["n"] or 0, 1), 1e-4), 1 - 1e-4) for t in own}
+    rates = hosts.select(F.col("hn").alias("n"), *[(F.col(f"h{t}") / F.col("hn")).alias(t) for t in own])
+    k = rates.agg(*[_strength(F.col(t), F.lit(whole[t])).alias(t) for t in own]).first()
+    k = {t: k[t] or 5.0 for t in own}
+    both = paths.join(hosts, F.col("__host").eqNullSafe(F.col("hh"))).drop("hh")
+    rates = both.select("n", *[(F.col(t) / F.col("n")).alias(t) for t in own],
+                        *[((F.col(f"h{t}") + k[t] * whole[t]) / (F.col("hn") + k[t])).alias(f"h{t}") for t in own])
+    p = rates.agg(*[_strength(F.col(t), F.col(f"h{t}")).alias(t) for t in own]).first()
+    return both.select("*", *[F.lit(float(v)).alias(f"{c}{t}") for t in own for c, v in (("k", k[t]), ("p", p[t] or 5.0), ("w", whole[t]))])
+
+
+def _own_evidence() -> dict[str, Column]:
+    return {"g": F.coalesce(_sigmoid(F.col("__good")), F.lit(1.0)), "t": F.coalesce(_sigmoid(F.col("__toxic")), F.lit(0.0))}
+
+
+def _prior(t: str, own: Column) -> Column:
+    """Rate of the path, shrunk to its host's and that to the global one, both without the document's own evidence."""
+    host = (F.col(f"h{t}") - own + F.col(f"k{t}") * F.col(f"w{t}")) / (F.col("hn") - 1 + F.col(f"k{t}"))
+    path = (F.col(t) - own + F.col(f"p{t}") * host) / (F.col("n") - 1 + F.col(f"p{t}"))
+    return F.greatest(F.least(path, F.lit(1 - 1e-4)), F.lit(1e-4))
 
 
 def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep: list[str], text: str = "text",
-          max_labelled: int = MAX_LABELLED) -> DataFrame:
+          max_labelled: int = MAX_LABELLED, max_sites: int = MAX_SITES) -> DataFrame:
     """``keep`` columns, the two posteriors, the site priors and ``keep`` (false: rejected)."""
     model = fit(docs, labels, text, max_labelled)
     sited = docs.withColumn("__host", F.coalesce(host.cast("string"), F.lit("\x00"))).withColumn(
         "__path", F.coalesce(path.cast("string"), F.lit("\x00")))
-    priors = site_priors(evidence(sited, model, ["__host", "__path"], text)).checkpoint()
-    if priors.count() <= MAX_SITES:
-        priors = F.broadcast(priors)
-    scored = evidence(sited, model, [*keep, "__host", "__path"], text).join(priors, ["__host", "__path"])
-    good = _sigmoid(F.col("__good") + _logit(F.col("pg")) - _logit(F.col("wg")))
-    toxic = _sigmoid(F.col("__toxic") + _logit(F.col("pt")) - _logit(F.col("wt")))
-    return scored.select(*[F.col(f"`{c}`") for c in keep], good.alias("p_good"), toxic.alias("p_toxic"),
-                         F.col("pg").alias("site_good"), F.col("pt").alias("site_toxic")).withColumn(
+    sums = site_sums(evidence(sited, model, ["__host", "__path"], text)).checkpoint()
+    if sums.count() <= max_sites:
+        sums = F.broadcast(sums)
+    names = [f"__keep{i}" for i in range(len(keep))]      # kept columns may be named like those of the sums
+    sited = sited.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(keep, names)], F.col(f"`{text}`").alias("__body"), "__host", "__path")
+    scored = evidence(sited, model, [*names, "__host", "__path"], "__body").join(sums, ["__host", "__path"])
+    scored = scored.select(*names, "__good", "__toxic", "wg", "wt", *[_prior(t, own).alias(f"site_{t}") for t, own in _own_evidence().items()])
+    good = _sigmoid(F.col("__good") + _logit(F.col("site_g")) - _logit(F.col("wg")))
+    toxic = _sigmoid(F.col("__toxic") + _logit(F.col("site_t")) - _logit(F.col("wt")))
+    return scored.select(*[F.col(a).alias(c) for c, a in zip(keep, names)], good.alias("p_good"), toxic.alias("p_toxic"),
+                         F.col("site_g").alias("site_good"), F.col("site_t").alias("site_toxic")).withColumn(
         "keep", (F.coalesce("p_good", F.lit(1.0)) >= 0.5) & (F.coalesce("p_toxic", F.lit(0.0)) <= 0.5))
 
 

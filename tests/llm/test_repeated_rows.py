@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from qforge.llm import lattice, packing, secret_scan, site_quality, winnow
@@ -153,3 +154,52 @@ def test_random_spans_beside_base_ones(spark):
     for i, spans in rows:
         base = [s for s in spans if s[1] < 3]
         assert got[i] == [s for s in spans if s[1] < 3 or not any(b[0] < s[2] and s[0] < b[2] for b in base)]
+
+
+@pytest.mark.parametrize("max_sites", [site_quality.MAX_SITES, 0])
+def test_site_priors_by_brute_force(spark, max_sites):
+    """Posteriors from the documents' evidence, site by site in plain Python: sparse, lone, null and hot sites."""
+    r = random.Random(4)
+    poor = ["#$% buy now #$%"] * 2 + ["win $$$ !!! now"]
+    docs, labels = [], []
+    for i in range(400):
+        host = "big" if i % 3 == 0 else None if i % 50 == 1 else f"h{r.randrange(60)}"
+        bad = r.random() < (0.7 if host in ("h1", "h2", "h3", "h4") else 0.2)
+        text = (r.choice(poor) + " ") * 3 if bad else " ".join(r.choices("river stone light green house tree walk".split(), k=30))
+        docs.append((i, text if i != 7 else None, host, r.choice(("en", "de", None)), "clash"))
+        if i % 2:
+            labels.append((i, int(not bad), int(i % 11 == 0)))
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, hn string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    host, path = site_quality.host_and_path(df)
+    got = {x["doc_id"]: x for x in site_quality.judge(df, marks, host, path, ["doc_id", "hn"], max_sites=max_sites).collect()}
+    assert all(x["hn"] == "clash" for x in got.values())
+    model = site_quality.fit(df, marks)
+    logits = {x["doc_id"]: x for x in site_quality.evidence(df, model, ["doc_id"]).collect()}
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    clamp = lambda v: min(max(v, 1e-4), 1 - 1e-4)
+    # the path of a null host is that of no source: concat_ws leaves it out
+    site = {d[0]: (d[2] if d[2] is not None else "\x00", "/".join(x for x in (d[2], d[3] or "") if x is not None)) for d in docs}
+
+    def strength(groups, parents):
+        noise = [q * (1 - q) for q in parents]
+        between = np.mean([(np.mean(g) - q) ** 2 - v / len(g) for g, q, v in zip(groups, parents, noise)])
+        return min(max(np.mean(noise) / max(between, 1e-9) - 1, 5.0), 10_000.0)
+    for name, out, prior in (("__good", "p_good", "site_good"), ("__toxic", "p_toxic", "site_toxic")):
+        e = {i: sig(x[name]) for i, x in logits.items()}
+        whole = clamp(np.mean(list(e.values())))
+        by_host, by_path = {}, {}
+        for i, s in site.items():
+            by_host.setdefault(s[0], []).append(e[i])
+            by_path.setdefault(s, []).append(e[i])
+        k = strength(list(by_host.values()), [whole] * len(by_host))
+        rate = {h: (sum(v) + k * whole) / (len(v) + k) for h, v in by_host.items()}
+        p = strength(list(by_path.values()), [rate[s[0]] for s in by_path])
+        for i, s in site.items():
+            others = [j for j in site if j != i]
+            mine = [e[j] for j in others if site[j][0] == s[0]]
+            own_host = (sum(mine) + k * whole) / (len(mine) + k)
+            near = [e[j] for j in others if site[j] == s]
+            want = clamp((sum(near) + p * own_host) / (len(near) + p))
+            assert abs(got[i][prior] - want) < 1e-9
+            assert abs(got[i][out] - sig(logits[i][name] + np.log(want / (1 - want)) - np.log(whole / (1 - whole)))) < 1e-9
