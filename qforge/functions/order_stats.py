@@ -13,6 +13,13 @@ exact. Here the k-th smallest value is found by *histogram refinement*:
 3. an interval that holds at most ``small`` values (or a single distinct
    value) is resolved by fetching just those values.
 
+Quantiles of up to ``WIDE_INPUTS`` columns start better: the first aggregate also builds a mergeable
+KLL sketch a column (``profile_and_brackets``), whose quantiles a little below and above each wanted
+share bracket its rank. One scan then counts the values of every bracket (value by value where few are
+expected, else in bins) and of the gaps between them, which proves where each rank lies: two scans in
+all for tables of up to some 700,000 values a column. A rank outside its bracket is searched on in the gap
+that holds it, by the passes above, so the sketch decides the cost and never the result.
+
 Only bounded summaries reach the driver. Each pass is one scan of the
 needed columns; where the caller names the raw column (``raw``), later passes
 carry a range filter on it that the scan can use. A hot
@@ -43,6 +50,8 @@ PASS_BUDGET = 1_000_000
 # inputs of one pass up to which every interval is an expression of its own; more meet a table of intervals in a join,
 # so the plan grows with the inputs only
 WIDE_INPUTS = 8
+# size of a sketch (about 100 kB) and the share by which a bracket reaches beyond a rank: twice the sketch's error at 99 %
+SKETCH_K, SKETCH_MARGIN = 4096, 0.0026
 
 
 @dataclass
@@ -72,15 +81,48 @@ def column_profile(df: DataFrame, values: dict[str, Column]) -> dict[str, tuple[
             for i, name in enumerate(values)}
 
 
+def bracket_aggregate(x: Column) -> Column:
+    """Sketch of a double column, to stand in the aggregate that counts it."""
+    return F.kll_sketch_agg_double(x, F.lit(SKETCH_K))
+
+
+def bracket_columns(sketch: str, count: str, probs: list[float]) -> Column:
+    """Array of the values a margin below and above each share (null without values)."""
+    shares = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-SKETCH_MARGIN, SKETCH_MARGIN)]
+    return F.when(F.col(count) > 0, F.kll_sketch_get_quantile_double(F.col(sketch), F.array(*map(F.lit, shares))))
+
+
+def brackets_of(found: list[float] | None, probs: list[float], lo: float, hi: float) -> list[tuple[float, float]]:
+    """The intervals of one column; an end that a share passes is the column's own."""
+    if found is None:
+        return []
+    return [(lo if p <= SKETCH_MARGIN else found[2 * i], hi if p >= 1 - SKETCH_MARGIN else found[2 * i + 1]) for i, p in enumerate(probs)]
+
+
+def profile_and_brackets(df: DataFrame, values: dict[str, Column], probs) -> tuple[dict, dict | None]:
+    """``column_profile`` and, from the same scan, intervals around the wanted shares (None for many columns)."""
+    probs = list(probs)
+    if not values or len(values) > WIDE_INPUTS:
+        return column_profile(df, values), None
+    aggs = []
+    for i, v in enumerate(values.values()):
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"b{i}"), bracket_aggregate(v).alias(f"k{i}")]
+    row = df.agg(*aggs).select(*[F.col(f"{c}{i}") for i in range(len(values)) for c in "nab"],
+                               *[bracket_columns(f"k{i}", f"n{i}", probs).alias(f"q{i}") for i in range(len(values))]).first()
+    profile = {name: (int(row[f"n{i}"]), row[f"a{i}"], row[f"b{i}"]) for i, name in enumerate(values)}
+    return profile, {name: brackets_of(row[f"q{i}"], probs, *profile[name][1:]) for i, name in enumerate(values)}
+
+
 def order_statistics(df: DataFrame, values: dict[str, Column], ranks: dict[str, list[int]],
                      profile: dict | None = None, bins: int = DEFAULT_BINS,
-                     small: int = DEFAULT_SMALL, raw: dict[str, Column] | None = None) -> dict[str, dict[int, RankResult]]:
+                     small: int = DEFAULT_SMALL, raw: dict[str, Column] | None = None,
+                     brackets: dict | None = None) -> dict[str, dict[int, RankResult]]:
     """k-th smallest non-null value (0-based ranks) of each value expression.
 
     ``values`` maps a name to a double Column (NULL = not part of that
     population, which is how grouped selections such as "per label" are
     expressed). ``raw`` maps a name to the stored column its values are a cast
-    of. Returns name -> rank -> RankResult(value, n_less, n_equal).
+    of, ``brackets`` to intervals that probably hold the ranks. Returns name -> rank -> RankResult(value, n_less, n_equal).
     """
     if profile is None:
         profile = column_profile(df, {k: values[k] for k in ranks})
@@ -97,6 +139,8 @@ def order_statistics(df: DataFrame, values: dict[str, Column], ranks: dict[str,
                 pending[(name, r)] = _State(float(lo), float(hi), 0, n)
 
     names = list(values)
+    if brackets and pending:
+        _from_brackets(df, values, names, brackets, profile, pending, out, bins, small)
     passes = 0
     while pending:
         passes += 1
@@ -143,6 +187,53 @@ def order_statistics(df: DataFrame, values: dict[str, Column], ranks: dict[str,
     return out
 
 
+def _from_brackets(df, values, names, brackets, profile, pending, out, bins, small) -> None:
+    """One scan that counts all values by bracket, value (or bin) and gap; ranks found leave ``pending``, the others are narrowed."""
+    used = [n for n in names if any(k[0] == n for k in pending) and brackets.get(n)]
+    df, values = _staged(df, values, names, {(n, 0, 0, 0, 0): 0 for n in used})
+    cells, segments = [], {}
+    for k, name in enumerate(used):
+        v, ivs = values[name], []
+        for lo, hi in sorted(brackets[name]):
+            if ivs and lo <= ivs[-1][1]:
+                ivs[-1] = (ivs[-1][0], max(hi, ivs[-1][1]))
+            else:
+                ivs.append((lo, hi))
+        share = max(PASS_BUDGET // (len(used) * len(ivs)), 16)
+        few = 2 * SKETCH_MARGIN * profile[name][0] * len(brackets[name]) / len(ivs) <= min(small, share)
+        g = key = None
+        for j, (lo, hi) in enumerate(ivs):                # segments in order of value: gap, bracket, gap, ...
+            span = hi * 0.5 - lo * 0.5
+            scaled = (F.least(F.floor((v * 0.5 - F.lit(lo * 0.5)) / F.lit(span) * min(bins, share)), F.lit(min(bins, share) - 1))
+                      if math.isfinite(span) and span > 0 else F.when(v == F.lit(lo), 0).when(v == F.lit(hi), 2).otherwise(1))
+            inside = v if few else scaled.cast("double")
+            g = F.when(v < F.lit(lo), 2 * j) if g is None else g.when(v < F.lit(lo), 2 * j)
+            g = g.when(v <= F.lit(hi), 2 * j + 1)
+            key = F.when(v < F.lit(lo), 0.0) if key is None else key.when(v < F.lit(lo), 0.0)
+            key = key.when(v <= F.lit(hi), inside)
+        cells.append(F.struct(F.lit(k).alias("c"), g.otherwise(2 * len(ivs)).alias("g"), key.otherwise(0.0).alias("k"), v.alias("x")))
+        segments[k] = []
+    rows = (df.select(F.inline(F.array(*cells))).where("x IS NOT NULL").groupBy("c", "g", "k")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx")).limit(2 * PASS_BUDGET + 1).collect())
+    if len(rows) > 2 * PASS_BUDGET:                       # the brackets hold far more values than the sketch said: search without them
+        return
+    for r in rows:
+        segments[r["c"]].append((r["mn"], r["mx"], r["n"]))
+    for k, name in enumerate(used):
+        ordered = sorted(segments[k])
+        sums = [0]
+        for _, _, n in ordered:
+            sums.append(sums[-1] + n)
+        for key in [key for key in pending if key[0] == name]:
+            at = bisect.bisect_right(sums, key[1]) - 1
+            lo, hi, n = ordered[at]
+            if lo == hi:
+                out[name][key[1]] = RankResult(float(lo), sums[at], n)
+                del pending[key]
+            else:
+                pending[key] = _State(float(lo), float(hi), sums[at], n)
+
+
 def _interval_case(v: Column, ivs: list[tuple[int, float, float]], then) -> Column:
     expr = None
     for g, lo, hi in ivs:
@@ -269,11 +360,11 @@ def interpolate(n: int, p: float, at) -> float | None:
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    profile: dict | None = None, **kw) -> dict[str, list[float | None]]:
+                    profile: dict | None = None, brackets: dict | None = None, **kw) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles of each column (NaN/NULL skipped)."""
     values = {c: as_double(c) for c in cols}
     if profile is None:
-        profile = column_profile(df, values)
+        profile, brackets = profile_and_brackets(df, values, probs)
     ranks: dict[str, list[int]] = {}
     for c in cols:
         n = profile[c][0]
@@ -284,6 +375,6 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                 rs.update({math.floor(h), math.ceil(h)})
         ranks[c] = sorted(rs)
     found = order_statistics(df, values, {c: r for c, r in ranks.items() if r},
-                             profile=profile, raw={c: col(c) for c in cols}, **kw)
+                             profile=profile, raw={c: col(c) for c in cols}, brackets=brackets, **kw)
     return {c: [interpolate(profile[c][0], p, lambda k, c=c: found[c][k].value) for p in probs]
             for c in cols}

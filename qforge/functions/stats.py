@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qforge.functions.columns import as_double
-from qforge.functions.order_stats import exact_quantiles
+from qforge.functions.order_stats import WIDE_INPUTS, bracket_aggregate, bracket_columns, brackets_of, exact_quantiles
 
 DEFAULT_PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -58,13 +58,21 @@ def column_stats(df: DataFrame, cols: list[str], probs=DEFAULT_PROBS) -> ColumnS
         x = as_double(c)
         aggs += [F.count(x).alias(f"c{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"),
                  F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"), F.stddev_pop(x).alias(f"p{i}")]
-    row = df.agg(*aggs).first()
+    probs = list(probs)
+    sketched = len(cols) <= WIDE_INPUTS and bool(probs)   # brackets of the quantiles come from the same scan
+    if sketched:
+        done = df.agg(*aggs, *[bracket_aggregate(as_double(c)).alias(f"k{i}") for i, c in enumerate(cols)])
+        sketches = {f"k{i}" for i in range(len(cols))}
+        row = done.select(*[c for c in done.columns if c not in sketches],
+                          *[bracket_columns(f"k{i}", f"c{i}", probs).alias(f"q{i}") for i in range(len(cols))]).first()
+    else:
+        row = df.agg(*aggs).first()
     st = ColumnStats(int(row["n"]))
     for i, c in enumerate(cols):
         st.count[c], st.min[c], st.max[c] = int(row[f"c{i}"]), row[f"a{i}"], row[f"b{i}"]
         st.mean[c], st.std_samp[c], st.std_pop[c] = row[f"m{i}"], row[f"s{i}"], row[f"p{i}"]
-    probs = list(probs)
     if probs and cols:
-        qs = exact_quantiles(df, cols, probs, profile=st.profile(cols))
+        found = {c: brackets_of(row[f"q{i}"], probs, st.min[c], st.max[c]) for i, c in enumerate(cols)} if sketched else None
+        qs = exact_quantiles(df, cols, probs, profile=st.profile(cols), brackets=found)
         st.quantiles = {c: dict(zip(probs, qs[c])) for c in cols}
     return st

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qforge.functions.columns import as_double, col, dlit
-from qforge.functions.order_stats import column_profile, exact_quantiles
+from qforge.functions.order_stats import exact_quantiles
 from qforge.functions.stats import ColumnStats
 
 GRADES = [(90.0, "Excellent"), (75.0, "Good"), (60.0, "Fair")]
@@ -75,8 +75,7 @@ def _quality_rows(df: DataFrame, cols: list[str], valid_ranges, stats,
             q1, q3 = stats.q(c, 0.25), stats.q(c, 0.75)
             ranges[c] = (None, None) if q1 is None else (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
     elif need:
-        prof = column_profile(df, {c: as_double(c) for c in need})
-        ranges.update(iqr_ranges(df, need, profile=prof))
+        ranges.update(iqr_ranges(df, need))
 
     if distinct == "exact":
         return _by_value(df, cols, ranges), _index_structs(cols, ranges)

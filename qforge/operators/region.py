@@ -27,12 +27,12 @@ def feature_bounds(df: DataFrame, cols: list[str], method: str = "quantile",
         return {c: (stats.min[c], stats.max[c]) for c in cols}
     if stats is not None and method == "quantile" and stats.has(cols, q):
         return {c: (stats.q(c, q[0]), stats.q(c, q[1])) for c in cols}
-    prof = column_profile(df, {c: as_double(c) for c in cols})
     if method == "minmax":
+        prof = column_profile(df, {c: as_double(c) for c in cols})
         return {c: (prof[c][1], prof[c][2]) for c in cols}
     if method != "quantile":
         raise ValueError("method must be 'quantile' or 'minmax'")
-    qs = exact_quantiles(df, cols, list(q), profile=prof)
+    qs = exact_quantiles(df, cols, list(q))
     return {c: (qs[c][0], qs[c][1]) for c in cols}
 
 

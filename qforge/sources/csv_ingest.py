@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from qforge.functions.columns import as_double, col, is_missing, quote
 from qforge.functions.names import CANONICAL_SENSOR_NAMES, normalize_names
-from qforge.functions.order_stats import column_profile, exact_quantiles
+from qforge.functions.order_stats import exact_quantiles
 from qforge.session import path_exists, remove_path, scratch_path
 from qforge.sources import csv_records as REC
 from qforge.sources import encoding as enc
@@ -478,8 +478,7 @@ def dataset_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = cols or df.columns
     numeric = [c for c in cols if isinstance(df.schema[c].dataType, T.NumericType)]
     texts = text_summary(df, [c for c in cols if isinstance(df.schema[c].dataType, T.StringType)])
-    prof = column_profile(df, {c: as_double(c) for c in numeric})
-    qs = exact_quantiles(df, numeric, [0.25, 0.5, 0.75], profile=prof) if numeric else {}
+    qs = exact_quantiles(df, numeric, [0.25, 0.5, 0.75]) if numeric else {}
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     for i, c in enumerate(cols):
         aggs.append(F.count_if(is_missing(df, c)).alias(f"z{i}"))
