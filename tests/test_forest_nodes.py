@@ -95,3 +95,22 @@ def test_missing_feature_raises(spark, model, monkeypatch):
         with pytest.raises(PySparkException, match="missing"):
             table.score(df).collect()
     assert table.score(df.limit(0)).count() == 0
+
+
+def test_fitting_deals_rows_evenly(spark, data, monkeypatch):
+    """The splits of a file with one row group are many, and all but one are empty."""
+    class Stop(Exception):
+        pass
+
+    def fit(self, rows, params=None):
+        seen.append([len(x) for x in rows.rdd.glom().collect()])
+        raise Stop
+
+    monkeypatch.setattr(FO.Pipeline, "fit", fit)
+    empty = data.where("id < 0").repartition(spark.sparkContext.defaultParallelism)
+    one, seen = data.coalesce(1).union(empty), []
+    for bound, tasks in ((10_000_000, spark.sparkContext.defaultParallelism), (70, 60)):
+        monkeypatch.setattr(FO, "ROW_TREES_PER_TASK", bound, raising=False)
+        with pytest.raises(Stop):
+            FO.fit_forest(one, ["a.b", "n", "c"], "error", n_trees=7)
+        assert len(seen[-1]) == tasks and sum(seen[-1]) == 600 and max(seen[-1]) <= 600 // tasks + 1
