@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from qforge.functions.columns import as_double, col, dlit, is_missing
 from qforge.functions.stats import ColumnStats, column_stats
+from qforge.session import compiled_methods
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -194,44 +195,64 @@ def correlation_wide(df: DataFrame, cols: list[str], digits: int = 6) -> DataFra
     """``correlation`` of many columns by blocked Gram matrices with masks for missing values.
 
     A task adds up, over its Arrow batches and for each pair of column blocks, the products X'X, X'M, (X*X)'M and M'M
-    of the values (less the column's mean, missing ones 0) and their masks: all that pairwise-complete correlation
-    needs. One row a task and pair is then summed. Pairs that are nearly constant where both are present are too close to
-    rounding for sums; they are computed again by ``pearson``.
+    of the values (less a centre of the task's own, the mean of the first values it met; missing ones 0) and their masks, with
+    the least and largest value of a column: all that pairwise-complete correlation needs, in one scan. One row a task and
+    pair is moved to the column's mean over all tasks and summed. Pairs that are nearly constant where both are present are
+    too close to rounding for sums; they are computed again by ``pearson``.
     """
     spark, k = df.sparkSession, len(cols)
-    prof = df.agg(*[f(as_double(c)).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("a", F.min), ("b", F.max), ("m", F.avg))]).first()
-    flat = {i for i in range(k) if prof[f"a{i}"] is None or prof[f"a{i}"] == prof[f"b{i}"]}      # no or one value: NULL
-    used = [i for i in range(k) if i not in flat]
-    centre = np.array([prof[f"m{i}"] for i in used])
-    rows = df.select(*[as_double(cols[i]).alias(f"c{i}") for i in used])
-    sums = [f"{n} double" for n in ("si", "sj", "qi", "qj", "p")]
-    schema = ", ".join(["i int", "j int", "n long", *sums])
-    blocks = [(a, min(a + GRAM_BLOCK, len(used))) for a in range(0, len(used), GRAM_BLOCK)]
+    rows = df.select(*[as_double(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    sums = ["si", "sj", "qi", "qj", "p"]
+    doubles = ["ci", "cj", *sums, "lo", "hi"]
+    schema = ", ".join(["i int", "j int", "n long", *[f"{c} double" for c in doubles]])
+    blocks = [(a, min(a + GRAM_BLOCK, k)) for a in range(0, k, GRAM_BLOCK)]
     pairs = [(x, y) for n, x in enumerate(blocks) for y in blocks[n:]]
 
     def gram(mine):
         def run(batches):
-            total = None
+            total, centre, low, high = None, np.full(k, np.nan), np.full(k, np.nan), np.full(k, np.nan)
             for batch in batches:
-                x = np.stack([np.asarray(c.to_numpy(zero_copy_only=False), np.float64) for c in batch.columns], axis=1) - centre
+                if not batch.num_rows:
+                    continue
+                x = np.stack([np.asarray(c.to_numpy(zero_copy_only=False), np.float64) for c in batch.columns], axis=1)
+                low, high = np.fmin(low, np.fmin.reduce(x)), np.fmax(high, np.fmax.reduce(x))
+                if np.isnan(centre).any():                # columns without a value so far have added nothing
+                    finite = np.isfinite(x)
+                    mean = np.where(finite, x, 0.0).sum(axis=0) / np.where(finite.any(axis=0), finite.sum(axis=0), np.nan)
+                    centre = np.where(np.isnan(centre), mean, centre)
+                x -= np.nan_to_num(centre)
                 m = ~np.isnan(x)
                 x, m = np.where(m, x, 0.0), m.astype(np.float64)
+                q = x ** 2
                 now = [(x[:, a:b].T @ x[:, c:d], x[:, a:b].T @ m[:, c:d], m[:, a:b].T @ x[:, c:d],
-                        (x[:, a:b] ** 2).T @ m[:, c:d], m[:, a:b].T @ x[:, c:d] ** 2, m[:, a:b].T @ m[:, c:d]) for (a, b), (c, d) in mine]
+                        q[:, a:b].T @ m[:, c:d], m[:, a:b].T @ q[:, c:d], m[:, a:b].T @ m[:, c:d]) for (a, b), (c, d) in mine]
                 total = now if total is None else [tuple(u + v for u, v in zip(s, t)) for s, t in zip(total, now)]
+            centre = np.nan_to_num(centre)
             for ((a, b), (c, d)), (p, si, sj, qi, qj, n) in zip(mine, total or []):
                 i, j = np.meshgrid(np.arange(a, b), np.arange(c, d), indexing="ij")
                 keep = i <= j
+                i, j = i[keep], j[keep]
+                ends = [pa.array(np.where(i == j, v[i], np.nan), from_pandas=True) for v in (low, high)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(i[keep].astype(np.int32)), pa.array(j[keep].astype(np.int32)), pa.array(n[keep].astype(np.int64)),
-                     *[pa.array(v[keep]) for v in (si, sj, qi, qj, p)]], names=["i", "j", "n", "si", "sj", "qi", "qj", "p"])
+                    [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(n[keep].astype(np.int64)), pa.array(centre[i]), pa.array(centre[j]),
+                     *[pa.array(v[keep]) for v in (si, sj, qi, qj, p)], *ends], names=["i", "j", "n", *doubles])
         return run
     # a job adds up as many block pairs as fit in a task
     parts = [rows.mapInArrow(gram(pairs[at:at + GRAM_PAIRS]), schema) for at in range(0, len(pairs), GRAM_PAIRS)]
-    if not parts:
-        got = spark.createDataFrame([], schema)
-    else:
-        got = functools.reduce(DataFrame.unionAll, parts).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "qi", "qj", "p")])
+    with compiled_methods(spark):
+        tasks = functools.reduce(DataFrame.unionAll, parts).checkpoint()      # columns squared numbers a task
+    whole = tasks.where("i = j").groupBy("i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+                                                  F.try_divide(F.sum(F.col("n") * F.col("ci") + F.col("si")), F.sum("n")).alias("mean")).collect()
+    prof = {r["i"]: r for r in whole}                     # a row a column
+    flat = {i for i in range(k) if i not in prof or prof[i]["lo"] is None or prof[i]["lo"] == prof[i]["hi"]}      # no or one value: NULL
+    used = [i for i in range(k) if i not in flat]
+    means = spark.createDataFrame([(i, prof[i]["mean"]) for i in used], "at int, mean double")
+    moved = tasks.join(F.broadcast(means.select(F.col("at").alias("i"), F.col("mean").alias("mi"))), "i").join(
+        F.broadcast(means.select(F.col("at").alias("j"), F.col("mean").alias("mj"))), "j")
+    n, si, sj, di, dj = F.col("n"), F.col("si"), F.col("sj"), F.col("ci") - F.col("mi"), F.col("cj") - F.col("mj")
+    got = moved.groupBy("i", "j").agg(
+        F.sum("n").alias("n"), F.sum(si + n * di).alias("si"), F.sum(sj + n * dj).alias("sj"), F.sum(F.col("qi") + 2 * di * si + n * di * di).alias("qi"),
+        F.sum(F.col("qj") + 2 * dj * sj + n * dj * dj).alias("qj"), F.sum(F.col("p") + di * sj + dj * si + n * di * dj).alias("p"))
     n = F.col("n")
     spread = lambda s, q: F.col(q) - F.try_divide(F.col(s) * F.col(s), n)
     got = got.select("i", "j", "n", (F.col("p") - F.try_divide(F.col("si") * F.col("sj"), n)).alias("cov"),
@@ -243,11 +264,13 @@ def correlation_wide(df: DataFrame, cols: list[str], digits: int = 6) -> DataFra
     again = [(r["i"], r["j"]) for r in got.where(F.col("near") & (n > 0)).select("i", "j").collect()]
     for at in range(0, len(again), 200):
         some = again[at:at + 200]
-        one = df.agg(*[pearson(as_double(cols[used[i]]), as_double(cols[used[j]])).alias(f"p{q}") for q, (i, j) in enumerate(some)])
+        one = df.agg(*[pearson(as_double(cols[i]), as_double(cols[j])).alias(f"p{q}") for q, (i, j) in enumerate(some)])
+        with compiled_methods(spark):
+            one = one.checkpoint()
         out = out.unionByName(one.select(F.inline(F.array(*[
             F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"p{q}").alias("corr")) for q, (i, j) in enumerate(some)]))))
     both = out.unionByName(out.where("i != j").select(F.col("j").alias("i"), F.col("i").alias("j"), "corr"))
-    named = spark.createDataFrame([(at, cols[i]) for at, i in enumerate(used)], "at int, name string")       # a row a column
+    named = spark.createDataFrame([(i, cols[i]) for i in used], "at int, name string")       # a row a column
     x, y = named.select(F.col("at").alias("i"), F.col("name").alias("x")), named.select(F.col("at").alias("j"), F.col("name").alias("y"))
     clean = F.round(F.nanvl("corr", F.lit(None).cast("double")), digits)
     out = both.join(F.broadcast(x), "i").join(F.broadcast(y), "j").select("x", "y", clean.alias("corr"))

@@ -40,3 +40,23 @@ def test_many_columns_and_no_rows(spark):
     assert {r["corr"] for r in E.correlation(df, cols).collect()} == {None}
     ones = spark.createDataFrame([tuple(float(i) for i in range(40))], ", ".join(f"{c} double" for c in cols))
     assert E.correlation(ones, cols).where("corr IS NOT NULL").count() == 0
+
+
+def test_wide_rows_are_read_once(spark):
+    """One scan; tasks whose first values lie far apart, or that have none of a column, are brought to one mean."""
+    cols = [f"c{i}" for i in range(18)]
+    rows = [tuple(None if x is None or c == 3 and i < 250 else 1e6 * (i // 100) + x if c % 2 else x for c, x in enumerate(r))
+            for i, r in enumerate(rows_of(5, 500, 18))]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 5), ", ".join(f"{c} double" for c in cols))
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    before = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    got = {(r["x"], r["y"]): r["corr"] for r in E.correlation(df.mapInArrow(count, df.schema), cols, 9).collect()}
+    assert read.value == 500 and spark.conf.get("spark.sql.codegen.hugeMethodLimit") == before
+    want = {(r["x"], r["y"]): r["corr"] for at in (0, 9) for r in E.correlation(df, cols[at:at + 9], 9).collect()}
+    assert len(got) == 18 ** 2 and all(math.isclose(got[k], v, abs_tol=1e-8) for k, v in want.items())
