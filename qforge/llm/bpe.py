@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -181,20 +182,22 @@ class Encoder:
     def find(self, text: str) -> list[str]:
         return (self.any if self.other(text) else self.plain)(text)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def each(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of one text after the other; all that is held of the texts is a number (4 bytes) a pre-token."""
         number: dict[str, int] = {}
         put = number.setdefault
-        docs = [np.array([put(x, len(number)) for x in self.find(t)], np.int64) for t in texts]
+        docs = [np.array([put(x, len(number)) for x in self.find(t)], np.int32) for t in texts]
         ids, off = replay([x.encode() for x in number], self.ranks)
         size = np.diff(off)
-        out = []
         for d in docs:
             k = size[d]
             end = np.cumsum(k)
             total = int(end[-1]) if len(end) else 0
             at = np.arange(total) - np.repeat(end - k, k) + np.repeat(off[:-1][d], k)
-            out.append(ids[at])
-        return out
+            yield ids[at]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return list(self.each(texts))
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
@@ -236,7 +239,7 @@ def digests(docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text") ->
 
         def fn(col):
             n, a, b = [], [], []
-            for ids in enc.encode(pc.fill_null(col, "").to_pylist()):
+            for ids in enc.each(pc.fill_null(col, "").to_pylist()):
                 n.append(len(ids))
                 a.append(sha(" ".join(map(digit.__getitem__, ids.tolist())).encode()))
                 b.append(sha(enc.decode(ids)))
