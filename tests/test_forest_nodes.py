@@ -4,6 +4,7 @@ import random
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from qforge.operators import forest as FO
 from qforge.operators import forest_nodes as FN
@@ -114,3 +115,12 @@ def test_fitting_deals_rows_evenly(spark, data, monkeypatch):
         with pytest.raises(Stop):
             FO.fit_forest(one, ["a.b", "n", "c"], "error", n_trees=7)
         assert len(seen[-1]) == tasks and sum(seen[-1]) == 600 and max(seen[-1]) <= 600 // tasks + 1
+
+
+def test_every_row_is_fitted_on(spark):
+    """A table of more than two million rows is fitted on as a whole."""
+    n = 2_100_000
+    rows = spark.range(n).select(F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    made = FO.fit_forest(rows.withColumn("error", (F.col("a") > 600).cast("int")), ["a", "b"], "error", n_trees=1, max_depth=2)
+    drawn = made.as_nodes().nodes.where("node = 0").first()["n"]          # a bootstrap draws as many rows as there are
+    assert made.n_train_rows == n and abs(drawn - n) < 20_000
