@@ -197,6 +197,29 @@ def test_jaccard_border(spark):
     assert [got[r[0]]["component_id"] for r in rows] == [rows[c][0] for c in comp]
 
 
+def test_passage_in_a_share_of_documents(spark, monkeypatch):
+    """Passages that many unlike documents have, a few in each slice, lead to no pairs of groups; near copies with one are found."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abeiost") for _ in range(6))
+    passages = [[word() for _ in range(40)] for _ in range(3)]
+    texts = [" ".join([*(w := [word() for _ in range(60)]), *passages[i % 3], w[0]]) for i in range(240)]
+    texts += [t + " end" for t in texts[:6]]
+    seen, real = [], token_groups.components
+    monkeypatch.setattr(token_groups, "components", lambda edges: seen.append(edges.count()) or real(edges))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(120)
+    got = by_id(token_groups.join(rows))
+    assert [got[i]["component_id"] for i in range(246)] == [*range(240), *range(6)]
+    assert seen[0] < 30                                   # 9,480 pairs share a passage
+
+
+def test_sizes_that_allow_no_link_open_nothing():
+    """Groups of 40 to 79 and of 280 to 319 tokens share enough keys but cannot link at 0.8; those of 240 to 279 can."""
+    from qforge.llm.parcels import pack, table
+    a, b = np.array([0x5002, 0x6007], np.uint64), np.array([0x7008, 0x8008], np.uint64)
+    got = token_groups._enough(80)(None, table([(0, 0, pack(a, b, np.array([9, 9])))]))
+    assert got.to_pylist() == [{"g1": 0x6007, "g2": 0x8008}]
+
+
 def brute_hits(texts, items):
     words = [(i, ALNUM.findall(low(t))) for i, t in items]
     for t in texts:
